@@ -10,10 +10,29 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None) -> DataFrame:
-    """Read ``{sf_dir}/{name}.parquet``; ``columns`` prunes the scan."""
+               columns: list[str] | None = None, spread: bool = False) -> DataFrame:
+    """Read ``{sf_dir}/{name}.parquet``; ``columns`` prunes the scan.
+
+    ``spread=True`` is for CPU-heavy per-row text work: when the scan yields
+    fewer splits than the cluster has cores (a small file with few row groups),
+    rows are redistributed round-robin.  On large inputs the scan already has
+    many more splits than cores and nothing is added.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        df = spread_if_narrow(df)
+    return df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to 2x default parallelism when the plan has
+    fewer partitions than cores (planning only; no job runs)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(2 * par)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
