@@ -129,3 +129,8 @@ def suggested_wait(err, attempt) -> Column:
 def excerpt(t, n: int = 100) -> Column:
     """First ``n`` characters for log lines."""
     return F.substring(_c(t), 1, n)
+
+
+def py_strip(t) -> Column:
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
+    return F.regexp_replace(_c(t), f"^{WS_CLASS}+|{WS_CLASS}+$", "")

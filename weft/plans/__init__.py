@@ -1,7 +1,7 @@
 """Driver query plans: importing this package registers every query."""
 
 from weft.plans import registry
-from weft.plans import q_dedup, q_eval, q_plan, q_text, q_usage  # noqa: F401
+from weft.plans import q_chat, q_dedup, q_eval, q_mcq, q_plan, q_text, q_usage  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

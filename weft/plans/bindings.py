@@ -41,7 +41,8 @@ def drills(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return (conv.groupBy("conv_id")
                 .agg(_texts_in_order("user").alias("turns"),
-                     _texts_in_order("assistant").alias("reference"))
+                     _texts_in_order("assistant").alias("reference"),
+                     F.try_element_at(_texts_in_order("system"), F.lit(1)).alias("system"))
                 .withColumn("category", category_of(F.col("conv_id"))))
 
 
