@@ -8,6 +8,7 @@ is ever collected into one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,148 @@ def dedup_summary(kept: DataFrame, copies_col: str = "n_copies") -> DataFrame:
     return (kept.agg(F.sum(copies_col).cast("bigint").alias("n_original"),
                      F.count(F.lit(1)).alias("n_after"))
                 .withColumn("n_removed", F.col("n_original") - F.col("n_after")))
+
+
+# ---------------------------------------------------------------------------
+# Fuzzy self-join on indel similarity (exact, lossless blocking)
+# ---------------------------------------------------------------------------
+
+def lcs_length(a: str, b: str) -> int:
+    """Longest common subsequence length, bit-parallel (Allison-Dix/Hyyro):
+    one pass over ``a`` with machine-word arithmetic on a |b|-bit vector."""
+    if len(a) < len(b):
+        a, b = b, a
+    m = len(b)
+    if m == 0:
+        return 0
+    masks: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        masks[ch] = masks.get(ch, 0) | (1 << j)
+    full = (1 << m) - 1
+    v = full
+    for ch in a:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return m - v.bit_count()
+
+
+def _lcs_udf():
+    @F.pandas_udf("long")
+    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lcs_length(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
+    return lcs
+
+
+def _max_partner_len(L: Column, t: int) -> Column:
+    """Longest partner length that can reach ratio ``t``: floor(L(200-t)/t)."""
+    return F.floor(L * (200 - t) / F.lit(t)).cast("bigint")
+
+
+def _min_partner_len(L: Column, t: int) -> Column:
+    """Shortest partner length: ceil(L t / (200-t))."""
+    return F.ceil(L * F.lit(t) / (200 - t)).cast("bigint")
+
+
+def _k_budget(L: Column, t: int) -> Column:
+    """Largest indel distance any admissible partner of a length-L string may
+    have: floor((100-t)(L + Lmax)/100)."""
+    return F.floor((100 - t) * (L + _max_partner_len(L, t)) / F.lit(100)).cast("bigint")
+
+
+def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
+                  threshold: int = 95) -> DataFrame:
+    """Verified similar pairs: ``candidate_pairs`` then ``verify_pairs``."""
+    cand = candidate_pairs(strings, id_col, text_col, threshold)
+    return verify_pairs(cand, strings, id_col, text_col, threshold)
+
+
+def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
+                    threshold: int = 95) -> DataFrame:
+    """All unordered pairs of distinct rows with ``200*LCS >= t*(|a|+|b|)``
+    (the indel ratio, threshold inclusive), found without a cross join.
+
+    Blocking (lossless, pigeonhole / Pass-Join style): the shorter string ``s``
+    of a qualifying pair is cut into ``K+1`` even segments, ``K`` = the indel
+    budget of its longest admissible partner; at most ``K`` segments can be
+    touched by the edits, so one segment occurs verbatim in the longer string
+    ``r`` shifted by at most ``K``.  ``r`` emits every substring of the
+    segment widths its length band needs (about 3 per character), the join
+    runs on (width, hash), then length band and shift are checked.  Hash
+    collisions only add candidates; every candidate is verified with the
+    exact LCS.  Returns (id_a, id_b, len_a, len_b, lcs) with id_a < id_b.
+    """
+    t = int(threshold)
+    # code points once per string: slicing an array is O(width), while
+    # substring() on UTF-8 walks from the start (O(length) per call)
+    base = (strings.select(F.col(id_col).alias("_id"),
+                           F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0).alias("_c"))
+                   .withColumn("_L", F.size("_c").cast("bigint")))
+    # segments of every string (indexed side)
+    seg = (base.withColumn("_K", _k_budget(F.col("_L"), t))
+               .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_K")))))
+    n = F.col("_K") + 1
+    w0 = F.floor(F.col("_L") / n)
+    extra = F.col("_L") - w0 * n
+    short_n = n - extra
+    seg = (seg.withColumn("_w", (w0 + F.when(F.col("_i") >= short_n, 1).otherwise(0)).cast("bigint"))
+              .withColumn("_p", (F.col("_i") * w0 + F.greatest(F.lit(0), F.col("_i") - short_n))
+                          .cast("bigint"))
+              .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
+                      F.col("_K").alias("s_k"), "_w", "_p",
+                      F.xxhash64(F.array_join(F.slice("_c", F.col("_p") + 1, F.col("_w")), ""))
+                       .alias("_h")))
+    # substrings of every string at the widths its band needs (probe side)
+    lmin = _min_partner_len(F.col("_L"), t)
+    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + 1))
+    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + 1))
+    probe = (base.withColumn("_w", F.explode(F.sequence(w_lo.cast("bigint"), w_hi.cast("bigint"))))
+                 .where(F.col("_w") <= F.col("_L"))
+                 .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
+                         F.posexplode(F.transform(
+                             F.sequence(F.lit(0), (F.col("_L") - F.col("_w")).cast("int")),
+                             lambda q: F.xxhash64(F.array_join(
+                                 F.slice("_c", q + 1, F.col("_w").cast("int")), ""))))
+                          .alias("_q", "_h")))
+    # both sides grow with the text: shuffle join, never an estimate-based broadcast
+    return (seg.hint("shuffle_hash").join(probe.hint("merge"), ["_w", "_h"])
+               .where((F.col("s_id") != F.col("r_id"))
+                      & (F.col("s_len") <= F.col("r_len"))
+                      & (F.col("r_len") <= _max_partner_len(F.col("s_len"), t))
+                      & (F.abs(F.col("_q") - F.col("_p")) <= F.col("s_k")))
+               .select(F.least("s_id", "r_id").alias("id_a"),
+                       F.greatest("s_id", "r_id").alias("id_b"))
+               .distinct())
+
+
+def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str,
+                 threshold: int = 95) -> DataFrame:
+    """Exact check of candidate pairs: ``200*LCS >= t*(|a|+|b|)``."""
+    t = int(threshold)
+    texts = strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s")) \
+                   .withColumn("_L", F.length("_s").cast("bigint"))
+    ta = texts.withColumnsRenamed({"_id": "id_a", "_s": "s_a", "_L": "len_a"}).hint("merge")
+    tb = texts.withColumnsRenamed({"_id": "id_b", "_s": "s_b", "_L": "len_b"}).hint("merge")
+    pairs = cand.join(ta, "id_a").join(tb, "id_b")
+    lcs = _lcs_udf()
+    return (pairs.withColumn("lcs", lcs(F.col("s_a"), F.col("s_b")))
+                 .where(200 * F.col("lcs") >= t * (F.col("len_a") + F.col("len_b")))
+                 .select("id_a", "id_b", "len_a", "len_b", "lcs"))
+
+
+def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] | None = None,
+                threshold: int = 95) -> tuple[DataFrame, DataFrame]:
+    """K4: a row is removed iff an earlier row (smaller ``order_col``) has an
+    identical key or a key with indel ratio >= ``threshold``.
+
+    Not transitive and not greedy: an earlier row removes a later one even if
+    it is itself removed.  No cap on the number of matches per string.
+    Returns (kept rows, verified pairs between distinct keys).
+    """
+    keep_cols = keep_cols or []
+    distinct = exact_dedup(df.withColumn("_key", F.coalesce(F.col(key), F.lit(""))),
+                           "_key", order_col, ["_key", *keep_cols])
+    pairs = similar_pairs(distinct, order_col, "_key", threshold)
+    # ids are the first row of each distinct key, so the larger id is removed
+    removed = pairs.select(F.col("id_b").alias(order_col)).distinct()
+    kept = distinct.join(removed, order_col, "left_anti").drop("_key")
+    return kept, pairs

@@ -30,3 +30,37 @@ def dedup_summary(spark, sf):
     """Original / after / removed."""
     kept = dedup.exact_dedup(_docs(spark, sf), "text", "doc_id")
     return dedup.dedup_summary(kept)
+
+
+def _questions(spark, sf):
+    """The dedup key is each drill's first turn ('' when it has none)."""
+    from pyspark.sql import functions as F
+
+    from weft.functions.text import first_turn
+    from weft.plans import bindings
+    return bindings.drills(spark, sf).select(
+        "conv_id", "category", first_turn(F.col("turns")).alias("question"))
+
+
+@query("fuzzy_dedup")
+def fuzzy_dedup(spark, sf):
+    """J7 + O3: drills whose question is identical or >= 95 similar (indel
+    ratio) to an earlier drill's are removed; whole texts, no match cap.
+    Checked against all-pairs brute force in tests/test_fuzzy.py."""
+    kept, _ = dedup.fuzzy_dedup(_questions(spark, sf), "question", "conv_id", ["category"])
+    return kept
+
+
+@query("fuzzy_pairs")
+def fuzzy_pairs(spark, sf):
+    """Verified similar question pairs (first conv ids, lengths, LCS)."""
+    _, pairs = dedup.fuzzy_dedup(_questions(spark, sf), "question", "conv_id", ["category"])
+    return pairs
+
+
+@query("fuzzy_dedup_documents")
+def fuzzy_dedup_documents(spark, sf):
+    """J7 + O3 on whole documents (exact, lossless blocking); checked against
+    all-pairs brute force on sf0.001 in tests/test_fuzzy.py."""
+    kept, _ = dedup.fuzzy_dedup(_docs(spark, sf), "text", "doc_id", ["lang"])
+    return kept.select("doc_id", "lang", "n_copies")
