@@ -64,3 +64,19 @@ def fuzzy_dedup_documents(spark, sf):
     all-pairs brute force on sf0.001 in tests/test_fuzzy.py."""
     kept, _ = dedup.fuzzy_dedup(_docs(spark, sf), "text", "doc_id", ["lang"])
     return kept.select("doc_id", "lang", "n_copies")
+
+
+@query("knn_dups", sql="""
+WITH p AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
+                  list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+           WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS rank FROM p)
+SELECT vec_id, neighbor_id, round(c, 6) AS cosine, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 8
+""")
+def knn_dups(spark, sf):
+    """Up to 8 neighbours with cosine >= 0.85 per embedding (LSH-blocked,
+    exactly verified; recall measured in tests/test_vectors.py)."""
+    from weft.operators import vectors
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return vectors.knn(e, "vec_id", "embedding", dim=64)
