@@ -70,3 +70,30 @@ def extract_answer_letter(response) -> Column:
                                 F.lit(r"[\p{L}\p{N}]+"), 0)
     letters = F.filter(toks, lambda x: x.rlike("^[a-e]$"))
     return F.coalesce(F.try_element_at(letters, F.lit(-1)), F.lit("Could not answer"))
+
+
+# Fixed value: separator the exam SFT answer uses between explanation and label.
+ANSWER_JOIN = " คำตอบ: "
+
+
+def generated_exam_messages(v) -> tuple[Column, Column, Column]:
+    """P12/P13 on a parsed generated exam record (variant):
+    choices are an object (``k) v`` lines in key order) or a pre-rendered
+    string; the answer is an object (label) or a bare string.  Returns
+    (user text, assistant label text, SFT answer ``explanation + ' คำตอบ: ' +
+    label`` or null when the answer is not an object)."""
+    from weft.functions import jsonx
+    ch = jsonx.get(v, "$.choices", "variant")
+    ans = jsonx.get(v, "$.answer", "variant")
+    m = F.try_variant_get(ch, "$", "map<string,string>")
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries(m)),
+                                     lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
+    rendered = F.when(jsonx.variant_kind(ch) == "OBJECT", lines) \
+                .otherwise(F.try_variant_get(ch, "$", "string"))
+    user = F.concat(jsonx.get(v, "$.question", "string"), F.lit("\n"), rendered)
+    is_obj = jsonx.variant_kind(ans) == "OBJECT"
+    label = F.when(is_obj, F.try_variant_get(ans, "$.label", "string")) \
+             .otherwise(F.try_variant_get(ans, "$", "string"))
+    sft = F.when(is_obj, F.concat(F.try_variant_get(ans, "$.explanation", "string"),
+                                  F.lit(ANSWER_JOIN), F.try_variant_get(ans, "$.label", "string")))
+    return user, label, sft

@@ -8,6 +8,7 @@ is ever collected into one task.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,55 +102,92 @@ def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
     return verify_pairs(cand, strings, id_col, text_col, threshold)
 
 
+_B = 0x100000001B3                      # odd multiplier: invertible mod 2^64
+_BINV = pow(_B, -1, 1 << 64)
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points (what Spark's ``length`` and Python's ``len`` count)."""
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
+
+def _window_hashes(c: np.ndarray, w: int) -> np.ndarray:
+    """Polynomial hash of every length-``w`` window, O(1) each (mod 2^64):
+    h(q) = sum_k c[q+k] B^(w-1-k) = (S[q+w] - S[q]) * B^(q+w-1), S = prefix
+    sums of c[k] B^-k."""
+    n = len(c)
+    if w == 0:
+        return np.zeros(n + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        pw = np.cumprod(np.full(n + 1, _B, dtype=np.uint64))      # B^1 .. B^(n+1)
+        pw = np.concatenate([np.ones(1, dtype=np.uint64), pw[:-1]])  # B^0 .. B^n
+        ipw = np.cumprod(np.full(n + 1, _BINV, dtype=np.uint64))
+        ipw = np.concatenate([np.ones(1, dtype=np.uint64), ipw[:-1]])
+        S = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(c * ipw[:n])])
+        q = np.arange(n - w + 1)
+        return (S[q + w] - S[q]) * pw[q + w - 1]
+
+
+def _segments_udf():
+    """Hashes of the K+1 even segments of each string, in segment order."""
+    @F.pandas_udf("array<long>")
+    def segs(s: pd.Series, k: pd.Series) -> pd.Series:
+        out = []
+        for text, kk in zip(s, k):
+            c = _codes(text)
+            n, L = int(kk) + 1, len(c)
+            w0, extra = divmod(L, n)
+            short_n = n - extra
+            i = np.arange(n)
+            w = w0 + (i >= short_n)
+            p = i * w0 + np.maximum(0, i - short_n)
+            h = np.zeros(n, dtype=np.int64)
+            for width in np.unique(w):
+                sel = w == width
+                h[sel] = _window_hashes(c, int(width)).view(np.int64)[p[sel]]
+            out.append(h)
+        return pd.Series(out)
+    return segs
+
+
+def _windows_udf():
+    """Hashes of every window of the given width, by start position."""
+    @F.pandas_udf("array<long>")
+    def wins(s: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([_window_hashes(_codes(t), int(x)).view(np.int64)
+                          for t, x in zip(s, w)])
+    return wins
+
+
 def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
                     threshold: int = 95) -> DataFrame:
-    """All unordered pairs of distinct rows with ``200*LCS >= t*(|a|+|b|)``
-    (the indel ratio, threshold inclusive), found without a cross join.
-
-    Blocking (lossless, pigeonhole / Pass-Join style): the shorter string ``s``
-    of a qualifying pair is cut into ``K+1`` even segments, ``K`` = the indel
-    budget of its longest admissible partner; at most ``K`` segments can be
-    touched by the edits, so one segment occurs verbatim in the longer string
-    ``r`` shifted by at most ``K``.  ``r`` emits every substring of the
-    segment widths its length band needs (about 3 per character), the join
-    runs on (width, hash), then length band and shift are checked.  Hash
-    collisions only add candidates; every candidate is verified with the
-    exact LCS.  Returns (id_a, id_b, len_a, len_b, lcs) with id_a < id_b.
-    """
+    """Candidate pairs for ``similar_pairs`` (lossless blocking, see there).
+
+    Segment and window hashes are polynomial rolling hashes computed per
+    string with numpy (O(1) per window); the join is on (width, hash)."""
     t = int(threshold)
-    # code points once per string: slicing an array is O(width), while
-    # substring() on UTF-8 walks from the start (O(length) per call)
-    base = (strings.select(F.col(id_col).alias("_id"),
-                           F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0).alias("_c"))
-                   .withColumn("_L", F.size("_c").cast("bigint")))
-    # segments of every string (indexed side)
+    base = (strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
+                   .withColumn("_L", F.length("_s").cast("bigint")))
     seg = (base.withColumn("_K", _k_budget(F.col("_L"), t))
-               .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_K")))))
-    n = F.col("_K") + 1
-    w0 = F.floor(F.col("_L") / n)
-    extra = F.col("_L") - w0 * n
-    short_n = n - extra
+               .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
+                       F.col("_K").alias("s_k"),
+                       F.posexplode(_segments_udf()(F.col("_s"), F.col("_K"))).alias("_i", "_h")))
+    n = F.col("s_k") + 1
+    w0 = F.floor(F.col("s_len") / n)
+    short_n = n - (F.col("s_len") - w0 * n)
     seg = (seg.withColumn("_w", (w0 + F.when(F.col("_i") >= short_n, 1).otherwise(0)).cast("bigint"))
               .withColumn("_p", (F.col("_i") * w0 + F.greatest(F.lit(0), F.col("_i") - short_n))
                           .cast("bigint"))
-              .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
-                      F.col("_K").alias("s_k"), "_w", "_p",
-                      F.xxhash64(F.array_join(F.slice("_c", F.col("_p") + 1, F.col("_w")), ""))
-                       .alias("_h")))
-    # substrings of every string at the widths its band needs (probe side)
+              .drop("_i"))
     lmin = _min_partner_len(F.col("_L"), t)
-    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + 1))
-    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + 1))
-    probe = (base.withColumn("_w", F.explode(F.sequence(w_lo.cast("bigint"), w_hi.cast("bigint"))))
+    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + 1)).cast("bigint")
+    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + 1)).cast("bigint")
+    probe = (base.withColumn("_w", F.explode(F.sequence(w_lo, w_hi)))
                  .where(F.col("_w") <= F.col("_L"))
                  .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
-                         F.posexplode(F.transform(
-                             F.sequence(F.lit(0), (F.col("_L") - F.col("_w")).cast("int")),
-                             lambda q: F.xxhash64(F.array_join(
-                                 F.slice("_c", q + 1, F.col("_w").cast("int")), ""))))
-                          .alias("_q", "_h")))
+                         F.posexplode(_windows_udf()(F.col("_s"), F.col("_w"))).alias("_q", "_h")))
     # both sides grow with the text: shuffle join, never an estimate-based broadcast
-    return (seg.hint("shuffle_hash").join(probe.hint("merge"), ["_w", "_h"])
+    return (probe.join(seg.hint("shuffle_hash"), ["_w", "_h"])
                .where((F.col("s_id") != F.col("r_id"))
                       & (F.col("s_len") <= F.col("r_len"))
                       & (F.col("r_len") <= _max_partner_len(F.col("s_len"), t))

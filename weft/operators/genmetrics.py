@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,38 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     if not hyp_tok or not ref_tok:
         return 0, len(hyp_tok), len(ref_tok)
     hyp_cnt, ref_cnt = Counter(hyp_tok), Counter(ref_tok)
+    vocab: dict = {}
+    H = np.array([vocab.setdefault(t, len(vocab)) for t in hyp_tok], dtype=np.int64)
+    bounds, s0 = [], 0
+    for line in hyp_lines:
+        if line:
+            bounds.append((s0, s0 + len(line)))
+        s0 += len(line)
+    seg = np.zeros(len(H), dtype=np.int64)
+    starts = np.array([b[0] for b in bounds], dtype=np.int64)
+    for k, (a, b) in enumerate(bounds):
+        seg[a:b] = k
     hits = 0
     for r in ref_lines:
+        if not r:
+            continue
+        R = [vocab.get(t, -1) for t in r]
+        table = _lcs_rows(H, R, seg, starts)
         union: set[int] = set()
-        for h in hyp_lines:
-            union |= _lcs_positions(r, h)
-        for j in sorted(union):
-            tok = r[j]
+        for a, b in bounds:
+            if table[len(R), b - 1] == 0:
+                continue
+            i, j = len(R), b - 1
+            while i > 0 and j >= a:
+                if R[i - 1] == H[j]:
+                    union.add(i - 1)
+                    i, j = i - 1, j - 1
+                elif table[i - 1, j] >= (table[i, j - 1] if j - 1 >= a else 0):
+                    i -= 1
+                else:
+                    j -= 1
+        for jj in sorted(union):
+            tok = r[jj]
             if hyp_cnt[tok] > 0 and ref_cnt[tok] > 0:
                 hits += 1
                 hyp_cnt[tok] -= 1
@@ -77,23 +103,25 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     return hits, len(hyp_tok), len(ref_tok)
 
 
-def _lcs_positions(r, h) -> set[int]:
-    """Positions of ``r`` on one LCS with ``h`` (DP backtrack; lines are short)."""
-    n, m = len(r), len(h)
-    tab = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            tab[i + 1][j + 1] = tab[i][j] + 1 if r[i] == h[j] else max(tab[i][j + 1], tab[i + 1][j])
-    out, i, j = set(), n, m
-    while i > 0 and j > 0:
-        if r[i - 1] == h[j - 1]:
-            out.add(i - 1)
-            i, j = i - 1, j - 1
-        elif tab[i - 1][j] >= tab[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out
+def _lcs_rows(H, R, seg, starts):
+    """LCS tables of one reference line against every hypothesis line at once:
+    row i = cummax(max(prev, shifted prev + match)), reset at line starts
+    (a per-line offset keeps the cumulative max inside each line)."""
+    n = len(H)
+    big = len(R) + 1
+    off = seg * big
+    table = np.zeros((len(R) + 1, n), dtype=np.int64)
+    prev = table[0]
+    for i, tok in enumerate(R):
+        diag = np.empty(n, dtype=np.int64)
+        diag[0] = 0
+        diag[1:] = prev[:-1]
+        diag[starts] = 0
+        cand = np.maximum(prev, diag + (H == tok))
+        cur = np.maximum.accumulate(cand + off) - off
+        table[i + 1] = cur
+        prev = cur
+    return table
 
 
 def _meteor(h, r) -> float:
@@ -101,14 +129,16 @@ def _meteor(h, r) -> float:
     greedy left-to-right alignment, Fmean(alpha), fragmentation penalty."""
     if not h or not r:
         return 0.0
-    used = [False] * len(r)
+    free: dict = {}
+    for j, rt in enumerate(r):
+        free.setdefault(rt, []).append(j)
+    nxt = dict.fromkeys(free, 0)
     align = []
-    for i, tok in enumerate(h):
-        for j, rt in enumerate(r):
-            if not used[j] and rt == tok:
-                used[j] = True
-                align.append((i, j))
-                break
+    for i, tok in enumerate(h):   # first unused occurrence, left to right
+        q = free.get(tok)
+        if q is not None and nxt[tok] < len(q):
+            align.append((i, q[nxt[tok]]))
+            nxt[tok] += 1
     m = len(align)
     if m == 0:
         return 0.0

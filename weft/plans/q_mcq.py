@@ -81,3 +81,58 @@ def answer_extract(spark, sf):
                 .withColumn("gold_id", F.pmod("conv_id", F.lit(5)).cast("bigint")))
     return (r.join(gold, "conv_id")
              .withColumn("correct", F.col("pred_id") == F.col("gold_id")))
+
+
+def _generated_exam_lines(spark, sf):
+    """Generated exam records as JSON text: every 4th item has pre-rendered
+    choices, every 3rd a bare-string answer (the two union shapes)."""
+    from weft.functions import jsonx
+    e = bindings.exam(spark, sf)
+    js = jsonx.json_str
+    obj = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*[
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}": '), js(F.col(c)))) for c in "abcde"]),
+        lambda x: x.isNotNull()), ", "), F.lit("}"))
+    rendered = js(F.array_join(F.filter(F.array(*[
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}) "), F.col(c))) for c in "abcde"]),
+        lambda x: x.isNotNull()), "\n"))
+    choices = F.when(F.pmod("item_id", F.lit(4)) == 0, rendered).otherwise(obj)
+    answer = F.when(F.pmod("item_id", F.lit(3)) == 0, js(F.col("answer"))).otherwise(F.concat(
+        F.lit('{"explanation": '), js(F.concat(F.lit("Because "), F.col("b"))),
+        F.lit(', "label": '), js(F.col("answer")), F.lit("}")))
+    line = F.concat(F.lit('{"question": '), js(F.col("question")), F.lit(', "choices": '), choices,
+                    F.lit(', "answer": '), answer, F.lit("}"))
+    return e.select("item_id", line.alias("line"))
+
+
+def _gx_sql() -> str:
+    from weft.plans.q_ingest import _js
+    obj = ("'{' || array_to_string(list_filter([" + ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\": ' || {_js(c)} END" for c in "abcde")
+        + "], lambda x: x IS NOT NULL), ', ') || '}'")
+    rend = _js("array_to_string(list_filter([" + ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN '{c}) ' || {c} END" for c in "abcde")
+        + "], lambda x: x IS NOT NULL), chr(10))")
+    ans = (f"CASE WHEN item_id % 3 = 0 THEN {_js('answer')} ELSE '{{\"explanation\": ' || "
+           f"{_js(chr(39) + 'Because ' + chr(39) + ' || b')} || ', \"label\": ' || {_js('answer')} || '}}' END")
+    return f"""
+WITH {EXAM},
+l AS (SELECT item_id, ('{{"question": ' || {_js('question')} || ', "choices": ' ||
+        CASE WHEN item_id % 4 = 0 THEN {rend} ELSE {obj} END || ', "answer": ' || {ans} || '}}')::JSON AS v FROM exam),
+p AS (SELECT item_id, v ->> '$.question' AS q, json_extract(v, '$.choices') AS ch, json_extract(v, '$.answer') AS an FROM l),
+u AS (SELECT item_id, q || chr(10) || CASE WHEN json_type(ch) = 'OBJECT'
+          THEN array_to_string(list_transform(list_sort(json_keys(ch)), lambda k: k || ') ' || (ch ->> ('$.' || k))), chr(10))
+          ELSE ch ->> '$' END AS user_text,
+        CASE WHEN json_type(an) = 'OBJECT' THEN an ->> '$.label' ELSE an ->> '$' END AS assistant_text,
+        CASE WHEN json_type(an) = 'OBJECT' THEN (an ->> '$.explanation') || '{mcq.ANSWER_JOIN}' || (an ->> '$.label') END AS sft_answer
+      FROM p)
+SELECT item_id, md5(user_text) AS user_md5, assistant_text, sft_answer FROM u"""
+
+
+@query("exam_generated", sql=_gx_sql())
+def exam_generated(spark, sf):
+    """P12 (choices dict or text, answer dict or text -> chat) and P13 (SFT
+    answer = explanation + ' คำตอบ: ' + label)."""
+    v = F.try_parse_json(F.col("line"))
+    user, label, sft = mcq.generated_exam_messages(v)
+    return _generated_exam_lines(spark, sf).select(
+        "item_id", F.md5(user).alias("user_md5"), label.alias("assistant_text"), sft.alias("sft_answer"))
