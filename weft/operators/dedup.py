@@ -213,7 +213,7 @@ def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str
 
 
 def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] | None = None,
-                threshold: int = 95) -> tuple[DataFrame, DataFrame]:
+                threshold: int = 95, max_matches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K4: a row is removed iff an earlier row (smaller ``order_col``) has an
     identical key or a key with indel ratio >= ``threshold``.
 
@@ -225,6 +225,17 @@ def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] |
     distinct = exact_dedup(df.withColumn("_key", F.coalesce(F.col(key), F.lit(""))),
                            "_key", order_col, ["_key", *keep_cols])
     pairs = similar_pairs(distinct, order_col, "_key", threshold)
+    if max_matches is not None:
+        # O1 parity option: keep only each string's best matches (the source's
+        # library default is 5); off by default, so clusters are not cut
+        from pyspark.sql import Window
+        both = pairs.select(F.col("id_a").alias("_s"), "id_a", "id_b", "lcs", "len_a", "len_b") \
+                    .unionByName(pairs.select(F.col("id_b").alias("_s"), "id_a", "id_b", "lcs",
+                                              "len_a", "len_b"))
+        score = F.col("lcs") * 2 / (F.col("len_a") + F.col("len_b"))
+        w = Window.partitionBy("_s").orderBy(score.desc(), "id_a", "id_b")
+        pairs = (both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_matches)
+                     .select("id_a", "id_b", "len_a", "len_b", "lcs").distinct())
     # ids are the first row of each distinct key, so the larger id is removed
     removed = pairs.select(F.col("id_b").alias(order_col)).distinct()
     kept = distinct.join(removed, order_col, "left_anti").drop("_key")

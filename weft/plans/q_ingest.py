@@ -219,3 +219,43 @@ def validate_reasons(spark, sf):
                         V.mtbench_content_reason(F.col("turns"), INGEST_SCRIPT))
     mt = d.select(F.lit("mtbench").alias("kind"), F.col("conv_id").alias("id"), reason.alias("reason"))
     return ex.unionByName(mt)
+
+
+RETRY_BATCH = 5
+MIN_BATCH = 3
+
+
+@query("retry_plan", sql=f"""
+WITH {_INGEST},
+req AS (SELECT conv_id, category, CAST(unnest(range(len(turns))) AS BIGINT) AS pos FROM drills),
+f AS (SELECT req.* FROM req LEFT JOIN (SELECT conv_id, pos FROM ing WHERE accepted) a
+        ON a.conv_id = req.conv_id AND a.pos = req.pos WHERE a.conv_id IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {norm_cat('category')} ORDER BY conv_id, pos) AS rn FROM f)
+SELECT conv_id, pos, category, CAST((rn - 1) // {max(MIN_BATCH, RETRY_BATCH // 2)} AS BIGINT) AS retry_batch FROM r
+""")
+def retry_plan(spark, sf):
+    """J10 + W8: requested positions that were not accepted (anti-join, not the
+    tail of the batch) re-batched at half the batch size (floor ``min``)."""
+    d = bindings.drills(spark, sf)
+    req = d.select("conv_id", "category",
+                   F.posexplode("turns").alias("pos", "_t")).drop("_t") \
+           .withColumn("pos", F.col("pos").cast("bigint"))
+    acc = _ingest(spark, sf).where("accepted").select("conv_id", "pos")
+    failed = req.join(acc, ["conv_id", "pos"], "left_anti") \
+                .withColumn("_cat", normalize_category(F.col("category")))
+    n = row_number_within(failed, ["_cat"], ["conv_id", "pos"], out="_rn")
+    half = max(MIN_BATCH, RETRY_BATCH // 2)
+    return n.select("conv_id", "pos", "category",
+                    F.floor((F.col("_rn") - 1) / half).cast("bigint").alias("retry_batch"))
+
+
+@query("source_profile", sql=f"""
+WITH {DRILLS}
+SELECT count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM drills
+""")
+def source_profile(spark, sf):
+    """Rows and the sorted category set of a source (the set is bounded
+    by the number of categories)."""
+    d = bindings.drills(spark, sf)
+    return d.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
