@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.tables import spread_if_narrow
+
 
 def text_key(c: Column) -> Column:
     """Shuffle key for a text: SHA-256 digest (32 bytes) instead of the text.
@@ -72,10 +74,41 @@ def lcs_length(a: str, b: str) -> int:
     return m - v.bit_count()
 
 
-def _lcs_udf():
+QGRAM = 4
+
+
+def shared_qgrams(a: str, b: str, q: int = QGRAM) -> int:
+    """Multiset count of q-grams (rolling hashes) shared by ``a`` and ``b``.
+    Hash collisions can only raise the count."""
+    ha = _window_hashes(_codes(a), q) if len(a) >= q else np.zeros(0, dtype=np.uint64)
+    hb = _window_hashes(_codes(b), q) if len(b) >= q else np.zeros(0, dtype=np.uint64)
+    if len(ha) == 0 or len(hb) == 0:
+        return 0
+    ua, ca = np.unique(ha, return_counts=True)
+    ub, cb = np.unique(hb, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    return int(np.minimum(ca[ia], cb[ib]).sum())
+
+
+def lcs_if_possible(a: str, b: str, t: int) -> int:
+    """LCS when the pair can still reach ratio ``t``, else -1.
+
+    Count filter (lossless): with indel distance D, a and b share at least
+    ``max(|a|,|b|) - q + 1 - q*D`` q-grams; D is at most
+    ``floor((100-t)(|a|+|b|)/100)``."""
+    la, lb = len(a), len(b)
+    d_max = (100 - t) * (la + lb) // 100
+    need = max(la, lb) - QGRAM + 1 - QGRAM * d_max
+    if need > 0 and shared_qgrams(a, b) < need:
+        return -1
+    return lcs_length(a, b)
+
+
+def _lcs_udf(t: int = 95):
     @F.pandas_udf("long")
     def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
+        return pd.Series([lcs_if_possible(x or "", y or "", t) for x, y in zip(a, b)],
+                         dtype="int64")
     return lcs
 
 
@@ -128,14 +161,14 @@ def _window_hashes(c: np.ndarray, w: int) -> np.ndarray:
         return (S[q + w] - S[q]) * pw[q + w - 1]
 
 
-def _segments_udf():
-    """Hashes of the K+1 even segments of each string, in segment order."""
+def _segments_udf(m: int):
+    """Hashes of the K+m even segments of each string, in segment order."""
     @F.pandas_udf("array<long>")
     def segs(s: pd.Series, k: pd.Series) -> pd.Series:
         out = []
         for text, kk in zip(s, k):
             c = _codes(text)
-            n, L = int(kk) + 1, len(c)
+            n, L = int(kk) + m, len(c)
             w0, extra = divmod(L, n)
             short_n = n - extra
             i = np.arange(n)
@@ -160,28 +193,30 @@ def _windows_udf():
 
 
 def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
-                    threshold: int = 95) -> DataFrame:
+                    threshold: int = 95, min_shared: int = 6) -> DataFrame:
     """Candidate pairs for ``similar_pairs`` (lossless blocking, see there).
 
     Segment and window hashes are polynomial rolling hashes computed per
-    string with numpy (O(1) per window); the join is on (width, hash)."""
+    string with numpy (O(1) per window); the join is on (width, hash).
+    With ``K+m`` segments at most ``K`` are touched by the edits, so a true
+    pair shares at least ``m = min_shared`` of them (count filter)."""
     t = int(threshold)
-    base = (strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
-                   .withColumn("_L", F.length("_s").cast("bigint")))
+    m = int(min_shared)
+    base = spread_if_narrow(strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
+                                   .withColumn("_L", F.length("_s").cast("bigint")))
     seg = (base.withColumn("_K", _k_budget(F.col("_L"), t))
                .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
                        F.col("_K").alias("s_k"),
-                       F.posexplode(_segments_udf()(F.col("_s"), F.col("_K"))).alias("_i", "_h")))
-    n = F.col("s_k") + 1
+                       F.posexplode(_segments_udf(m)(F.col("_s"), F.col("_K"))).alias("_i", "_h")))
+    n = F.col("s_k") + m
     w0 = F.floor(F.col("s_len") / n)
     short_n = n - (F.col("s_len") - w0 * n)
     seg = (seg.withColumn("_w", (w0 + F.when(F.col("_i") >= short_n, 1).otherwise(0)).cast("bigint"))
               .withColumn("_p", (F.col("_i") * w0 + F.greatest(F.lit(0), F.col("_i") - short_n))
-                          .cast("bigint"))
-              .drop("_i"))
+                          .cast("bigint")))
     lmin = _min_partner_len(F.col("_L"), t)
-    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + 1)).cast("bigint")
-    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + 1)).cast("bigint")
+    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + m)).cast("bigint")
+    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + m)).cast("bigint")
     probe = (base.withColumn("_w", F.explode(F.sequence(w_lo, w_hi)))
                  .where(F.col("_w") <= F.col("_L"))
                  .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
@@ -192,6 +227,9 @@ def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
                       & (F.col("s_len") <= F.col("r_len"))
                       & (F.col("r_len") <= _max_partner_len(F.col("s_len"), t))
                       & (F.abs(F.col("_q") - F.col("_p")) <= F.col("s_k")))
+               .groupBy("s_id", "r_id")
+               .agg(F.count_distinct("_i").alias("_hits"))
+               .where(F.col("_hits") >= m)
                .select(F.least("s_id", "r_id").alias("id_a"),
                        F.greatest("s_id", "r_id").alias("id_b"))
                .distinct())
@@ -205,8 +243,8 @@ def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str
                    .withColumn("_L", F.length("_s").cast("bigint"))
     ta = texts.withColumnsRenamed({"_id": "id_a", "_s": "s_a", "_L": "len_a"}).hint("merge")
     tb = texts.withColumnsRenamed({"_id": "id_b", "_s": "s_b", "_L": "len_b"}).hint("merge")
-    pairs = cand.join(ta, "id_a").join(tb, "id_b")
-    lcs = _lcs_udf()
+    pairs = spread_if_narrow(cand.join(ta, "id_a").join(tb, "id_b"), factor=8)
+    lcs = _lcs_udf(t)
     return (pairs.withColumn("lcs", lcs(F.col("s_a"), F.col("s_b")))
                  .where(200 * F.col("lcs") >= t * (F.col("len_a") + F.col("len_b")))
                  .select("id_a", "id_b", "len_a", "len_b", "lcs"))

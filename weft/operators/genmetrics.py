@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import WS_CLASS
+from weft.sources.tables import spread_if_narrow
 
 # Default tokenizer (letter/digit runs, single other symbols),
 # orders and weights.
@@ -75,26 +76,16 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     starts = np.array([b[0] for b in bounds], dtype=np.int64)
     for k, (a, b) in enumerate(bounds):
         seg[a:b] = k
+    line_a = np.array([b[0] for b in bounds], dtype=np.int64)
+    line_e = np.array([b[1] for b in bounds], dtype=np.int64)
     hits = 0
     for r in ref_lines:
         if not r:
             continue
-        R = [vocab.get(t, -1) for t in r]
+        R = np.array([vocab.get(t, -1) for t in r], dtype=np.int64)
         table = _lcs_rows(H, R, seg, starts)
-        union: set[int] = set()
-        for a, b in bounds:
-            if table[len(R), b - 1] == 0:
-                continue
-            i, j = len(R), b - 1
-            while i > 0 and j >= a:
-                if R[i - 1] == H[j]:
-                    union.add(i - 1)
-                    i, j = i - 1, j - 1
-                elif table[i - 1, j] >= (table[i, j - 1] if j - 1 >= a else 0):
-                    i -= 1
-                else:
-                    j -= 1
-        for jj in sorted(union):
+        marks = _backtrack_all(table, H, R, line_a, line_e)
+        for jj in np.nonzero(marks)[0]:
             tok = r[jj]
             if hyp_cnt[tok] > 0 and ref_cnt[tok] > 0:
                 hits += 1
@@ -103,6 +94,30 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     return hits, len(hyp_tok), len(ref_tok)
 
 
+def _backtrack_all(table, H, R, line_a, line_e) -> np.ndarray:
+    """Backtrack one LCS path per hypothesis line, all lines in lockstep
+    (same rule as the reference DP: on a tie move up).  Returns the reference
+    positions on any path."""
+    a = len(R)
+    marks = np.zeros(a, dtype=bool)
+    I = np.full(len(line_a), a, dtype=np.int64)
+    J = line_e - 1
+    live = table[a, J] > 0
+    I, J, A = I[live], J[live], line_a[live]
+    while len(I):
+        m = R[I - 1] == H[J]
+        marks[I[m] - 1] = True
+        up = table[I - 1, J]
+        left = np.where(J - 1 >= A, table[I, np.maximum(J - 1, 0)], 0)
+        go_up = m | (up >= left)
+        go_left = m | ~(up >= left)
+        I = I - go_up
+        J = J - go_left
+        keep = (I > 0) & (J >= A)
+        I, J, A = I[keep], J[keep], A[keep]
+    return marks
+
+
 def _lcs_rows(H, R, seg, starts):
     """LCS tables of one reference line against every hypothesis line at once:
     row i = cummax(max(prev, shifted prev + match)), reset at line starts
@@ -163,17 +178,56 @@ STATS_SCHEMA = ", ".join(
 FAMILIES = ("ngram", "lcs", "lsum", "meteor", "chrf")
 
 
+def _ngram_keys(ids: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Exact integer key per n-gram (base-``v`` digits); caller ensures v**n < 2**63."""
+    m = len(ids) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.int64)
+    k = ids[:m].astype(np.int64)
+    for j in range(1, n):
+        k = k * v + ids[j:j + m]
+    return k
+
+
+def _clipped(hk: np.ndarray, rk: np.ndarray) -> int:
+    """Sum over distinct n-grams of min(hyp count, ref count)."""
+    if len(hk) == 0 or len(rk) == 0:
+        return 0
+    uh, ch = np.unique(hk, return_counts=True)
+    ur, cr = np.unique(rk, return_counts=True)
+    _, ia, ib = np.intersect1d(uh, ur, assume_unique=True, return_indices=True)
+    return int(np.minimum(ch[ia], cr[ib]).sum())
+
+
+def _match_counts(h_items, r_items, orders) -> dict[int, int]:
+    """Clipped n-gram matches for each order; exact integer encoding when it
+    fits in 63 bits, Counter otherwise."""
+    nh = len(h_items)
+    codes, uniq = pd.factorize(pd.Series(list(h_items) + list(r_items), dtype=object))
+    v = max(len(uniq), 1)
+    hi, ri = codes[:nh].astype(np.int64), codes[nh:].astype(np.int64)
+    out = {}
+    for n in orders:
+        if v ** n < (1 << 63):
+            out[n] = _clipped(_ngram_keys(hi, n, v), _ngram_keys(ri, n, v))
+        else:
+            hc, rc = _ngrams(list(h_items), n), _ngrams(list(r_items), n)
+            out[n] = sum(min(c, rc[g]) for g, c in hc.items())
+    return out
+
+
 def _pair_stats(ht, rt, hs, rs, fam=FAMILIES) -> dict:
     out = {k.split()[0]: 0 for k in STATS_SCHEMA.split(", ")}
     out["meteor"] = 0.0
+    m = _match_counts(ht, rt, range(1, BLEU_ORDER + 1)) if len(ht) and len(rt) else {}
     for n in range(1, BLEU_ORDER + 1):
-        hc, rc = _ngrams(ht, n), _ngrams(rt, n)
-        out[f"bleu_m{n}"] = sum(min(c, rc[g]) for g, c in hc.items())
+        out[f"bleu_m{n}"] = m.get(n, 0)
         out[f"bleu_t{n}"] = max(len(ht) - n + 1, 0)
     out["hyp_len"], out["ref_len"] = len(ht), len(rt)
     out["r1_o"], out["r1_h"], out["r1_r"] = out["bleu_m1"], len(ht), len(rt)
     out["r2_o"] = out["bleu_m2"]
     out["r2_h"], out["r2_r"] = max(len(ht) - 1, 0), max(len(rt) - 1, 0)
+    ht, rt = list(ht), list(rt)
     if "lcs" in fam:
         out["lcs"] = _lcs_tokens(ht, rt)
     if "lsum" in fam:
@@ -186,12 +240,12 @@ def _pair_stats(ht, rt, hs, rs, fam=FAMILIES) -> dict:
     if "chrf" not in fam:
         return out
     hc_chars, rc_chars = "".join(hs.split()), "".join(rs.split())
+    cm = _match_counts(hc_chars, rc_chars, range(1, CHRF_ORDER + 1)) \
+        if hc_chars and rc_chars else {}
     for n in range(1, CHRF_ORDER + 1):
-        hc = Counter(hc_chars[i:i + n] for i in range(len(hc_chars) - n + 1))
-        rc = Counter(rc_chars[i:i + n] for i in range(len(rc_chars) - n + 1))
-        out[f"chrf_h{n}"] = sum(hc.values())
-        out[f"chrf_r{n}"] = sum(rc.values())
-        out[f"chrf_m{n}"] = sum(min(c, rc[g]) for g, c in hc.items())
+        out[f"chrf_h{n}"] = max(len(hc_chars) - n + 1, 0)
+        out[f"chrf_r{n}"] = max(len(rc_chars) - n + 1, 0)
+        out[f"chrf_m{n}"] = cm.get(n, 0)
     return out
 
 
@@ -206,7 +260,7 @@ except ImportError:  # pragma: no cover
 def _stats_udf(fam: tuple[str, ...]):
     @F.pandas_udf(STATS_SCHEMA)
     def pair_stats_udf(ht: pd.Series, rt: pd.Series, hs: pd.Series, rs: pd.Series) -> pd.DataFrame:
-        rows = [_pair_stats(list(a), list(b), c, d, fam) for a, b, c, d in zip(ht, rt, hs, rs)]
+        rows = [_pair_stats(a, b, c, d, fam) for a, b, c, d in zip(ht, rt, hs, rs)]
         return pd.DataFrame(rows, columns=[k.split()[0] for k in STATS_SCHEMA.split(", ")])
     return pair_stats_udf
 
@@ -218,6 +272,7 @@ def pair_stats(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref",
     h = F.coalesce(F.col(hyp), F.lit(""))
     r = F.coalesce(F.col(ref), F.lit(""))
     udf = _stats_udf(tuple(families))
+    pairs = spread_if_narrow(pairs, factor=8)   # CPU-bound per pair: use every core
     return pairs.withColumn("_st", udf(tokens(h), tokens(r), h, r)).select("*", "_st.*") \
                 .drop("_st")
 

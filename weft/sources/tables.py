@@ -26,12 +26,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to 2x default parallelism when the plan has
-    fewer partitions than cores (planning only; no job runs)."""
+def spread_if_narrow(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition to ``factor`` x default parallelism when the
+    plan has fewer partitions than that (planning only; no job runs).
+
+    Used in front of CPU-heavy Python stages: their input is small in bytes,
+    so size-based planning (file splits, AQE coalescing, broadcast joins that
+    keep the stream side's few partitions) would give them a handful of
+    tasks.  An explicit partition count is not coalesced by AQE.  On large
+    inputs the plan already has more partitions and nothing is added."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(2 * par)
+    if df.rdd.getNumPartitions() < factor * par:
+        return df.repartition(factor * par)
     return df
 
 
