@@ -74,3 +74,15 @@ def test_usage_report_total_row(spark):
     got = {r.category: r for r in jobs.usage_report(calls).collect()}
     assert got["TOTAL"].api_calls == 1 and got["TOTAL"].cached_calls == 1
     assert got["x"].cost_usd == round(10 / 1e6 * 5 + 5 / 1e6 * 15, 4)
+
+
+def test_translate_dataset_resume_and_merge(spark):
+    entries = spark.createDataFrame([(1, ["hi", "yo"]), (2, ["bad"]), (3, ["x"])], "id long, turns array<string>")
+    done = spark.createDataFrame([(3, ["[th] x"], "ok")], "id long, turns array<string>, status string")
+    resp = spark.createDataFrame([(1, "turns", 0, None, " [th] hi "), (1, "turns", 1, "Error code: 500", None),
+                                  (2, "turns", 0, "content_filter hit", None)],
+                                 "id long, field string, pos int, error string, content string")
+    out, audit = jobs.translate_dataset(entries, "id", ["turns"], resp, done)
+    got = {r.id: r for r in out.collect()}
+    assert set(got) == {1, 3} and got[1].status == "failed" and got[1].turns == ["[th] hi", "yo"]
+    assert [r.id for r in audit.collect()] == [2]

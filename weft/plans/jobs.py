@@ -75,13 +75,16 @@ def deduplicate(df: DataFrame, key: str, order_col: str, threshold: int = 95) ->
 
 def translate_dataset(entries: DataFrame, id_col: str, fields: list[str], responses: DataFrame,
                       done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """K5: resume (anti-join with done ids) -> units -> response join ->
-    status -> re-assembled output (skipped entries go to the audit side)."""
+    """K5: resume (J1 anti-join with done ids) -> units -> response join ->
+    status -> re-assembled entries; U5 merges the earlier output with the new
+    rows (by name).  Returns (output, audit of skipped entries)."""
     todo = entries.join(done.select(id_col), id_col, "left_anti") if done is not None else entries
     units = translate.explode_units(todo, id_col, fields)
     out = translate.apply_responses(units, responses, [id_col, "field", "pos"])
     assembled = translate.assemble(out, id_col, fields)
-    return assembled.where(F.col("status") != "skipped"), assembled.where(F.col("status") == "skipped")
+    new = assembled.where(F.col("status") != "skipped")
+    merged = done.unionByName(new, allowMissingColumns=True) if done is not None else new
+    return merged, assembled.where(F.col("status") == "skipped")
 
 
 def score_multiple_choice(preds: DataFrame, golds: DataFrame) -> tuple[DataFrame, DataFrame]:
