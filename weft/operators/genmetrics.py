@@ -57,9 +57,17 @@ def _lcs_tokens(a, b) -> int:
     return len(b) - v.bit_count()
 
 
+LSUM_CHUNK = 20_000_000     # max table cells per batch of reference lines
+
+
 def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     """ROUGE-Lsum: for every reference line, the union of its LCS token hits
-    over all hypothesis lines; counts are clipped by token frequency."""
+    over all hypothesis lines; counts are clipped by token frequency.
+
+    All distinct reference lines are processed together: one DP table per
+    line, stacked, each row a cumulative max reset at hypothesis line starts;
+    then every (reference line, hypothesis line) path is backtracked in
+    lockstep with the reference DP's tie rule (move up on ties)."""
     hyp_tok = [t for line in hyp_lines for t in line]
     ref_tok = [t for line in ref_lines for t in line]
     if not hyp_tok or not ref_tok:
@@ -72,20 +80,39 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
         if line:
             bounds.append((s0, s0 + len(line)))
         s0 += len(line)
-    seg = np.zeros(len(H), dtype=np.int64)
-    starts = np.array([b[0] for b in bounds], dtype=np.int64)
+    n = len(H)
+    seg = np.zeros(n, dtype=np.int64)
     for k, (a, b) in enumerate(bounds):
         seg[a:b] = k
+    starts = np.array([b[0] for b in bounds], dtype=np.int64)
     line_a = np.array([b[0] for b in bounds], dtype=np.int64)
     line_e = np.array([b[1] for b in bounds], dtype=np.int64)
+    marks_of: dict[tuple, np.ndarray] = {}
+    todo = []
+    for r in ref_lines:
+        key = tuple(r)
+        if not r or key in marks_of:
+            continue
+        R = np.array([vocab.get(t, -1) for t in r], dtype=np.int64)
+        marks_of[key] = np.zeros(len(r), dtype=bool)
+        if not (R < 0).all():
+            todo.append((key, R))
+    g0 = 0
+    while g0 < len(todo):
+        g1, cells = g0, 0
+        while g1 < len(todo) and (g1 == g0 or cells + (len(todo[g1][1]) + 1) * n <= LSUM_CHUNK):
+            cells += (len(todo[g1][1]) + 1) * n
+            g1 += 1
+        batch = todo[g0:g1]
+        for (key, _), mk in zip(batch, _lsum_marks([x[1] for x in batch], H, starts, seg,
+                                                   line_a, line_e)):
+            marks_of[key] = mk
+        g0 = g1
     hits = 0
     for r in ref_lines:
         if not r:
             continue
-        R = np.array([vocab.get(t, -1) for t in r], dtype=np.int64)
-        table = _lcs_rows(H, R, seg, starts)
-        marks = _backtrack_all(table, H, R, line_a, line_e)
-        for jj in np.nonzero(marks)[0]:
+        for jj in np.nonzero(marks_of[tuple(r)])[0]:
             tok = r[jj]
             if hyp_cnt[tok] > 0 and ref_cnt[tok] > 0:
                 hits += 1
@@ -94,49 +121,45 @@ def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
     return hits, len(hyp_tok), len(ref_tok)
 
 
-def _backtrack_all(table, H, R, line_a, line_e) -> np.ndarray:
-    """Backtrack one LCS path per hypothesis line, all lines in lockstep
-    (same rule as the reference DP: on a tie move up).  Returns the reference
-    positions on any path."""
-    a = len(R)
-    marks = np.zeros(a, dtype=bool)
-    I = np.full(len(line_a), a, dtype=np.int64)
-    J = line_e - 1
-    live = table[a, J] > 0
-    I, J, A = I[live], J[live], line_a[live]
+def _lsum_marks(Rs, H, starts, seg, line_a, line_e) -> list[np.ndarray]:
+    """Stacked DP + lockstep backtrack for a batch of reference lines."""
+    G, n = len(Rs), len(H)
+    a_len = np.array([len(R) for R in Rs], dtype=np.int64)
+    A_max = int(a_len.max())
+    Rmat = np.full((G, A_max), -2, dtype=np.int64)
+    for g, R in enumerate(Rs):
+        Rmat[g, :len(R)] = R
+    off = (seg * (A_max + 1))[None, :]
+    table = np.zeros((G, A_max + 1, n), dtype=np.int32)
+    prev = np.zeros((G, n), dtype=np.int64)
+    for k in range(A_max):
+        diag = np.zeros((G, n), dtype=np.int64)
+        diag[:, 1:] = prev[:, :-1]
+        diag[:, starts] = 0
+        cand = np.maximum(prev, diag + (H[None, :] == Rmat[:, k][:, None]))
+        cur = np.maximum.accumulate(cand + off, axis=1) - off
+        table[:, k + 1] = cur
+        prev = cur
+    L = len(line_a)
+    gi = np.repeat(np.arange(G), L)
+    I = a_len[gi]
+    J = np.tile(line_e - 1, G)
+    A = np.tile(line_a, G)
+    live = table[gi, I, J] > 0
+    gi, I, J, A = gi[live], I[live], J[live], A[live]
+    marks = np.zeros((G, A_max), dtype=bool)
     while len(I):
-        m = R[I - 1] == H[J]
-        marks[I[m] - 1] = True
-        up = table[I - 1, J]
-        left = np.where(J - 1 >= A, table[I, np.maximum(J - 1, 0)], 0)
+        m = Rmat[gi, I - 1] == H[J]
+        marks[gi[m], I[m] - 1] = True
+        up = table[gi, I - 1, J]
+        left = np.where(J - 1 >= A, table[gi, I, np.maximum(J - 1, 0)], 0)
         go_up = m | (up >= left)
         go_left = m | ~(up >= left)
         I = I - go_up
         J = J - go_left
         keep = (I > 0) & (J >= A)
-        I, J, A = I[keep], J[keep], A[keep]
-    return marks
-
-
-def _lcs_rows(H, R, seg, starts):
-    """LCS tables of one reference line against every hypothesis line at once:
-    row i = cummax(max(prev, shifted prev + match)), reset at line starts
-    (a per-line offset keeps the cumulative max inside each line)."""
-    n = len(H)
-    big = len(R) + 1
-    off = seg * big
-    table = np.zeros((len(R) + 1, n), dtype=np.int64)
-    prev = table[0]
-    for i, tok in enumerate(R):
-        diag = np.empty(n, dtype=np.int64)
-        diag[0] = 0
-        diag[1:] = prev[:-1]
-        diag[starts] = 0
-        cand = np.maximum(prev, diag + (H == tok))
-        cur = np.maximum.accumulate(cand + off) - off
-        table[i + 1] = cur
-        prev = cur
-    return table
+        gi, I, J, A = gi[keep], I[keep], J[keep], A[keep]
+    return [marks[g, :a_len[g]] for g in range(G)]
 
 
 def _meteor(h, r) -> float:

@@ -22,12 +22,20 @@ def stage_json(df: DataFrame, name: str, n_files: int = 4) -> str:
     return path
 
 
+def _read(spark: SparkSession, src: str, schema: str, max_files: int | None) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.json(src)
+
+
 def validate_append(spark: SparkSession, src: str, schema: str, reason_fn,
-                    out: str | None = None, ckpt: str | None = None) -> DataFrame:
+                    out: str | None = None, ckpt: str | None = None,
+                    max_files: int | None = None) -> DataFrame:
     """Validate each new file's rows and append them with their reason."""
     out = out or scratch_path(spark, "t1-out")
     ckpt = ckpt or scratch_path(spark, "t1-ckpt")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    s = _read(spark, src, schema, max_files)
     q = (reason_fn(s).writeStream.format("parquet").option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start(out))
     q.awaitTermination()
@@ -35,12 +43,13 @@ def validate_append(spark: SparkSession, src: str, schema: str, reason_fn,
 
 
 def running_totals(spark: SparkSession, src: str, schema: str, by: str, aggs: list,
-                   out: str | None = None, ckpt: str | None = None) -> DataFrame:
+                   out: str | None = None, ckpt: str | None = None,
+                   max_files: int | None = None) -> DataFrame:
     """Running totals per group, updated after every micro-batch
     (complete mode; the state holds one row per group)."""
     out = out or scratch_path(spark, "t2-out")
     ckpt = ckpt or scratch_path(spark, "t2-ckpt")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    s = _read(spark, src, schema, max_files)
     totals = s.groupBy(by).agg(*aggs)
 
     def publish(batch: DataFrame, epoch: int) -> None:
@@ -53,12 +62,12 @@ def running_totals(spark: SparkSession, src: str, schema: str, by: str, aggs: li
 
 def dedup_within_ttl(spark: SparkSession, src: str, schema: str, key: str, ts: str,
                      ttl: str = "30 days", out: str | None = None,
-                     ckpt: str | None = None) -> DataFrame:
+                     ckpt: str | None = None, max_files: int | None = None) -> DataFrame:
     """Drop requests whose key was already seen; state is bounded by the
     watermark (the cache TTL), not by the history."""
     out = out or scratch_path(spark, "t3-out")
     ckpt = ckpt or scratch_path(spark, "t3-ckpt")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    s = _read(spark, src, schema, max_files)
     d = s.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
     q = (d.writeStream.format("parquet").option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start(out))
