@@ -47,3 +47,25 @@ def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str
     return (ranged.join(offsets.select("_pid", *g, "_off", "_base"), ["_pid", *g])
                   .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_base") + 1)
                   .drop("_pid", "_mid", "_off", "_base"))
+
+
+def cumulative_sum(df: DataFrame, order_cols: list[str], value_col: str, out: str = "cum",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Running total of ``value_col`` in ``order_cols`` order, without a
+    single-partition window: range partitions (checkpointed so the bounds are
+    fixed), a local running sum inside each partition, plus the partition's
+    offset from a table with one row per partition."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *order_cols)
+                .withColumn("_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
+    local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (ranged.withColumn("_local", F.sum(value_col).over(local))
+                  .join(offsets.select("_pid", "_off"), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_local"))
+                  .drop("_pid", "_local", "_off"))

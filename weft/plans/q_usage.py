@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import usage
-from weft.operators.ordering import row_number_within
+from weft.operators.ordering import cumulative_sum, row_number_within
 from weft.plans import bindings
 from weft.plans.registry import query
 from weft.plans.sqlparts import CALLS, MODELS_ARR
@@ -53,19 +53,18 @@ FROM b, t
 def progress(spark, sf):
     """Cumulative share of requested rows completed after each batch.
 
-    Row numbers come from the range-partitioned helper; the running sum is a
-    window over the per-batch aggregate (one row per batch)."""
+    Row numbers and the running sum both come from range-partitioned helpers
+    (no single-partition window, even over the per-batch aggregate)."""
     ev = read_table(spark, sf, "events", ["event_id", "event_type"])
     numbered = row_number_within(ev, [], ["event_id"], out="rn")
     b = (numbered.groupBy(F.floor((F.col("rn") - 1) / PROGRESS_BATCH).cast("bigint")
                           .alias("batch_id"))
                  .agg(F.count(F.lit(1)).alias("n"),
                       F.count_if(F.col("event_type") != "error").alias("n_ok")))
-    from pyspark.sql import Window
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    tot = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return b.select("batch_id", "n", "n_ok", F.sum("n_ok").over(w).cast("bigint").alias("cum_ok"),
-                    F.round(F.sum("n_ok").over(w) * 100.0 / tot, 6).alias("pct_done"))
+    total = ev.count()   # one scalar: rows requested
+    c = cumulative_sum(b, ["batch_id"], "n_ok", out="cum_ok")
+    return c.select("batch_id", "n", "n_ok", F.col("cum_ok").cast("bigint").alias("cum_ok"),
+                    F.round(F.col("cum_ok") * 100.0 / F.lit(total), 6).alias("pct_done"))
 
 
 def _requests(spark, sf):
