@@ -74,7 +74,7 @@ def lcs_length(a: str, b: str) -> int:
     return m - v.bit_count()
 
 
-QGRAM = 4
+QGRAM = 6
 
 
 def shared_qgrams(a: str, b: str, q: int = QGRAM) -> int:
@@ -90,18 +90,40 @@ def shared_qgrams(a: str, b: str, q: int = QGRAM) -> int:
     return int(np.minimum(ca[ia], cb[ib]).sum())
 
 
+def lcs_at_least(a: str, b: str, need: int) -> int:
+    """Bit-parallel LCS that stops early (checked every 256 characters) once
+    even matching every remaining character could not reach ``need``;
+    returns the LCS, or -1 after an early stop."""
+    if len(a) < len(b):
+        a, b = b, a
+    m, n = len(b), len(a)
+    if m == 0:
+        return 0
+    masks: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        masks[ch] = masks.get(ch, 0) | (1 << j)
+    full = (1 << m) - 1
+    v = full
+    for i, ch in enumerate(a, 1):
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+        if not i & 255 and (m - v.bit_count()) + (n - i) < need:
+            return -1
+    return m - v.bit_count()
+
+
 def lcs_if_possible(a: str, b: str, t: int) -> int:
     """LCS when the pair can still reach ratio ``t``, else -1.
 
     Count filter (lossless): with indel distance D, a and b share at least
     ``max(|a|,|b|) - q + 1 - q*D`` q-grams; D is at most
-    ``floor((100-t)(|a|+|b|)/100)``."""
+    ``floor((100-t)(|a|+|b|)/100)``.  Survivors run the early-stopping LCS."""
     la, lb = len(a), len(b)
     d_max = (100 - t) * (la + lb) // 100
-    need = max(la, lb) - QGRAM + 1 - QGRAM * d_max
-    if need > 0 and shared_qgrams(a, b) < need:
+    need_q = max(la, lb) - QGRAM + 1 - QGRAM * d_max
+    if need_q > 0 and shared_qgrams(a, b) < need_q:
         return -1
-    return lcs_length(a, b)
+    return lcs_at_least(a, b, -((-t * (la + lb)) // 200))
 
 
 def _lcs_udf(t: int = 95):
@@ -192,6 +214,24 @@ def _windows_udf():
     return wins
 
 
+def _needed_widths_udf(t: int, m: int):
+    """Exact set of segment widths used by any admissible shorter partner
+    length of a string (so windows of no other width are emitted)."""
+    @F.pandas_udf("array<long>")
+    def widths(L: pd.Series) -> pd.Series:
+        out = []
+        for lr in L.astype("int64"):
+            lmin = -((-lr * t) // (200 - t))                     # ceil(lr t / (200 - t))
+            ls = np.arange(lmin, lr + 1, dtype=np.int64)
+            k = ((100 - t) * (ls + (ls * (200 - t)) // t)) // 100
+            n = k + m
+            w0 = ls // n
+            ws = np.unique(np.concatenate([w0, (w0 + 1)[ls % n != 0]]))
+            out.append(ws[ws <= lr])
+        return pd.Series(out)
+    return widths
+
+
 def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
                     threshold: int = 95, min_shared: int = 6) -> DataFrame:
     """Candidate pairs for ``similar_pairs`` (lossless blocking, see there).
@@ -214,11 +254,7 @@ def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
     seg = (seg.withColumn("_w", (w0 + F.when(F.col("_i") >= short_n, 1).otherwise(0)).cast("bigint"))
               .withColumn("_p", (F.col("_i") * w0 + F.greatest(F.lit(0), F.col("_i") - short_n))
                           .cast("bigint")))
-    lmin = _min_partner_len(F.col("_L"), t)
-    w_lo = F.floor(lmin / (_k_budget(F.col("_L"), t) + m)).cast("bigint")
-    w_hi = F.ceil(F.col("_L") / (_k_budget(lmin, t) + m)).cast("bigint")
-    probe = (base.withColumn("_w", F.explode(F.sequence(w_lo, w_hi)))
-                 .where(F.col("_w") <= F.col("_L"))
+    probe = (base.withColumn("_w", F.explode(_needed_widths_udf(t, m)(F.col("_L"))))
                  .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
                          F.posexplode(_windows_udf()(F.col("_s"), F.col("_w"))).alias("_q", "_h")))
     # both sides grow with the text: shuffle join, never an estimate-based broadcast
