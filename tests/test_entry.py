@@ -42,6 +42,10 @@ def test_every_oracle_is_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
@@ -51,4 +55,7 @@ def test_query_matches_oracle(spark, con, name):
         return
     rel = con.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
+    duck = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    for f in df.schema.fields:                      # same types, not only same names
+        assert TYPES.get(f.dataType.simpleString()) == duck[f.name], (f.name, f.dataType, duck[f.name])
     assert _rows(df.columns, rows) == _rows(rel.columns, rel.fetchall())

@@ -12,6 +12,30 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT where Spark's returns bigint:
+    wrap every call in ``CAST(... AS BIGINT)`` (values are unchanged)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(" + bigint_counts(sql[j:k + 1].replace(key, "\0", 1)).replace("\0", key, 1)
+                   + " AS BIGINT)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
@@ -24,6 +48,6 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql.strip()
+            ORACLES[name] = bigint_counts(sql.strip())
         return fn
     return deco
