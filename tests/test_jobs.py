@@ -1,7 +1,6 @@
 """Composite jobs (K1, K2, K4, K7, K8, K9, K11) on small literal tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from weft.plans import jobs
 

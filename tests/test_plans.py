@@ -1,6 +1,5 @@
 """Physical-plan properties the README claims (planning only, no data jobs)."""
 
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from weft.operators import dedup

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import jsonx, mcq
-from weft.functions.text import after_think, category_match_key, normalize_category, question_id
+from weft.functions.text import after_think, normalize_category, question_id
 from weft.operators import classify, dedup, genmetrics, quota, translate, usage, validate
 from weft.operators.ordering import row_number_within
 
@@ -123,5 +123,4 @@ def usage_report(calls: DataFrame) -> DataFrame:
 
 
 __all__ = ["plan_generation", "ingest_responses", "deduplicate", "translate_dataset",
-           "score_multiple_choice", "score_judged", "score_summaries", "usage_report",
-           "category_match_key"]
+           "score_multiple_choice", "score_judged", "score_summaries", "usage_report"]

@@ -7,7 +7,7 @@ from weft.operators import genmetrics as G
 from weft.plans import bindings
 from weft.plans.registry import query
 
-TOK = G.TOKEN_RE.replace("\\", "\\\\") if False else G.TOKEN_RE
+TOK = G.TOKEN_RE
 
 _PAIRS = f"""
 p AS (SELECT h.doc_id // 2 AS pair_id, h.lang, coalesce(h.text, '') AS hyp, coalesce(r.text, '') AS ref

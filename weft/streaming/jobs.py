@@ -10,7 +10,6 @@ checkpoint); the complete-mode roll-up is written per micro-batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weft.session import scratch_path
 
