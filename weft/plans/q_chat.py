@@ -130,3 +130,40 @@ def chat_variants(spark, sf):
                         F.md5(chat.render_messages(c)).alias("completion_md5"),
                         F.length(c[0]["content"]).cast("bigint").alias("completion_chars"))
     return shape("instruction", p1, c1).unionByName(shape("reasoning", p2, c2))
+
+
+SFT_MAX_LEN = 512
+SFT_SEED = 42
+
+
+def _sft_sql() -> str:
+    from weft.operators.genmetrics import TOKEN_RE
+    base = _chatml_sql("generated")
+    head = base[:base.rindex("SELECT conv_id, CAST(n AS BIGINT) AS n")]
+    return head + f"""
+SELECT conv_id, CAST(n AS BIGINT) AS n,
+  CAST(len(regexp_extract_all(prompt || completion || '<|im_end|>' || {NL}, '{TOKEN_RE}')) AS BIGINT) AS n_tokens,
+  CAST(least(len(regexp_extract_all(prompt || completion || '<|im_end|>' || {NL}, '{TOKEN_RE}')), {SFT_MAX_LEN}) AS BIGINT) AS n_kept,
+  len(regexp_extract_all(prompt || completion || '<|im_end|>' || {NL}, '{TOKEN_RE}')) > {SFT_MAX_LEN} AS truncated,
+  CASE WHEN ('0x' || substr(md5('{SFT_SEED}:' || CAST(conv_id AS VARCHAR) || ':' || CAST(n AS VARCHAR)), 1, 8))::BIGINT % 100 < 50
+       THEN 'train' ELSE 'test' END AS split
+FROM p"""
+
+
+@query("sft_examples", sql=_sft_sql())
+def sft_examples(spark, sf):
+    """K6: F5/F6 guards -> P14/P15 multi-turn ChatML examples -> P31 token
+    length and truncation to 512 -> O5 seeded split of the examples."""
+    from weft.operators import tokens as TK
+    d = bindings.drills(spark, sf)
+    d = d.where((F.size("reference") > 0) & (F.size("turns") == F.size("reference")))
+    x = d.select("conv_id", "turns", "reference", F.posexplode("turns").alias("n", "_t"))
+    text = F.concat(chat.chatml_prompt("turns", "reference", F.col("n"), variant="generated"),
+                    F.element_at("reference", F.col("n") + 1), F.lit("<|im_end|>\n"))
+    ex = x.select("conv_id", F.col("n").cast("bigint").alias("n"), text.alias("text"))
+    t = TK.truncate_pad(ex, "text", SFT_MAX_LEN)
+    key = F.concat(F.lit(f"{SFT_SEED}:"), F.col("conv_id").cast("string"), F.lit(":"),
+                   F.col("n").cast("string"))
+    bucket = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(100))
+    return t.select("conv_id", "n", "n_tokens", "n_kept", "truncated",
+                    F.when(bucket < 50, "train").otherwise("test").alias("split"))
