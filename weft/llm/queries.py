@@ -41,3 +41,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.token_counts import count_tokens
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return count_tokens(docs, tokenizer_path(WORD_BPE), limit=2048)
+
+
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.token_files import read_token_files, write_token_files
+    from weft.session import scratch_path
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = scratch_path(spark, "token-files")
+    write_token_files(docs, tokenizer_path(WORD_BPE), path, end_id=1)
+    return read_token_files(spark, path, with_ids=False)
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.sp_codec import digest
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return digest(docs, tokenizer_path(PIECE_BPE))
