@@ -58,3 +58,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.sp_codec import digest
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return digest(docs, tokenizer_path(PIECE_BPE))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.fingerprints import fingerprint
+    return fingerprint(table(spark, sf_dir, "documents", "doc_id", "text"), samples=24)
