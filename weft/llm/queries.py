@@ -64,3 +64,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.fingerprints import fingerprint
     return fingerprint(table(spark, sf_dir, "documents", "doc_id", "text"), samples=24)
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.line_dedup import line_dedup
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup(docs, divisor=3, min_words=25, removed_col="removed_lines")
