@@ -71,3 +71,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.line_dedup import line_dedup
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup(docs, divisor=3, min_words=25, removed_col="removed_lines")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.toxicity import held_out, score, train
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
