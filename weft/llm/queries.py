@@ -79,3 +79,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import pii
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.digest(pii.find(docs, pii.train(docs)))
