@@ -86,3 +86,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm import pii
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.jaccard_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=80)
