@@ -92,3 +92,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.jaccard_join import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=80)
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0, top=20)
