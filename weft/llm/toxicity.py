@@ -34,6 +34,8 @@ from weft.session import scratch_path
 BITS, SIZES = 20, (5, 6, 7)
 #: Bytes up to the space become the space.
 _PLAIN = np.maximum(np.arange(256), 0x20).astype(np.uint8)
+#: Bytes of text whose n-grams are held in memory together.
+_SLICE = 1 << 20
 #: Spread of the sample's rows over tasks; its size is bounded, so this is too.
 _SAMPLE_TASKS = 4
 
@@ -157,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
         n = [0, 0]
         for batch in batches:
             texts, ys = wb.text_array(batch.column(1)), np.asarray(batch.column(0))
-            for a, m in wb.slices(texts):
+            for a, m in wb.slices(texts, _SLICE):
                 doc, f = distinct_features(texts.slice(a, m))
                 for y in (0, 1):
                     seen[y] += np.bincount(f[ys[a:a + m][doc] == y], minlength=1 << BITS).astype(np.int32)
@@ -184,14 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
     chosen = chosen[clear[chosen] > 2.0]
     if not len(chosen):
         return empty
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def fit(batches):
         rows = []
         for batch in batches:
             texts, ys = wb.text_array(batch.column(1)), np.asarray(batch.column(0))
-            for a, m in wb.slices(texts):
+            for a, m in wb.slices(texts, _SLICE):
                 doc, f = distinct_features(texts.slice(a, m), place >= 0)
                 cuts = np.searchsorted(doc, np.arange(m + 1))
                 rows += [(int(ys[a + i]), place[f[cuts[i]:cuts[i + 1]]]) for i in range(m)]
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             texts = wb.text_array(batch.column(at))
             out = []
-            for a, n in wb.slices(texts):
+            for a, n in wb.slices(texts, _SLICE):
                 doc, f = distinct_features(texts.slice(a, n), keep)
                 z = np.bincount(doc, weights[f], minlength=n) + bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
