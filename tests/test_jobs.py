@@ -84,4 +84,31 @@ def test_translate_dataset_resume_and_merge(spark):
     out, audit = jobs.translate_dataset(entries, "id", ["turns"], resp, done)
     got = {r.id: r for r in out.collect()}
     assert set(got) == {1, 3} and got[1].status == "failed" and got[1].turns == ["[th] hi", "yo"]
-    assert [r.id for r in audit.collect()] == [2]
+    assert sorted((r.id, r.status) for r in audit.collect()) == [(1, "failed"), (2, "skipped")]
+
+
+def test_translate_dataset_keeps_rows_and_columns(spark):
+    """Pending units, entries without units, scalar, map and nested fields."""
+    rows = [(1, "q one", {"a": "x", "b": "y"}, ("a", "why"), "keep"), (2, "q two", {}, None, "me"), (3, "q three", None, ("b", None), "too")]
+    entries = spark.createDataFrame(rows, "id long, question string, choices map<string,string>, "
+                                          "answer struct<label:string,explanation:string>, note string")
+    resp = spark.createDataFrame([(1, "question", 0, None, "Q1"), (1, "choices", 0, None, "X"), (1, "choices", 1, None, "Y"),
+                                  (1, "answer.explanation", 0, None, "WHY"), (2, "question", 0, None, "Q2")],
+                                 "id long, field string, pos int, error string, content string")
+    fields = ["question", "choices", "answer.explanation"]
+    out, audit = jobs.translate_dataset(entries, "id", fields, resp)
+    got = {r.id: r for r in out.collect()}
+    assert set(got) == {1, 2} and got[1].note == "keep" and got[2].choices == {} and got[2].answer is None
+    assert (got[1].question, got[1].choices, got[1].answer.label, got[1].answer.explanation) == ("Q1", {"a": "X", "b": "Y"}, "a", "WHY")
+    assert [(r.id, r.status, r.n_translated) for r in audit.collect()] == [(3, "pending", 0)]
+    empty = spark.createDataFrame([(9, [], "n")], "id long, turns array<string>, note string")
+    none = spark.createDataFrame([], "id long, field string, pos int, error string, content string")
+    out, _ = jobs.translate_dataset(empty, "id", ["turns"], none)
+    assert [(r.id, r.status, r.note, r.n_units) for r in out.collect()] == [(9, "ok", "n", 0)]
+
+
+def test_short_texts_and_smoothing(spark):
+    score = lambda h, r: jobs.score_summaries(spark.createDataFrame([(h, r)], "hyp string, ref string")).first()
+    assert score("a b c d e", "a b c x e").sacrebleu == pytest.approx(42.728701, abs=1e-5)
+    assert score("a b", "a b").sacrebleu == 0.0 and score("a b", "a b").bleu == 0.0
+    assert score("The Cat", "the cat").meteor == pytest.approx(100 * (1 - 0.5 * (1 / 2) ** 3))

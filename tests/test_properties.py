@@ -33,8 +33,8 @@ def test_explode_assemble_identity(spark, rows):
                         F.col("text").alias("content"))
     out = translate.apply_responses(units, resp, ["id", "field", "pos"]) \
                    .withColumn("out_text", F.col("text"))
-    got = {r.id: r.turns for r in translate.assemble(out, "id", ["turns"]).collect()}
-    assert got == {i: r for i, r in enumerate(rows) if r}
+    got = {r.id: r.turns for r in translate.assemble(df, out, "id", ["turns"]).collect()}
+    assert got == dict(enumerate(rows))
 
 
 @SETTINGS

@@ -119,11 +119,13 @@ def is_rate_limited(err) -> Column:
 
 
 def suggested_wait(err, attempt) -> Column:
-    """``retry after (\\d+)`` else 35, then ``min(max(s, 2^attempt), 120)``."""
+    """Of a rate limit ``retry after (\\d+)`` else 35, then
+    ``min(max(s, 2^attempt), 120)``; of any other error ``2^attempt``."""
     s = F.regexp_extract(F.lower(F.coalesce(_c(err), F.lit(""))), r"retry after (\d+)", 1)
     secs = F.when(s == "", F.lit(DEFAULT_RETRY_WAIT)).otherwise(s.cast("bigint"))
     backoff = F.pow(F.lit(2), _c(attempt)).cast("bigint")
-    return F.least(F.greatest(secs, backoff), F.lit(MAX_RETRY_WAIT)).cast("bigint")
+    limited = F.least(F.greatest(secs, backoff), F.lit(MAX_RETRY_WAIT))
+    return F.when(is_rate_limited(err), limited).otherwise(backoff).cast("bigint")
 
 
 def excerpt(t, n: int = 100) -> Column:

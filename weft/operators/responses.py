@@ -12,10 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def respond_from_table(requests: DataFrame, responses: DataFrame, key: str = "key") -> DataFrame:
-    """Left join with the response table (one row per key); ``hit`` flag."""
-    return (requests.join(responses.dropDuplicates([key]), key, "left")
-                    .withColumn("hit", F.col("response").isNotNull()))
+def last_response(responses: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """One response per key: the last written by ``order_col`` (ties, and tables
+    without it: the greatest row, so that a rerun picks the same one)."""
+    rest = [c for c in responses.columns if c not in keys]
+    order = [order_col] if order_col else []
+    whole = F.struct(*order, *[c for c in rest if c not in order])
+    return responses.groupBy(*keys).agg(F.max(whole).alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in rest])
+
+
+def respond_from_table(requests: DataFrame, responses: DataFrame, key: str = "key",
+                       order_col: str | None = None) -> DataFrame:
+    """Left join with the response table; ``hit``: the key is stored, even
+    with a null response."""
+    order_col = order_col or ("timestamp" if "timestamp" in responses.columns else None)
+    stored = last_response(responses, [key], order_col).withColumn("hit", F.lit(True))
+    return requests.join(stored, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def respond_with(requests: DataFrame, fn: Callable[[list[str]], list[str]],

@@ -77,14 +77,17 @@ def translate_dataset(entries: DataFrame, id_col: str, fields: list[str], respon
                       done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K5: resume (J1 anti-join with done ids) -> units -> response join ->
     status -> re-assembled entries; U5 merges the earlier output with the new
-    rows (by name).  Returns (output, audit of skipped entries)."""
+    rows (by name).  Returns (output, audit).  The output has the entries that
+    are ok or failed (a failed one keeps its original texts where the call
+    failed); entries with pending units are not in it, so the next run takes
+    them up again.  The audit has every entry that is not ok."""
     todo = entries.join(done.select(id_col), id_col, "left_anti") if done is not None else entries
     units = translate.explode_units(todo, id_col, fields)
     out = translate.apply_responses(units, responses, [id_col, "field", "pos"])
-    assembled = translate.assemble(out, id_col, fields)
-    new = assembled.where(F.col("status") != "skipped")
+    assembled = translate.assemble(todo, out, id_col, fields)
+    new = assembled.where(F.col("status").isin("ok", "failed"))
     merged = done.unionByName(new, allowMissingColumns=True) if done is not None else new
-    return merged, assembled.where(F.col("status") == "skipped")
+    return merged, assembled.where(F.col("status") != "ok")
 
 
 def score_multiple_choice(preds: DataFrame, golds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -66,10 +66,10 @@ e AS (SELECT conv_id,
         CASE WHEN max(CASE WHEN unit_status = 'skipped' THEN 1 ELSE 0 END) = 1 THEN 'skipped'
              WHEN max(CASE WHEN unit_status = 'failed' THEN 1 ELSE 0 END) = 1 THEN 'failed'
              ELSE 'ok' END AS status,
-        count(*) AS n_units, count_if(unit_status = 'ok') AS n_translated,
+        count(field) AS n_units, count_if(unit_status = 'ok') AS n_translated,
         coalesce(list(out_text ORDER BY pos) FILTER (WHERE field = 'turns'), []) AS turns,
         coalesce(list(out_text ORDER BY pos) FILTER (WHERE field = 'reference'), []) AS reference
-      FROM o GROUP BY conv_id)
+      FROM (SELECT conv_id FROM drills) d LEFT JOIN o USING (conv_id) GROUP BY conv_id)
 SELECT conv_id, status, n_units, n_translated,
        md5(array_to_string(turns, chr(10))) AS turns_md5,
        md5(array_to_string(reference, chr(10))) AS reference_md5
@@ -78,9 +78,10 @@ FROM e WHERE status <> 'skipped'
 def translate_assemble(spark, sf):
     """P30 + J5 + U4 + F7: translated entries (content-filtered ones are
     dropped to the audit side; failed ones keep their original text)."""
-    units = _units(spark, sf)
+    d = bindings.drills(spark, sf)
+    units = TR.explode_units(d, "conv_id", ["turns", "reference"])
     out = TR.apply_responses(units, _responses(units), ["conv_id", "field", "pos"])
-    a = TR.assemble(out, "conv_id", ["turns", "reference"])
+    a = TR.assemble(d, out, "conv_id", ["turns", "reference"])
     return a.where(F.col("status") != "skipped").select(
         "conv_id", "status", "n_units", "n_translated",
         F.md5(F.array_join("turns", "\n")).alias("turns_md5"),
@@ -101,7 +102,9 @@ SELECT 'error_type', CASE WHEN error LIKE '%429%' THEN 'Rate Limit (429)'
                           WHEN error LIKE '%400%' THEN 'Bad Request (400)'
                           WHEN error LIKE '%404%' THEN 'Resource Not Found (404)'
                           WHEN error LIKE '%500%' THEN 'Server Error (500)' ELSE 'Other' END,
-       count(*), CAST(sum(least(greatest(CASE WHEN s = '' THEN 35 ELSE CAST(s AS BIGINT) END, 4), 120)) AS BIGINT)
+       count(*), CAST(sum(CASE WHEN error LIKE '%429%' OR lower(error) LIKE '%rate limit%'
+                               THEN least(greatest(CASE WHEN s = '' THEN 35 ELSE CAST(s AS BIGINT) END, 4), 120)
+                               ELSE 4 END) AS BIGINT)
 FROM w GROUP BY 2
 """)
 def translate_status(spark, sf):
@@ -119,12 +122,102 @@ def translate_status(spark, sf):
     return st.unionByName(tot).unionByName(er)
 
 
+# ---- exam items: a string, a map and a nested field --------------------------
+
+_EXAM_FIELDS = ["question", "choices", "answer.explanation"]
+NO_RESPONSE_CODES = (6, 7)
+
+
+def _exam_entries(spark, sf):
+    x = bindings.exam(spark, sf)
+    letters = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in "abcde"])
+    choices = F.map_from_entries(F.filter(letters, lambda e: e["v"].isNotNull()))
+    why = F.when(F.pmod("item_id", F.lit(11)) != 0, F.concat(F.lit("because "), F.col("b")))
+    return x.select("item_id", "subset", "question", choices.alias("choices"),
+                    F.struct(F.col("answer").alias("label"), why.alias("explanation")).alias("answer"))
+
+
+def _exam_responses(units):
+    """Stored twice for some units: the later row counts.  None for others."""
+    n = F.when(F.col("field") == "question", 0).when(F.col("field") == "choices", 1).otherwise(2)
+    code = F.pmod(F.col("item_id") * 7 + F.col("pos") * 3 + n, F.lit(23))
+    err = F.lit(None).cast("string")
+    for k in sorted(OUTCOMES, reverse=True):
+        err = F.when(code == k, F.lit(OUTCOMES[k])).otherwise(err)
+    good = F.when(err.isNull(), F.concat(F.lit(" [th] "), F.col("text"), F.lit("\n")))
+    now = units.filter(~code.isin(*NO_RESPONSE_CODES)).select(
+        "item_id", "field", "pos", F.lit(2).alias("written"), good.alias("content"), err.alias("error"))
+    stale = now.filter(F.pmod("item_id", F.lit(3)) == 0).select(
+        "item_id", "field", "pos", F.lit(1).alias("written"), F.lit("stale").alias("content"), F.lit(None).cast("string").alias("error"))
+    return now.unionByName(stale)
+
+
+def _exam_run(spark, sf):
+    entries = _exam_entries(spark, sf)
+    units = TR.explode_units(entries, "item_id", _EXAM_FIELDS)
+    out = TR.apply_responses(units, _exam_responses(units), ["item_id", "field", "pos"], order_col="written")
+    return TR.assemble(entries, out, "item_id", _EXAM_FIELDS)
+
+
+def _sql_errors(code: str) -> str:
+    return "CASE " + " ".join(f"WHEN {code} = {k} THEN '{v}'" for k, v in OUTCOMES.items()) + " END"
+
+
+_EXAM_UNITS = f"""
+x AS (SELECT p_partkey AS item_id, string_split(p_type, ' ')[1] AS subset, p_name AS question,
+        p_brand AS a, p_type AS b, 'size ' || p_size AS c, 'part ' || p_partkey AS d,
+        CASE WHEN p_size % 10 <> 0 THEN 'brand ' || upper(p_brand) END AS e,
+        CASE WHEN p_partkey % 11 <> 0 THEN 'because ' || p_type END AS why FROM part),
+u AS (SELECT item_id, 'question' AS field, 0 AS n, 0 AS pos, question AS text FROM x
+      UNION ALL SELECT item_id, 'choices', 1, 0, a FROM x UNION ALL SELECT item_id, 'choices', 1, 1, b FROM x
+      UNION ALL SELECT item_id, 'choices', 1, 2, c FROM x UNION ALL SELECT item_id, 'choices', 1, 3, d FROM x
+      UNION ALL SELECT item_id, 'choices', 1, 4, e FROM x WHERE e IS NOT NULL
+      UNION ALL SELECT item_id, 'explanation', 2, 0, why FROM x WHERE why IS NOT NULL),
+k AS (SELECT *, (item_id * 7 + pos * 3 + n) % 23 AS code FROM u),
+s AS (SELECT *, {_sql_errors('code')} AS error,
+        CASE WHEN code IN {NO_RESPONSE_CODES} THEN 'pending' WHEN code = 0 THEN 'skipped'
+             WHEN code < {len(OUTCOMES)} THEN 'failed' ELSE 'ok' END AS unit_status FROM k),
+o AS (SELECT *, CASE WHEN unit_status = 'ok' THEN {strip_sql("' [th] ' || text || chr(10)")} ELSE text END AS out_text FROM s),
+g AS (SELECT item_id, CASE WHEN bool_or(unit_status = 'skipped') THEN 'skipped' WHEN bool_or(unit_status = 'failed') THEN 'failed'
+                           WHEN bool_or(unit_status = 'pending') THEN 'pending' ELSE 'ok' END AS status,
+        count(*) AS n_units, count_if(unit_status = 'ok') AS n_translated,
+        max(out_text) FILTER (WHERE field = 'question') AS question,
+        array_to_string(list(chr(97 + pos) || '=' || out_text ORDER BY pos) FILTER (WHERE field = 'choices'), '|') AS choices,
+        max(out_text) FILTER (WHERE field = 'explanation') AS explanation
+      FROM o GROUP BY item_id)"""
+
+
+@query("translate_exam", sql=f"""
+WITH {_EXAM_UNITS}
+SELECT g.item_id, x.subset, status, n_units, n_translated, g.question, choices, explanation
+FROM g JOIN x USING (item_id) WHERE status IN ('ok', 'failed')
+""")
+def translate_exam(spark, sf):
+    """P30 for exam items: string, map and nested fields, all other columns
+    kept; the last stored response counts, pending items stay out."""
+    a = _exam_run(spark, sf).where(F.col("status").isin("ok", "failed"))
+    pairs = F.transform(F.array_sort(F.map_entries("choices")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return a.select("item_id", "subset", "status", "n_units", "n_translated", "question",
+                    F.array_join(pairs, "|").alias("choices"), F.col("answer.explanation").alias("explanation"))
+
+
+@query("translate_audit", sql=f"""
+WITH {_EXAM_UNITS}
+SELECT subset, status, count(*) AS n, CAST(sum(n_units - n_translated) AS BIGINT) AS n_open
+FROM g JOIN x USING (item_id) WHERE status <> 'ok' GROUP BY subset, status
+""")
+def translate_audit(spark, sf):
+    """S11 + A17: skipped, failed and pending entries, by subset."""
+    return _exam_run(spark, sf).where(F.col("status") != "ok").groupBy("subset", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("n_units") - F.col("n_translated")).alias("n_open"))
+
+
 # ---- K3 type repair ----------------------------------------------------------
 
 def _drill_lines(spark, sf):
     """Generated drill records as JSON text with the unions the repair handles:
     closed references may hold a list element, open-ended ones are lists of
-    lists (missing ones null), and source ids are numbers or strings."""
+    lists (some with a null first), and source ids are numbers or strings."""
     d = bindings.drills(spark, sf)
     js = jsonx.json_str
     open_ = category_match_key(F.col("category")).isin(*OPEN_ENDED)
@@ -138,9 +231,8 @@ def _drill_lines(spark, sf):
             (i == 0) & (F.pmod(F.col("conv_id"), F.lit(3)) == 0), lines(x)).otherwise(js(x))), ", "),
         F.lit("]"))
     open_ref = F.concat(F.lit("["), F.array_join(F.transform(
-        F.sequence(F.lit(1), F.lit(3)),
-        lambda k: F.when(F.try_element_at(r, k).isNull(), F.lit("null"))
-                   .otherwise(F.concat(F.lit("["), lines(F.try_element_at(r, k)), F.lit("]")))), ", "),
+        r, lambda x, i: F.when((i == 0) & (F.pmod(F.col("conv_id"), F.lit(5)) == 0), F.lit("null"))
+                         .otherwise(F.concat(F.lit("["), lines(x), F.lit("]")))), ", "),
         F.lit("]"))
     m = F.pmod(F.col("conv_id"), F.lit(4))
     sid = (F.when(m == 0, F.col("conv_id").cast("string"))
@@ -203,8 +295,8 @@ d AS (SELECT *, lower({norm_cat('category')}) IN ('roleplay', 'humanities', 'wri
 l AS (SELECT conv_id, '{{"category": ' || {__import__('weft.plans.q_ingest', fromlist=['_js'])._js('category')}
         || ', "turns": [' || array_to_string(list_transform(turns, lambda x: {__import__('weft.plans.q_ingest', fromlist=['_js'])._js('x')}), ', ')
         || '], "reference": ' || CASE WHEN open_ THEN
-             '[' || array_to_string(list_transform(range(1, 4), lambda k: CASE WHEN reference[k] IS NULL THEN 'null'
-                    ELSE '[' || {_lines_sql('reference[k]')} || ']' END), ', ') || ']'
+             '[' || array_to_string(list_transform(reference, lambda x, i: CASE WHEN i = 1 AND conv_id % 5 = 0 THEN 'null'
+                    ELSE '[' || {_lines_sql('x')} || ']' END), ', ') || ']'
            ELSE '[' || array_to_string(list_transform(reference, lambda x, i: CASE WHEN i = 1 AND conv_id % 3 = 0
                     THEN {_lines_sql('x')} ELSE {__import__('weft.plans.q_ingest', fromlist=['_js'])._js('x')} END), ', ') || ']' END
         || ', "source_question_id": ' || CASE conv_id % 4 WHEN 0 THEN CAST(conv_id AS VARCHAR)
