@@ -1,10 +1,13 @@
 """Literal expectations from the source's smoke scripts and operator units."""
 
-import pandas as pd
+import json
+
 from pyspark.sql import functions as F
 
+from weft.functions import jsonx
 from weft.functions import text as T
-from weft.operators import dedup, quota, responses
+from weft.operators import quota, responses, vectors
+from weft.operators.ordering import row_number_within
 
 
 def test_normalize_category_and_question_id(spark):
@@ -39,7 +42,7 @@ def test_suggested_wait_and_error_class(spark):
     df = spark.createDataFrame([("429 Too many; retry after 17", 3), ("429", 0), ("500 boom", 7),
                                 ("weird", 1)], "e string, a int")
     r = df.select(T.suggested_wait("e", "a"), T.error_class("e")).collect()
-    assert [x[0] for x in r] == [17, 35, 120, 35]   # 2^7 = 128 capped at 120
+    assert [x[0] for x in r] == [17, 35, 128, 2]   # only rate limits have the default and the cap
     assert [x[1] for x in r] == ["Rate Limit (429)", "Rate Limit (429)", "Server Error (500)", "Other"]
 
 
@@ -50,9 +53,27 @@ def test_responder_hook(spark):
     assert got[7] == "P7" and len(got) == 50
 
 
-def test_max_matches_option(spark):
-    rows = [(0, "a" * 40)] + [(i, "a" * 40 + "b" * (i % 2) + "c" * (i // 2 % 2)) for i in range(1, 9)]
-    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "s"]))
-    _, all_pairs = dedup.fuzzy_dedup(df, "s", "id")
-    _, capped = dedup.fuzzy_dedup(df, "s", "id", max_matches=1)
-    assert capped.count() <= all_pairs.count()
+def test_null_group_is_numbered(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id long, g string")
+    got = row_number_within(df, ["g"], ["id"], out="rn").collect()
+    assert sorted((r.id, r.rn) for r in got) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_last_response_counts(spark):
+    req = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
+    table = spark.createDataFrame([("k1", "old", 1), ("k1", "new", 2), ("k2", None, 1)], "key string, response string, timestamp int")
+    got = {r.key: (r.response, r.hit) for r in responses.respond_from_table(req, table).collect()}
+    assert got == {"k1": ("new", True), "k2": (None, True), "k3": (None, False)}
+
+
+def test_json_strings_equal_json_dumps(spark):
+    texts = ["", 'a"b\\c', "x\ny\tz", "".join(map(chr, range(0x20))), "é 中 \x7f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.j for r in df.select("i", jsonx.json_str("t").alias("j")).collect()} == {
+        i: json.dumps(t, ensure_ascii=False) for i, t in enumerate(texts)}
+
+
+def test_zero_and_null_vectors_are_skipped(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert {(r.id, r.neighbor_id) for r in vectors.knn(df, "id", "v", 2).collect()} == {(1, 2), (2, 1)}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 # Escapes written by Python's json.dumps(ensure_ascii=False).
 JSON_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"),
-                ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+                ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"),
+                *((chr(c), f"\\u{c:04x}") for c in range(0x20) if chr(c) not in "\n\r\t\b\f"))
 
 
 def _c(x) -> Column:
@@ -18,9 +19,14 @@ def _c(x) -> Column:
 def json_str(c) -> Column:
     """A string as ``json.dumps`` writes it (quotes included)."""
     c = _c(c)
-    for a, b in JSON_ESCAPES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    plain, out = JSON_ESCAPES[:2], c
+    for a, b in plain:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    full = out
+    for a, b in JSON_ESCAPES[2:]:
+        full = F.replace(full, F.lit(a), F.lit(b))
+    # Control characters are rare: their replacements only run where there are any.
+    return F.concat(F.lit('"'), F.when(F.rlike(c, F.lit("[\\x00-\\x1f]")), full).otherwise(out), F.lit('"'))
 
 
 def extract_json_array(text) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.tables import spread_if_narrow
+from weft.sources.tables import dealt
 
 
 def text_key(c: Column) -> Column:
@@ -242,8 +242,8 @@ def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
     pair shares at least ``m = min_shared`` of them (count filter)."""
     t = int(threshold)
     m = int(min_shared)
-    base = spread_if_narrow(strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
-                                   .withColumn("_L", F.length("_s").cast("bigint")))
+    base = dealt(strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
+                        .withColumn("_L", F.length("_s").cast("bigint")), "_id")
     seg = (base.withColumn("_K", _k_budget(F.col("_L"), t))
                .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
                        F.col("_K").alias("s_k"),
@@ -257,8 +257,9 @@ def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
     probe = (base.withColumn("_w", F.explode(_needed_widths_udf(t, m)(F.col("_L"))))
                  .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
                          F.posexplode(_windows_udf()(F.col("_s"), F.col("_w"))).alias("_q", "_h")))
-    # both sides grow with the text: shuffle join, never an estimate-based broadcast
-    return (probe.join(seg.hint("shuffle_hash"), ["_w", "_h"])
+    # both sides grow with the text: a shuffle join that can spill a hot key,
+    # never an estimate-based broadcast
+    return (probe.join(seg.hint("merge"), ["_w", "_h"])
                .where((F.col("s_id") != F.col("r_id"))
                       & (F.col("s_len") <= F.col("r_len"))
                       & (F.col("r_len") <= _max_partner_len(F.col("s_len"), t))
@@ -279,7 +280,7 @@ def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str
                    .withColumn("_L", F.length("_s").cast("bigint"))
     ta = texts.withColumnsRenamed({"_id": "id_a", "_s": "s_a", "_L": "len_a"}).hint("merge")
     tb = texts.withColumnsRenamed({"_id": "id_b", "_s": "s_b", "_L": "len_b"}).hint("merge")
-    pairs = spread_if_narrow(cand.join(ta, "id_a").join(tb, "id_b"), factor=8)
+    pairs = dealt(cand.join(ta, "id_a").join(tb, "id_b"), "id_a", "id_b")
     lcs = _lcs_udf(t)
     return (pairs.withColumn("lcs", lcs(F.col("s_a"), F.col("s_b")))
                  .where(200 * F.col("lcs") >= t * (F.col("len_a") + F.col("len_b")))
@@ -287,7 +288,7 @@ def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str
 
 
 def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] | None = None,
-                threshold: int = 95, max_matches: int | None = None) -> tuple[DataFrame, DataFrame]:
+                threshold: int = 95) -> tuple[DataFrame, DataFrame]:
     """K4: a row is removed iff an earlier row (smaller ``order_col``) has an
     identical key or a key with indel ratio >= ``threshold``.
 
@@ -299,17 +300,6 @@ def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] |
     distinct = exact_dedup(df.withColumn("_key", F.coalesce(F.col(key), F.lit(""))),
                            "_key", order_col, ["_key", *keep_cols])
     pairs = similar_pairs(distinct, order_col, "_key", threshold)
-    if max_matches is not None:
-        # O1 parity option: keep only each string's best matches (the source's
-        # library default is 5); off by default, so clusters are not cut
-        from pyspark.sql import Window
-        both = pairs.select(F.col("id_a").alias("_s"), "id_a", "id_b", "lcs", "len_a", "len_b") \
-                    .unionByName(pairs.select(F.col("id_b").alias("_s"), "id_a", "id_b", "lcs",
-                                              "len_a", "len_b"))
-        score = F.col("lcs") * 2 / (F.col("len_a") + F.col("len_b"))
-        w = Window.partitionBy("_s").orderBy(score.desc(), "id_a", "id_b")
-        pairs = (both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_matches)
-                     .select("id_a", "id_b", "len_a", "len_b", "lcs").distinct())
     # ids are the first row of each distinct key, so the larger id is removed
     removed = pairs.select(F.col("id_b").alias(order_col)).distinct()
     kept = distinct.join(removed, order_col, "left_anti").drop("_key")

@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import WS_CLASS
-from weft.sources.tables import spread_if_narrow
+from weft.sources.tables import dealt
 
 # Default tokenizer (letter/digit runs, single other symbols),
 # orders and weights.
@@ -163,20 +162,20 @@ def _lsum_marks(Rs, H, starts, seg, line_a, line_e) -> list[np.ndarray]:
 
 
 def _meteor(h, r) -> float:
-    """METEOR with the exact-match stage only (no stemmer/synonym data):
-    greedy left-to-right alignment, Fmean(alpha), fragmentation penalty."""
+    """METEOR with the exact-match stage only (no stemmer/synonym data), on
+    lower-cased words: words are paired from the ends of both sentences, then
+    Fmean(alpha) and the fragmentation penalty."""
     if not h or not r:
         return 0.0
+    h, r = [x.lower() for x in h], [x.lower() for x in r]
     free: dict = {}
     for j, rt in enumerate(r):
         free.setdefault(rt, []).append(j)
-    nxt = dict.fromkeys(free, 0)
     align = []
-    for i, tok in enumerate(h):   # first unused occurrence, left to right
-        q = free.get(tok)
-        if q is not None and nxt[tok] < len(q):
-            align.append((i, q[nxt[tok]]))
-            nxt[tok] += 1
+    for i in range(len(h) - 1, -1, -1):   # last unused occurrence, right to left
+        if free.get(h[i]):
+            align.append((i, free[h[i]].pop()))
+    align.reverse()
     m = len(align)
     if m == 0:
         return 0.0
@@ -295,7 +294,7 @@ def pair_stats(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref",
     h = F.coalesce(F.col(hyp), F.lit(""))
     r = F.coalesce(F.col(ref), F.lit(""))
     udf = _stats_udf(tuple(families))
-    pairs = spread_if_narrow(pairs, factor=8)   # CPU-bound per pair: use every core
+    pairs = dealt(pairs)   # CPU-bound per pair
     return pairs.withColumn("_st", udf(tokens(h), tokens(r), h, r)).select("*", "_st.*") \
                 .drop("_st")
 
@@ -335,13 +334,14 @@ def corpus_scores(stats: DataFrame, by: list[str] | None = None, digits: int = 6
     rlsum = F.when((F.col("lsum_h") > 0) & (F.col("lsum_r") > 0),
                    _f(F.col("lsum_o") / F.col("lsum_h"), F.col("lsum_o") / F.col("lsum_r"))) \
              .otherwise(0.0)
-    # SacreBLEU-style: exponential smoothing of zero-match orders
-    sm, k = [], 1.0
+    # SacreBLEU-style exponential smoothing: the k-th order without a match
+    # counts as 1 / (2^k * n-grams); an order without n-grams makes the score 0
+    sm, k = [], F.lit(0)
     for n in range(1, BLEU_ORDER + 1):
         m, t = S[f"bleu_m{n}"], S[f"bleu_t{n}"]
-        sm.append(F.when(m > 0, m / t).otherwise(F.lit(1.0) / (F.pow(F.lit(2.0), F.lit(k)) * t)))
-        k += 1
-    sgeo = F.when(S["bleu_t1"] > 0, F.exp(sum(F.log(p) for p in sm) / BLEU_ORDER)).otherwise(0.0)
+        k = k + F.when((m == 0) & (t > 0), 1).otherwise(0)
+        sm.append(F.when(t > 0, F.when(m > 0, m / t).otherwise(F.lit(1.0) / (F.pow(F.lit(2.0), k) * t))).otherwise(F.lit(0.0)))
+    sgeo = F.when(F.least(*sm) > 0, F.exp(sum(F.log(p) for p in sm) / BLEU_ORDER)).otherwise(0.0)
     out = stats.groupBy(*by).agg(
         F.round(geo * bp * 100, digits).alias("bleu"),
         F.round(sgeo * bp * 100, digits).alias("sacrebleu"),
@@ -355,10 +355,6 @@ def corpus_scores(stats: DataFrame, by: list[str] | None = None, digits: int = 6
     return out
 
 
-def ngram_stats_sql_note() -> str:  # pragma: no cover - documentation helper
-    return "see weft.plans.q_gen for the SQL forms of BLEU / ROUGE-N / chrF"
-
-
 def py_bleu(pairs, order: int = BLEU_ORDER) -> float:
     """Tiny pure-Python corpus BLEU (oracle for tests)."""
     m = [0] * order
@@ -378,5 +374,3 @@ def py_bleu(pairs, order: int = BLEU_ORDER) -> float:
     bp = 1.0 if c > r else math.exp(1 - r / c)
     return 100 * bp * math.exp(sum(math.log(x) for x in p) / order)
 
-
-_ = WS_CLASS  # whitespace removal for chrF uses Python's str.split (same class)

@@ -44,9 +44,13 @@ def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str
     offsets = per_part.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
-    return (ranged.join(offsets.select("_pid", *g, "_off", "_base"), ["_pid", *g])
+    small = offsets.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(g)], "_off", "_base")
+    on = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(g):                   # a null group is a group
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{i}"))
+    return (ranged.join(small, on)
                   .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_base") + 1)
-                  .drop("_pid", "_mid", "_off", "_base"))
+                  .select(*df.columns, out))
 
 
 def cumulative_sum(df: DataFrame, order_cols: list[str], value_col: str, out: str = "cum",

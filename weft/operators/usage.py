@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.jsonx import json_str
+
 # Price per 1M tokens (prompt, completion); unknown models are
 # priced as the default model.
 PRICES = {
@@ -60,19 +62,11 @@ def usage_rollup(calls: DataFrame, category: str = "category") -> DataFrame:
                 .otherwise(0.0), 6).alias("cached_pct"))
 
 
-def _json_str(c: Column) -> Column:
-    """A string as Python's ``json.dumps(..., ensure_ascii=False)`` writes it."""
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"),
-                 ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), c, F.lit('"'))
-
-
 def request_key(model: Column, prompt: Column, temperature: float, max_tokens: int) -> Column:
     """md5 of the sorted-key JSON of {max_tokens, model, prompt, temperature},
     spelled exactly as ``json.dumps(sort_keys=True, ensure_ascii=False)``."""
-    doc = F.concat(F.lit(f'{{"max_tokens": {int(max_tokens)}, "model": '), _json_str(model),
-                   F.lit(', "prompt": '), _json_str(prompt),
+    doc = F.concat(F.lit(f'{{"max_tokens": {int(max_tokens)}, "model": '), json_str(model),
+                   F.lit(', "prompt": '), json_str(prompt),
                    F.lit(f', "temperature": {float(temperature)!r}}}'))
     return F.md5(doc)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.sources.tables import spread_if_narrow
+from weft.sources.tables import dealt
 
 
 def _norm(v: Column) -> Column:
@@ -53,8 +53,10 @@ def lsh_udf(dim: int, bands: int, rows: int, seed: int):
 def knn(df: DataFrame, id_col: str, vec_col: str, dim: int, threshold: float = 0.85,
         k: int = 8, bands: int = 32, rows: int = 12, seed: int = 7) -> DataFrame:
     """(id, neighbor_id, cosine, rank) for neighbours with cosine >= threshold."""
-    base = spread_if_narrow(df.select(F.col(id_col).alias("_id"),
-                                      normalize(F.col(vec_col)).alias("_v")))
+    # Null and zero vectors, and vectors of another length, have no cosine.
+    able = df.filter((F.size(vec_col) == dim) & F.exists(vec_col, lambda x: x != 0)
+                     & F.forall(vec_col, lambda x: x.isNotNull()))
+    base = dealt(able.select(F.col(id_col).alias("_id"), normalize(F.col(vec_col)).alias("_v")), "_id")
     keyed = base.select("_id", "_v", F.explode(lsh_udf(dim, bands, rows, seed)(F.col("_v")))
                         .alias("_bucket"))
     a = keyed.select(F.col("_id").alias("a"), F.col("_bucket"))

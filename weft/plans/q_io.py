@@ -23,7 +23,7 @@ FROM t
 """)
 def token_truncate(spark, sf):
     """Tokenize, truncate to 512, pad; mask = ones then zeros."""
-    d = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
     t = TK.truncate_pad(d, "text")
     return t.select("doc_id", "n_tokens", "n_kept", "n_pad", "truncated", "last_kept")
 
@@ -37,7 +37,7 @@ FROM t GROUP BY lang
 """)
 def length_stats(spark, sf):
     """Length distribution, original vs truncated, per language."""
-    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"], spread=True)
+    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"])
     return TK.length_stats(TK.truncate_pad(d, "text"), ["lang"])
 
 

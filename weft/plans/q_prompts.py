@@ -87,20 +87,26 @@ def batch_prompt(spark, sf):
 
 def _judged(spark, sf):
     """One row per judged turn: template key, filled prompt, rating (derived
-    from the response: ``len mod 10 + 1``; ``len mod 17 = 0`` is a judge error)."""
+    from the response: ``len mod 10 + 1``; ``len mod 17 = 0`` is a judge error).
+
+    The prompt of a later turn holds everything up to it: slot 1 the turns
+    before it (line by line), slot 2 the judged one.  Reference answers stand
+    for themselves; the template asks whether the question has any."""
     d = bindings.drills(spark, sf).where(F.size("reference") > 0)
-    x = d.select("conv_id", "category", "turns", F.col("reference").alias("responses"),
+    refs = F.when(F.col("category").isin(*REFERENCE_CATEGORIES), F.transform("reference", F.reverse))
+    x = d.select("conv_id", "category", "turns", F.col("reference").alias("responses"), refs.alias("refs"),
                  F.posexplode(F.slice("turns", F.lit(1), F.least(F.size("turns"), F.size("reference"))))
                   .alias("turn", "_q"))
-    has_ref = F.col("category").isin(*REFERENCE_CATEGORIES)
+    has_ref = F.col("refs").isNotNull()
     key = F.concat(F.when(has_ref, F.lit("single-math-v1")).otherwise(F.lit("single-v1")),
                    F.when(F.col("turn") > 0, F.lit("-multi-turn")).otherwise(F.lit("")))
     tpl = F.create_map(*[x for k, v in JUDGE_TEMPLATES.items() for x in (F.lit(k), F.lit(v))])
-    t, r = F.col("turns"), F.col("responses")
+    t, r, refs, n = F.col("turns"), F.col("responses"), F.col("refs"), F.col("turn")
+    before = lambda a: F.array_join(F.slice(a, F.lit(1), F.greatest(n, F.lit(1))), "\n")
     slots = {"{question}": F.element_at(t, 1), "{answer}": F.element_at(r, 1),
-             "{question_1}": F.element_at(t, 1), "{question_2}": F.try_element_at(t, F.lit(2)),
-             "{answer_1}": F.element_at(r, 1), "{answer_2}": F.try_element_at(r, F.lit(2)),
-             "{ref_answer_1}": F.element_at(r, -1), "{ref_answer_2}": F.element_at(r, -1)}
+             "{question_1}": before(t), "{question_2}": F.get(t, n),
+             "{answer_1}": before(r), "{answer_2}": F.get(r, n),
+             "{ref_answer_1}": before(refs), "{ref_answer_2}": F.get(refs, n)}
     p = F.element_at(tpl, key)
     for k, v in slots.items():
         p = F.replace(p, F.lit(k), F.coalesce(v, F.lit("")))
@@ -114,17 +120,18 @@ def _judged(spark, sf):
 _JUDGED_SQL = f"""
 {DRILLS},
 x AS (SELECT conv_id, category, turns, reference AS responses,
+             CASE WHEN category IN {REFERENCE_CATEGORIES} THEN list_transform(reference, lambda y: reverse(y)) END AS refs,
              unnest(range(least(len(turns), len(reference)))) AS turn FROM drills WHERE len(reference) > 0),
-k AS (SELECT *, CASE WHEN category IN {REFERENCE_CATEGORIES} THEN 'single-math-v1' ELSE 'single-v1' END
+k AS (SELECT *, CASE WHEN refs IS NOT NULL THEN 'single-math-v1' ELSE 'single-v1' END
                 || CASE WHEN turn > 0 THEN '-multi-turn' ELSE '' END AS template_key FROM x),
 tp AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in JUDGE_TEMPLATES.items())}) AS t(template_key, tpl)),
 j AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, category, template_key,
         CAST(CASE WHEN length(responses[turn + 1]) % 17 = 0 THEN -1 ELSE length(responses[turn + 1]) % 10 + 1 END AS BIGINT) AS rating,
         md5(replace(replace(replace(replace(replace(replace(replace(replace(tpl,
           '{{question}}', coalesce(turns[1], '')), '{{answer}}', coalesce(responses[1], '')),
-          '{{question_1}}', coalesce(turns[1], '')), '{{question_2}}', coalesce(turns[2], '')),
-          '{{answer_1}}', coalesce(responses[1], '')), '{{answer_2}}', coalesce(responses[2], '')),
-          '{{ref_answer_1}}', coalesce(responses[-1], '')), '{{ref_answer_2}}', coalesce(responses[-1], ''))) AS user_prompt_md5
+          '{{question_1}}', array_to_string(turns[1:greatest(turn, 1)], chr(10))), '{{question_2}}', coalesce(turns[turn + 1], '')),
+          '{{answer_1}}', array_to_string(responses[1:greatest(turn, 1)], chr(10))), '{{answer_2}}', coalesce(responses[turn + 1], '')),
+          '{{ref_answer_1}}', coalesce(array_to_string(refs[1:greatest(turn, 1)], chr(10)), '')), '{{ref_answer_2}}', coalesce(refs[turn + 1], ''))) AS user_prompt_md5
       FROM k JOIN tp USING (template_key))"""
 
 

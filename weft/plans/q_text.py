@@ -78,7 +78,7 @@ FROM s
 """)
 def lang_tag(spark, sf):
     """Detected language per document, next to the given ``lang``."""
-    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"], spread=True)
+    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"])
     return tag_languages(d, "doc_id").select("doc_id", "lang", "detected", "best_score")
 
 
@@ -96,7 +96,7 @@ FROM t GROUP BY lang
 """)
 def lang_tag_accuracy(spark, sf):
     """P6 report: agreement of the tagger with the given language."""
-    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"], spread=True)
+    d = read_table(spark, sf, "documents", ["doc_id", "lang", "text"])
     t = tag_languages(d, "doc_id")
     return t.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),

@@ -18,8 +18,8 @@ def get_spark(master: str | None = None, app: str = "weft",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests, the bench and local runs.
 
-    On a cluster the session comes from the launcher; this only fills in
-    settings that are not already present.
+    On a cluster the session comes from the launcher; of a running session only
+    these SQL settings are changed.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -40,13 +40,17 @@ def get_spark(master: str | None = None, app: str = "weft",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint root, creating a local one only if unset."""
+    """Return the shared checkpoint root.  Where it is unset a local one is made
+    for a local master; on a cluster that would be another folder on each
+    machine, so there it is an error."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if root:
         return root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     sc.setCheckpointDir(root)

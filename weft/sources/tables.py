@@ -10,38 +10,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None, spread: bool = False) -> DataFrame:
+               columns: list[str] | None = None) -> DataFrame:
     """Read ``{sf_dir}/{name}.parquet``; ``columns`` prunes the scan.
 
-    ``spread=True`` is for CPU-heavy per-row text work: when the scan yields
-    fewer splits than the cluster has cores (a small file with few row groups),
-    rows are redistributed round-robin.  On large inputs the scan already has
-    many more splits than cores and nothing is added.
-    """
+    Parallelism is the scan's own (file splits, by configuration); nothing is
+    redistributed and no job runs while a query is built."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    if spread:
-        df = spread_if_narrow(df)
-    return df
-
-
-def spread_if_narrow(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition to ``factor`` x default parallelism when the
-    plan has fewer partitions than that (planning only; no job runs).
-
-    Used in front of CPU-heavy Python stages: their input is small in bytes,
-    so size-based planning (file splits, AQE coalescing, broadcast joins that
-    keep the stream side's few partitions) would give them a handful of
-    tasks.  An explicit partition count is not coalesced by AQE.  On large
-    inputs the plan already has more partitions and nothing is added."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < factor * par:
-        return df.repartition(factor * par)
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every driver table as a temp view (for SQL use)."""
-    for t in TABLES:
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return df.select(*columns) if columns else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out to the configured number of shuffle partitions (by
+    ``keys``, or round robin), in front of stages whose work per row is large
+    for its bytes: adaptive execution goes by bytes and would give them few
+    tasks.  The count is configuration, so nothing is run or measured here."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

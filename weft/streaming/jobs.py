@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.session import scratch_path
 
 
-def stage_json(df: DataFrame, name: str, n_files: int = 4) -> str:
-    """Write ``df`` as JSON files into a fresh shared directory (stream input)."""
+def stage_json(df: DataFrame, name: str) -> str:
+    """Write ``df`` as JSON files into a fresh shared directory (stream input),
+    one file for each of its own partitions."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(n_files).write.json(path)
+    df.write.json(path)
     return path
 
 
