@@ -112,3 +112,20 @@ def test_short_texts_and_smoothing(spark):
     assert score("a b c d e", "a b c x e").sacrebleu == pytest.approx(42.728701, abs=1e-5)
     assert score("a b", "a b").sacrebleu == 0.0 and score("a b", "a b").bleu == 0.0
     assert score("The Cat", "the cat").meteor == pytest.approx(100 * (1 - 0.5 * (1 / 2) ** 3))
+
+
+def test_ids_go_on_after_existing_rows(spark):
+    text = '[{"turns": ["What is a river, please?", "And what is a lake, please?"], "reference": ["a", "b"]}]'
+    resp = spark.createDataFrame([(1, "Math", text, ["s1"]), (2, "Math", text, ["s2"])],
+                                 "batch_id long, category string, text string, source_ids array<string>")
+    first = jobs.ingest_responses(resp, script="english")
+    again = jobs.ingest_responses(resp, script="english", existing=first)
+    ids = [r.question_id for r in first.collect()] + [r.question_id for r in again.collect()]
+    assert len(set(ids)) == 4
+
+
+def test_package_reaches_workers(spark):
+    from weft.session import ship_package
+    ship_package(spark)
+    ship_package(spark)
+    assert spark.sparkContext.parallelize([1], 1).map(lambda _: __import__("weft").__name__).collect() == ["weft"]

@@ -24,7 +24,7 @@ def test_filters_reach_the_scan(spark):
 def test_fuzzy_candidate_join_is_not_broadcast(spark):
     d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     p = _plan(dedup.candidate_pairs(d, "doc_id", "text"))
-    assert "BroadcastHashJoin" not in p and "ShuffledHashJoin" in p
+    assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p      # a hot key can spill
 
 
 def test_classification_aggregates_before_shuffle(spark):

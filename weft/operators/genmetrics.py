@@ -307,6 +307,52 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def ngram_stats(pairs: DataFrame, id_col: str, by: list[str], orders: int = BLEU_ORDER,
+                hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(id, by, n, m, h, r): per pair and order the clipped matches and the
+    n-grams of both sides, as n-gram rows counted per pair.
+
+    Pairs that come from a join on ``id_col`` are partitioned by it, so counting
+    needs no further shuffle.  An n-gram is its 64-bit hash within its pair."""
+    h, r = (tokens(F.coalesce(F.col(c), F.lit(""))) for c in (hyp, ref))
+    base = pairs.select(id_col, *by, h.alias("_h"), r.alias("_r"))
+
+    def grams(c: str, n: int, side: int) -> Column:
+        t = F.col(c)
+        found = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                            lambda i: F.struct(F.xxhash64(F.slice(t, i, n)).alias("g"), F.lit(side).alias("s")))
+        return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<struct<g:bigint,s:int>>"))
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.concat(grams("_h", n, 1), grams("_r", n, 0)).alias("x"))
+                               for n in range(1, orders + 1)])).alias("o")
+    rows = base.select(id_col, *by, each).select(id_col, *by, "o.n", F.explode_outer("o.x").alias("x"))
+    counted = rows.groupBy(id_col, *by, "n", F.col("x.g").alias("g")).agg(
+        F.coalesce(F.sum("x.s"), F.lit(0)).alias("h"), F.coalesce(F.sum(1 - F.col("x.s")), F.lit(0)).alias("r"))
+    return counted.groupBy(id_col, *by, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+
+
+def ngram_scores(stats: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
+    """bleu, sacrebleu, rouge1, rouge2 (x100) and n_pairs from ``ngram_stats``."""
+    at = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    rouge = _f(_div0(F.col("m"), F.col("h")), _div0(F.col("m"), F.col("r")))
+    sums = stats.groupBy(*by).agg(
+        *[at(n, c).alias(f"{c}{n}") for n in range(1, BLEU_ORDER + 1) for c in ("m", "h")], at(1, "r").alias("r1"),
+        F.count_if(F.col("n") == 1).alias("n_pairs"),
+        *[F.avg(F.when(F.col("n") == n, rouge)).alias(f"rouge{n}") for n in (1, 2)])
+    exact, smooth, k = [], [], F.lit(0)
+    for n in range(1, BLEU_ORDER + 1):
+        m, t = F.col(f"m{n}"), F.col(f"h{n}")
+        k = k + F.when((m == 0) & (t > 0), 1).otherwise(0)
+        exact.append(_div0(m, t))
+        smooth.append(F.when(t > 0, F.when(m > 0, m / t).otherwise(F.lit(1.0) / (F.pow(F.lit(2.0), k) * t))).otherwise(0.0))
+    c, r = F.col("h1"), F.col("r1")
+    short = F.when(c > r, F.lit(1.0)).when(c > 0, F.exp(1 - r / c)).otherwise(F.lit(0.0))
+    geo = lambda ps: F.when(F.least(*ps) > 0, F.exp(sum(F.log(p) for p in ps) / BLEU_ORDER)).otherwise(F.lit(0.0))
+    return sums.select(*by, F.round(geo(exact) * short * 100, digits).alias("bleu"),
+                       F.round(geo(smooth) * short * 100, digits).alias("sacrebleu"),
+                       *[F.round(F.col(f"rouge{n}") * 100, digits).alias(f"rouge{n}") for n in (1, 2)], "n_pairs")
+
+
 def corpus_scores(stats: DataFrame, by: list[str] | None = None, digits: int = 6) -> DataFrame:
     """All metrics x100 from summed statistics (one aggregate)."""
     by = by or []

@@ -2,9 +2,9 @@
 to "unknown" when its detector is unavailable; here a small lexicon scores
 each text).
 
-Plan: tokenize once -> explode -> broadcast join with the fixed lexicon (its
-size is bounded by this file) -> partial count per (row, language).  Only
-lexicon hits reach the shuffle, as per-row counts.
+Plan: each row is tokenized and its words are counted against the literal
+lexicons (their size is bounded by this file) where it is read: no row per word
+and no shuffle.
 """
 
 from __future__ import annotations
@@ -33,19 +33,19 @@ def words(text) -> Column:
     return F.split(F.lower(F.coalesce(t, F.lit(""))), WORD_SPLIT)
 
 
+def _hits(listed: Column) -> Column:
+    """How many of a row's words are listed."""
+    return F.size(F.filter("_words", lambda w: F.array_contains(listed, w))).cast("bigint")
+
+
 def lexicon_scores(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, s_<code>...) word counts per lexicon for every row of ``df``
     (rows without any hit get zeros)."""
-    spark = df.sparkSession
-    lex = spark.createDataFrame([(w, c) for c, ws in LEXICON.items() for w in ws],
-                                "word string, code string")
-    hits = (df.select(id_col, F.explode(words(text)).alias("word"))
-              .join(F.broadcast(lex), "word")
-              .groupBy(id_col).pivot("code", sorted(LEXICON)).count())
-    out = df.join(hits, id_col, "left")
+    out = df.withColumn("_words", words(text))
     for c in sorted(LEXICON):
-        out = out.withColumn(f"s_{c}", F.coalesce(F.col(c), F.lit(0)).cast("bigint")).drop(c)
-    return out
+        listed = F.array(*map(F.lit, LEXICON[c]))
+        out = out.withColumn(f"s_{c}", _hits(listed))
+    return out.drop("_words")
 
 
 def tag_languages(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:

@@ -39,9 +39,11 @@ def plan_generation(spark: SparkSession, source: DataFrame, existing: DataFrame,
 
 
 def ingest_responses(responses: DataFrame, script: str = "thai",
-                     min_chars: int = validate.MIN_TURN_CHARS) -> DataFrame:
+                     min_chars: int = validate.MIN_TURN_CHARS,
+                     existing: DataFrame | None = None) -> DataFrame:
     """K2: (batch_id, category, text, source_ids array<string>) -> one row per
-    parsed drill with id, source id and reason (null = accepted)."""
+    parsed drill with id, source id and reason (null = accepted).  Ids go on
+    after the rows of ``existing`` (column category): a second run repeats none."""
     el = responses.select("batch_id", "category", "source_ids",
                           F.posexplode(jsonx.extract_json_array("text")).alias("pos", "e"))
     el = el.where(jsonx.variant_kind("e") == "OBJECT")
@@ -50,8 +52,12 @@ def ingest_responses(responses: DataFrame, script: str = "thai",
     s = el.withColumn("turns", t).withColumn(
         "s_reason", validate.mtbench_structure_reason(F.col("turns"), ref, F.col("category")))
     ok = s.where(F.col("s_reason").isNull()).withColumn("_cat", normalize_category(F.col("category")))
-    ok = row_number_within(ok, ["_cat"], ["batch_id", "pos"], out="_rn") \
-        .withColumn("question_id", question_id(F.col("category"), F.col("_rn") - 1)).drop("_cat", "_rn")
+    ok = row_number_within(ok, ["_cat"], ["batch_id", "pos"], out="_rn")
+    if existing is not None:
+        had = existing.groupBy(normalize_category(F.col("category")).alias("_had")).agg(F.count(F.lit(1)).alias("_n"))
+        ok = ok.join(had, F.col("_cat").eqNullSafe(F.col("_had")), "left").withColumn(
+            "_rn", F.col("_rn") + F.coalesce("_n", F.lit(0))).drop("_had", "_n")
+    ok = ok.withColumn("question_id", question_id(F.col("category"), F.col("_rn") - 1)).drop("_cat", "_rn")
     out = ok.unionByName(s.where(F.col("s_reason").isNotNull())
                           .withColumn("question_id", F.lit(None).cast("string")))
     src = F.coalesce(F.try_element_at("source_ids", F.col("pos") + 1),

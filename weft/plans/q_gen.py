@@ -30,28 +30,52 @@ _MATCH = """
 m AS (SELECT hc.pair_id, hc.lang, hc.n, sum(least(hc.c, rc.c)) AS o
       FROM hc JOIN rc ON hc.pair_id = rc.pair_id AND hc.n = rc.n AND hc.g = rc.g GROUP BY ALL)"""
 
-_BLEU_SQL = f"""
+_BLEU_SUMS = f"""
 WITH {_PAIRS}, {_ngram_counts('h', 4)}, {_ngram_counts('r', 4)}, {_MATCH},
 tot AS (SELECT lang, sum(len(ht)) AS c, sum(len(rt)) AS r, count(*) AS n_pairs,
         {", ".join(f"sum(greatest(len(ht) - {n} + 1, 0)) AS t{n}" for n in range(1, 5))}
         FROM t GROUP BY lang),
 mm AS (SELECT lang, {", ".join(f"coalesce(sum(o) FILTER (WHERE n = {n}), 0) AS m{n}" for n in range(1, 5))}
        FROM m GROUP BY lang),
-pr AS (SELECT tot.lang, c, r, n_pairs,
+pr AS (SELECT tot.lang, c, r, n_pairs, t1, t2, t3, t4, m1, m2, m3, m4,
         {", ".join(f"CASE WHEN t{n} > 0 THEN coalesce(m{n}, 0) / t{n} ELSE 0.0 END AS p{n}" for n in range(1, 5))}
-       FROM tot LEFT JOIN mm USING (lang))
+       FROM tot LEFT JOIN mm USING (lang))"""
+
+_BLEU_SQL = _BLEU_SUMS + """
 SELECT lang, round(CASE WHEN least(p1, p2, p3, p4) > 0
     THEN exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0.0 END
   * (CASE WHEN c > r THEN 1.0 WHEN c > 0 THEN exp(1 - r / c) ELSE 0.0 END) * 100, 6) AS bleu,
   n_pairs
 FROM pr"""
 
+# The k-th order without a match counts as 1 / (2^k n-grams); without n-grams the score is 0.
+_SACRE_SQL = _BLEU_SUMS + """,
+z AS (SELECT *, CASE WHEN coalesce(m1, 0) = 0 THEN 1 ELSE 0 END AS z1, CASE WHEN coalesce(m2, 0) = 0 THEN 1 ELSE 0 END AS z2,
+             CASE WHEN coalesce(m3, 0) = 0 THEN 1 ELSE 0 END AS z3, CASE WHEN coalesce(m4, 0) = 0 THEN 1 ELSE 0 END AS z4 FROM pr),
+y AS (SELECT *, CASE WHEN z1 = 0 THEN p1 ELSE 1 / (2 ^ z1 * t1) END AS s1, CASE WHEN z2 = 0 THEN p2 ELSE 1 / (2 ^ (z1 + z2) * t2) END AS s2,
+             CASE WHEN z3 = 0 THEN p3 ELSE 1 / (2 ^ (z1 + z2 + z3) * t3) END AS s3,
+             CASE WHEN z4 = 0 THEN p4 ELSE 1 / (2 ^ (z1 + z2 + z3 + z4) * t4) END AS s4 FROM z)
+SELECT lang, round(CASE WHEN t4 > 0 THEN exp((ln(s1) + ln(s2) + ln(s3) + ln(s4)) / 4) ELSE 0.0 END
+  * (CASE WHEN c > r THEN 1.0 WHEN c > 0 THEN exp(1 - r / c) ELSE 0.0 END) * 100, 6) AS sacrebleu, n_pairs
+FROM y"""
+
+
+def _scores(spark, sf):
+    """Token n-gram metrics per language, as DataFrame aggregations."""
+    pairs = bindings.gen_pairs(spark, sf)
+    return G.ngram_scores(G.ngram_stats(pairs, "pair_id", ["lang"]), ["lang"])
+
 
 @query("bleu", sql=_BLEU_SQL)
 def bleu(spark, sf):
     """Corpus BLEU-4 x100 per hypothesis language."""
-    st = G.pair_stats(bindings.gen_pairs(spark, sf), families=("ngram",))
-    return G.corpus_scores(st, by=["lang"]).select("lang", "bleu", "n_pairs")
+    return _scores(spark, sf).select("lang", "bleu", "n_pairs")
+
+
+@query("sacrebleu", sql=_SACRE_SQL)
+def sacrebleu(spark, sf):
+    """A10: smoothed corpus BLEU-4 x100 per hypothesis language."""
+    return _scores(spark, sf).select("lang", "sacrebleu", "n_pairs")
 
 
 @query("rouge_n", sql=f"""
@@ -71,8 +95,7 @@ FROM f GROUP BY lang
 """)
 def rouge_n(spark, sf):
     """ROUGE-1/2 F x100, mean over pairs, per language."""
-    st = G.pair_stats(bindings.gen_pairs(spark, sf), families=("ngram",))
-    return G.corpus_scores(st, by=["lang"]).select("lang", "rouge1", "rouge2", "n_pairs")
+    return _scores(spark, sf).select("lang", "rouge1", "rouge2", "n_pairs")
 
 
 def _chars(expr: str) -> str:

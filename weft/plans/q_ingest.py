@@ -135,18 +135,23 @@ ing AS (SELECT conv_id, CAST(pos AS BIGINT) AS pos, category,
         FROM c)"""
 
 
-def _ingest(spark, sf):
+def _ingest(spark, sf, number: bool = True):
+    """Parsed drills with their reason; ``number=False`` leaves the ids out (and
+    with them the numbering's range shuffle and checkpoint)."""
     el = _elements(spark, sf).where(jsonx.variant_kind("e") == "OBJECT")
     t = jsonx.get("e", "$.turns", "array<string>")
     ref = jsonx.get("e", "$.reference", "array<variant>")
     s = el.withColumn("t", t).withColumn(
         "s_reason", V.mtbench_structure_reason(F.col("t"), ref, F.col("category")))
-    ok = s.where(F.col("s_reason").isNull()).withColumn("_cat", normalize_category(F.col("category")))
-    ok = row_number_within(ok, ["_cat"], ["conv_id", "pos"], out="_rn")
-    ok = (ok.withColumn("question_id", question_id(F.col("category"), F.col("_rn") - 1))
-            .drop("_cat", "_rn"))
-    bad = s.where(F.col("s_reason").isNotNull()).withColumn("question_id", F.lit(None).cast("string"))
-    allr = ok.unionByName(bad)
+    if number:
+        # Only the keys are numbered; the parsed columns don't go through the range shuffle.
+        ok = (s.where(F.col("s_reason").isNull())
+               .select("conv_id", "pos", "category", normalize_category(F.col("category")).alias("_cat")))
+        ids = row_number_within(ok, ["_cat"], ["conv_id", "pos"], out="_rn").select(
+            "conv_id", "pos", question_id(F.col("category"), F.col("_rn") - 1).alias("question_id"))
+        allr = s.join(ids, ["conv_id", "pos"], "left")
+    else:
+        allr = s.withColumn("question_id", F.lit(None).cast("string"))
     reason = F.coalesce("s_reason", V.mtbench_content_reason(F.col("t"), INGEST_SCRIPT))
     src = F.when(F.col("pos") < F.size("src_turns"),
                  (F.col("conv_id") * 100 + F.col("pos")).cast("string")) \
@@ -176,7 +181,7 @@ def ingest_yield(spark, sf):
     """Accepted / requested per category."""
     req = bindings.drills(spark, sf).groupBy("category").agg(
         F.sum(F.size("turns")).cast("bigint").alias("n_requested"))
-    acc = _ingest(spark, sf).groupBy("category").agg(F.count_if("accepted").alias("n_accepted"))
+    acc = _ingest(spark, sf, number=False).groupBy("category").agg(F.count_if("accepted").alias("n_accepted"))
     out = req.join(acc, "category", "left").withColumn(
         "n_accepted", F.coalesce("n_accepted", F.lit(0)).cast("bigint"))
     return out.withColumn("yield_rate", F.round(F.col("n_accepted") / F.col("n_requested"), 6))
@@ -240,7 +245,7 @@ def retry_plan(spark, sf):
     req = d.select("conv_id", "category",
                    F.posexplode("turns").alias("pos", "_t")).drop("_t") \
            .withColumn("pos", F.col("pos").cast("bigint"))
-    acc = _ingest(spark, sf).where("accepted").select("conv_id", "pos")
+    acc = _ingest(spark, sf, number=False).where("accepted").select("conv_id", "pos")
     failed = req.join(acc, ["conv_id", "pos"], "left_anti") \
                 .withColumn("_cat", normalize_category(F.col("category")))
     n = row_number_within(failed, ["_cat"], ["conv_id", "pos"], out="_rn")

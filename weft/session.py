@@ -57,6 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (where it is not installed there:
+    UDFs import it by name).  Once a session."""
+    import shutil
+    if getattr(spark, "_weft_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="weft-ship-"), "weft_package")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    spark._weft_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique directory under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark)

@@ -86,9 +86,13 @@ def verified_write(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     src = jvm.org.apache.hadoop.fs.Path(staging)
     dst = jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(conf)
-    if fs.exists(dst):
-        fs.rename(dst, jvm.org.apache.hadoop.fs.Path(staging + ".previous"))
+    previous = jvm.org.apache.hadoop.fs.Path(staging + ".previous")
+    had = fs.exists(dst)
+    if had and not fs.rename(dst, previous):
+        raise IOError(f"could not put {path} aside")
     if not fs.rename(src, dst):
+        if had:
+            fs.rename(previous, dst)          # the output is again what it was
         raise IOError(f"could not publish {staging} to {path}")
     return int(written)
 
