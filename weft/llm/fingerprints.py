@@ -104,9 +104,10 @@ def sample_terms(words: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """(keys, k, first, second): the packed minima of two weighted term sets
     (null: no terms).  ``words``: keys, txt and side (1 or 2) per text; already
     partitioned by the keys, so nothing is shuffled."""
-    term = F.xxhash64("word")
-    counts = (words.select(*keys, "side", F.explode(F.split(F.lower("txt"), r"\s+")).alias("word"))
-                   .filter(F.col("word") != "")
+    term = F.when(F.col("word").isNotNull(), F.xxhash64("word"))
+    bare = F.btrim(F.lower("txt"), F.lit(" \t\n\x0b\f\r"))
+    # A text without words gives one row without a term, so that each key stays.
+    counts = (words.select(*keys, "side", F.explode_outer(F.when(bare != "", F.split(bare, r"\s+"))).alias("word"))
                    .select(*keys, term.alias("term"), (F.col("side") == 1).cast("int").alias("one"))
                    .groupBy(*keys, "term").agg(F.sum("one").alias("n1"), F.sum(1 - F.col("one")).alias("n2")))
     logs = counts.select(*keys, "term", *[F.when(F.col(n) > 0, F.log(F.col(n).cast("double"))).alias(f"w{i}")
@@ -149,7 +150,8 @@ def fingerprint(docs: DataFrame, samples: int = 32, id_col: str = "doc_id", text
     facts = placed.select(*keys, "copy", "id", F.length("t").cast("long").alias("n_chars"),
                           F.sha2("edited_t", 256).alias("edited_sha256"))
     w = Window.partitionBy("bucket").orderBy("place")
-    joined = (facts.join(prints, keys, "left")
+    # Both sides come from one shuffle of the texts.
+    joined = (facts.join(prints, keys)
                    .withColumn("next_own", F.lead("own").over(w)))
     return (joined.filter(~F.col("copy")).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
