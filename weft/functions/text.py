@@ -59,11 +59,6 @@ def category_match_key(c) -> Column:
     return F.lower(normalize_category(c))
 
 
-def denormalize_category(c) -> Column:
-    """P1 inverse used on output: ``'_' -> ' '``."""
-    return F.replace(_c(c), F.lit("_"), F.lit(" "))
-
-
 def question_id(category, index) -> Column:
     """``drill_{cat}_{idx:04d}``; grows past four digits (no truncation)."""
     return F.format_string("drill_%s_%04d", normalize_category(category), _c(index))

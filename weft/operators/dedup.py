@@ -20,9 +20,10 @@ def text_key(c: Column) -> Column:
     """Shuffle key for a text: SHA-256 digest (32 bytes) instead of the text.
 
     Grouping on the digest keeps whole texts out of the shuffle; SHA-256 has
-    no known collisions, so equal digests mean equal texts.
+    no known collisions, so equal digests mean equal texts.  A null text is a
+    key of its own, not the empty text's.
     """
-    return F.unhex(F.sha2(F.coalesce(c, F.lit("")), 256))
+    return F.unhex(F.sha2(c, 256))
 
 
 def exact_dedup(df: DataFrame, key: str, order_col: str,

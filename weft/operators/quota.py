@@ -26,7 +26,7 @@ def remaining_quota(spark: SparkSession, existing: DataFrame, categories: list[s
                                 "ordinal int, category string")
     target = (F.lit(per) + F.when(F.col("ordinal") < rem, 1).otherwise(0)).cast("bigint")
     # the config side has k rows (bounded by configuration, not data)
-    return (F.broadcast(cfg).join(existing, "category", "left")
+    return (cfg.join(existing, "category", "left")
               .select("ordinal", "category", target.alias("target"),
                       F.coalesce("n_existing", F.lit(0)).cast("bigint").alias("n_existing"))
               .withColumn("remaining", F.greatest(F.lit(0).cast("bigint"),

@@ -70,9 +70,6 @@ def _response_lines(spark, sf):
                    F.expr("substring(_inner, 1, length(_inner) - 3)")).otherwise(F.col("_inner"))
     cid = F.when(F.pmod("item_id", F.lit(9)) == 0, F.concat(F.lit("item-x"), F.col("item_id").cast("string"))) \
            .otherwise(F.concat(F.lit("item-"), F.col("item_id").cast("string")))
-    line = F.concat(F.lit('{"custom_id": '), js(cid),
-                    F.lit(', "response": {"body": {"choices": [{"message": {"content": '),
-                    js(inner), F.lit("}}]}}}"))
     base = b.withColumn("_inner", F.concat(
         F.lit('{"question": '), js(F.col("text")), F.lit(', "choices": ["yes", "no"]}')))
     return base.select(F.concat(F.lit('{"custom_id": '), js(cid),
