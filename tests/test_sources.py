@@ -99,3 +99,30 @@ def test_run_partitions_audit_monitor_split(spark, tmp):
         ["original_text", "original_length", "truncated_text", "truncated_length"]
     jsonl.publish_split(df, os.path.join(tmp, "pub"))
     assert os.path.isdir(os.path.join(tmp, "pub", "split=test"))
+
+
+def test_scratch_folders_are_cleared(spark):
+    import os
+
+    from weft.session import clear_scratch, scratch_path
+    path = scratch_path(spark, "gone")
+    spark.range(5).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local) and clear_scratch(spark) >= 1 and not os.path.exists(local)
+
+
+def test_cluster_needs_a_shared_folder():
+    from weft.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
