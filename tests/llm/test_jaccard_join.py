@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from weft.llm.components import connected_components
-from weft.llm.jaccard_join import jaccard_components, shingles
+from weft.llm.jaccard_join import could_share, histogram, jaccard_components, shingles
 from weft.llm.queries import QUERIES
 
 
@@ -60,6 +60,15 @@ def test_shingles_are_the_sets():
     assert len(set(got[4].tolist()) & set(got[5].tolist())) == 0 and got[4].tolist() == got[10].tolist()
 
 
+def test_histograms_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+        b = np.unique(np.concatenate([a[:rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)]))
+        a = np.unique(a)
+        assert len(np.intersect1d(a, b)) <= could_share(histogram(a), histogram(b))
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

@@ -10,12 +10,13 @@ members of a group only if its overlap with the union could reach the threshold
    all documents: tasks count, a streamed sum per block of buckets follows.
    The table's size is fixed.  It only orders tokens (rare first), so its
    collisions cost time, never a link.
-2. Signatures: per document its class, two min-hashes and its *prefix*: two sets
-   with Jaccard >= t share one of their first |x| - ceil(t |x|) + 1 tokens in
-   any common order.
+2. Signatures: per document its class, two min-hashes, a *histogram* (how many
+   tokens fall on each of about n places) and its *prefix*: two sets with
+   Jaccard >= t share one of their first |x| - ceil(t |x|) + 1 tokens in any
+   common order.
 3. Groups.  Classes with an equal min-hash are compared with one pivot class of
-   theirs (a large family is one star, never all its pairs); those that link
-   form a provisional component.  A component is cut into blocks of at most
+   theirs (a large family is one star, never all its pairs); the components of
+   the links found are provisional.  A component is cut into blocks of at most
    ``block`` classes: the groups.
 4. Matrix.  Prefix tokens that occur in more than one component are the
    matrix's entries (token, group).  A class queries the groups of *larger*
@@ -23,10 +24,14 @@ members of a group only if its overlap with the union could reach the threshold
    components, so members of one component are never compared again.
 5. Opening.  Queries go to the groups' members, bounded blocks in streamed
    order; a group with many queries is dealt out with copies of its members.
-   Each group's union bounds the overlap before its members are looked at.
+   First with histograms: minima over the places bound the overlap with the
+   group's union and then with a member from above.  Only groups that could
+   qualify are opened with the whole sets, where the union's overlap is the
+   bound again.
 
-No link between different sets is lost, and none is dropped for size.  Text is
-shuffled once, and only for classes that share anything.
+Whole sets are made only for the classes that step needs, by one more scan that
+skips other texts by a fixed-size bit table of ids; texts are never shuffled.
+No link between different sets is lost, and none is dropped for size.
 
 Results: null, empty or blank texts have no tokens and link with nothing; a
 text with fewer words than ``words`` is one token; texts are read whole;
@@ -149,8 +154,21 @@ def token_sketch(rows: DataFrame, words: int, bits: int) -> np.ndarray:
     return total
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """How many tokens fall on each of 2^floor(log2 n) places, 16 at least."""
+    places = 1 << max(4, len(s).bit_length() - 1)
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & places - 1, minlength=places), 255).astype(np.uint8)
+
+
+def could_share(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the tokens that sets with these histograms share."""
+    places = min(len(a), len(b))
+    a, b = (x.reshape(-1, places).sum(axis=0, dtype=np.int64) if len(x) > places else x for x in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64)) if max(a.max(), b.max()) < 255 else 1 << 62
+
+
 def _signatures(rows: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """(id, n, c, h1, h2, prefix) of every document; c: its class."""
+    """(id, n, c, h1, h2, hist, prefix) of every document; c: its class."""
     sketch = np.minimum(token_sketch(rows, words, bits), 2**32 - 1).astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(sketch)       # 4 * 2^bits bytes
 
@@ -158,101 +176,141 @@ def _signatures(rows: DataFrame, words: int, percent: int, bits: int) -> DataFra
         sketch = shared.value
         for ids, sets in _sets(batches, words):
             n = [len(s) for s in sets]
-            c, h1, h2, prefix = [], [], [], []
+            c, h1, h2, hist, prefix = [], [], [], [], []
             for s in sets:
                 if not len(s):
-                    c.append(None)
-                    h1.append(None)
-                    h2.append(None)
+                    for column in (c, h1, h2, hist):
+                        column.append(None)
                     prefix.append(s)
                     continue
                 c.append(_class(s))
                 h1.append(int(s[0].view(np.int64)))
                 h2.append(int((_finish(s * _P)).min().view(np.int64)))
+                hist.append(histogram(s).tobytes())
                 order = np.argsort(sketch[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
                 prefix.append(s[order[:len(s) - _need(len(s), percent) + 1]])
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (c, h1, h2)),
+                [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (c, h1, h2)), pa.array(hist, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefix).view(np.int64)))], names=names)
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, c long, h1 long, h2 long, prefix array<long>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, c long, h1 long, h2 long, hist binary, prefix array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
     return rows.mapInArrow(run, schema)
 
 
-def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """(u, v): a linking member v of the group for each query u that has one.
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of common elements of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
 
-    Both sides: g, c, s (the set).  Rows come sorted by group, members first; a
-    group's members are held (bounded), its queries are streamed."""
-    rows = (members.select("g", F.lit(0).alias("role"), "c", "s")
-                   .unionAll(queries.select("g", F.lit(1).alias("role"), "c", "s"))
+class _Group:
+    """The members held of one group, with whole sets or with histograms."""
+
+    def __init__(self, percent: int, exact: bool):
+        self.percent, self.exact, self.members, self.union = percent, exact, [], None
+
+    def add(self, c: int, n: int, raw: bytes) -> None:
+        self.members.append((c, n, np.frombuffer(raw, np.uint64 if self.exact else np.uint8)))
+
+    def _bound(self) -> np.ndarray:
+        """The union of the sets, or the largest count of each place."""
+        if self.union is None:
+            if self.exact:
+                self.union = np.unique(np.concatenate([s for _, _, s in self.members]))
+            else:
+                places = min(len(s) for _, _, s in self.members)
+                folded = [np.minimum(s.reshape(-1, places).sum(axis=0, dtype=np.int64), 255) for _, _, s in self.members]
+                self.union = np.max(folded, axis=0)
+        return self.union
+
+    def first(self, c: int, n: int, raw: bytes) -> int | None:
+        """A member that links (that could link, with histograms) to the query."""
+        common = _shared if self.exact else could_share
+        s = np.frombuffer(raw, np.uint64 if self.exact else np.uint8)
+        if len(self.members) > 1 and common(s, self._bound()) < _need(n, self.percent):
+            return None
+        for d, m, t in self.members:
+            if c != d and min(n, m) * 100 >= max(n, m) * self.percent:
+                both = common(s, t)
+                if 100 * both >= self.percent * (n + m - both):
+                    return d
+        return None
+
+
+def _probe(members: DataFrame, queries: DataFrame, payload: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(u, v): for each query u of a group one of its members v that links.
+
+    members, queries: (g, c); payload: (c, n, s).  Rows come sorted by group,
+    members first; a group's members are held (bounded), its queries streamed."""
+    rows = (members.select("g", F.lit(0).alias("role"), "c").unionAll(queries.select("g", F.lit(1).alias("role"), "c"))
+                   .join(payload.select("c", "n", "s"), "c").select("g", "role", "c", "n", "s")
                    .repartition("g").sortWithinPartitions("g", "role", "c"))
 
     def run(batches):
-        group, held, union = None, [], None
+        group, held = None, None
         for batch in batches:
             u, v = [], []
-            for g, role, c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if g != group:
-                    group, held, union = g, [], None
+            numbers = [batch.column(k).to_pylist() for k in range(4)]
+            for g, role, c, n, raw in zip(*numbers, batch.column(4).to_pylist()):
+                if held is None or g != group:
+                    group, held = g, _Group(percent, exact)
                 if role == 0:
-                    held.append((c, s.copy()))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([m for _, m in held])) if held else np.zeros(0, np.uint64)
-                if len(held) > 1:                       # the matrix's bound for this group
-                    if _shared(s, union) < _need(len(s), percent):
-                        continue
-                for d, m in held:
-                    a, b = len(s), len(m)
-                    if min(a, b) * 100 < max(a, b) * percent or c == d:
-                        continue
-                    common = _shared(s, m)
-                    if 100 * common >= percent * (a + b - common):
+                    held.add(c, n, raw)
+                elif held.members:
+                    d = held.first(c, n, raw)
+                    if d is not None:
                         u.append(c)
                         v.append(d)
-                        break
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of common elements of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def _open(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, bits: int = 21) -> DataFrame:
+    """(c, n, s): the whole sets of the wanted classes (column c), made from the
+    text of one document each.  A table of 2^bits bits of hashed ids passes over
+    other texts; what it lets through by chance is taken out by the class."""
+    spark = rows.sparkSession
+    reps = _written(wanted.select("c").distinct().join(classes.select("c", "rep"), "c"))
+    place = F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")
+    marks = (reps.select(F.col("rep").alias("id")).select(F.shiftright(place, 6).alias("word"), bit.alias("b"))
+                 .groupBy("word").agg(F.bit_or("b").alias("b")))
+    table = np.zeros(1 << bits - 6, np.uint64)
+    for r in marks.collect():                               # 2^(bits - 6) rows at most
+        table[r.word] = np.uint64(r.b & (1 << 64) - 1)
+    shared = spark.sparkContext.broadcast(table)
 
-
-def _star(classes: DataFrame, sets: DataFrame, key: str, percent: int, deal: int) -> DataFrame:
-    """Links of single classes with the pivot of their min-hash group: the class
-    of the largest component, of the least number among equals."""
-    first = F.struct((-F.col("size")).alias("less"), "c")
-    pivot = (classes.groupBy(key).agg(F.min(first).alias("p"), F.count(F.lit(1)).alias("k"))
-                    .filter("k > 1").select(key, F.col("p.c").alias("pivot"), "k"))
-    pairs = (classes.filter("size = 1").join(pivot, key).filter("c != pivot")
-                    .select("c", "pivot", F.ceil(F.col("k") / deal).alias("deal"))
-                    .withColumn("g", F.xxhash64("pivot", F.pmod(F.xxhash64("c"), F.col("deal")))))
-    pairs = _written(pairs)
-    queries = pairs.join(sets, "c").select("g", "c", "s")
-    members = (pairs.select("g", F.col("pivot").alias("c")).distinct().join(sets, "c").select("g", "c", "s"))
-    return _written(_probe(members, queries, percent))
+    def run(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            kept = batch.take(pa.array(hit))
+            texts = wb.text_array(kept.column(2))
+            for a, n in wb.slices(texts):
+                sets = shingles(texts.slice(a, n), words)
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0).slice(a, n), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, c long, n long, s binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    made = rows.filter("id is not null").select("id", place.alias("at"), "t").mapInArrow(run, schema)
+    return _written(made.join(reps.select("c", F.col("rep").alias("id")), ["c", "id"], "left_semi").select("c", "n", "s"))
 
 
-def _regroup(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after links (u: a single class, v: its pivot)."""
-    target = links.join(classes.select(F.col("c").alias("v"), F.col("comp").alias("to")), "v").groupBy("u").agg(F.min("to").alias("to"))
-    moved = (classes.drop("size").join(target.withColumnRenamed("u", "c"), "c", "left")
-                    .withColumn("comp", F.coalesce("to", "comp")).drop("to"))
-    size = moved.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    return _written(moved.join(size, "comp"))
+def _grouped(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Classes with their provisional component and its size."""
+    placed = classes.join(joined, F.col("c") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "c").alias("comp"))
+    size = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    return _written(placed.join(size, "comp"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketch_bits: int = 20,
@@ -263,61 +321,58 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     signed = _written(_signatures(rows, words, percent, sketch_bits))
 
     # Classes of equal sets; equal texts anywhere are combined before the shuffle.
-    named = signed.filter("c is not null and id is not null")
-    classes = _written(named.groupBy("c", "n", "h1", "h2").agg(F.min("id").alias("rep"))
-                             .withColumn("comp", F.col("c")).withColumn("size", F.lit(1).cast("long")))
+    known = signed.filter("c is not null and id is not null")
+    classes = _written(known.groupBy("c", "n", "h1", "h2").agg(F.min("id").alias("rep")))
+    hists = known.join(classes.select("c", F.col("rep").alias("id")), ["c", "id"], "left_semi").select("c", "n", F.col("hist").alias("s"))
 
-    # Prefix tokens of more than one class, and the classes that share anything.
-    w = Window.partitionBy("token")
-    tokens = (named.select(F.explode("prefix").alias("token"), "c")
-                    .select("token", "c", F.min("c").over(w).alias("low"), F.max("c").over(w).alias("high"))
-                    .filter("low != high").select("token", "c"))
-    tokens = _written(tokens)
-    alike = [classes.join(classes.groupBy(h).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(h), h).select("c") for h in ("h1", "h2")]
-    wanted = tokens.select("c").unionAll(alike[0]).unionAll(alike[1]).distinct()
-    wanted = wanted.join(classes, "c").select("c", "rep")
-
-    def open_sets(batches):
-        for cs, sets in _sets(batches, words):
-            # Of several texts under one id, the class's own.
-            mine = [(c, s.tobytes()) for c, s in zip(cs.to_pylist(), sets) if len(s) and _class(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([s for _, s in mine], pa.binary())],
-                                             names=["c", "s"])
-
-    texts = rows.join(wanted, rows["id"] == wanted["rep"]).select("c", "t")
-    sets = _written(texts.mapInArrow(open_sets, "c long, s binary"))
-
-    # Provisional components: two star rounds over min-hash groups.
-    all_links = []
+    # Stars: each class and the pivots of its two min-hash groups.
+    stars = None
     for h in ("h1", "h2"):
-        links = _star(classes, sets, h, percent, deal)
-        all_links.append(links)
-        classes = _regroup(classes, links)
-
-    # The matrix: tokens of several components, and its groups.
-    placed = tokens.distinct().join(classes.select("c", "comp", "size", "n"), "c")
+        pivot = classes.groupBy(h).agg(F.min("c").alias("v"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        star = (classes.join(pivot, h).filter("c != v")
+                       .select("c", "v", F.xxhash64("v", F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / deal))).alias("g")))
+        stars = star if stars is None else stars.unionAll(star)
+    stars = _written(stars)
+
+    def test(pairs: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
+        held = pairs.select("g", F.col("v").alias("c")).distinct()
+        return _probe(held, pairs.select("g", "c").distinct(), payload, percent, exact)
+
+    likely = _written(test(stars, hists, False))
+    stars = stars.join(likely.select(F.col("u").alias("c"), "v").distinct(), ["c", "v"])
+    sets = _open(rows, classes, likely.select(F.col("u").alias("c")).unionAll(likely.select(F.col("v").alias("c"))), words)
+    links = _written(test(stars, sets, True))
+    classes = _grouped(classes, connected_components(links))
+
+    # The matrix: prefix tokens of several components, and the groups that hold them.
+    w = Window.partitionBy("token")
+    tokens = (known.select(F.explode("prefix").alias("token"), "c")
+                   .select("token", "c", F.min("c").over(w).alias("low"), F.max("c").over(w).alias("high"))
+                   .filter("low != high").select("token", "c").distinct())
+    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block)).alias("part")
+    placed = _written(tokens.join(classes.select("c", "comp", "size", "n", part), "c"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
-    placed = _written(placed.join(mixed, "token").withColumn(
-        "part", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block))))
+    placed = placed.join(mixed, "token")
     matrix = placed.groupBy("token", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     q = placed.select("token", "c", "n", F.col("comp").alias("qcomp"), F.col("size").alias("qsize"))
     bounds = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     larger = (F.col("qsize") < F.col("size")) | ((F.col("qsize") == F.col("size")) & (F.col("qcomp") > F.col("comp")))
     pairs = _written(q.join(matrix, "token").filter(larger & bounds).select("c", "comp", "part").distinct())
 
-    # Opening the groups.
-    load = pairs.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / deal).alias("deal"))
-    dealt = pairs.join(load, ["comp", "part"]).withColumn("d", F.pmod(F.xxhash64("c"), F.col("deal")))
-    g = F.xxhash64("comp", "part", "d").alias("g")
-    queries = dealt.select("c", g).join(sets, "c").select("g", "c", "s")
-    held = classes.select("c", "comp", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block)).alias("part"))
-    members = (load.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)))
-                   .join(held, ["comp", "part"]).select("c", g).join(sets, "c").select("g", "c", "s"))
-    links = _probe(members, queries, percent)
-
-    edges = links
-    for more in all_links:
-        edges = edges.unionAll(more)
+    def open_groups(pairs: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
+        load = pairs.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / deal).alias("deal"))
+        g = F.xxhash64("comp", "part", "d").alias("g")
+        queries = pairs.join(load, ["comp", "part"]).withColumn("d", F.pmod(F.xxhash64("c"), F.col("deal"))).select("c", g)
+        members = (load.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)))
+                       .join(classes.select("c", "comp", part), ["comp", "part"]).select("c", g))
+        return _probe(members, queries, payload, percent, exact)
+
+    likely = _written(open_groups(pairs, hists, False))
+    pairs = _written(likely.join(classes.select(F.col("c").alias("v"), "comp", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block)).alias("part")), "v")
+                           .select(F.col("u").alias("c"), "comp", "part").distinct())
+    needed = pairs.select("c").unionAll(pairs.select("comp", "part").distinct().join(
+        classes.select("c", "comp", part), ["comp", "part"]).select("c"))
+    edges = links.unionAll(open_groups(pairs, _open(rows, classes, needed, words), True))
     joined = connected_components(edges)
 
     # Least id of each component, then every document's.
