@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
                                          names=["n", "seen"])
 
     # Two fixed-size count tables for each of the sample's few tasks.
-    parts = sample.select("y", "t").coalesce(_SAMPLE_TASKS).mapInArrow(count, "n long, seen binary").collect()
+    parts = sample.select("y", "t").coalesce(_SAMPLE_TASKS).mapInArrow(wb.trimmed(count), "n long, seen binary").collect()
     seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
     for k, p in enumerate(parts):
         seen[k % 2] += np.frombuffer(p.seen, np.int32)
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
         w, b = _fit(rows, ratio[chosen], l2, steps)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
-    fitted = sample.select("y", "t").coalesce(1).mapInArrow(fit, "w binary, b double").first()
+    fitted = sample.select("y", "t").coalesce(1).mapInArrow(wb.trimmed(fit), "w binary, b double").first()
     weights[chosen] = np.frombuffer(fitted.w, np.float64) * ratio[chosen]
     # The sample's classes are not in the labels' proportion.
     shift = np.log(prior / (1 - prior)) - np.log(n[1] / n[0])
@@ -228,5 +228,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql.types import DoubleType, StructType
     schema = StructType([*docs.schema.fields]).add("score", DoubleType())
-    scored = docs.mapInArrow(run, schema)
+    scored = docs.mapInArrow(wb.trimmed(run), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
