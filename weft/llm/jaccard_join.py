@@ -10,18 +10,18 @@ members of a group only if its overlap with the union could reach the threshold
    all documents: tasks count, a streamed sum per block of buckets follows.
    The table's size is fixed.  It only orders tokens (rare first), so its
    collisions cost time, never a link.
-2. Signatures: per document its class, two min-hashes, a *histogram* (how many
+2. Signatures: per document its class, some min-hashes, a *histogram* (how many
    tokens fall on each of about n places) and its *prefix*: two sets with
    Jaccard >= t share one of their first |x| - ceil(t |x|) + 1 tokens in any
    common order.
 3. Groups.  Classes with an equal min-hash are compared with one pivot class of
    theirs (a large family is one star, never all its pairs); the components of
-   the links found are provisional.  A component is cut into blocks of at most
-   ``block`` classes: the groups.
+   the links found are provisional.  The classes of a min-hash, in blocks of at
+   most ``block``, are the matrix's groups.
 4. Matrix.  Prefix tokens that occur in more than one component are the
-   matrix's entries (token, group).  A class queries the groups of *larger*
-   components with which it shares one; a single link is enough to join two
-   components, so members of one component are never compared again.
+   matrix's entries (token, group).  A class queries the groups with which it
+   shares one and that hold a *larger* component than its own; a single link is
+   enough to join two components, so members of one are never compared again.
 5. Opening.  Queries go to the groups' members, bounded blocks in streamed
    order; a group with many queries is dealt out with copies of its members.
    First with histograms: minima over the places bound the overlap with the
@@ -58,6 +58,11 @@ from weft.session import scratch_path
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = 64
+#: Bytes of text whose words are held in memory together.
+_SLICE = 2 << 20
+#: Columns of the min-hashes.  Each gives a class one more pivot to be compared
+#: with; the first one also makes the matrix's groups.
+_MIN_HASHES = ("h1", "h2", "h3", "h4")
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -118,7 +123,7 @@ def _written(df: DataFrame, name: str = "jaccard") -> DataFrame:
 def _sets(batches, words):
     for batch in batches:
         texts = wb.text_array(batch.column(1))
-        for a, n in wb.slices(texts):
+        for a, n in wb.slices(texts, _SLICE):
             yield batch.column(0).slice(a, n), shingles(texts.slice(a, n), words)
 
 
@@ -147,7 +152,7 @@ def token_sketch(rows: DataFrame, words: int, bits: int) -> np.ndarray:
 
     raw_types = {4: np.int32, 8: np.int64}
     schema = "block int, seen binary"
-    parts = rows.mapInArrow(count, schema).repartition(_BLOCKS, "block").mapInArrow(add, schema)
+    parts = rows.mapInArrow(wb.trimmed(count), schema).repartition(_BLOCKS, "block").mapInArrow(wb.trimmed(add), schema)
     total = np.zeros(1 << bits, np.int64)
     for r in parts.collect():                      # fixed size: 8 * 2^bits bytes
         total[r.block * size:(r.block + 1) * size] = np.frombuffer(r.seen, np.int64)
@@ -168,7 +173,7 @@ def could_share(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _signatures(rows: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """(id, n, c, h1, h2, hist, prefix) of every document; c: its class."""
+    """(id, n, c, min-hashes, hist, prefix) of every document; c: its class."""
     sketch = np.minimum(token_sketch(rows, words, bits), 2**32 - 1).astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(sketch)       # 4 * 2^bits bytes
 
@@ -176,27 +181,27 @@ def _signatures(rows: DataFrame, words: int, percent: int, bits: int) -> DataFra
         sketch = shared.value
         for ids, sets in _sets(batches, words):
             n = [len(s) for s in sets]
-            c, h1, h2, hist, prefix = [], [], [], [], []
+            c, mins, hist, prefix = [], [[] for _ in _MIN_HASHES], [], []
             for s in sets:
                 if not len(s):
-                    for column in (c, h1, h2, hist):
+                    for column in (c, *mins, hist):
                         column.append(None)
                     prefix.append(s)
                     continue
                 c.append(_class(s))
-                h1.append(int(s[0].view(np.int64)))
-                h2.append(int((_finish(s * _P)).min().view(np.int64)))
+                for k, column in enumerate(mins):
+                    column.append(int(_finish(s + np.uint64(k) * _P).min().view(np.int64)))
                 hist.append(histogram(s).tobytes())
                 order = np.argsort(sketch[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
                 prefix.append(s[order[:len(s) - _need(len(s), percent) + 1]])
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (c, h1, h2)), pa.array(hist, pa.binary()),
+                [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (c, *mins)), pa.array(hist, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefix).view(np.int64)))], names=names)
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, c long, h1 long, h2 long, hist binary, prefix array<long>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, c long, {', '.join(f'{h} long' for h in _MIN_HASHES)}, hist binary, prefix array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(wb.trimmed(run), schema)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -216,61 +221,67 @@ class _Group:
     def __init__(self, percent: int, exact: bool):
         self.percent, self.exact, self.members, self.union = percent, exact, [], None
 
-    def add(self, c: int, n: int, raw: bytes) -> None:
-        self.members.append((c, n, np.frombuffer(raw, np.uint64 if self.exact else np.uint8)))
+    def add(self, c: int, n: int, raw: bytes, size: int, comp: int) -> None:
+        self.members.append((c, n, np.frombuffer(raw, np.uint64 if self.exact else np.uint8), size, comp))
 
     def _bound(self) -> np.ndarray:
         """The union of the sets, or the largest count of each place."""
         if self.union is None:
             if self.exact:
-                self.union = np.unique(np.concatenate([s for _, _, s in self.members]))
+                self.union = np.unique(np.concatenate([m[2] for m in self.members]))
             else:
-                places = min(len(s) for _, _, s in self.members)
-                folded = [np.minimum(s.reshape(-1, places).sum(axis=0, dtype=np.int64), 255) for _, _, s in self.members]
+                places = min(len(m[2]) for m in self.members)
+                folded = [np.minimum(s.reshape(-1, places).sum(axis=0, dtype=np.int64), 255) for _, _, s, _, _ in self.members]
                 self.union = np.max(folded, axis=0)
         return self.union
 
-    def first(self, c: int, n: int, raw: bytes) -> int | None:
-        """A member that links (that could link, with histograms) to the query."""
+    def links(self, c: int, n: int, raw: bytes, size: int, comp: int) -> list[int]:
+        """A member of each larger component that links to the query; with
+        histograms one member that could."""
         common = _shared if self.exact else could_share
         s = np.frombuffer(raw, np.uint64 if self.exact else np.uint8)
         if len(self.members) > 1 and common(s, self._bound()) < _need(n, self.percent):
-            return None
-        for d, m, t in self.members:
-            if c != d and min(n, m) * 100 >= max(n, m) * self.percent:
-                both = common(s, t)
-                if 100 * both >= self.percent * (n + m - both):
-                    return d
-        return None
+            return []
+        out, seen = [], {comp}
+        for d, m, t, d_size, d_comp in self.members:
+            if d_comp in seen or (d_size, -d_comp) < (size, -comp) or min(n, m) * 100 < max(n, m) * self.percent:
+                continue
+            both = common(s, t)
+            if 100 * both >= self.percent * (n + m - both):
+                out.append(d)
+                seen.add(d_comp)
+                if not self.exact:
+                    break
+        return out
 
 
 def _probe(members: DataFrame, queries: DataFrame, payload: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """(u, v): for each query u of a group one of its members v that links.
+    """(u, v): for each query u of a group a member v of each larger component
+    that links to it.
 
-    members, queries: (g, c); payload: (c, n, s).  Rows come sorted by group,
+    members, queries: (g, c, size, comp); payload: (c, n, s).  Rows come sorted by group,
     members first; a group's members are held (bounded), its queries streamed."""
-    rows = (members.select("g", F.lit(0).alias("role"), "c").unionAll(queries.select("g", F.lit(1).alias("role"), "c"))
-                   .join(payload.select("c", "n", "s"), "c").select("g", "role", "c", "n", "s")
+    rows = (members.select("g", F.lit(0).alias("role"), "c", "size", "comp")
+                   .unionAll(queries.select("g", F.lit(1).alias("role"), "c", "size", "comp"))
+                   .join(payload.select("c", "n", "s"), "c").select("g", "role", "c", "n", "size", "comp", "s")
                    .repartition("g").sortWithinPartitions("g", "role", "c"))
 
     def run(batches):
         group, held = None, None
         for batch in batches:
             u, v = [], []
-            numbers = [batch.column(k).to_pylist() for k in range(4)]
-            for g, role, c, n, raw in zip(*numbers, batch.column(4).to_pylist()):
+            for g, role, c, n, size, comp, raw in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if held is None or g != group:
                     group, held = g, _Group(percent, exact)
                 if role == 0:
-                    held.add(c, n, raw)
+                    held.add(c, n, raw, size, comp)
                 elif held.members:
-                    d = held.first(c, n, raw)
-                    if d is not None:
+                    for d in held.links(c, n, raw, size, comp):
                         u.append(c)
                         v.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(wb.trimmed(run), "u long, v long")
 
 
 def _open(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, bits: int = 21) -> DataFrame:
@@ -294,7 +305,7 @@ def _open(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, bi
             hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             kept = batch.take(pa.array(hit))
             texts = wb.text_array(kept.column(2))
-            for a, n in wb.slices(texts):
+            for a, n in wb.slices(texts, _SLICE):
                 sets = shingles(texts.slice(a, n), words)
                 yield pa.RecordBatch.from_arrays(
                     [kept.column(0).slice(a, n), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()),
@@ -302,15 +313,19 @@ def _open(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, bi
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, c long, n long, s binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    made = rows.filter("id is not null").select("id", place.alias("at"), "t").mapInArrow(run, schema)
+    made = rows.filter("id is not null").select("id", place.alias("at"), "t").mapInArrow(wb.trimmed(run), schema)
     return _written(made.join(reps.select("c", F.col("rep").alias("id")), ["c", "id"], "left_semi").select("c", "n", "s"))
 
 
-def _grouped(classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Classes with their provisional component and its size."""
+def _grouped(classes: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """Classes with their provisional component, its size, and their group: a
+    block of the classes with their first min-hash."""
     placed = classes.join(joined, F.col("c") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "c").alias("comp"))
     size = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    return _written(placed.join(size, "comp"))
+    first = _MIN_HASHES[0]
+    many = placed.groupBy(first).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    group = F.xxhash64(first, F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("g")
+    return _written(placed.join(size, "comp").join(many, first).select("c", "n", "rep", "comp", "size", group))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketch_bits: int = 20,
@@ -322,12 +337,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
 
     # Classes of equal sets; equal texts anywhere are combined before the shuffle.
     known = signed.filter("c is not null and id is not null")
-    classes = _written(known.groupBy("c", "n", "h1", "h2").agg(F.min("id").alias("rep")))
+    classes = _written(known.groupBy("c", "n", *_MIN_HASHES).agg(F.min("id").alias("rep")))
     hists = known.join(classes.select("c", F.col("rep").alias("id")), ["c", "id"], "left_semi").select("c", "n", F.col("hist").alias("s"))
 
-    # Stars: each class and the pivots of its two min-hash groups.
+    # Stars: each class and the pivots of its min-hashes.
     stars = None
-    for h in ("h1", "h2"):
+    for h in _MIN_HASHES:
         pivot = classes.groupBy(h).agg(F.min("c").alias("v"), F.count(F.lit(1)).alias("k")).filter("k > 1")
         star = (classes.join(pivot, h).filter("c != v")
                        .select("c", "v", F.xxhash64("v", F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / deal))).alias("g")))
@@ -335,43 +350,43 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
     stars = _written(stars)
 
     def test(pairs: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
-        held = pairs.select("g", F.col("v").alias("c")).distinct()
-        return _probe(held, pairs.select("g", "c").distinct(), payload, percent, exact)
+        one, two = F.lit(1).alias("size"), F.lit(2).alias("size")            # the pivot counts as larger
+        held = pairs.select("g", F.col("v").alias("c"), two, F.col("v").alias("comp")).distinct()
+        return _probe(held, pairs.select("g", "c", one, F.col("c").alias("comp")).distinct(), payload, percent, exact)
 
     likely = _written(test(stars, hists, False))
     stars = stars.join(likely.select(F.col("u").alias("c"), "v").distinct(), ["c", "v"])
     sets = _open(rows, classes, likely.select(F.col("u").alias("c")).unionAll(likely.select(F.col("v").alias("c"))), words)
     links = _written(test(stars, sets, True))
-    classes = _grouped(classes, connected_components(links))
+    classes = _grouped(classes, connected_components(links), block)
 
     # The matrix: prefix tokens of several components, and the groups that hold them.
     w = Window.partitionBy("token")
     tokens = (known.select(F.explode("prefix").alias("token"), "c")
                    .select("token", "c", F.min("c").over(w).alias("low"), F.max("c").over(w).alias("high"))
                    .filter("low != high").select("token", "c").distinct())
-    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block)).alias("part")
-    placed = _written(tokens.join(classes.select("c", "comp", "size", "n", part), "c"))
+    placed = _written(tokens.join(classes.select("c", "comp", "size", "n", "g"), "c"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
     placed = placed.join(mixed, "token")
-    matrix = placed.groupBy("token", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q = placed.select("token", "c", "n", F.col("comp").alias("qcomp"), F.col("size").alias("qsize"))
-    bounds = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    larger = (F.col("qsize") < F.col("size")) | ((F.col("qsize") == F.col("size")) & (F.col("qcomp") > F.col("comp")))
-    pairs = _written(q.join(matrix, "token").filter(larger & bounds).select("c", "comp", "part").distinct())
+    rank = F.struct("size", F.bitwise_not("comp").alias("x"))
+    matrix = placed.groupBy("token", F.col("g").alias("mg")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(rank).alias("top"))
+    near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+    pairs = _written(placed.join(matrix, "token").filter(near & (F.col("top") > rank))
+                           .select("c", "size", "comp", F.col("mg").alias("g")).distinct())
 
     def open_groups(pairs: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
-        load = pairs.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / deal).alias("deal"))
-        g = F.xxhash64("comp", "part", "d").alias("g")
-        queries = pairs.join(load, ["comp", "part"]).withColumn("d", F.pmod(F.xxhash64("c"), F.col("deal"))).select("c", g)
+        load = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / deal).alias("deal"))
+        dealt = lambda d: F.xxhash64("g", d).alias("g")
+        queries = pairs.join(load, "g").select("c", "size", "comp", dealt(F.pmod(F.xxhash64("c"), F.col("deal"))))
         members = (load.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)))
-                       .join(classes.select("c", "comp", part), ["comp", "part"]).select("c", g))
+                       .join(classes.select("c", "size", "comp", "g"), "g").select("c", "size", "comp", dealt(F.col("d"))))
         return _probe(members, queries, payload, percent, exact)
 
     likely = _written(open_groups(pairs, hists, False))
-    pairs = _written(likely.join(classes.select(F.col("c").alias("v"), "comp", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / block)).alias("part")), "v")
-                           .select(F.col("u").alias("c"), "comp", "part").distinct())
-    needed = pairs.select("c").unionAll(pairs.select("comp", "part").distinct().join(
-        classes.select("c", "comp", part), ["comp", "part"]).select("c"))
+    hit = likely.join(classes.select(F.col("c").alias("v"), "g"), "v").select(F.col("u").alias("c"), "g").distinct()
+    pairs = _written(pairs.join(hit, ["c", "g"], "left_semi"))
+    needed = pairs.select("c").unionAll(pairs.select("g").distinct().join(classes.select("c", "g"), "g").select("c"))
     edges = links.unionAll(open_groups(pairs, _open(rows, classes, needed, words), True))
     joined = connected_components(edges)
 
