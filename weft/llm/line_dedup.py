@@ -1,24 +1,30 @@
-"""Line dedup over content-defined chunks, in DataFrame functions only.
+"""Line dedup over shared pairs of lines, in DataFrame functions only.
 
 A text is cut into lines: at line ends, and within a line after each sentence,
-so that a passage can be found wherever it stands.  A rolling hash over the
-last two line hashes decides after which lines a chunk ends (about one in
-``divisor``); it starts anew at each line end, and a physical line of several
-sentences is always a boundary on both sides.  Boundaries depend on nearby content alone, so an insertion shifts none
-beyond its neighbours and shared passages are cut alike in all their documents.
+so that a passage can be found wherever it stands.  Every two neighbouring lines
+are a unit, so each shared passage of two lines or more is made of units that
+are shared, and no boundary between chunks can miss it.
 
-A chunk whose hash occurs more than once in the corpus is a candidate.  The
+A unit whose hash occurs more than once in the corpus is a candidate.  The
 candidates' bytes are compared (smallest against largest content of the hash,
 combined map-side): a hash with different contents is dropped.  The first
-occurrence, by id and place, stays.  In every document, runs of neighbouring
-repeated chunks of at least two lines and ``min_words`` words are removed; what
-remains is byte for byte as it was.
-
-Plan.  Rows of the two large steps are one number pair a chunk (counting, then
-the join with the repeated hashes, where a frequent chunk's rows are split by
+occurrence, by id and place, stays.  In every document, the lines of repeated
+units that overlap are a run; runs of ``min_words`` words are removed, from the
+first shared line to the last; what remains is byte for byte as it was.  Each
+line removed stands in an earlier place, so the first of all equal lines stays.
+
+With a ``divisor`` the units are chunks instead, fewer but with gaps: a rolling
+hash over the last two line hashes decides after which lines a chunk ends (about
+one in ``divisor``); it starts anew at each line end, and a physical line of
+several sentences is always a boundary on both sides.  A run then is one of
+neighbouring repeated chunks of at least two lines, and passages inside running
+text are found in part only.
+
+Plan.  Rows of the two large steps are one number pair a unit (counting, then
+the join with the repeated hashes, where a frequent unit's rows are split by
 adaptive execution); texts are shuffled by document only, and contents only of
-repeated chunks, after map-side minima and maxima.  The repeated occurrences
-are a written table.  Nothing is gathered but a document's own chunks.
+repeated units, after map-side minima and maxima.  The repeated occurrences
+are a written table.  Nothing is gathered but a document's own units.
 
 Results: a null or empty text stays as it is; a text of any length is treated
 whole; rows with the same id and text count as one occurrence and are treated
@@ -121,21 +127,81 @@ def removals(docs: DataFrame, divisor: int, min_words: int) -> DataFrame:
     return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("_a", "_b"))).alias("_cuts"))
 
 
-def line_dedup(docs: DataFrame, divisor: int = 3, min_words: int = 25,
+def _units(docs: DataFrame) -> DataFrame:
+    """(_id, _th, _j, _k, _c): a row for every ``_k`` neighbouring lines from
+    line ``_j`` on, with their hash."""
+    own = docs.filter(F.coalesce(F.col("_t"), F.lit("")) != "").select("_id", "_th", F.transform(
+        lines(F.col("_t")), lambda x: F.xxhash64(F.btrim(x, F.lit(_BLANK)))).alias("_h"))
+    pairs = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), lambda x, i: F.struct(
+        i.alias("_j"), F.lit(2).alias("_k"), F.xxhash64(x, F.get("_h", i + 1)).alias("_c")))
+    return own.select("_id", "_th", F.inline(pairs))
+
+
+def _words(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(F.size(F.split(line, "[ \t]+")))
+
+
+def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, cuts): per document with repeated passages the runs of lines
+    to remove, as (first line, line after the last), in order and disjoint."""
+    spark = docs.sparkSession
+    units = _units(docs)
+    often = units.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_c")
+    path = scratch_path(spark, "line-dedup")
+    units.join(often, "_c").write.parquet(path)
+    repeated = spark.read.parquet(path)
+
+    # The contents of the repeated units, from their documents.
+    wanted = repeated.groupBy("_id", "_th").agg(F.collect_set(F.struct("_j", "_k", "_c")).alias("_w"))
+    wanted = wanted.select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), "_w")
+    joined = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_wid"]) & (docs["_th"] == wanted["_wth"]))
+    own = joined.select("_id", "_th", "_w", F.transform(lines(F.col("_t")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("_u"))
+    each = own.select("_id", "_th", "_u", F.inline("_w")).select(
+        "_id", "_th", "_j", "_c", F.array_join(F.slice("_u", F.col("_j") + 1, F.col("_k")), "\n").alias("_text"))
+    path = scratch_path(spark, "line-dedup")
+    first = F.struct("_id", "_th", "_j")
+    parts = F.split("_low", "\n")
+    (each.groupBy("_c").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"), F.min(first).alias("_first"))
+         .filter(F.col("_low") == F.col("_high"))
+         .select("_c", "_first", _words(F.get(parts, F.lit(0))).alias("_w1"),
+                 F.coalesce(_words(F.get(parts, F.lit(1))), F.lit(0)).alias("_w2")).write.parquet(path))
+    kept = spark.read.parquet(path)
+
+    # Every other occurrence goes if the run of units that overlap is long enough.
+    later = (repeated.distinct().join(kept, "_c")
+             .filter(~(F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._th") == F.col("_th"))
+                       & (F.col("_first._j") == F.col("_j")))))
+    w = Window.partitionBy("_id", "_th").orderBy("_j", "_k")
+    end = F.max(F.col("_j") + F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    placed = later.select("_id", "_th", "_j", "_k", "_w1", "_w2", F.coalesce(end, F.lit(0)).alias("_end"))
+    fresh = F.col("_end") <= F.col("_j")
+    added = F.when(fresh, F.col("_w1") + F.col("_w2")).when(F.col("_end") <= F.col("_j") + 1, F.col("_w2")).otherwise(0)
+    runs = (placed.select("_id", "_th", "_j", "_k", added.alias("_words"), F.sum(fresh.cast("int")).over(w).alias("_run"))
+                  .groupBy("_id", "_th", "_run")
+                  .agg(F.min("_j").alias("a"), F.max(F.col("_j") + F.col("_k")).alias("b"), F.sum("_words").alias("_words"))
+                  .filter(F.col("_words") >= min_words))
+    return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
+
+
+def line_dedup(docs: DataFrame, divisor: int | None = None, min_words: int = 25,
                id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` without repeated passages; ``removed_col`` adds the number of
     lines removed."""
     keyed = _keyed(docs, id_col, text_col)
-    cuts = removals(keyed, divisor, min_words).select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), "_cuts")
+    found = shared_runs(keyed, min_words) if divisor is None else removals(keyed, divisor, min_words)
+    cuts = found.select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), "_cuts")
     base = docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(text_col)})
     joined = base.join(cuts, base["_id"].eqNullSafe(cuts["_rid"]) & (base["_th"] == cuts["_rth"]), "left").drop("_rid", "_rth")
     # A document without cuts isn't cut into lines at all.
     work = joined.withColumn("_t", F.when(F.col("_cuts").isNotNull(), F.col(text_col)))
-    work = _chunked(work, divisor)
-    # Runs of at least two lines, as lines: (first, end).
-    work = work.withColumn("_cuts", F.filter(
-        F.transform("_cuts", lambda c: F.struct(F.get("_s", c["_a"]).alias("a"), F.get("_s", c["_b"] + 1).alias("b"))),
-        lambda r: r["b"] - r["a"] >= 2))
+    if divisor is None:
+        work = work.withColumn("_u", lines(F.col("_t"))).withColumn("_n", F.size("_u"))
+    else:
+        work = _chunked(work, divisor)
+        # Runs of at least two lines, as lines: (first, end).
+        work = work.withColumn("_cuts", F.filter(
+            F.transform("_cuts", lambda c: F.struct(F.get("_s", c["_a"]).alias("a"), F.get("_s", c["_b"] + 1).alias("b"))),
+            lambda r: r["b"] - r["a"] >= 2))
     m = F.size("_cuts")
     kept = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda k: F.slice(
         F.col("_u"),

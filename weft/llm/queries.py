@@ -70,7 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.line_dedup import line_dedup
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return line_dedup(docs, divisor=3, min_words=25, removed_col="removed_lines")
+    return line_dedup(docs, min_words=25, removed_col="removed_lines")
 
 
 @query
