@@ -3,7 +3,9 @@
 import random
 import re
 
-from weft.llm.line_dedup import line_dedup
+from pyspark.sql import functions as F
+
+from weft.llm.line_dedup import _with_lines, line_dedup
 
 
 def sentences(rng, words, size):
@@ -62,3 +64,46 @@ def test_pairs_against_brute_force(spark):
                 gone.update(range(j, k + 1))
             j = max(k, j + 1)
         assert have[i] == "".join(x for n, x in enumerate(u) if n not in gone)
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+
+def test_one_line_passages(spark):
+    """Repeated lines without a sentence end inside, each on a line of its own."""
+    rng = random.Random(8)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(120))
+    thai = "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(220))
+    passages = [" ".join(words(rng, 26)), " ".join(words(rng, 55)), " | ".join(words(rng, 55)), " ".join(words(rng, 60)).upper(),
+                "- " + ", ".join(words(rng, 55)), han, "".join(c + "。" * (k % 20 == 19) for k, c in enumerate(han[::-1])), thai]
+    rows = []
+    for n, p in enumerate(passages):
+        rows += [(i, sentences(rng, 30, 9).strip() + "\n" + p + "\n" + sentences(rng, 30, 9)) for i in (n, 100 + n)]
+    short = " ".join(words(rng, 24)), han[:40]
+    rows += [(i, sentences(rng, 30, 9).strip() + "\n" + s + "\n" + sentences(rng, 30, 9)) for k, s in enumerate(short) for i in (200 + k, 300 + k)]
+    have = removed(spark, rows)
+    for i, t in rows:
+        assert have[i] == (t.replace(passages[i - 100] + "\n", "") if 100 <= i < 200 else t)
+
+
+def test_passages_inside_long_lines_without_sentences(spark):
+    """What is cut at places chosen by hash: most of the passage goes."""
+    rng = random.Random(10)
+    rows, passages = [], []
+    for n in range(20):
+        passages.append(" ".join(words(rng, 120)) + " ")
+        rows += [(i, " ".join(words(rng, 80)) + " " + passages[n] + " ".join(words(rng, 80))) for i in (n, 100 + n)]
+    have = removed(spark, rows)
+    assert all(have[i] == t for i, t in rows if i < 100)
+    gone = [len(t) - len(have[i]) for i, t in rows if i >= 100]
+    assert sum(gone) > 0.85 * sum(map(len, passages)) and all(g <= len(p) for g, p in zip(gone, passages))
+
+
+def test_fine_lines_keep_every_byte(spark):
+    rng = random.Random(11)
+    rows = [("",), ("a| b|c\t" * 60,), ("x" * 5000,), ("中" * 400 + "。" + "文 " * 300,), ("\x01" + "y " * 400,), ("🙂é" * 300 + "\r\n",),
+            (" ".join(words(rng, 3000)),)]
+    docs = _with_lines(spark.createDataFrame(rows, "_t string"))
+    assert docs.filter(F.array_join("_u", "") != F.col("_t")).count() == 0
+    assert docs.filter(F.length("_t") > 10_000).select(F.size("_u")).first()[0] > 300

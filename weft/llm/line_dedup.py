@@ -1,9 +1,13 @@
 """Line dedup over shared pairs of lines, in DataFrame functions only.
 
 A text is cut into lines: at line ends, and within a line after each sentence,
-so that a passage can be found wherever it stands.  Every two neighbouring lines
-are a unit, so each shared passage of two lines or more is made of units that
-are shared, and no boundary between chunks can miss it.
+so that a passage can be found wherever it stands; a line of over ``LONG`` bytes
+is cut further, by its own content (see ``_with_lines``).  Every two neighbouring
+lines are a unit, so each shared passage of two lines or more is made of units
+that are shared, and no boundary between chunks can miss it; a line of
+``min_words`` words is also a unit by itself.  Words stand between blanks; in
+scripts without spaces two characters (of Thai, Lao, Khmer or Burmese four)
+count as a word.
 
 A unit whose hash occurs more than once in the corpus is a candidate.  The
 candidates' bytes are compared (smallest against largest content of the hash,
@@ -42,6 +46,13 @@ from weft.session import scratch_path
 _CUT = "\x01"
 _BLANK = " \t\r\n"
 
+#: Bytes above which a line is cut further: fewer than 50 words have as a rule.
+LONG = 200
+#: Signs after which long lines are cut, before one is cut at places chosen by hash.
+_SIGNS = r"(?<=[,;:)\]] )|(?<=[\t|。！？；，、।۔؟…])"
+#: Characters of scripts without spaces, by the number of them that make a word.
+_UNSPACED = {2: r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", 4: r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"}
+
 
 def lines(text: Column) -> Column:
     """Lines and sentences with their ends; joined they are the text."""
@@ -52,6 +63,40 @@ def lines(text: Column) -> Column:
     return F.filter(cut, lambda x: x != "")
 
 
+def _by_hash(piece: Column) -> Column:
+    """A piece cut where a hash of the three characters before says so: after
+    about one space in 5, or without spaces after about one character in 16.
+    One that holds the control character used for cutting stays whole."""
+    def cut(ends) -> Column:
+        def one(chars: Column) -> Column:
+            def marked(c: Column, i: Column) -> Column:
+                rolled = F.xxhash64(F.get(chars, i - 2), F.get(chars, i - 1), c)
+                return F.when(ends(c, rolled), F.concat(c, F.lit(_CUT))).otherwise(c)
+            return F.split(F.array_join(F.transform(chars, marked), ""), _CUT)
+        # The characters are bound once, not once for each of them.
+        return F.flatten(F.transform(F.array(F.split(piece, "")), one))
+
+    return (F.when(F.contains(piece, F.lit(_CUT)), F.array(piece))
+             .when(F.contains(F.btrim(piece, F.lit(_BLANK)), F.lit(" ")),
+                   cut(lambda c, rolled: (c == " ") & (F.pmod(rolled, F.lit(5)) == 0)))
+             .otherwise(cut(lambda c, rolled: F.pmod(rolled, F.lit(16)) == 0)))
+
+
+def _over(lines_: Column, cut) -> Column:
+    """Each line of over ``LONG`` bytes replaced by its parts."""
+    is_long = lambda x: F.octet_length(x) > LONG
+    return F.when(F.exists(lines_, is_long), F.flatten(F.transform(
+        lines_, lambda x: F.when(is_long(x), cut(x)).otherwise(F.array(x))))).otherwise(lines_)
+
+
+def _with_lines(docs: DataFrame) -> DataFrame:
+    """Adds _u: the lines of ``_t``, long ones cut further at signs, and what is
+    still long at places chosen by a hash.  Whether and where a line is cut
+    depends on it alone, so equal lines are cut alike.  Joined they are ``_t``."""
+    at_signs = docs.withColumn("_u", lines(F.col("_t"))).withColumn("_u", _over(F.col("_u"), lambda x: F.split(x, _SIGNS)))
+    return at_signs.withColumn("_u", F.filter(_over(F.col("_u"), _by_hash), lambda x: x != ""))
+
+
 def _chunked(docs: DataFrame, divisor: int) -> DataFrame:
     """Adds _u (lines), _h (their hashes) and _s (first line of each chunk, and
     last the number of lines) to rows with a text ``_t``."""
@@ -127,25 +172,36 @@ def removals(docs: DataFrame, divisor: int, min_words: int) -> DataFrame:
     return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("_a", "_b"))).alias("_cuts"))
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """(_id, _th, _j, _k, _c): a row for every ``_k`` neighbouring lines from
-    line ``_j`` on, with their hash."""
-    own = docs.filter(F.coalesce(F.col("_t"), F.lit("")) != "").select("_id", "_th", F.transform(
-        lines(F.col("_t")), lambda x: F.xxhash64(F.btrim(x, F.lit(_BLANK)))).alias("_h"))
-    pairs = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), lambda x, i: F.struct(
-        i.alias("_j"), F.lit(2).alias("_k"), F.xxhash64(x, F.get("_h", i + 1)).alias("_c")))
-    return own.select("_id", "_th", F.inline(pairs))
-
-
 def _words(line: Column) -> Column:
-    return F.when(line == "", 0).otherwise(F.size(F.split(line, "[ \t]+")))
+    """Words of a line: those between blanks, or by characters where that is more."""
+    spaced = F.when(line == "", 0).otherwise(F.size(F.split(line, "[ \t]+")))
+    unspaced = [F.length(F.regexp_replace(line, f"[^{kind}]", "")) / n for n, kind in _UNSPACED.items()]
+    return F.when(F.octet_length(line) == F.length(line), spaced).otherwise(
+        F.greatest(spaced, F.ceil(sum(unspaced, F.lit(0))).cast("int")))
+
+
+def _units(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, _j, _k, _c): a row for every two neighbouring lines from line
+    ``_j`` on (``_k`` = 2) and every line of ``min_words`` words (``_k`` = 1),
+    with their hash."""
+    own = _with_lines(docs.filter(F.coalesce(F.col("_t"), F.lit("")) != "")).select("_id", "_th", F.transform(
+        "_u", lambda x: F.btrim(x, F.lit(_BLANK))).alias("_u"))
+    own = own.withColumn("_h", F.transform("_u", lambda x: F.xxhash64(x)))
+    unit = lambda i, k, *h: F.struct(i.alias("_j"), F.lit(k).alias("_k"), F.xxhash64(*h).alias("_c"))
+    pairs = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), lambda x, i: unit(i, 2, x, F.get("_h", i + 1)))
+    # Blanks are counted first: few lines are cut into words.
+    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\t"), F.lit("")))
+    enough = lambda x: (F.when(F.octet_length(x) < 2 * min_words - 1, False)
+                         .when((blanks(x) >= min_words - 1) | (F.octet_length(x) != F.length(x)), _words(x) >= min_words).otherwise(False))
+    alone = F.filter(F.transform("_u", lambda x, i: F.when(enough(x), unit(i, 1, F.get("_h", i)))), lambda x: x.isNotNull())
+    return own.select("_id", "_th", F.inline(F.concat(pairs, alone)))
 
 
 def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(_id, _th, cuts): per document with repeated passages the runs of lines
     to remove, as (first line, line after the last), in order and disjoint."""
     spark = docs.sparkSession
-    units = _units(docs)
+    units = _units(docs, min_words)
     often = units.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_c")
     path = scratch_path(spark, "line-dedup")
     units.join(often, "_c").write.parquet(path)
@@ -155,7 +211,7 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
     wanted = repeated.groupBy("_id", "_th").agg(F.collect_set(F.struct("_j", "_k", "_c")).alias("_w"))
     wanted = wanted.select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), "_w")
     joined = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_wid"]) & (docs["_th"] == wanted["_wth"]))
-    own = joined.select("_id", "_th", "_w", F.transform(lines(F.col("_t")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("_u"))
+    own = _with_lines(joined.select("_id", "_th", "_w", "_t")).select("_id", "_th", "_w", F.transform("_u", lambda x: F.btrim(x, F.lit(_BLANK))).alias("_u"))
     each = own.select("_id", "_th", "_u", F.inline("_w")).select(
         "_id", "_th", "_j", "_c", F.array_join(F.slice("_u", F.col("_j") + 1, F.col("_k")), "\n").alias("_text"))
     path = scratch_path(spark, "line-dedup")
@@ -164,7 +220,7 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
     (each.groupBy("_c").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"), F.min(first).alias("_first"))
          .filter(F.col("_low") == F.col("_high"))
          .select("_c", "_first", _words(F.get(parts, F.lit(0))).alias("_w1"),
-                 F.coalesce(_words(F.get(parts, F.lit(1))), F.lit(0)).alias("_w2")).write.parquet(path))
+                 F.when(F.size(parts) > 1, _words(F.get(parts, F.lit(1)))).otherwise(0).alias("_w2")).write.parquet(path))
     kept = spark.read.parquet(path)
 
     # Every other occurrence goes if the run of units that overlap is long enough.
@@ -195,7 +251,7 @@ def line_dedup(docs: DataFrame, divisor: int | None = None, min_words: int = 25,
     # A document without cuts isn't cut into lines at all.
     work = joined.withColumn("_t", F.when(F.col("_cuts").isNotNull(), F.col(text_col)))
     if divisor is None:
-        work = work.withColumn("_u", lines(F.col("_t"))).withColumn("_n", F.size("_u"))
+        work = _with_lines(work).withColumn("_n", F.size("_u"))
     else:
         work = _chunked(work, divisor)
         # Runs of at least two lines, as lines: (first, end).
