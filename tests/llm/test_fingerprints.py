@@ -85,3 +85,18 @@ def test_one_shuffle_of_texts_and_no_python(spark):
     plan = fingerprint(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
     assert fingerprint(docs).filter(F.col("near_edited") > 1).count() == 0
+
+
+def test_error_of_the_production_setting(spark):
+    """The registered query: root mean square error against the exact likeness,
+    within a tenth of the 0.0625 that 64 samples have at a likeness of 0.5."""
+    from weft.llm.queries import QUERIES
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in QUERIES["op10_fingerprints"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    errors = []
+    for n, (i, t) in enumerate(docs):
+        exact = jaccard(t, edit(t, docs[(n + 1) % len(docs)][1]))
+        errors.append(got[i].near_edited - exact)
+        assert len(got[i].fingerprint) == 8 * 64
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 1.1 * 0.0625

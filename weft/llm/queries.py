@@ -63,7 +63,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.fingerprints import fingerprint
-    return fingerprint(table(spark, sf_dir, "documents", "doc_id", "text"), samples=24)
+    return fingerprint(table(spark, sf_dir, "documents", "doc_id", "text"), samples=64)
 
 
 @query
