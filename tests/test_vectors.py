@@ -32,3 +32,18 @@ def test_knn_recall_on_planted_neighbours(spark):
     assert len(want) > 50
     recall = len(got & want) / len(want)
     assert recall >= 0.9, recall
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """400 pairs of cosine 0.851: 32 bands of 12 bits lose about 15 of them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        rows += [(i, a.tolist()), (1000 + i, (0.851 * a + (1 - 0.851 ** 2) ** 0.5 * b).tolist())]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "v"]))
+    got = {(r.id, r.neighbor_id) for r in vectors.knn(df, "id", "v", dim=64).collect()}
+    assert all((i, 1000 + i) in got and (1000 + i, i) in got for i in range(400))

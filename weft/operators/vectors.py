@@ -4,13 +4,16 @@ Candidates come from random-hyperplane LSH: ``bands`` x ``rows`` sign bits
 per vector (hyperplanes are a fixed-seed constant of size bands*rows*dim,
 bounded by configuration), one bucket key per band, an equi-join per band.
 Candidates are verified with the exact cosine; precision is exact, recall is
-probabilistic (at t = 0.85 and 32 x 12 bits, a pair at the threshold is
-found with probability ~0.96, closer pairs more often).  The best ``k`` per
+probabilistic: the number of bands is set from ``miss``, the probability that a
+pair at the threshold is lost (1e-8: 181 bands of 12 bits at t = 0.85; closer
+pairs are lost less often).  The best ``k`` per
 vector is a window keyed by the vector (many small groups).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +35,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bands_for(threshold: float, rows: int, miss: float) -> int:
+    """Least number of bands with which a pair at the threshold is lost with at
+    most the probability ``miss``."""
+    same = (1 - math.acos(threshold) / math.pi) ** rows
+    return max(1, math.ceil(math.log(miss) / math.log1p(-same))) if same < 1 else 1
+
+
 def lsh_udf(dim: int, bands: int, rows: int, seed: int):
     """Pandas UDF: array<double> -> one bucket key per band (sign bits of the
     projections on fixed-seed hyperplanes; one matrix product per batch)."""
@@ -51,8 +61,10 @@ def lsh_udf(dim: int, bands: int, rows: int, seed: int):
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, dim: int, threshold: float = 0.85,
-        k: int = 8, bands: int = 32, rows: int = 12, seed: int = 7) -> DataFrame:
-    """(id, neighbor_id, cosine, rank) for neighbours with cosine >= threshold."""
+        k: int = 8, bands: int | None = None, rows: int = 12, seed: int = 7, miss: float = 1e-8) -> DataFrame:
+    """(id, neighbor_id, cosine, rank) for neighbours with cosine >= threshold.
+    ``bands`` is found from ``miss`` if it isn't given."""
+    bands = bands_for(threshold, rows, miss) if bands is None else bands
     # Null and zero vectors, and vectors of another length, have no cosine.
     able = df.filter((F.size(vec_col) == dim) & F.exists(vec_col, lambda x: x != 0)
                      & F.forall(vec_col, lambda x: x.isNotNull()))
