@@ -98,3 +98,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.ann import nearest
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0, top=20)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import periodic_runs as R
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return R.digest(R.periodic_runs(R.with_repeats(docs), min_words=12))
