@@ -81,13 +81,15 @@ def test_matrix_is_the_table_of_counts(spark, tmp_path):
     A.shards(docs, "id", "text", "part", 10, "#", shard_bytes=12).write.parquet(f"{tmp_path}/s")
     own = spark.read.parquet(f"{tmp_path}/s")
     assert own.count() > 3
-    words = A.vocabulary(own.select("words"), f"{tmp_path}/v")
-    number = {r.word: r.number for r in words.collect()}
-    assert sorted(number) == ["a", "b", "c", "é"] and sorted(number.values()) == [0, 1, 2, 3]
+    A.numbers(own, bucket_words=12).write.parquet(f"{tmp_path}/n")
+    numbered = spark.read.parquet(f"{tmp_path}/n")
+    assert numbered.select("bucket").distinct().count() > 1
+    number = {r.word: r.number for r in A.vocabulary(numbered).collect()}
+    assert sorted(number) == ["a", "b", "c", "é"] and len(set(number.values())) == 4
     word = {n: w for w, n in number.items()}
     got = {}
-    for r in A.matrix(own, words).collect():
-        ptr, cols, n = np.frombuffer(r.indptr, np.int32), np.frombuffer(r.indices, np.int64), np.frombuffer(r.counts, np.int32)
+    for r in A.matrix(own, numbered).collect():
+        ptr, cols, n = np.frombuffer(r.indptr, np.int64), np.frombuffer(r.indices, np.int64), np.frombuffer(r.counts, np.int32)
         for k, d in enumerate(r.docs):
             assert (np.diff(cols[ptr[k]:ptr[k + 1]]) > 0).all()
             got[d.id] = {word[c]: m for c, m in zip(cols[ptr[k]:ptr[k + 1]], n[ptr[k]:ptr[k + 1]])}
@@ -95,7 +97,9 @@ def test_matrix_is_the_table_of_counts(spark, tmp_path):
 
 
 def test_facts_count_code_points():
-    texts = ["ÄÖ éa AB", "", "x|", "É" * 30 + "ABCD", "É" * 36 + "ABCD"]
-    *_, c, d, hashes = A._shard(pa.array(texts), 10, "|")
-    assert c.tolist() == [True, False, False, True, False] and d.tolist() == [False, False, True, False, False]
-    assert len(set(hashes)) == 5
+    texts = pa.array(["ÄÖ éa AB", "", "x|", "É" * 30 + "ABCD", "É" * 36 + "ABCD"])
+    shard = A._Shard()
+    shard.add(pa.array(range(5)), pa.array(["p"] * 5), texts, 10, "|")
+    facts = shard.row(1).column("docs").flatten()
+    assert facts.field("c").to_pylist() == [True, False, False, True, False]
+    assert facts.field("d").to_pylist() == [False, False, True, False, False] and len(set(facts.field("hash").to_pylist())) == 5

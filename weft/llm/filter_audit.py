@@ -16,10 +16,11 @@ Plan.
 1. ``shards``: one narrow scan.  Some megabytes of texts become one shard of the
    matrix in compressed sparse row form (row pointers, columns, counts) over a
    dictionary of its own, beside the facts C, D and a hash of each text.
-2. ``vocabulary``: the shards' dictionaries, made distinct, are numbered without
-   gaps: a word counts once a shard, so a frequent word is no hot key.
-3. ``matrix``: each shard's columns get the global numbers.  Only dictionaries
-   are joined by word; the counts move once.
+2. ``numbers``: the shards' dictionaries are cut into buckets by a hash of the
+   word; a bucket goes through one task in the order of its shards, which numbers
+   its distinct words.  A word counts once a shard, so a frequent word is no hot
+   key, and a bucket's rows are read one shard at a time.
+3. ``matrix``: each shard's columns get the global numbers; the counts move once.
 4. ``flags``: row sums give A, numbers of stored entries B.
 5. The rest is small: one row of 5 flags a document.  Rows of one text, part and
    label are merged before every shuffle, so a text that a third of the table
@@ -40,112 +41,171 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import wordbpe as wb
-from weft.llm.words import split
+from weft.llm.words import hashes, split
 from weft.session import scratch_path
 
 FILTERS = "ABCDE"
-#: Bytes of text in one shard (a longer text is one alone).
-SHARD_BYTES = 8 << 20
+#: Bytes of text in one shard, and of those that are cut into words together (a
+#: longer text alone).  Dictionary entries in one bucket, about.
+SHARD_BYTES, _SLICE, BUCKET_WORDS = 32 << 20, 2 << 20, 500_000
 _DOC = "array<struct<id:{id},part:string,c:boolean,d:boolean,hash:binary>>"
 
 
 def _row_facts(raw: np.ndarray, ends: np.ndarray, upper_percent: int, signs: str):
     """Per text: C and D."""
     def per_text(mask):
-        return np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[ends])
-    upper = per_text((raw >= 65) & (raw <= 90))
-    points = per_text((raw & 0xC0) != 0x80)
+        return np.diff(np.append(0, np.cumsum(mask, dtype=np.int32))[ends])
+    upper = per_text((raw >= 65) & (raw <= 90)).astype(np.int64)
+    points = per_text((raw & 0xC0) != 0x80).astype(np.int64)
     marked = np.zeros(256, bool)
     marked[list(signs.encode("ascii"))] = True
     return 100 * upper > upper_percent * points, per_text(marked[raw]) > 0
 
 
-def _shard(texts: pa.Array, upper_percent: int, signs: str) -> tuple:
-    """(indptr, indices, counts, dictionary, c, d, hashes) of some texts."""
-    words = split(texts)
-    size = max(1, len(words.distinct))
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-    cells, counts = np.unique(owner * size + words.codes, return_counts=True)
-    indptr = np.searchsorted(cells, np.arange(len(texts) + 1) * size)
-    c, d = _row_facts(words.raw, words.ends, upper_percent, signs)
-    data = memoryview(words.raw)
-    hashes = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(words.ends, words.ends[1:])]
-    return (indptr.astype(np.int32), (cells % size).astype(np.int32), counts.astype(np.int32), words.distinct, c, d, hashes)
+class _Shard:
+    """A shard while its texts are read."""
+
+    def __init__(self):
+        self.bytes = self.entries = 0
+        self.rows, self.columns, self.counts, self.words, self.facts = [], [], [], [], []
+
+    def add(self, ids: pa.Array, parts: pa.Array, texts: pa.Array, upper_percent: int, signs: str) -> None:
+        words = split(texts)
+        size = max(1, len(words.distinct))
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
+        cells, counts = np.unique(owner * size + words.codes, return_counts=True)
+        self.rows.append(np.bincount(cells // size, minlength=len(texts)))
+        self.columns.append((cells % size + self.entries).astype(np.int32))
+        self.counts.append(counts.astype(np.int32))
+        self.words.append(words.distinct)
+        self.entries += len(words.distinct)
+        self.bytes += len(words.raw)
+        c, d = _row_facts(words.raw, words.ends, upper_percent, signs)
+        data = memoryview(words.raw)
+        prints = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(words.ends, words.ends[1:])]
+        self.facts.append(pa.StructArray.from_arrays([ids, parts, pa.array(c), pa.array(d), pa.array(prints, pa.binary())],
+                                                     names=["id", "part", "c", "d", "hash"]))
+
+    def row(self, number: int) -> pa.RecordBatch:
+        merged = pa.concat_arrays(self.words).dictionary_encode()
+        columns = np.asarray(merged.indices, np.int32)[np.concatenate(self.columns)]
+        indptr = np.append(0, np.cumsum(np.concatenate(self.rows))).astype(np.int64)
+        facts = pa.concat_arrays(self.facts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (indptr, columns, np.concatenate(self.counts))),
+             _joined(merged.dictionary, np.array([0, len(merged.dictionary)])), pa.array([len(merged.dictionary)]),
+             pa.ListArray.from_arrays(pa.array([0, len(facts)], pa.int32()), facts)],
+            names=["shard", "indptr", "indices", "counts", "words", "n_words", "docs"])
+
+
+def _joined(words: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Runs of words as one text each (no word has a space)."""
+    lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), words)
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, upper_percent: int, signs: str,
            shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(shard, indptr, indices, counts, words, docs): the matrix by shards, columns
-    as places in the shard's own ``words``."""
+    """(shard, indptr, indices, counts, words, n_words, docs): the matrix by shards,
+    columns as places in the shard's own ``words``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.col(text_col).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 32
+        number, shard = TaskContext.get().partitionId() << 32, _Shard()
         for batch in batches:
             texts = wb.text_array(batch.column(2)).fill_null("")
-            for a, m in wb.slices(texts, shard_bytes):
-                indptr, indices, counts, distinct, c, d, hashes = _shard(texts.slice(a, m), upper_percent, signs)
-                facts = pa.StructArray.from_arrays(
-                    [batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(c), pa.array(d), pa.array(hashes, pa.binary())],
-                    names=["id", "part", "c", "d", "hash"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (indptr, indices, counts)),
-                     pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string())),
-                     pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), facts)],
-                    names=["shard", "indptr", "indices", "counts", "words", "docs"])
-                number += 1
-
-    return rows.mapInArrow(wb.trimmed(run), "shard long, indptr binary, indices binary, counts binary, words array<string>, docs "
+            for a, m in wb.slices(texts, min(_SLICE, shard_bytes)):
+                shard.add(batch.column(0).slice(a, m), batch.column(1).slice(a, m), texts.slice(a, m), upper_percent, signs)
+                if shard.bytes >= shard_bytes:
+                    yield shard.row(number)
+                    number, shard = number + 1, _Shard()
+        if shard.facts:
+            yield shard.row(number)
+
+    return rows.mapInArrow(wb.trimmed(run), "shard long, indptr binary, indices binary, counts binary, words string, n_words long, docs "
                            + _DOC.format(id=kind))
 
 
-def vocabulary(matrix_shards: DataFrame, path: str) -> DataFrame:
-    """(word, number): every word of the shards once, numbered from 0.  The words
-    are written first, so numbers don't change if a task runs again; what comes
-    to the driver is one count for each written part."""
-    spark = matrix_shards.sparkSession
-    (matrix_shards.select(F.explode("words").alias("word")).distinct()
-                  .select("word", F.monotonically_increasing_id().alias("at")).write.parquet(path))
-    words = spark.read.parquet(path)
-    part = F.shiftright("at", 33)
-    sizes = sorted((r.p, r.n) for r in words.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    if not sizes:
-        return words.select("word", F.col("at").alias("number"))
-    before = np.append(0, np.cumsum([n for _, n in sizes]))
-    base = {p: int(b) for (p, _), b in zip(sizes, before)}
-    first = F.array(*[F.lit(base.get(p, 0)).cast("long") for p in range(sizes[-1][0] + 1)])
-    return words.select("word", (F.get(first, part.cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
-
-
-def matrix(matrix_shards: DataFrame, words: DataFrame) -> DataFrame:
+def numbers(matrix_shards: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """(shard, bucket, places, ranks, fresh): the word at ``places`` in the shard's
+    dictionary has the global number bucket * 2^32 + its rank.  ``fresh`` has the
+    words that no earlier shard has, by rank.  The rows of a bucket are numbered in
+    one fixed order, so a task that runs again gives the same numbers."""
+    entries = matrix_shards.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(1, -(-entries // bucket_words))
+
+    def cut(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = split(batch.column(1).slice(k, 1)).words
+                home = (hashes(words) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                bounds = np.searchsorted(home[order], np.arange(buckets + 1))
+                held = np.flatnonzero(np.diff(bounds))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held), pa.array(np.full(len(held), batch.column(0)[k].as_py()), pa.int64()),
+                     pa.array([order[bounds[b]:bounds[b + 1]].astype(np.int32).tobytes() for b in held], pa.binary()),
+                     _joined(words.take(pa.array(order)), np.append(bounds[held], bounds[-1]))],
+                    names=["bucket", "shard", "places", "words"])
+
+    def number(batches):
+        bucket, known = None, {}
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                b = batch.column(0)[k].as_py()
+                if b != bucket:
+                    bucket, known = b, {}
+                words, before = batch.column(3)[k].as_py().split(" "), len(known)
+                ranks = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+                out.append((ranks.tobytes(), " ".join(w for w, r in zip(words, ranks) if r >= before)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(0), batch.column(2), pa.array([x for x, _ in out], pa.binary()),
+                 pa.array([x for _, x in out], pa.string())], names=["shard", "bucket", "places", "ranks", "fresh"])
+
+    rows = matrix_shards.select("shard", "words").mapInArrow(wb.trimmed(cut), "bucket long, shard long, places binary, words string")
+    return (rows.repartition("bucket").sortWithinPartitions("bucket", "shard")
+                .mapInArrow(wb.trimmed(number), "shard long, bucket long, places binary, ranks binary, fresh string"))
+
+
+def vocabulary(numbered: DataFrame) -> DataFrame:
+    """(word, number) of every word, from ``numbers``."""
+    # The shards before one in its bucket hold the lower ranks.
+    first = F.sum(F.when(F.col("fresh") == "", 0).otherwise(F.size(F.split("fresh", " ")))).over(
+        Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return (numbered.filter("fresh != ''").withColumn("first", F.coalesce(first, F.lit(0)))
+                    .select("bucket", "first", F.posexplode(F.split("fresh", " ")).alias("k", "word"))
+                    .select("word", (F.shiftleft("bucket", 32) + F.col("first") + F.col("k")).alias("number")))
+
+
+def matrix(matrix_shards: DataFrame, numbered: DataFrame) -> DataFrame:
     """(shard, indptr, indices, counts, docs): columns are the words' global
     numbers (64 bits), ascending in each row."""
-    spots = matrix_shards.select("shard", F.posexplode("words").alias("place", "word"))
-    numbers = (spots.join(words, "word").groupBy("shard")
-                    .agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("x"))
-                    .select("shard", F.col("x.number").alias("numbers")))
-    joined = matrix_shards.select("shard", "indptr", "indices", "counts", "docs").join(numbers, "shard", "left")
+    held = numbered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "places", "ranks")).alias("numbers"))
+    joined = matrix_shards.select("shard", "indptr", "indices", "counts", "docs", "n_words").join(held, "shard", "left")
     kind = matrix_shards.schema["docs"].dataType.elementType["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, indptr, indices, counts = (batch.column(x)[k].as_py() for x in range(4))
-                held = batch.column(5).slice(k, 1)
-                globals_ = np.asarray(held.flatten(), np.int64) if held.null_count == 0 else np.zeros(0, np.int64)
-                ptr, cols, n = (np.frombuffer(x, np.int32) for x in (indptr, indices, counts))
-                cols = globals_[cols]
-                order = np.lexsort((cols, np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))))
+                indptr, indices, counts = (np.frombuffer(batch.column(x)[k].as_py(), t) for x, t in
+                                           ((1, np.int64), (2, np.int32), (3, np.int32)))
+                of_word = np.zeros(batch.column(5)[k].as_py(), np.int64)
+                for x in batch.column(6)[k].as_py() or []:
+                    of_word[np.frombuffer(x["places"], np.int32)] = (x["bucket"] << 32) + np.frombuffer(x["ranks"], np.int32).astype(np.int64)
+                columns = of_word[indices]
+                order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([indptr], pa.binary()), pa.array([cols[order].tobytes()], pa.binary()),
-                     pa.array([n[order].tobytes()], pa.binary()), batch.column(4).slice(k, 1)],
+                    [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([columns[order].tobytes()], pa.binary()),
+                     pa.array([counts[order].tobytes()], pa.binary()), batch.column(4).slice(k, 1)],
                     names=["shard", "indptr", "indices", "counts", "docs"])
 
     return joined.mapInArrow(wb.trimmed(run), "shard long, indptr binary, indices binary, counts binary, docs " + _DOC.format(id=kind))
@@ -159,7 +219,7 @@ def flags(csr: DataFrame, min_words: int, distinct_percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ptr = np.frombuffer(batch.column(0)[k].as_py(), np.int32)
+                ptr = np.frombuffer(batch.column(0)[k].as_py(), np.int64)
                 counts = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
                 total = np.diff(np.append(0, np.cumsum(counts, dtype=np.int64))[ptr])
                 distinct = np.diff(ptr).astype(np.int64)
@@ -222,12 +282,11 @@ def audit(docs: DataFrame, labels: DataFrame, min_words: int = 100, distinct_per
           signs: str = "#$%&*|", id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost,
     toxic_lost, shapley); ``labels``: id_col, quality, toxic.  Reads the texts once
-    and writes the shards, the vocabulary and the matrix to scratch folders."""
+    and writes the shards and the words' numbers to scratch folders."""
     spark = docs.sparkSession
     path = scratch_path(spark, "filter-audit")
     shards(docs, id_col, text_col, part_col, upper_percent, signs).write.parquet(f"{path}/shards")
     own = spark.read.parquet(f"{path}/shards")
-    words = vocabulary(own.select("words"), f"{path}/vocabulary")
-    matrix(own, words).write.parquet(f"{path}/matrix")
-    csr = spark.read.parquet(f"{path}/matrix")
+    numbers(own).write.parquet(f"{path}/numbers")
+    csr = matrix(own, spark.read.parquet(f"{path}/numbers"))
     return orders_table(outcomes(flags(csr, min_words, distinct_percent), labels, id_col))
