@@ -52,7 +52,7 @@ from weft.session import scratch_path
 FILTERS = "ABCDE"
 #: Bytes of text in one shard, and of those that are cut into words together (a
 #: longer text alone).  Dictionary entries in one bucket, about.
-SHARD_BYTES, _SLICE, BUCKET_WORDS = 32 << 20, 2 << 20, 500_000
+SHARD_BYTES, _SLICE, BUCKET_WORDS = 16 << 20, 2 << 20, 500_000
 _DOC = "array<struct<id:{id},part:string,c:boolean,d:boolean,hash:binary>>"
 
 
@@ -188,7 +188,7 @@ def vocabulary(numbered: DataFrame) -> DataFrame:
 
 def matrix(matrix_shards: DataFrame, numbered: DataFrame) -> DataFrame:
     """(shard, indptr, indices, counts, docs): columns are the words' global
-    numbers (64 bits), ascending in each row."""
+    numbers (64 bits)."""
     held = numbered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "places", "ranks")).alias("numbers"))
     joined = matrix_shards.select("shard", "indptr", "indices", "counts", "docs", "n_words").join(held, "shard", "left")
     kind = matrix_shards.schema["docs"].dataType.elementType["id"].dataType.simpleString()
@@ -196,16 +196,13 @@ def matrix(matrix_shards: DataFrame, numbered: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                indptr, indices, counts = (np.frombuffer(batch.column(x)[k].as_py(), t) for x, t in
-                                           ((1, np.int64), (2, np.int32), (3, np.int32)))
+                indices = np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
                 of_word = np.zeros(batch.column(5)[k].as_py(), np.int64)
                 for x in batch.column(6)[k].as_py() or []:
                     of_word[np.frombuffer(x["places"], np.int32)] = (x["bucket"] << 32) + np.frombuffer(x["ranks"], np.int32).astype(np.int64)
-                columns = of_word[indices]
-                order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([columns[order].tobytes()], pa.binary()),
-                     pa.array([counts[order].tobytes()], pa.binary()), batch.column(4).slice(k, 1)],
+                    [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([of_word[indices].tobytes()], pa.binary()),
+                     batch.column(3).slice(k, 1), batch.column(4).slice(k, 1)],
                     names=["shard", "indptr", "indices", "counts", "docs"])
 
     return joined.mapInArrow(wb.trimmed(run), "shard long, indptr binary, indices binary, counts binary, docs " + _DOC.format(id=kind))
@@ -219,8 +216,8 @@ def flags(csr: DataFrame, min_words: int, distinct_percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ptr = np.frombuffer(batch.column(0)[k].as_py(), np.int64)
-                counts = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
+                ptr = np.frombuffer(batch.column(0)[k].as_buffer(), np.int64)
+                counts = np.frombuffer(batch.column(1)[k].as_buffer(), np.int32)
                 total = np.diff(np.append(0, np.cumsum(counts, dtype=np.int64))[ptr])
                 distinct = np.diff(ptr).astype(np.int64)
                 facts = batch.column(2).slice(k, 1).flatten()
