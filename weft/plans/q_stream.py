@@ -69,15 +69,25 @@ def stream_usage(spark, sf):
     return jobs.running_totals(spark, src, schema, "category", aggs)
 
 
-@query("stream_dedup", sql="""
-WITH req AS (SELECT md5('{"max_tokens": 512, "model": "' || ['gpt-4o-mini', 'gpt-4o', 'gpt-4', 'gpt-3.5-turbo', 'other-model'][user_id % 5 + 1]
-                     || '", "prompt": "' || replace(replace(event_type || ': ' || props, '\\', '\\\\'), '"', '\\"')
-                     || '", "temperature": 0.7}') AS key FROM events)
-SELECT DISTINCT key FROM req
+TTL_DAYS = 5
+
+
+@query("stream_dedup", sql=f"""
+WITH RECURSIVE req AS (
+  SELECT event_id AS call_id, ts, md5('{{"max_tokens": 512, "model": "' || ['gpt-4o-mini', 'gpt-4o', 'gpt-4', 'gpt-3.5-turbo', 'other-model'][user_id % 5 + 1]
+         || '", "prompt": "' || replace(replace(event_type || ': ' || props, '\\', '\\\\'), '"', '\\"')
+         || '", "temperature": 0.7}}') AS key FROM events),
+passed AS (
+  SELECT key, min({{'ts': ts, 'call_id': call_id}}) AS p FROM req GROUP BY key
+  UNION ALL
+  SELECT r.key, min({{'ts': r.ts, 'call_id': r.call_id}}) FROM passed a
+  JOIN req r ON r.key = a.key AND r.ts >= a.p.ts + INTERVAL {TTL_DAYS} DAY GROUP BY r.key, a.p)
+SELECT p.call_id AS call_id, key, p.ts AS ts FROM passed
 """)
 def stream_dedup(spark, sf):
-    """Request keys seen for the first time within the 30-day TTL."""
+    """Requests of which no passed one of the same key lies within the TTL
+    before, over a month of calls (several TTLs)."""
     req = _requests(spark, sf).select("call_id", "key", "ts")
     src = jobs.stage_json(req, "t3-src")
-    out = jobs.dedup_within_ttl(spark, src, "call_id bigint, key string, ts timestamp", "key", "ts")
-    return out.select("key")
+    return jobs.dedup_within_ttl(spark, src, "call_id bigint, key string, ts timestamp", "key", "ts",
+                                 ttl_seconds=TTL_DAYS * 86_400, buckets=256)

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import scratch_path
+from weft.streaming import ttl
 
 
 def stage_json(df: DataFrame, name: str) -> str:
     """Write ``df`` as JSON files into a fresh shared directory (stream input),
-    one file for each of its own partitions."""
+    one file for each of its own partitions (times to the microsecond)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.json(path)
+    df.write.options(timestampFormat=ttl.MICROS, timestampNTZFormat=ttl.MICROS_NTZ).json(path)
     return path
 
 
@@ -61,15 +62,15 @@ def running_totals(spark: SparkSession, src: str, schema: str, by: str, aggs: li
 
 
 def dedup_within_ttl(spark: SparkSession, src: str, schema: str, key: str, ts: str,
-                     ttl: str = "30 days", out: str | None = None,
-                     ckpt: str | None = None, max_files: int | None = None) -> DataFrame:
-    """Drop requests whose key was already seen; state is bounded by the
-    watermark (the cache TTL), not by the history."""
+                     ttl_seconds: int = 30 * 86_400, delay: str = "1 day", out: str | None = None,
+                     ckpt: str | None = None, max_files: int | None = None, buckets: int = ttl.BUCKETS) -> DataFrame:
+    """Requests of which no accepted one of the same key lies within the TTL
+    before (see ``ttl``).  The sink ``out`` has those that are decided; the result
+    also has those that pass if the stream brings no more."""
     out = out or scratch_path(spark, "t3-out")
     ckpt = ckpt or scratch_path(spark, "t3-ckpt")
     s = _read(spark, src, schema, max_files)
-    d = s.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    q = (d.writeStream.format("parquet").option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start(out))
+    q = (ttl.pass_within_ttl(s, key, ts, ttl_seconds, delay, buckets).writeStream.format("parquet")
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).unionByName(ttl.still_waiting(spark, ckpt, s.schema, ttl_seconds))
