@@ -1,5 +1,5 @@
 """Deduplication: exact first-row-wins (U3/W4/A18), fuzzy indel self-join
-(J7/O3), MinHash near duplicates, embedding k-nearest (J9).
+(J7/O3; its candidates are in ``fuzzy``).
 
 Every step is a Spark job: grouping and joins shuffle on hashed keys, hot keys
 are combined map-side (``min``/``count`` aggregates are partial), and no group
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.fuzzy import Windows, candidate_pairs, codes
 from weft.sources.tables import dealt
 
 
@@ -81,8 +82,7 @@ QGRAM = 6
 def shared_qgrams(a: str, b: str, q: int = QGRAM) -> int:
     """Multiset count of q-grams (rolling hashes) shared by ``a`` and ``b``.
     Hash collisions can only raise the count."""
-    ha = _window_hashes(_codes(a), q) if len(a) >= q else np.zeros(0, dtype=np.uint64)
-    hb = _window_hashes(_codes(b), q) if len(b) >= q else np.zeros(0, dtype=np.uint64)
+    ha, hb = (Windows(codes(x)).hashes(np.arange(max(0, len(x) - q + 1)), q) for x in (a, b))
     if len(ha) == 0 or len(hb) == 0:
         return 0
     ua, ca = np.unique(ha, return_counts=True)
@@ -135,22 +135,6 @@ def _lcs_udf(t: int = 95):
     return lcs
 
 
-def _max_partner_len(L: Column, t: int) -> Column:
-    """Longest partner length that can reach ratio ``t``: floor(L(200-t)/t)."""
-    return F.floor(L * (200 - t) / F.lit(t)).cast("bigint")
-
-
-def _min_partner_len(L: Column, t: int) -> Column:
-    """Shortest partner length: ceil(L t / (200-t))."""
-    return F.ceil(L * F.lit(t) / (200 - t)).cast("bigint")
-
-
-def _k_budget(L: Column, t: int) -> Column:
-    """Largest indel distance any admissible partner of a length-L string may
-    have: floor((100-t)(L + Lmax)/100)."""
-    return F.floor((100 - t) * (L + _max_partner_len(L, t)) / F.lit(100)).cast("bigint")
-
-
 def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
                   threshold: int = 95) -> DataFrame:
     """Verified similar pairs: ``candidate_pairs`` then ``verify_pairs``."""
@@ -158,121 +142,6 @@ def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
     return verify_pairs(cand, strings, id_col, text_col, threshold)
 
 
-_B = 0x100000001B3                      # odd multiplier: invertible mod 2^64
-_BINV = pow(_B, -1, 1 << 64)
-
-
-def _codes(text: str) -> np.ndarray:
-    """Code points (what Spark's ``length`` and Python's ``len`` count)."""
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-
-
-def _window_hashes(c: np.ndarray, w: int) -> np.ndarray:
-    """Polynomial hash of every length-``w`` window, O(1) each (mod 2^64):
-    h(q) = sum_k c[q+k] B^(w-1-k) = (S[q+w] - S[q]) * B^(q+w-1), S = prefix
-    sums of c[k] B^-k."""
-    n = len(c)
-    if w == 0:
-        return np.zeros(n + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        pw = np.cumprod(np.full(n + 1, _B, dtype=np.uint64))      # B^1 .. B^(n+1)
-        pw = np.concatenate([np.ones(1, dtype=np.uint64), pw[:-1]])  # B^0 .. B^n
-        ipw = np.cumprod(np.full(n + 1, _BINV, dtype=np.uint64))
-        ipw = np.concatenate([np.ones(1, dtype=np.uint64), ipw[:-1]])
-        S = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(c * ipw[:n])])
-        q = np.arange(n - w + 1)
-        return (S[q + w] - S[q]) * pw[q + w - 1]
-
-
-def _segments_udf(m: int):
-    """Hashes of the K+m even segments of each string, in segment order."""
-    @F.pandas_udf("array<long>")
-    def segs(s: pd.Series, k: pd.Series) -> pd.Series:
-        out = []
-        for text, kk in zip(s, k):
-            c = _codes(text)
-            n, L = int(kk) + m, len(c)
-            w0, extra = divmod(L, n)
-            short_n = n - extra
-            i = np.arange(n)
-            w = w0 + (i >= short_n)
-            p = i * w0 + np.maximum(0, i - short_n)
-            h = np.zeros(n, dtype=np.int64)
-            for width in np.unique(w):
-                sel = w == width
-                h[sel] = _window_hashes(c, int(width)).view(np.int64)[p[sel]]
-            out.append(h)
-        return pd.Series(out)
-    return segs
-
-
-def _windows_udf():
-    """Hashes of every window of the given width, by start position."""
-    @F.pandas_udf("array<long>")
-    def wins(s: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([_window_hashes(_codes(t), int(x)).view(np.int64)
-                          for t, x in zip(s, w)])
-    return wins
-
-
-def _needed_widths_udf(t: int, m: int):
-    """Exact set of segment widths used by any admissible shorter partner
-    length of a string (so windows of no other width are emitted)."""
-    @F.pandas_udf("array<long>")
-    def widths(L: pd.Series) -> pd.Series:
-        out = []
-        for lr in L.astype("int64"):
-            lmin = -((-lr * t) // (200 - t))                     # ceil(lr t / (200 - t))
-            ls = np.arange(lmin, lr + 1, dtype=np.int64)
-            k = ((100 - t) * (ls + (ls * (200 - t)) // t)) // 100
-            n = k + m
-            w0 = ls // n
-            ws = np.unique(np.concatenate([w0, (w0 + 1)[ls % n != 0]]))
-            out.append(ws[ws <= lr])
-        return pd.Series(out)
-    return widths
-
-
-def candidate_pairs(strings: DataFrame, id_col: str, text_col: str,
-                    threshold: int = 95, min_shared: int = 6) -> DataFrame:
-    """Candidate pairs for ``similar_pairs`` (lossless blocking, see there).
-
-    Segment and window hashes are polynomial rolling hashes computed per
-    string with numpy (O(1) per window); the join is on (width, hash).
-    With ``K+m`` segments at most ``K`` are touched by the edits, so a true
-    pair shares at least ``m = min_shared`` of them (count filter)."""
-    t = int(threshold)
-    m = int(min_shared)
-    base = dealt(strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
-                        .withColumn("_L", F.length("_s").cast("bigint")), "_id")
-    seg = (base.withColumn("_K", _k_budget(F.col("_L"), t))
-               .select(F.col("_id").alias("s_id"), F.col("_L").alias("s_len"),
-                       F.col("_K").alias("s_k"),
-                       F.posexplode(_segments_udf(m)(F.col("_s"), F.col("_K"))).alias("_i", "_h")))
-    n = F.col("s_k") + m
-    w0 = F.floor(F.col("s_len") / n)
-    short_n = n - (F.col("s_len") - w0 * n)
-    seg = (seg.withColumn("_w", (w0 + F.when(F.col("_i") >= short_n, 1).otherwise(0)).cast("bigint"))
-              .withColumn("_p", (F.col("_i") * w0 + F.greatest(F.lit(0), F.col("_i") - short_n))
-                          .cast("bigint")))
-    probe = (base.withColumn("_w", F.explode(_needed_widths_udf(t, m)(F.col("_L"))))
-                 .select(F.col("_id").alias("r_id"), F.col("_L").alias("r_len"), "_w",
-                         F.posexplode(_windows_udf()(F.col("_s"), F.col("_w"))).alias("_q", "_h")))
-    # both sides grow with the text: a shuffle join that can spill a hot key,
-    # never an estimate-based broadcast
-    return (probe.join(seg.hint("merge"), ["_w", "_h"])
-               .where((F.col("s_id") != F.col("r_id"))
-                      & (F.col("s_len") <= F.col("r_len"))
-                      & (F.col("r_len") <= _max_partner_len(F.col("s_len"), t))
-                      & (F.abs(F.col("_q") - F.col("_p")) <= F.col("s_k")))
-               .groupBy("s_id", "r_id")
-               .agg(F.count_distinct("_i").alias("_hits"))
-               .where(F.col("_hits") >= m)
-               .select(F.least("s_id", "r_id").alias("id_a"),
-                       F.greatest("s_id", "r_id").alias("id_b"))
-               .distinct())
-
-
 def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str,
                  threshold: int = 95) -> DataFrame:
     """Exact check of candidate pairs: ``200*LCS >= t*(|a|+|b|)``."""

@@ -51,13 +51,44 @@ def fuzzy_dedup(spark, sf):
     return kept
 
 
-@query("fuzzy_pairs")
+# LCS of two short strings by bit vectors: v starts with a bit for every character
+# of the second one, each character of the first clears one bit at most.
+_URL_PAIRS = """
+d AS (SELECT min(page_id) AS id, url AS s, length(url) AS n FROM pages GROUP BY url),
+c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS len_a, b.n AS len_b, a.s AS sa, b.s AS sb, (1::HUGEINT << b.n::INT) - 1 AS full_
+      FROM d a JOIN d b ON a.id < b.id AND 200 * least(a.n, b.n) >= 95 * (a.n + b.n)),
+v AS (SELECT *, list_reduce(list_prepend(full_, list_transform(range(1, len_a + 1), lambda i: list_sum(list_transform(
+                  range(1, len_b + 1), lambda j: CASE WHEN sb[j] = sa[i] THEN 1::HUGEINT << (j - 1)::INT ELSE 0::HUGEINT END))::HUGEINT)),
+                lambda v, m: ((v + (v & m)) | (v - (v & m))) & full_) AS bits FROM c),
+p AS (SELECT id_a, id_b, len_a, len_b, len_b - bit_count(bits)::BIGINT AS lcs FROM v
+      WHERE 200 * (len_b - bit_count(bits)::BIGINT) >= 95 * (len_a + len_b))"""
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages", ["page_id", "url"])
+
+
+@query("fuzzy_pairs", sql=f"""
+WITH {_URL_PAIRS}
+SELECT id_a, id_b, len_a, len_b, lcs FROM p
+""")
 def fuzzy_pairs(spark, sf):
-    """Verified similar question pairs (first conv ids, lengths, LCS)."""
-    _, pairs = dedup.fuzzy_dedup(_questions(spark, sf), "question", "conv_id", ["category"])
+    """Verified pairs of similar page addresses (first page ids, lengths, LCS)."""
+    _, pairs = dedup.fuzzy_dedup(_pages(spark, sf), "url", "page_id")
     return pairs
 
 
+@query("fuzzy_dedup_pages", sql=f"""
+WITH {_URL_PAIRS}
+SELECT id AS page_id, (SELECT count(*) FROM pages q WHERE q.url = d.s) AS n_copies
+FROM d WHERE id NOT IN (SELECT id_b FROM p)
+""")
+def fuzzy_dedup_pages(spark, sf):
+    """J7 + O3: pages whose address no earlier page has, or has but for 5 %."""
+    kept, _ = dedup.fuzzy_dedup(_pages(spark, sf), "url", "page_id")
+    return kept.select("page_id", "n_copies")
+
+
 @query("fuzzy_dedup_documents")
 def fuzzy_dedup_documents(spark, sf):
     """J7 + O3 on whole documents (exact, lossless blocking); checked against
