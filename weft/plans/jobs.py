@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import jsonx, mcq
-from weft.functions.text import after_think, normalize_category, question_id
+from weft.functions.text import after_think, error_class, normalize_category, question_id
 from weft.operators import classify, dedup, genmetrics, quota, translate, usage, validate
 from weft.operators.ordering import row_number_within
+from weft.session import scratch_path
+from weft.sources.commits import Commit, CommitLog
 
 
 def plan_generation(spark: SparkSession, source: DataFrame, existing: DataFrame,
@@ -96,6 +98,45 @@ def translate_dataset(entries: DataFrame, id_col: str, fields: list[str], respon
     return merged, assembled.where(F.col("status") != "ok")
 
 
+def translate_run(log: CommitLog, run_id: str, entries: DataFrame, id_col: str, fields: list[str],
+                  responses: DataFrame, order_col: str | None = None) -> Commit:
+    """K5 as one commit of ``log``: the entries that no earlier run has settled are
+    taken up (J1), and their outcome is written at once to
+
+    * ``output``: ok and failed entries, translated, with their status (a failed
+      one keeps its original texts where the call failed);
+    * ``skipped``: entries that the content filter stopped, as they were (S11);
+    * ``failed``: a row per failed unit with error, its class and the text (S11);
+    * ``summary``: the run's entries by status, and all (A17).
+
+    Pending entries are in ``summary`` alone, so a later run takes them up.  The
+    same run id again changes nothing."""
+    done = log.find(run_id)
+    if done:
+        return done
+    todo = entries
+    for settled in filter(None, (log.read("output"), log.read("skipped"))):
+        todo = todo.join(settled.select(id_col), id_col, "left_anti")
+    answered = translate.apply_responses(translate.explode_units(todo, id_col, fields), responses, [id_col, "field", "pos"], order_col)
+    # Units and entries are read several times below: written once.
+    path = scratch_path(log.spark, "translate-run")
+    answered.write.parquet(f"{path}/units")
+    units = log.spark.read.parquet(f"{path}/units")
+    translate.assemble(todo, units, id_col, fields).write.parquet(f"{path}/entries")
+    assembled = log.spark.read.parquet(f"{path}/entries")
+    run = F.lit(run_id).alias("run_id")
+    output = assembled.where(F.col("status").isin("ok", "failed")).select("*", run)
+    skipped = todo.join(assembled.where("status = 'skipped'").select(id_col), id_col, "left_semi").select("*", run)
+    lost = output.where("status = 'failed'").select(id_col)
+    failed = units.where("unit_status = 'failed'").join(lost, id_col, "left_semi").select(
+        id_col, "field", "pos", "error", error_class(F.col("error")).alias("error_class"), F.col("text").alias("failed_text"),
+        F.lit("translation_max_retries_exceeded").alias("reason"), run)
+    counts = assembled.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.lit("total").alias("status"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    summary = counts.unionByName(total).select("status", "n", run)
+    return log.commit(run_id, {"output": output, "skipped": skipped, "failed": failed, "summary": summary})
+
+
 def score_multiple_choice(preds: DataFrame, golds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K7: (subset, item_id, response) + (subset, item_id, label) -> per-subset
     report and the unweighted mean accuracy.  Joined by item id."""
@@ -132,4 +173,4 @@ def usage_report(calls: DataFrame) -> DataFrame:
 
 
 __all__ = ["plan_generation", "ingest_responses", "deduplicate", "translate_dataset",
-           "score_multiple_choice", "score_judged", "score_summaries", "usage_report"]
+           "translate_run", "score_multiple_choice", "score_judged", "score_summaries", "usage_report"]

@@ -122,6 +122,58 @@ def translate_status(spark, sf):
     return st.unionByName(tot).unionByName(er)
 
 
+# ---- the whole job, in two runs under one commit log -------------------------
+
+LATE_CODE = 6                   # units with this code are answered in the second run alone
+
+
+@query("translate_run", sql=f"""
+WITH {_UNITS},
+z AS (SELECT *, {_CODE} = {LATE_CODE} AS late_ FROM o),
+e AS (SELECT conv_id, CASE WHEN bool_or(unit_status = 'skipped') THEN 'skipped' WHEN bool_or(unit_status = 'failed') THEN 'failed'
+                           ELSE 'ok' END AS status,
+        coalesce(bool_or(late_), false) AS late_,
+        array_to_string(coalesce(list(out_text ORDER BY pos) FILTER (WHERE field = 'turns'), []), chr(10)) AS turns2,
+        array_to_string(coalesce(list(CASE WHEN late_ THEN text ELSE out_text END ORDER BY pos) FILTER (WHERE field = 'turns'), []), chr(10)) AS turns1,
+        array_to_string(coalesce(list(text ORDER BY pos) FILTER (WHERE field = 'turns'), []), chr(10)) AS was
+      FROM (SELECT conv_id FROM drills) x LEFT JOIN z USING (conv_id) GROUP BY conv_id),
+b AS (SELECT *, CASE WHEN late_ AND status = 'ok' THEN 'run 2' ELSE 'run 1' END AS run_id,
+             CASE WHEN late_ AND status = 'ok' THEN turns2 ELSE turns1 END AS turns FROM e),
+t AS (SELECT run_id, status FROM b UNION ALL SELECT 'run 1' AS run_id, 'pending' AS status FROM b WHERE run_id = 'run 2')
+SELECT 'output' AS sink, run_id, conv_id, status, md5(turns) AS detail, CAST(NULL AS BIGINT) AS n FROM b WHERE status <> 'skipped'
+UNION ALL SELECT 'skipped', run_id, conv_id, NULL, md5(was), NULL FROM b WHERE status = 'skipped'
+UNION ALL SELECT 'failed', run_id, conv_id, field || ' ' || pos, md5(error || '|' || text), NULL
+          FROM o JOIN b USING (conv_id) WHERE unit_status = 'failed' AND status = 'failed'
+UNION ALL SELECT 'summary', run_id, NULL, status, NULL, count(*) FROM t GROUP BY run_id, status
+UNION ALL SELECT 'summary', run_id, NULL, 'total', NULL, count(*) FROM t GROUP BY run_id
+""")
+def translate_run(spark, sf):
+    """K5 whole (J1, P30, J5, F7, U4, U5, S9, S11, A17): a first run for which
+    some answers are missing, the same run again (nothing happens), and a second
+    run that takes up the rest; the four sinks are read back from the commits."""
+    from weft.plans.jobs import translate_run as run
+    from weft.session import scratch_path
+    from weft.sources.commits import CommitLog
+    log = CommitLog(spark, scratch_path(spark, "translate-log"))
+    entries = bindings.drills(spark, sf).drop("system")
+    answers = _responses(_units(spark, sf))
+    code = F.pmod(F.col("conv_id") * 7 + F.col("pos") * 3 + F.when(F.col("field") == "turns", 0).otherwise(1), F.lit(23))
+    early = answers.where(code != LATE_CODE)
+    for name, given in (("run 1", early), ("run 1", answers), ("run 2", answers)):
+        run(log, name, entries, "conv_id", ["turns", "reference"], given)
+    text = lambda *c: F.md5(F.concat_ws("|", *c)).alias("detail")
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    turns = F.array_join("turns", "\n")
+    return (log.read("output").select(F.lit("output").alias("sink"), "run_id", "conv_id", "status", text(turns), none("long", "n"))
+            .unionByName(log.read("skipped").select(F.lit("skipped").alias("sink"), "run_id", "conv_id", none("string", "status"),
+                                                    text(turns), none("long", "n")))
+            .unionByName(log.read("failed").select(F.lit("failed").alias("sink"), "run_id", "conv_id",
+                                                   F.concat_ws(" ", "field", F.col("pos").cast("string")).alias("status"),
+                                                   text("error", "failed_text"), none("long", "n")))
+            .unionByName(log.read("summary").select(F.lit("summary").alias("sink"), "run_id", none("long", "conv_id"), "status",
+                                                    none("string", "detail"), "n")))
+
+
 # ---- exam items: a string, a map and a nested field --------------------------
 
 _EXAM_FIELDS = ["question", "choices", "answer.explanation"]

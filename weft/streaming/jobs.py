@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import scratch_path
+from weft.sources.commits import CommitLog
 from weft.streaming import ttl
 
 
@@ -47,18 +48,22 @@ def running_totals(spark: SparkSession, src: str, schema: str, by: str, aggs: li
                    out: str | None = None, ckpt: str | None = None,
                    max_files: int | None = None) -> DataFrame:
     """Running totals per group, updated after every micro-batch
-    (complete mode; the state holds one row per group)."""
+    (complete mode; the state holds one row per group).  Each micro-batch is a
+    commit that replaces the totals, once a batch however often it is tried, so a
+    crash leaves the totals of the batch before."""
     out = out or scratch_path(spark, "t2-out")
     ckpt = ckpt or scratch_path(spark, "t2-ckpt")
     s = _read(spark, src, schema, max_files)
     totals = s.groupBy(by).agg(*aggs)
 
+    log = CommitLog(spark, out)
+
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        log.commit(f"{ckpt} {epoch}", {"totals": batch}, replace=("totals",))
     q = (totals.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return log.read("totals")
 
 
 def dedup_within_ttl(spark: SparkSession, src: str, schema: str, key: str, ts: str,
