@@ -1,13 +1,12 @@
 """Token length, truncation and padding (P31) and length statistics.
 
 The tokenizer is pluggable: any expression returning ``array<string>``; the
-default is the regex tokenizer of the metrics module.  Ids, when a
-vocabulary table is given, come from an equi-join on the token (no global
-``dense_rank`` window)."""
+default is the regex tokenizer of the metrics module.  Ids and percentiles are
+in ``trainset``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.genmetrics import tokens as default_tokens
@@ -31,14 +30,6 @@ def truncate_pad(df: DataFrame, text: str, max_len: int = MAX_LEN,
               .drop("_toks"))
 
 
-def token_ids(toks: DataFrame, id_col: str, vocab: DataFrame, token: str = "token") -> DataFrame:
-    """Ids by vocabulary join: explode with positions, equi-join, re-collect in order."""
-    ex = toks.select(id_col, F.posexplode(token + "s").alias("pos", token))
-    j = ex.join(vocab, token, "left")
-    return j.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))),
-                                             lambda x: x["token_id"]).alias("input_ids"))
-
-
 def length_stats(t: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     """Original vs truncated length distribution per group."""
     return t.groupBy(*by).agg(
@@ -48,9 +39,3 @@ def length_stats(t: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
         F.round(F.avg("n_kept"), digits).alias("avg_kept"),
         F.count_if("truncated").alias("n_truncated"),
         F.round(F.count_if("truncated") / F.count(F.lit(1)), digits).alias("truncated_share"))
-
-
-def monitor_columns(t: DataFrame, text: str) -> list[Column]:
-    """The four monitoring columns of the length CSV."""
-    return [F.col(text).alias("original_text"), F.col("n_tokens").alias("original_length"),
-            F.col("truncated_text"), F.col("n_kept").alias("truncated_length")]

@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions import jsonx, mcq
+from weft.functions import chat, jsonx, mcq
 from weft.functions.text import after_think, error_class, normalize_category, question_id
-from weft.operators import classify, dedup, genmetrics, quota, translate, usage, validate
+from weft.operators import classify, dedup, genmetrics, quota, trainset, translate, usage, validate
 from weft.operators.ordering import row_number_within
 from weft.session import scratch_path
 from weft.sources.commits import Commit, CommitLog
@@ -81,6 +81,29 @@ def deduplicate(df: DataFrame, key: str, order_col: str, threshold: int = 95) ->
     return kept.drop("n_copies"), summary
 
 
+def training_set(drills: DataFrame, exam: DataFrame, max_len: int = 512, vocab: DataFrame | None = None) -> DataFrame:
+    """K6: (conv_id, turns, reference) and generated exam records (item_id, line)
+    -> one table of examples with token ids.  A drill gives an example per turn
+    (with the turns before it) if each turn has a reference (F5, F6); an exam
+    record one if its answer has an explanation (P13).  U1 joins both; ids are by
+    ``vocab``, by default that of these examples (P31)."""
+    d = drills.where((F.size("reference") > 0) & (F.size("turns") == F.size("reference")))
+    x = d.select("conv_id", "turns", "reference", F.posexplode("turns").alias("n", "_t"))
+    ours = x.select(F.concat(F.lit("drill-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("example_id"),
+                    F.concat(chat.chatml_prompt("turns", "reference", F.col("n"), variant="generated"),
+                             F.element_at("reference", F.col("n") + 1), F.lit("<|im_end|>\n")).alias("text"))
+    user, _, answer = mcq.generated_exam_messages(F.try_parse_json(F.col("line")))
+    theirs = exam.select("item_id", user.alias("u"), answer.alias("a")).where("u IS NOT NULL AND a IS NOT NULL").select(
+        F.concat(F.lit("exam-"), F.col("item_id").cast("string")).alias("example_id"),
+        F.concat(F.lit("<|im_start|>user\n"), F.col("u"), F.lit("<|im_end|>\n<|im_start|>assistant\n"), F.col("a"),
+                 F.lit("<|im_end|>\n")).alias("text"))
+    # Read three times (counts, places, result): parsed and rendered once.
+    spark, path = drills.sparkSession, scratch_path(drills.sparkSession, "training-set")
+    ours.unionByName(theirs).write.parquet(path)
+    examples = spark.read.parquet(path)
+    return trainset.encode(examples, "example_id", "text", vocab or trainset.vocabulary(examples, "text"), max_len)
+
+
 def translate_dataset(entries: DataFrame, id_col: str, fields: list[str], responses: DataFrame,
                       done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K5: resume (J1 anti-join with done ids) -> units -> response join ->
@@ -173,4 +196,4 @@ def usage_report(calls: DataFrame) -> DataFrame:
 
 
 __all__ = ["plan_generation", "ingest_responses", "deduplicate", "translate_dataset",
-           "translate_run", "score_multiple_choice", "score_judged", "score_summaries", "usage_report"]
+           "training_set", "translate_run", "score_multiple_choice", "score_judged", "score_summaries", "usage_report"]

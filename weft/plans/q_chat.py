@@ -167,3 +167,43 @@ def sft_examples(spark, sf):
     bucket = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(100))
     return t.select("conv_id", "n", "n_tokens", "n_kept", "truncated",
                     F.when(bucket < 50, "train").otherwise("test").alias("split"))
+
+
+def _sft_tokens_sql() -> str:
+    from weft.operators.genmetrics import TOKEN_RE
+    from weft.operators.trainset import FIRST_ID, PAD_ID
+    from weft.plans.q_mcq import _gx_sql
+    base, exam = _chatml_sql("generated"), _gx_sql()
+    head = base[:base.rindex("SELECT conv_id, CAST(n AS BIGINT) AS n")]
+    gx = exam[:exam.rindex("SELECT item_id, md5(user_text)")].strip().removeprefix("WITH ").replace("\np AS (", "\ngp AS (").replace("FROM p)", "FROM gp)")
+    return head.rstrip() + f""",
+{gx},
+ex AS (SELECT 'drill-' || conv_id || '-' || n AS example_id, prompt || completion || '<|im_end|>' || {NL} AS text FROM p
+       UNION ALL SELECT 'exam-' || item_id, '<|im_start|>user' || {NL} || user_text || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL}
+                        || sft_answer || '<|im_end|>' || {NL} FROM u WHERE user_text IS NOT NULL AND sft_answer IS NOT NULL),
+tk AS (SELECT example_id, text, regexp_extract_all(text, '{TOKEN_RE}') AS toks FROM ex),
+vc AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 + {FIRST_ID} AS id
+       FROM (SELECT unnest(toks) AS token FROM tk) GROUP BY token),
+fl AS (SELECT example_id, unnest(toks[1:{SFT_MAX_LEN}]) AS token, unnest(range(least(len(toks), {SFT_MAX_LEN}))) AS pos FROM tk),
+en AS (SELECT example_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids FROM fl JOIN vc USING (token) GROUP BY example_id)
+SELECT example_id, CAST(len(toks) AS BIGINT) AS input_content_original_length,
+       CAST({SFT_MAX_LEN} AS BIGINT) AS input_content_truncated_length, md5(text) AS original_md5,
+       md5(array_to_string(toks[1:{SFT_MAX_LEN}], ' ')) AS truncated_md5,
+       CAST(least(len(toks), {SFT_MAX_LEN}) AS BIGINT) AS n_attended,
+       md5(ids || repeat(',{PAD_ID}', {SFT_MAX_LEN} - least(len(toks), {SFT_MAX_LEN})::INT)) AS ids_md5, true AS labels_are_ids
+FROM tk JOIN en USING (example_id)"""
+
+
+@query("sft_tokens", sql=_sft_tokens_sql())
+def sft_tokens(spark, sf):
+    """K6 whole (F5, F6, P13-P15, U1, P31): drills and generated exam records as
+    examples with input_ids, attention_mask, labels and the monitoring columns."""
+    from weft.plans.jobs import training_set
+    from weft.plans.q_mcq import _generated_exam_lines
+    t = training_set(bindings.drills(spark, sf), _generated_exam_lines(spark, sf), SFT_MAX_LEN)
+    return t.select(
+        "example_id", "input_content_original_length", "input_content_truncated_length", F.md5("input_content_original").alias("original_md5"),
+        F.md5("input_content_truncated").alias("truncated_md5"),
+        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_attended"),
+        F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")).alias("ids_md5"),
+        (F.col("labels") == F.col("input_ids")).alias("labels_are_ids"))

@@ -41,6 +41,25 @@ def length_stats(spark, sf):
     return TK.length_stats(TK.truncate_pad(d, "text"), ["lang"])
 
 
+SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query("length_percentiles", sql=f"""
+WITH t AS (SELECT lang, len({_TOK}) AS n FROM documents)
+SELECT lang, count(*) AS n, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS longest,
+       CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.9) AS BIGINT) AS p90,
+       CAST(quantile_disc(n, 0.99) AS BIGINT) AS p99
+FROM t GROUP BY lang
+""")
+def length_percentiles(spark, sf):
+    """Percentiles of the token lengths per language, from the histograms of
+    two runs (even and odd ids) that are merged."""
+    from weft.operators import trainset
+    d = TK.truncate_pad(read_table(spark, sf, "documents", ["doc_id", "lang", "text"]), "text")
+    runs = [trainset.length_histogram(d.where(F.pmod("doc_id", F.lit(2)) == k), ["lang"], "n_tokens") for k in (0, 1)]
+    return trainset.percentiles(trainset.merge_histograms(*runs), ["lang"], SHARES)
+
+
 # ---- S12 / S13 / J2: batch request export and response import --------------
 
 REQUEST_MODEL = "gpt-4o-mini"

@@ -113,7 +113,7 @@ def write_audit(df: DataFrame, root: str, status_col: str = "status") -> None:
 
 def write_monitor_csv(df: DataFrame, path: str) -> None:
     """The four monitoring columns, with a header."""
-    cols = ["original_text", "original_length", "truncated_text", "truncated_length"]
+    cols = ["input_content_original", "input_content_original_length", "input_content_truncated", "input_content_truncated_length"]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
