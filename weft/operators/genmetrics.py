@@ -3,19 +3,19 @@ ROUGE-1/2/L/Lsum, SacreBLEU-style smoothed BLEU, METEOR (exact stage)
 (A9-A14, P33).
 
 Plan: tokens are extracted JVM-side; each pair's sufficient statistics (clipped
-n-gram matches, n-gram totals, LCS) are computed where the pair lives by one
-Arrow-batched pandas UDF -- no n-gram rows are shuffled; corpus scores are
-plain Spark sums over those statistics.  Corpus metrics (BLEU, chrF) sum
-first and divide once; sentence metrics (ROUGE, METEOR) average per pair.
+n-gram matches, n-gram totals, LCS) are computed where the pair lives, token
+n-grams for a batch of pairs at once -- no n-gram rows are shuffled; corpus
+scores are plain Spark sums over those statistics.  Corpus metrics (BLEU, chrF)
+sum first and divide once; sentence metrics (ROUGE, METEOR) average per pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,28 +307,56 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _counts(lists: list[pa.ListArray], orders: int) -> np.ndarray:
+    """pairs x orders x (clipped matches, n-grams of the first list, of the second)
+    of two columns of token lists, exactly (n-grams are numbered, not hashed)."""
+    pairs = len(lists[0])
+    sizes = [np.diff(np.asarray(x.offsets, np.int64)) for x in lists]
+    codes = np.asarray(pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode().indices, np.int64)
+    owner = np.concatenate([np.repeat(np.arange(pairs), n) for n in sizes])
+    side = np.repeat([0, 1], [n.sum() for n in sizes])
+    out = np.zeros((pairs, orders, 3), np.int64)
+    gram, left = codes, np.arange(len(codes))
+    for n in range(orders):
+        if n:
+            # An n-gram is the one before it in the order, and the token after that.
+            inside = left + n < len(codes)
+            inside[inside] &= (owner[left[inside]] == owner[left[inside] + n]) & (side[left[inside]] == side[left[inside] + n])
+            gram, left = gram[inside], left[inside]
+            gram = np.unique(gram * (codes.max(initial=0) + 1) + codes[left + n], return_inverse=True)[1]
+        key, where = np.unique(owner[left] * (gram.max(initial=0) + 1) + gram, return_inverse=True)
+        mine = np.zeros(len(key), np.int64)
+        mine[where] = owner[left]
+        both = [np.bincount(where[side[left] == k], minlength=len(key)) for k in (0, 1)]
+        for k, x in enumerate((np.minimum(*both), *both)):
+            out[:, n, k] = np.bincount(mine, x, minlength=pairs)
+    return out
+
+
+#: Pairs whose n-grams are numbered together.
+_PAIRS = 512
+
+
 def ngram_stats(pairs: DataFrame, id_col: str, by: list[str], orders: int = BLEU_ORDER,
                 hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """(id, by, n, m, h, r): per pair and order the clipped matches and the
-    n-grams of both sides, as n-gram rows counted per pair.
-
-    Pairs that come from a join on ``id_col`` are partitioned by it, so counting
-    needs no further shuffle.  An n-gram is its 64-bit hash within its pair."""
+    n-grams of both sides; a narrow pass, whose tasks count some pairs at a time."""
     h, r = (tokens(F.coalesce(F.col(c), F.lit(""))) for c in (hyp, ref))
-    base = pairs.select(id_col, *by, h.alias("_h"), r.alias("_r"))
+    base = dealt(pairs.select(id_col, *by, hyp, ref), id_col).select(id_col, *by, h.alias("_h"), r.alias("_r"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-2])
+    k = 1 + len(by)
 
-    def grams(c: str, n: int, side: int) -> Column:
-        t = F.col(c)
-        found = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                            lambda i: F.struct(F.xxhash64(F.slice(t, i, n)).alias("g"), F.lit(side).alias("s")))
-        return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<struct<g:bigint,s:int>>"))
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(start, _PAIRS)
+                found = _counts([part.column(k), part.column(k + 1)], orders)
+                who = pa.array(np.repeat(np.arange(part.num_rows), orders))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i).take(who) for i in range(k)), pa.array(np.tile(np.arange(1, orders + 1, dtype=np.int32), part.num_rows)),
+                     *(pa.array(found[:, :, x].ravel()) for x in range(3))], names=[*part.schema.names[:k], "n", "m", "h", "r"])
 
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.concat(grams("_h", n, 1), grams("_r", n, 0)).alias("x"))
-                               for n in range(1, orders + 1)])).alias("o")
-    rows = base.select(id_col, *by, each).select(id_col, *by, "o.n", F.explode_outer("o.x").alias("x"))
-    counted = rows.groupBy(id_col, *by, "n", F.col("x.g").alias("g")).agg(
-        F.coalesce(F.sum("x.s"), F.lit(0)).alias("h"), F.coalesce(F.sum(1 - F.col("x.s")), F.lit(0)).alias("r"))
-    return counted.groupBy(id_col, *by, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    return base.mapInArrow(run, f"{fields}, n int, m long, h long, r long")
 
 
 def ngram_scores(stats: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -399,24 +427,3 @@ def corpus_scores(stats: DataFrame, by: list[str] | None = None, digits: int = 6
         F.round(F.avg("meteor") * 100, digits).alias("meteor"),
         F.count(F.lit(1)).alias("n_pairs"))
     return out
-
-
-def py_bleu(pairs, order: int = BLEU_ORDER) -> float:
-    """Tiny pure-Python corpus BLEU (oracle for tests)."""
-    m = [0] * order
-    t = [0] * order
-    c = r = 0
-    for h, ref in pairs:
-        ht, rt = TOKEN_PY.findall(h or ""), TOKEN_PY.findall(ref or "")
-        c += len(ht)
-        r += len(rt)
-        for n in range(1, order + 1):
-            hc, rc = _ngrams(ht, n), _ngrams(rt, n)
-            m[n - 1] += sum(min(v, rc[g]) for g, v in hc.items())
-            t[n - 1] += max(len(ht) - n + 1, 0)
-    p = [m[i] / t[i] if t[i] else 0.0 for i in range(order)]
-    if min(p) <= 0 or c == 0:
-        return 0.0
-    bp = 1.0 if c > r else math.exp(1 - r / c)
-    return 100 * bp * math.exp(sum(math.log(x) for x in p) / order)
-

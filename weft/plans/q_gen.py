@@ -60,10 +60,10 @@ SELECT lang, round(CASE WHEN t4 > 0 THEN exp((ln(s1) + ln(s2) + ln(s3) + ln(s4))
 FROM y"""
 
 
-def _scores(spark, sf):
+def _scores(spark, sf, orders=G.BLEU_ORDER):
     """Token n-gram metrics per language, as DataFrame aggregations."""
     pairs = bindings.gen_pairs(spark, sf)
-    return G.ngram_scores(G.ngram_stats(pairs, "pair_id", ["lang"]), ["lang"])
+    return G.ngram_scores(G.ngram_stats(pairs, "pair_id", ["lang"], orders), ["lang"])
 
 
 @query("bleu", sql=_BLEU_SQL)
@@ -95,7 +95,7 @@ FROM f GROUP BY lang
 """)
 def rouge_n(spark, sf):
     """ROUGE-1/2 F x100, mean over pairs, per language."""
-    return _scores(spark, sf).select("lang", "rouge1", "rouge2", "n_pairs")
+    return _scores(spark, sf, orders=2).select("lang", "rouge1", "rouge2", "n_pairs")
 
 
 def _chars(expr: str) -> str:
