@@ -22,9 +22,9 @@ def edited(rnd, s, n, letters):
     return "".join(s)
 
 
-def common(s, r, b):
+def common(s, r, b, counts):
     """Segments of s that a window of r meets, and how many are needed."""
-    keys, i, p, k, m = FZ.text_segments(s, b)
+    keys, i, p, k, m = FZ.text_segments(s, b, counts)
     win, q = FZ.text_windows(r, b, None)
     at = {}
     for x, y in zip(win.tolist(), q.tolist()):
@@ -40,8 +40,10 @@ def test_similar_pairs_share_enough(seed, n, letters, t):
     c = edited(rnd, a, rnd.randint(0, max(1, (100 - t) * 2 * n // 100)), letters)
     s, r = sorted((a, c), key=len)
     if s and 200 * dp_lcs(s, r) >= t * (len(s) + len(r)):
-        got, need = common(s, r, b)
-        assert got >= need
+        any_counts = np.random.default_rng(seed).integers(0, 5, 1 << FZ.COUNT_BITS)
+        for counts in (None, any_counts):
+            got, need = common(s, r, b, counts)
+            assert got >= need >= 1
 
 
 def test_window_hash_is_of_its_characters():

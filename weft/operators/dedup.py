@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.fuzzy import Windows, candidate_pairs, codes
+from weft.operators.fuzzy import Windows, candidate_pairs, codes, with_bins
 from weft.sources.tables import dealt
 
 
@@ -122,7 +122,7 @@ def lcs_if_possible(a: str, b: str, t: int) -> int:
     la, lb = len(a), len(b)
     d_max = (100 - t) * (la + lb) // 100
     need_q = max(la, lb) - QGRAM + 1 - QGRAM * d_max
-    if need_q > 0 and shared_qgrams(a, b) < need_q:
+    if need_q > 0 and max(la, lb) > 256 and shared_qgrams(a, b) < need_q:
         return -1
     return lcs_at_least(a, b, -((-t * (la + lb)) // 200))
 
@@ -146,11 +146,13 @@ def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str
                  threshold: int = 95) -> DataFrame:
     """Exact check of candidate pairs: ``200*LCS >= t*(|a|+|b|)``."""
     t = int(threshold)
-    texts = strings.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s")) \
-                   .withColumn("_L", F.length("_s").cast("bigint"))
-    ta = texts.withColumnsRenamed({"_id": "id_a", "_s": "s_a", "_L": "len_a"}).hint("merge")
-    tb = texts.withColumnsRenamed({"_id": "id_b", "_s": "s_b", "_L": "len_b"}).hint("merge")
-    pairs = dealt(cand.join(ta, "id_a").join(tb, "id_b"), "id_a", "id_b")
+    texts = with_bins(strings, id_col, text_col)
+    ta = texts.withColumnsRenamed({"id": "id_a", "s": "s_a", "n": "len_a", "bins": "bins_a"}).hint("merge")
+    tb = texts.withColumnsRenamed({"id": "id_b", "s": "s_b", "n": "len_b", "bins": "bins_b"}).hint("merge")
+    # The indel distance is at least the difference of the character counts.
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    near = cand.join(ta, "id_a").join(tb, "id_b").where(100 * apart <= (100 - t) * (F.col("len_a") + F.col("len_b")))
+    pairs = dealt(near.drop("bins_a", "bins_b"), "id_a", "id_b")
     lcs = _lcs_udf(t)
     return (pairs.withColumn("lcs", lcs(F.col("s_a"), F.col("s_b")))
                  .where(200 * F.col("lcs") >= t * (F.col("len_a") + F.col("len_b")))

@@ -8,17 +8,23 @@ them at most, so m others stand in r, each shifted by K characters at most.
 * ``segments`` writes an index of the segments of every text: the key hashes the
   segment together with its width, the text's length band (a factor of
   (200 - t)/t) and the bucket of its place (2 K + 1 characters).
+* Of these segments the most frequent ones of a text are left out of the index
+  (``dropped``, half of m): of those that stay, m - dropped stand in r, too.
+  How frequent a segment is comes from ``frequencies``, counts by hash in a table
+  of fixed size; it only decides which segments to take.  So what nearly all texts
+  share (a template, an address prefix) meets nothing.
 * ``sketch`` reduces the index to one bit a key, in a bitmap of fixed size.
 * ``windows`` takes every window of the widths that an admissible shorter partner
   may have, for the bands and buckets (two of each at most) where a partner's
   segment may lie, and gives rows for those alone whose bit is set: the windows
   that no text's segment can meet leave no row.
 * The join on the key is a shuffle join of plain columns, which adaptive execution
-  splits where one key is frequent.  Pairs with m common segments are candidates.
+  splits where one key is frequent.  Pairs with enough common segments are
+  candidates.
 
 m grows with K (a tenth of it, 6 at least), as long texts have hundreds of short
-segments; texts of less than 4 characters a segment use m = 1.  A fuller bitmap
-passes more rows and loses none.
+segments; shorter texts use 3 or 1, so that a segment has 3 characters or more.  A
+fuller bitmap passes more rows and loses none.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from weft.session import scratch_path
 
 #: Bits of the bitmap (a power of two): what is collected and broadcast is 16 MB at most.
 SKETCH_BITS = 27
+#: Counts of the frequency table (a power of two): 16 MB at most.
+COUNT_BITS = 20
 _B = 0x100000001B3                      # odd multiplier: invertible mod 2^64
 _BINV = pow(_B, -1, 1 << 64)
 
@@ -56,7 +64,11 @@ class Budget:
         """m of a text of length n."""
         k = self.edits(n)
         m = np.maximum(6, k // 10)
-        return np.where(n >= 4 * (k + m), m, 1)
+        return np.where(n >= 3 * (k + m), m, np.where(n >= 3 * (k + 3), 3, 1))
+
+    def dropped(self, m):
+        """How many of a text's most frequent segments are not indexed."""
+        return m // 2
 
     def band(self, n):
         return np.floor(np.log(np.maximum(n, 1)) / np.log((200 - self.t) / self.t) + 1e-9).astype(np.int64)
@@ -96,8 +108,9 @@ def _key(h: np.ndarray, width, band, bucket) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
-def text_segments(text: str, b: Budget):
-    """(keys, number of the segment, place) of a text's segments, and its K and m."""
+def text_segments(text: str, b: Budget, counts: np.ndarray | None = None):
+    """(keys, number of the segment, place) of a text's segments, its K, and how
+    many a similar text shares; with ``counts`` of the rarer segments alone."""
     c = codes(text)
     n = len(c)
     k, m = int(b.edits(n)), int(b.spare(np.int64(n)))
@@ -107,7 +120,12 @@ def text_segments(text: str, b: Budget):
     w = w0 + (i >= many - extra)
     p = i * w0 + np.maximum(0, i - (many - extra))
     band = int(b.band(np.int64(n)))
-    return _key(Windows(c).hashes(p, w), w, band, p // (2 * int(b.reach(np.int64(band))) + 1)), i, p, k, m
+    keys = _key(Windows(c).hashes(p, w), w, band, p // (2 * int(b.reach(np.int64(band))) + 1))
+    if counts is None:
+        return keys, i, p, k, m
+    gone = int(b.dropped(np.int64(m)))
+    kept = np.sort(np.argsort(counts[(keys >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:many - gone])
+    return keys[kept], i[kept], p[kept], k, m - gone
 
 
 def text_windows(text: str, b: Budget, bits: np.ndarray | None):
@@ -160,13 +178,14 @@ def _in_batches(batch: pa.RecordBatch, find, kinds: list, rows: int = 1 << 20):
             held, start, size = [], k + 1, 0
 
 
-def segments(strings: DataFrame, b: Budget) -> DataFrame:
-    """(key, s_id, s_len, i, p, s_k, m) of ``strings`` (id, s, n)."""
+def segments(strings: DataFrame, b: Budget, counts=None) -> DataFrame:
+    """(key, s_id, s_len, i, p, s_k, m) of ``strings`` (id, s, n); ``counts``: a
+    broadcast of ``frequencies``."""
     kind = strings.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield from _in_batches(batch, lambda text: text_segments(text, b), [np.int64, np.int32, np.int32, np.int32, np.int32])
+            yield from _in_batches(batch, lambda text: text_segments(text, b, counts and counts.value), [np.int64, np.int32, np.int32, np.int32, np.int32])
     out = strings.mapInArrow(run, f"id {kind}, n long, key long, c1 int, c2 int, c3 int, c4 int")
     return out.withColumnsRenamed({"id": "s_id", "n": "s_len", "c1": "i", "c2": "p", "c3": "s_k", "c4": "m"})
 
@@ -182,6 +201,15 @@ def windows(strings: DataFrame, b: Budget, bits) -> DataFrame:
     return out.withColumnsRenamed({"id": "r_id", "n": "r_len", "c1": "q"})
 
 
+def frequencies(index: DataFrame) -> np.ndarray:
+    """Number of segments by the first bits of their key; what is collected has
+    2^COUNT_BITS rows at most."""
+    rows = index.groupBy(F.shiftrightunsigned("key", 64 - COUNT_BITS).alias("w")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    found = np.zeros(1 << COUNT_BITS, np.int64)
+    found[np.asarray(rows.column("w"))] = np.asarray(rows.column("n"))
+    return found
+
+
 def sketch(index: DataFrame) -> np.ndarray:
     """The bitmap of the index's keys, as bytes.  Bits are merged by 64 in the
     executors; what is collected has 2^(SKETCH_BITS - 6) rows at most."""
@@ -193,6 +221,24 @@ def sketch(index: DataFrame) -> np.ndarray:
     return found.view(np.uint8)
 
 
+#: Bins of the character counts that two texts are compared by first.
+BINS = 16
+
+
+def with_bins(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, s, n, bins): how many of a text's characters fall in each bin.  An
+    edit changes one count by one."""
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("s"), F.length(text_col).cast("long").alias("n"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [np.bincount((codes(t or "") * np.uint64(0x9E3779B1) >> np.uint64(7) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).tolist()
+                     for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["id", "s", "n", "bins"])
+    return rows.mapInArrow(run, f"id {kind}, s string, n long, bins array<int>")
+
+
 def candidate_pairs(strings: DataFrame, id_col: str, text_col: str, threshold: int = 95) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair that reaches the threshold, and some
     that don't.  Equal texts should be merged before; empty and null texts are in
@@ -203,7 +249,8 @@ def candidate_pairs(strings: DataFrame, id_col: str, text_col: str, threshold: i
                    .withColumn("n", F.length("s").cast("long")).where("n > 0")
                    .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
     path = scratch_path(spark, "fuzzy")
-    segments(base, b).write.parquet(path)
+    counts = spark.sparkContext.broadcast(frequencies(segments(base, b).select("key")))
+    segments(base, b, counts).write.parquet(path)
     index = spark.read.parquet(path)
     bits = spark.sparkContext.broadcast(sketch(index.select("key")))
     met = (windows(base, b, bits).join(index.hint("merge"), "key")
