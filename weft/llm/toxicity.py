@@ -130,6 +130,19 @@ def _fit(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, l2: float, steps
     return x[:m], float(x[m])
 
 
+def _choose(seen: np.ndarray, n: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features with the clearest difference in frequency, and the ratio of every one."""
+    q, p = seen + 1.0
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio -= np.log((n[1] + 2) / p.sum()) - np.log((n[0] + 2) / q.sum())   # a feature as frequent in both has 0
+    rate0, rate1 = seen[0] / n[0], seen[1] / n[1]
+    pooled = seen.sum(0) / n.sum()
+    clear = np.abs(rate1 - rate0) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    clear[seen.sum(0) < 5] = 0
+    chosen = np.sort(np.argsort(-clear, kind="stable")[:features])
+    return chosen[clear[chosen] > 2.0], ratio
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: int = 8192, l2: float = 1.0,
           steps: int = 100, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``per_class`` labelled rows of each class."""
@@ -154,54 +167,38 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
          .repartition(_SAMPLE_TASKS, "id").write.parquet(path))
     sample = spark.read.parquet(path)
 
-    def count(batches):
-        seen = np.zeros((2, 1 << BITS), np.int32)
-        n = [0, 0]
-        for batch in batches:
-            texts, ys = wb.text_array(batch.column(1)), np.asarray(batch.column(0))
+    def learn(batches):
+        # The sample is bounded, and so is what one task holds of it.
+        held = [(wb.text_array(batch.column(1)), np.asarray(batch.column(0))) for batch in batches]
+        seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
+        for texts, ys in held:
             for a, m in wb.slices(texts, _SLICE):
                 doc, f = distinct_features(texts.slice(a, m))
                 for y in (0, 1):
-                    seen[y] += np.bincount(f[ys[a:a + m][doc] == y], minlength=1 << BITS).astype(np.int32)
-                    n[y] += int((ys[a:a + m] == y).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([seen[0].tobytes(), seen[1].tobytes()], pa.binary())],
-                                         names=["n", "seen"])
-
-    # Two fixed-size count tables for each of the sample's few tasks.
-    parts = sample.select("y", "t").coalesce(_SAMPLE_TASKS).mapInArrow(wb.trimmed(count), "n long, seen binary").collect()
-    seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for k, p in enumerate(parts):
-        seen[k % 2] += np.frombuffer(p.seen, np.int32)
-        n[k % 2] += p.n
-    if not n.all():
+                    seen[y] += np.bincount(f[ys[a:a + m][doc] == y], minlength=1 << BITS)
+                    n[y] += (ys[a:a + m] == y).sum()
+        chosen, ratio = _choose(seen, n, features) if n.all() else (np.zeros(0, np.int64), None)
+        w, bias = np.zeros(0), 0.0
+        if len(chosen):
+            place = np.full(1 << BITS, -1, np.int32)
+            place[chosen] = np.arange(len(chosen), dtype=np.int32)
+            rows = []
+            for texts, ys in held:
+                for a, m in wb.slices(texts, _SLICE):
+                    doc, f = distinct_features(texts.slice(a, m), place >= 0)
+                    cuts = np.searchsorted(doc, np.arange(m + 1))
+                    rows += [(int(ys[a + i]), place[f[cuts[i]:cuts[i + 1]]]) for i in range(m)]
+            w, bias = _fit(rows, ratio[chosen], l2, steps)
+            w = w * ratio[chosen]
+        yield pa.RecordBatch.from_arrays([pa.array([n.tolist()]), pa.array([chosen.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()),
+                                          pa.array([bias])], names=["n", "chosen", "w", "b"])
+
+    # The model alone comes back.
+    fitted = sample.select("y", "t").coalesce(1).mapInArrow(wb.trimmed(learn), "n array<double>, chosen binary, w binary, b double").first()
+    if fitted is None or not fitted.chosen:
         return empty
-    q, p = seen + 1.0
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio -= np.log((n[1] + 2) / p.sum()) - np.log((n[0] + 2) / q.sum())   # a feature as frequent in both has 0
-    rate0, rate1 = seen[0] / n[0], seen[1] / n[1]
-    pooled = seen.sum(0) / n.sum()
-    clear = np.abs(rate1 - rate0) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    clear[seen.sum(0) < 5] = 0
-    chosen = np.sort(np.argsort(-clear, kind="stable")[:features])
-    chosen = chosen[clear[chosen] > 2.0]
-    if not len(chosen):
-        return empty
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
-
-    def fit(batches):
-        rows = []
-        for batch in batches:
-            texts, ys = wb.text_array(batch.column(1)), np.asarray(batch.column(0))
-            for a, m in wb.slices(texts, _SLICE):
-                doc, f = distinct_features(texts.slice(a, m), place >= 0)
-                cuts = np.searchsorted(doc, np.arange(m + 1))
-                rows += [(int(ys[a + i]), place[f[cuts[i]:cuts[i + 1]]]) for i in range(m)]
-        w, b = _fit(rows, ratio[chosen], l2, steps)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
-
-    fitted = sample.select("y", "t").coalesce(1).mapInArrow(wb.trimmed(fit), "w binary, b double").first()
-    weights[chosen] = np.frombuffer(fitted.w, np.float64) * ratio[chosen]
+    chosen, n = np.frombuffer(fitted.chosen, np.int64), fitted.n
+    weights[chosen] = np.frombuffer(fitted.w, np.float64)
     # The sample's classes are not in the labels' proportion.
     shift = np.log(prior / (1 - prior)) - np.log(n[1] / n[0])
     return Model(weights, float(fitted.b + shift))
