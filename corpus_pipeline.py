@@ -27,15 +27,27 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one: no name that an operator uses
+    meets one of theirs."""
+    others = [docs[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("others"))
+
+
+def _again(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows of ``_beside``."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not take for toxic."""
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return score(docs, model).filter("predicted = 0").select(docs.columns)
+    return _again(score(_beside(docs), model).filter("predicted = 0"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has."""
-    return _with_length(line_dedup(docs, min_words=25))
+    return _with_length(_again(line_dedup(_beside(docs), min_words=25), docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +60,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind."""
-    found = pii.find(docs, pii.train(docs))
-    return _with_length(pii.redact(found).select(docs.columns))
+    found = pii.find(_beside(docs), pii.train(docs))
+    return _with_length(_again(pii.redact(found), docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +72,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("line_dedup", dedup_lines), ("jaccard_join", dedup_documents),
           ("pii", redact_pii), ("packing", packing)]
 
-#: Hash-chosen chunks, a trained classifier and tokenizers are beyond SQL.
+#: Passages of neighbouring lines, a trained classifier and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
