@@ -89,3 +89,16 @@ def test_pieces_are_the_documents(run):
 
 def test_run_gives_the_last_stage(spark):
     assert P.run(spark, "/root/testdata/sf0.001").columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_extra_columns_with_any_name(spark, tmp_path):
+    """Names that the operators use themselves come out with their values."""
+    names = ["score", "predicted", "spans", "_t", "_id", "_th", "_cuts", "others", "row", "y", "id", "t", "component_id", "none"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120").select("doc_id", "text", "n_chars")
+    now = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for k, (name, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, now, SF).write.parquet(f"{tmp_path}/{k}")
+        before, now = now, spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == before.columns and now.count() > 60
+        assert now.where(" OR ".join(f"NOT `{n}` <=> concat('{n}', doc_id)" for n in names)).count() == 0
+    assert P.STAGES[-1][1](spark, now, SF).count() > 60
