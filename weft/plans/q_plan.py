@@ -34,8 +34,7 @@ rem AS (SELECT ordinal, q.category, CAST(target AS BIGINT) AS target,
 
 def _quota(spark, sf):
     d = bindings.drills(spark, sf)
-    total = QUOTA_MULTIPLIER * d.count()   # one scalar to the driver
-    return d, quota.remaining_quota(spark, quota.category_counts(d), CONFIG_CATEGORIES, total)
+    return d, quota.planned_quota(quota.category_counts(d), CONFIG_CATEGORIES, QUOTA_MULTIPLIER)
 
 
 @query("quota_plan", sql=f"WITH {_QUOTA_SQL} SELECT * FROM rem")
@@ -96,10 +95,4 @@ SELECT category, CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n_items FROM
 """)
 def batch_plan(spark, sf):
     """Batch sizes from the rule (<= min -> single, else min(max, remaining))."""
-    _, q = _quota(spark, sf)
-    items = (q.where(F.col("remaining") > 0)
-              .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                      F.col("remaining") - 1))))
-    b = items.withColumn("batch_id", quota.batch_of_position(
-        F.col("pos"), F.col("remaining"), MIN_BATCH, MAX_BATCH))
-    return b.groupBy("category", "batch_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return quota.batch_plan(_quota(spark, sf)[1], MIN_BATCH, MAX_BATCH)
