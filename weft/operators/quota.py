@@ -123,7 +123,7 @@ def oversample_plan(source: DataFrame, quota: DataFrame, order_col: str,
 def batch_plan(quota: DataFrame, min_batch: int, max_batch: int, block: int = BLOCK) -> DataFrame:
     """(category, batch_id, n_items) of each category's ``remaining`` items.
     Batches are numbered by intervals and sized in closed form; no item is made."""
-    q = F.floor(F.col("remaining") / max_batch)
+    q = full_batches(F.col("remaining"), min_batch, max_batch)
     rest = F.col("remaining") - q * max_batch
     small = rest <= min_batch
     batches = numbered(quota.select("category", "remaining"), q + F.when(small, rest).otherwise(1), "batch_id", ["category"], block)
@@ -136,6 +136,12 @@ def batch_size(remaining: Column, min_batch: int, max_batch: int) -> Column:
     return F.when(remaining <= min_batch, F.lit(1)).otherwise(F.least(F.lit(max_batch), remaining))
 
 
+def full_batches(total: Column, min_batch: int, max_batch: int) -> Column:
+    """How many batches of ``max_batch`` are taken before a smaller one."""
+    least = max(min_batch + 1, max_batch)      # what must remain for a full batch
+    return F.when(total >= least, F.floor((total - least) / max_batch) + 1).otherwise(0).cast("bigint")
+
+
 def batch_of_position(pos: Column, total: Column, min_batch: int, max_batch: int) -> Column:
     """W8 closed form: the batch index of item ``pos`` when ``total`` items are
     consumed by repeatedly taking ``batch_size(remaining)``.
@@ -143,7 +149,7 @@ def batch_of_position(pos: Column, total: Column, min_batch: int, max_batch: int
     Full batches of ``max`` while more than ``max`` remain; then one batch of the
     rest if it exceeds ``min``, else single-item batches.
     """
-    q = F.floor(total / max_batch)
+    q = full_batches(total, min_batch, max_batch)
     rem = total - q * max_batch
     small_tail = (rem > 0) & (rem <= min_batch)
     return (F.when(pos < q * max_batch, F.floor(pos / max_batch))
