@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft.llm.line_dedup import _with_lines, line_dedup
@@ -42,28 +43,62 @@ def test_common_sentences_alone_are_no_passage(spark):
     assert removed(spark, rows) == dict(rows)
 
 
-def test_pairs_against_brute_force(spark):
-    rng = random.Random(7)
-    pool = [sentences(rng, rng.randint(3, 12), 50) for _ in range(25)]
-    rows = [(i, "".join(rng.choice(pool) + ("\n" if rng.random() < 0.2 else "") for _ in range(rng.randint(1, 20)))) for i in range(30)]
-    have = removed(spark, rows, min_words=25)
-    seen = set()
-    for i, t in rows:
-        u = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x]
-        later = []
-        for j in range(len(u) - 1):
-            pair = u[j].strip(), u[j + 1].strip()
-            later.append(pair in seen)
-            seen.add(pair)
-        gone, j = set(), 0
-        while j < len(later):
-            k = j
-            while k < len(later) and later[k]:
-                k += 1
-            if k > j and sum(len(x.split()) for x in u[j:k + 1]) >= 25:
-                gone.update(range(j, k + 1))
-            j = max(k, j + 1)
-        assert have[i] == "".join(x for n, x in enumerate(u) if n not in gone)
+def brute(rows, min_words):
+    """Texts without the windows of whole lines that stand in an earlier place."""
+    cut = {i: [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x] for i, t in rows}
+    first, windows = {}, []
+    for i in sorted(cut):
+        u = [x.strip() for x in cut[i]]
+        n = [len(x.split()) for x in u]
+        spans = set()
+        for a in range(len(u)):
+            b = next((b for b in range(a + 1, len(u) + 1) if sum(n[a:b]) >= min_words), None)
+            spans |= {(a, b)} if b else set()
+        for b in range(len(u), 0, -1):
+            a = next((a for a in range(b - 1, -1, -1) if sum(n[a:b]) >= min_words), None)
+            spans |= {(a, b)} if a is not None else set()
+        for a, b in sorted(spans):
+            first.setdefault(tuple(u[a:b]), (i, a))
+            windows.append((i, a, b, tuple(u[a:b])))
+    gone = {(i, k) for i, a, b, key in windows if first[key] != (i, a) for k in range(a, b)}
+    return {i: "".join(x for k, x in enumerate(u) if (i, k) not in gone) for i, u in cut.items()}
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_windows_against_brute_force(spark, seed):
+    """Few lines, so pairs repeat often, and longer copies of earlier places."""
+    rng = random.Random(seed)
+    pool = [sentences(rng, rng.randint(1, 12), 50) for _ in range(25)]
+    rows = []
+    for i in range(40):
+        t = [rng.choice(pool) + rng.choice(["", "", "", "\n", "\n\n"]) for _ in range(rng.randint(1, 20))]
+        if rows and rng.random() < 0.5:
+            u = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", rng.choice(rows)[1]) if x]
+            a = rng.randrange(len(u))
+            t[len(t) // 2:len(t) // 2] = u[a:a + rng.randint(1, 8)]
+        rows.append((i, "".join(t)))
+    assert removed(spark, rows, min_words=25) == brute(rows, 25)
+
+
+def test_pairs_from_unrelated_places_are_no_passage(spark):
+    """Every pair of lines stands in some earlier text, the passage in none; then its copy goes."""
+    rng = random.Random(12)
+    s = [sentences(rng, 9, 9) for _ in range(6)]
+    rows = [(k, sentences(rng, 30, 10) + s[k] + s[k + 1] + sentences(rng, 30, 10)) for k in range(5)]
+    own = sentences(rng, 30, 10)
+    rows += [(10, "".join(s)), (11, own + "".join(s) + sentences(rng, 30, 10))]
+    have = removed(spark, rows)
+    assert all(have[i] == t for i, t in rows if i <= 10)
+    assert have[11] == rows[-1][1].replace("".join(s), "")
+
+
+def test_many_lines_without_words(spark):
+    """A window over more lines than are looked at one by one."""
+    rng = random.Random(13)
+    passage = "\n\n\n\n".join(words(rng, 30)) + "\n"
+    rows = [(i, sentences(rng, 20, 10).strip() + "\n" + passage + sentences(rng, 20, 10)) for i in range(3)]
+    have = removed(spark, rows)
+    assert have == {i: t if i == 0 else t.replace(passage, "") for i, t in rows}
 
 
 def words(rng, n):

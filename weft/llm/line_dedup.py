@@ -11,11 +11,14 @@ count as a word.
 
 A unit whose hash occurs more than once in the corpus is a candidate.  The
 candidates' bytes are compared (smallest against largest content of the hash,
-combined map-side): a hash with different contents is dropped.  The first
-occurrence, by id and place, stays.  In every document, the lines of repeated
-units that overlap are a run; runs of ``min_words`` words are removed, from the
-first shared line to the last; what remains is byte for byte as it was.  Each
-line removed stands in an earlier place, so the first of all equal lines stays.
+combined map-side): a hash with different contents is dropped.  Within the
+runs of neighbouring repeated units, the fewest lines with ``min_words`` words
+from each line on, and up to each line, are a window.  A window that stands in
+an earlier place, by id and position, as a whole is removed, and so is a line of
+``min_words`` words alone; what remains is byte for byte as it was.  So a shared
+passage of that many words goes whole, its first occurrence stays, and text
+that is shared only pair by pair with unrelated places stays.  Each line removed
+stands in an earlier place, so the first of all equal lines stays.
 
 With a ``divisor`` the units are chunks instead, fewer but with gaps: a rolling
 hash over the last two line hashes decides after which lines a chunk ends (about
@@ -27,8 +30,8 @@ text are found in part only.
 Plan.  Rows of the two large steps are one number pair a unit (counting, then
 the join with the repeated hashes, where a frequent unit's rows are split by
 adaptive execution); texts are shuffled by document only, and contents only of
-repeated units, after map-side minima and maxima.  The repeated occurrences
-are a written table.  Nothing is gathered but a document's own units.
+repeated units, after map-side minima and maxima.  Windows are made of repeated
+units only.  The repeated occurrences and the windows are written tables.  Nothing is gathered but a document's own units.
 
 Results: a null or empty text stays as it is; a text of any length is treated
 whole; rows with the same id and text count as one occurrence and are treated
@@ -223,22 +226,75 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
                  F.when(F.size(parts) > 1, _words(F.get(parts, F.lit(1)))).otherwise(0).alias("_w2")).write.parquet(path))
     kept = spark.read.parquet(path)
 
-    # Every other occurrence goes if the run of units that overlap is long enough.
-    later = (repeated.distinct().join(kept, "_c")
-             .filter(~(F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._th") == F.col("_th"))
-                       & (F.col("_first._j") == F.col("_j")))))
-    w = Window.partitionBy("_id", "_th").orderBy("_j", "_k")
-    end = F.max(F.col("_j") + F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = later.select("_id", "_th", "_j", "_k", "_w1", "_w2", F.coalesce(end, F.lit(0)).alias("_end"))
-    fresh = F.col("_end") <= F.col("_j")
-    added = F.when(fresh, F.col("_w1") + F.col("_w2")).when(F.col("_end") <= F.col("_j") + 1, F.col("_w2")).otherwise(0)
-    runs = (placed.select("_id", "_th", "_j", "_k", added.alias("_words"), F.sum(fresh.cast("int")).over(w).alias("_run"))
-                  .groupBy("_id", "_th", "_run")
-                  .agg(F.min("_j").alias("a"), F.max(F.col("_j") + F.col("_k")).alias("b"), F.sum("_words").alias("_words"))
-                  .filter(F.col("_words") >= min_words))
+    occurrences = repeated.distinct().join(kept, "_c")
+    earlier = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._th") == F.col("_th")) & (F.col("_first._j") == F.col("_j"))
+    alone = occurrences.filter((F.col("_k") == 1) & ~earlier).select("_id", "_th", F.col("_j").alias("_a"), (F.col("_j") + 1).alias("_b"))
+    path = scratch_path(spark, "line-dedup")
+    _windows(occurrences.filter("_k = 2"), min_words).write.parquet(path)
+    windows = spark.read.parquet(path)
+
+    # A window goes if it stands in an earlier place as a whole.
+    place = F.struct("_id", "_th", "_a")
+    origin = windows.groupBy("_key").agg(F.min(place).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # Only what has no unit at its first place can stand in an earlier one.
+    later = windows.filter("_later").join(origin, "_key").filter(~(
+        F.col("_from._id").eqNullSafe(F.col("_id")) & (F.col("_from._th") == F.col("_th")) & (F.col("_from._a") == F.col("_a"))))
+    gone = later.select("_id", "_th", "_a", "_b").unionByName(alone)
+    w = Window.partitionBy("_id", "_th").orderBy("_a", "_b")
+    end = F.coalesce(F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = (gone.withColumn("_fresh", (end <= F.col("_a")).cast("int")).withColumn("_run", F.sum("_fresh").over(w))
+                .groupBy("_id", "_th", "_run").agg(F.min("_a").alias("a"), F.max("_b").alias("b")))
     return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
 
 
+def _windows(pairs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, _a, _b, _key, _later): in each run of repeated pairs, from each
+    line on and up to each line, the fewest lines with ``min_words`` words.
+
+    ``_key`` lists the pairs' hashes, whose bytes have been compared, so equal
+    keys are equal lines; ``_later`` says that no pair is at its first place."""
+    w = Window.partitionBy("_id", "_th").orderBy("_j")
+    first = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._th") == F.col("_th")) & (F.col("_first._j") == F.col("_j"))
+    # Words up to the end of a pair and up to its start.
+    marked = (pairs.withColumn("_run", F.col("_j") - F.row_number().over(w)).withColumn("_to", F.sum("_w2").over(w))
+                   .withColumn("_at", F.col("_to") - F.col("_w2") - F.col("_w1")))
+    run = marked.groupBy("_id", "_th", "_run").agg(F.array_sort(F.collect_list(F.struct(
+        "_j", "_to", "_at", F.col("_c"), first.alias("_f")))).alias("_p"))
+    run = run.withColumn("_last", F.get("_p", F.size("_p") - 1)["_to"]).filter(
+        F.col("_last") - F.get("_p", F.lit(0))["_at"] >= min_words)
+
+    def chain(start, found, beyond) -> Column:
+        """The least number of pairs; lines without words may make it any."""
+        out = start
+        for k in range(2 * min_words):
+            out = out.when(found(k), k + 1)
+        return out.otherwise(beyond)
+
+    def window(begin: Column, size: Column) -> Column:
+        at = F.when(size.isNotNull(), F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.get("_p", begin + k)))
+        return F.struct(begin.alias("_i"), size.alias("_size"), F.transform(at, lambda y: y["_c"]).alias("_key"),
+                        (~F.exists(at, lambda y: y["_f"])).alias("_later"))
+
+    def forward(x: Column, i: Column) -> Column:
+        need = x["_at"] + min_words
+        size = chain(F.when(F.col("_last") < need, F.lit(None)), lambda k: F.get("_p", i + k)["_to"] >= need,
+                     F.size(F.filter("_p", lambda y: y["_to"] < need)) - i + 1)
+        # Bound once, for the window uses it often.
+        return F.get(F.transform(F.array(size), lambda n: window(i, n)), F.lit(0))
+
+    def backward(x: Column, i: Column) -> Column:
+        most = x["_to"] - min_words
+        size = chain(F.when(F.get("_p", F.lit(0))["_at"] > most, F.lit(None)), lambda k: F.get("_p", i - k)["_at"] <= most,
+                     i - F.size(F.filter("_p", lambda y: y["_at"] <= most)) + 2)
+        return F.get(F.transform(F.array(size), lambda n: window(i - n + 1, n)), F.lit(0))
+
+    both = F.concat(F.transform("_p", lambda x, i: forward(x, i)), F.transform("_p", lambda x, i: backward(x, i)))
+    each = run.select("_id", "_th", F.get("_p", F.lit(0))["_j"].alias("_j0"), F.inline(F.array_distinct(
+        F.filter(both, lambda x: x["_size"].isNotNull()))))
+    a = F.col("_j0") + F.col("_i")
+    return each.select("_id", "_th", a.alias("_a"), (a + F.col("_size") + 1).alias("_b"), "_key", "_later")
+
+
 def line_dedup(docs: DataFrame, divisor: int | None = None, min_words: int = 25,
                id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` without repeated passages; ``removed_col`` adds the number of
