@@ -59,6 +59,25 @@ def test_ties_hot_vectors_and_odd_rows(spark):
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
 
 
+def test_ids_with_several_vectors(spark):
+    """Each row is a candidate: an id has the score of its best pair of vectors."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.1, 0.9]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert collected(ann.nearest(df, lambda i: i % 20 == 0)) == {0: [(1, 0.9), (2, 0.5)]}
+    rng = np.random.default_rng(9)
+    ids = [*range(200), *[7] * 300, *[40] * 5, *[33] * 30]                # 7: a hot id; 40: a query of six vectors
+    rows = [(i, rng.normal(size=6).round(3).tolist()) for i in ids]
+    best = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            for i, u in rows:
+                if i != q:
+                    best[q, i] = max(best.get((q, i), -np.inf), (np.array(u) * np.array(v)).sum())
+    want = {q: sorted(((i, s) for (p, i), s in best.items() if p == q), key=lambda r: (-r[1], r[0]))[:20] for q in range(0, 200, 20)}
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>").repartition(4)
+    assert collected(ann.nearest(df, lambda i: i % 20 == 0, query_ratio=9.0)) == want
+    assert collected(ann.nearest(df, lambda i: i % 20 == 0, query_ratio=9.0, part_rows=20, shard_bytes=1 << 12, list_size=10)) == want
+
+
 def test_largest_product_not_least_distance(spark):
     """Norms differ: the largest product wins."""
     rng = np.random.default_rng(2)

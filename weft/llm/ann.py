@@ -23,7 +23,8 @@ vector makes no long list, and nothing is lost.
 
 Results: null ids, and vectors that are null, empty, zero, or hold null or
 non-finite components take no part, nor do vectors of another length than the
-most frequent; repeated rows count once; with fewer than ``top`` others a query
+most frequent; rows of one id and vector count once, an id with several vectors
+has the score of its best pair and is no result of its own; with fewer than ``top`` others a query
 gets all; an empty table gives no rows.
 """
 
@@ -181,7 +182,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, one per id (of several the least)."""
+    """(id, v) of the vectors that take part, each once; an id may have several."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -189,7 +190,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     if size is None:
         return rows.limit(0)
-    return rows.filter(F.size("v") == size.d).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.filter(F.size("v") == size.d).distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -200,7 +201,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def fit_index(rows: DataFrame, sample_rows: int, list_size: int, max_centroids: int) -> Centroids | None:
     """Centroids from at most ``sample_rows`` of the distinct vectors ``rows``
-    (those with the smallest hash of their id), in one task."""
+    (those with the smallest hash), in one task."""
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     if not facts.n:
         return None
@@ -208,10 +209,11 @@ def fit_index(rows: DataFrame, sample_rows: int, list_size: int, max_centroids:
 
     def run(batches):
         parts = [(b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows]
-        x = np.concatenate([p for _, p in parts])[np.argsort(np.concatenate([i for i, _ in parts]), kind="stable")]
+        ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([p for _, p in parts])
+        x = x[np.lexsort((*x.T[::-1], ids))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, largest, k))], pa.binary())], names=["model"])
 
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", "v")
+    sample = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(sample_rows).select("id", "v")
     return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first().model)
 
 
@@ -255,7 +257,9 @@ def nearest(vectors: DataFrame, queries, top: int = 20, index_ratio: float = 1.0
         parts_, first_ = shared_parts.value
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            # By vector too: an id with very many vectors fills no part.
+            firsts = np.ascontiguousarray(_matrix(batch.column(1))[:, 0]).view(np.uint64)
+            mixed = ((ids.astype(np.uint64) ^ firsts) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             part = first_[lists] + (mixed % parts_[lists].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part % shards, pa.int32()), pa.array(np.zeros(len(ids), np.int32)), batch.column(0), batch.column(1),
@@ -320,14 +324,16 @@ def nearest(vectors: DataFrame, queries, top: int = 20, index_ratio: float = 1.0
                  .select("query_id", "rank", F.col("id").alias(id_col), "score"))
 
 
-def _by_part(held) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _by_part(held) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids in order, their vectors, and where each id starts, by part."""
     if not held:
         return {}
     ids, x, part = (np.concatenate([h[k] for h in held]) for k in range(3))
     order = np.lexsort((ids, part))
     ids, x, part = ids[order], x[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
-    return {int(part[a]): (ids[a:b], x[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)])}
+    spans = zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)])
+    return {int(part[a]): (ids[a:b], x[a:b], np.flatnonzero(np.diff(ids[a:b], prepend=ids[a] - 1))) for a, b in spans}
 
 
 def _best(qid: np.ndarray, q: np.ndarray, wanted: pa.Array, held: dict, top: int) -> pa.RecordBatch:
@@ -341,13 +347,15 @@ def _best(qid: np.ndarray, q: np.ndarray, wanted: pa.Array, held: dict, top: int
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
         if a == b or int(asked[order[a]]) not in held:
             continue
-        ids, x = held[int(asked[order[a]])]
+        ids, x, starts = held[int(asked[order[a]])]
         mine = owner[order[a:b]]
         rough = q[mine] @ x.T
         rough[ids[None, :] == qid[mine][:, None]] = -np.inf
-        for i, r in zip(mine, rough):
-            if len(r) > top:                                  # with room for rounding
-                least = np.partition(r, len(r) - top)[len(r) - top]
+        # The threshold counts ids, not rows.
+        by_id = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+        for i, r, g in zip(mine, rough, by_id):
+            if len(g) > top:                                  # with room for rounding
+                least = np.partition(g, len(g) - top)[len(g) - top]
                 keep = np.flatnonzero(r >= least - 1e-9 * (1 + abs(least)))
             else:
                 keep = np.flatnonzero(np.isfinite(r))
@@ -357,10 +365,10 @@ def _best(qid: np.ndarray, q: np.ndarray, wanted: pa.Array, held: dict, top: int
         if not parts:
             continue
         ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        ids, at = np.unique(ids, return_index=True)
         good = ids != qid[i]
-        ids, score = ids[good], (x[at[good]] * q[i]).sum(axis=1)
-        best = np.lexsort((ids, -score))[:top]
+        ids, score = ids[good], (x[good] * q[i]).sum(axis=1)
+        ranked = np.lexsort((ids, -score))
+        best = ranked[np.sort(np.unique(ids[ranked], return_index=True)[1])[:top]]
         out_q += [int(qid[i])] * len(best)
         out_i.append(ids[best])
         out_s.append(score[best])
