@@ -258,8 +258,8 @@ def _windows(pairs: DataFrame, min_words: int) -> DataFrame:
     # Words up to the end of a pair and up to its start.
     marked = (pairs.withColumn("_run", F.col("_j") - F.row_number().over(w)).withColumn("_to", F.sum("_w2").over(w))
                    .withColumn("_at", F.col("_to") - F.col("_w2") - F.col("_w1")))
-    run = marked.groupBy("_id", "_th", "_run").agg(F.array_sort(F.collect_list(F.struct(
-        "_j", "_to", "_at", F.col("_c"), first.alias("_f")))).alias("_p"))
+    run = marked.groupBy("_id", "_th", "_run").agg(F.sort_array(F.collect_list(F.struct(
+        "_j", "_to", "_at", "_c", first.alias("_f")))).alias("_p"))
     run = run.withColumn("_last", F.get("_p", F.size("_p") - 1)["_to"]).filter(
         F.col("_last") - F.get("_p", F.lit(0))["_at"] >= min_words)
 
@@ -286,11 +286,13 @@ def _windows(pairs: DataFrame, min_words: int) -> DataFrame:
         most = x["_to"] - min_words
         size = chain(F.when(F.get("_p", F.lit(0))["_at"] > most, F.lit(None)), lambda k: F.get("_p", i - k)["_at"] <= most,
                      i - F.size(F.filter("_p", lambda y: y["_at"] <= most)) + 2)
-        return F.get(F.transform(F.array(size), lambda n: window(i - n + 1, n)), F.lit(0))
+        # One that starts where a window of the same lines is found forward is left out.
+        new = F.get("_p", i - 1)["_to"] >= F.get("_p", i - size + 1)["_at"] + min_words
+        return F.get(F.transform(F.array(F.when((size > 1) & new, size)), lambda n: window(i - n + 1, n)), F.lit(0))
 
     both = F.concat(F.transform("_p", lambda x, i: forward(x, i)), F.transform("_p", lambda x, i: backward(x, i)))
-    each = run.select("_id", "_th", F.get("_p", F.lit(0))["_j"].alias("_j0"), F.inline(F.array_distinct(
-        F.filter(both, lambda x: x["_size"].isNotNull()))))
+    each = run.select("_id", "_th", F.get("_p", F.lit(0))["_j"].alias("_j0"), F.inline(
+        F.filter(both, lambda x: x["_size"].isNotNull())))
     a = F.col("_j0") + F.col("_i")
     return each.select("_id", "_th", a.alias("_a"), (a + F.col("_size") + 1).alias("_b"), "_key", "_later")
 
