@@ -13,8 +13,21 @@ from weft.llm.fingerprints import fingerprint
 SF = "/root/testdata/sf0.001"
 
 
+UNSPACED = "\u0e00-\u0e7f\u0e80-\u0eff\u1780-\u17ff\u1000-\u109f\u3041-\u3096\u30a1-\u30fa\u3400-\u9fff"
+
+
 def weights(t):
-    return Counter(w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w)
+    """Words; of a run of a script without spaces, three neighbours each and
+    the last two."""
+    out = Counter()
+    for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()):
+        rest = 0
+        for m in re.finditer(f"[{UNSPACED}]{{3,}}", w):
+            out.update([w[rest:m.start()]] + [w[i:i + 3] for i in range(m.start(), m.end() - 2)])
+            rest = m.end() - 2
+        out[w[rest:]] += 1
+    del out[""]
+    return out
 
 
 def jaccard(a, b):
@@ -68,6 +81,37 @@ def test_odd_rows(spark):
     assert one == two and [r.near_next for r in got if r.doc_id == 1] == [1.0]
 
 
+def test_scripts_without_spaces(spark):
+    """400 characters in one word, of which the next text has the first 300."""
+    letters = [chr(0x4e00 + 37 * i % 5000) for i in range(700)]
+    a, b = "".join(letters[:400]), "".join(letters[:300] + letters[400:500])
+    rows = [(1, a), (2, b), (3, "x" + a[:9] + "y z" + b[:2]), (4, "no such letters")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint(docs, samples=512).collect()
+    check(rows, got, 0.1)
+    first = min(got, key=lambda r: r.doc_id)
+    assert abs(first.near_next - jaccard(a, b)) < 0.1 and first.near_next > 0.4
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_ids_of_other_types(spark, kind):
+    """As with numbers: the next text is that of the next id in its type's order."""
+    docs = spark.range(300).select(F.expr("date'2020-01-01' + cast(id as int)" if kind == "date" else f"cast(id as {kind})").alias("doc_id"),
+                                   F.format_string("text %d with words %d", "id", F.col("id") % 7).alias("text"))
+    got = fingerprint(docs, samples=8)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    rows = {r.doc_id: r for r in got.collect()}
+    order = sorted((r.doc_id, r.text) for r in docs.collect())
+    for n, (i, t) in enumerate(order):
+        assert rows[i].edited_sha256 == hashlib.sha256(edit(t, order[(n + 1) % 300][1]).encode()).hexdigest()
+
+
+def test_samples_that_are_no_multiple_of_a_block(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    short, long = ({r.doc_id: r.fingerprint for r in fingerprint(docs, samples=n).collect()} for n in (5, 16))
+    assert all(len(short[i]) == 40 and long[i].startswith(short[i]) for i in (1, 2))
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny_tables(spark, n):
     docs = spark.createDataFrame([(4, "lone text here now")], "doc_id long, text string").limit(n)

@@ -1,9 +1,10 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame
 functions only.
 
-A document's terms are its lower-cased words, weighted by their counts.  For
-each sample k every term draws, from hashes of (term, k) alone, r and c from
-Gamma(2, 1) and b from U(0, 1); with weight w
+A document's terms are its lower-cased words, weighted by their counts; a run of
+characters of a script without spaces gives every three neighbouring characters
+as a term.  For each sample k every term draws, from hashes of (term, k) alone,
+r and c from Gamma(2, 1) and b from U(0, 1); with weight w
 
     t = floor(ln w / r + b),   ln a = ln c - r (t - b) - r
 
@@ -13,17 +14,21 @@ sample with a probability equal to their generalised Jaccard similarity
 samples estimates it.  Equal texts have equal fingerprints.
 
 Plan.  The next document in id order is found without a global window: ids are
-cut into buckets at approximate quantiles (found by a scan of the ids alone,
-``MAX_BUCKETS`` at most, so the bounds are a small literal), the texts are
-shuffled once by bucket, and each bucket also gets a copy of the first document
-of the bucket after it.  All that follows (words, counts, draws, minima) keeps
-that partitioning: no other shuffle carries texts or terms.  A hot source does
-not matter, as nothing is keyed by it; a long text is spread over rows.
+cut into buckets at quantiles of a sample of the ids chosen by hash (ids of any
+type that sorts; ``PER_BUCKET`` sampled ids a bucket, which only place the cuts;
+``ROWS`` documents a bucket, so buckets grow in number and not in size), the
+texts are shuffled once by bucket, and each bucket also gets a copy of the first
+document of the bucket after it.  All that follows (words, counts, draws,
+minima) keeps that partitioning: no other shuffle carries texts or terms.  The
+words that a text and its edited text share are split and counted once, and
+``BLOCK`` samples are drawn by one row of a term.  A hot source does not matter,
+as nothing is keyed by it; a long text is spread over rows.
 
 Results: a null text is an empty one; a text without words has no samples, is
 like another such text (1.0) and unlike any other (0.0), and its fingerprint is
 zeros; equal ids are ordered by text, a null id comes first; repeated rows get
 a row each; the last document's next is the first, a lone document's itself.
+Columns besides id and text are not read.  The id keeps its type.
 """
 
 from __future__ import annotations
@@ -31,34 +36,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1023
+#: Documents a bucket (but four buckets a shuffle partition at least), and sampled ids a bucket.
+ROWS = 1 << 16
+PER_BUCKET = 64
+#: Samples drawn by one row.
+BLOCK = 8
 
+_BLANK = " \t\n\x0b\f\r"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
-def _bounds(docs: DataFrame, buckets: int) -> list[int]:
-    """At most ``buckets`` - 1 ids that are the first of their bucket, ascending."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    row = docs.agg(F.percentile_approx("id", cuts or [0.5], F.lit(20_000)).alias("q"), F.min("id").alias("low")).first()
-    return sorted({x for x in row["q"] or [] if x > row["low"]}) if cuts else []
 
+def _bounds(ids: DataFrame) -> list:
+    """Ids that are the first of their bucket, ascending; the first bucket, where
+    the null ids are, has none."""
+    least = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, ids.count() // ROWS)
+    sample = (ids.filter("id is not null").select("id", F.xxhash64("id").alias("_h"))
+                 .orderBy("_h").limit(PER_BUCKET * buckets).orderBy("id"))
+    found = [r["id"] for r in sample.select("id").collect()]
+    cuts = [found[i * len(found) // buckets] for i in range(1, buckets)] if found else []
+    return [x for x, before in zip(cuts, found[:1] + cuts) if x != before]
 
-def _bucket(bounds: list[int]) -> Column:
+
+def _bucket(bounds: list, dtype) -> Column:
     """Number of bounds up to the id, by binary search in the literal."""
-    steps = max(1, len(bounds).bit_length())
-    padded = F.array(*[F.lit(x).cast("long") for x in bounds + [2**63 - 1] * ((1 << steps) - 1 - len(bounds))])
+    if not bounds:
+        return F.lit(0)
     found = F.aggregate(
-        F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)]), F.lit(0),
-        lambda at, step: F.when(F.element_at(padded, at + step) <= F.col("id"), at + step).otherwise(at))
-    return F.least(F.coalesce(found, F.lit(0)), F.lit(len(bounds)))
+        F.array(*[F.lit(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1)]), F.lit(0),
+        lambda at, step: F.when(F.try_element_at(F.array(*[F.lit(x).cast(dtype) for x in bounds]), at + step) <= F.col("id"), at + step)
+                          .otherwise(at))
+    return F.coalesce(found, F.lit(0))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, place, copy, id, t, next_t): each text with the next one in
     ascending id order.  ``copy`` marks the first of the next bucket, put last."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    buckets = min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(rows.select("id"), buckets)
-    rows = rows.withColumn("bucket", _bucket(bounds))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    bounds = _bounds(rows.select("id"))
+    rows = rows.withColumn("bucket", _bucket(bounds, rows.schema["id"].dataType))
     n = len(bounds) + 1
     # The first id of each bucket after the first is its bound; of the first, the lowest.
     low = rows.select("id").agg(F.min(F.struct(F.col("id").isNotNull(), "id")).alias("low")).first()["low"]
@@ -90,33 +106,64 @@ def _draw(term: Column, k: Column) -> tuple[Column, Column, Column]:
     return r, F.log(c), unit(F.shiftrightunsigned(two, 48), 16)
 
 
-def _candidate(ln_w: Column) -> Column:
+def _candidate(ln_w: Column, draw: tuple[Column, Column, Column]) -> Column:
     """One long that orders as a and carries the sample's 32 bits below it."""
-    t = F.floor(ln_w / F.col("r") + F.col("b"))
-    ln_a = F.col("ln_c") - F.col("r") * (t - F.col("b")) - F.col("r")
+    r, ln_c, b = draw
+    t = F.floor(ln_w / r + b)
+    ln_a = ln_c - r * (t - b) - r
     order = F.floor((ln_a + 100.0) * float(1 << 24)).cast("long")     # ln a lies between -90 and 10
     low32 = F.lit((1 << 32) - 1)
     sample = F.col("term").bitwiseXOR(t.cast("long").bitwiseAND(low32) * F.lit(40503)).bitwiseAND(low32)
     return F.shiftleft(order, 32).bitwiseOR(sample)
 
 
-def sample_terms(words: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """(keys, k, first, second): the packed minima of two weighted term sets
-    (null: no terms).  ``words``: keys, txt and side (1 or 2) per text; already
-    partitioned by the keys, so nothing is shuffled."""
-    term = F.when(F.col("word").isNotNull(), F.xxhash64("word"))
-    bare = F.btrim(F.lower("txt"), F.lit(" \t\n\x0b\f\r"))
-    # A text without words gives one row without a term, so that each key stays.
-    counts = (words.select(*keys, "side", F.explode_outer(F.when(bare != "", F.split(bare, r"\s+"))).alias("word"))
-                   .select(*keys, term.alias("term"), (F.col("side") == 1).cast("int").alias("one"))
-                   .groupBy(*keys, "term").agg(F.sum("one").alias("n1"), F.sum(1 - F.col("one")).alias("n2")))
-    logs = counts.select(*keys, "term", *[F.when(F.col(n) > 0, F.log(F.col(n).cast("double"))).alias(f"w{i}")
-                                          for i, n in ((1, "n1"), (2, "n2"))])
-    r, ln_c, b = _draw(F.col("term"), F.col("k"))
-    drawn = (logs.select(*keys, "term", "w1", "w2", F.explode(F.array(*map(F.lit, range(samples)))).alias("k"))
-                 .select(*keys, "term", "w1", "w2", "k", r.alias("r"), ln_c.alias("ln_c"), b.alias("b")))
-    return (drawn.select(*keys, "k", _candidate(F.col("w1")).alias("c1"), _candidate(F.col("w2")).alias("c2"))
-                 .groupBy(*keys, "k").agg(F.min("c1").alias("first"), F.min("c2").alias("second")))
+def _words(text: Column) -> Column:
+    """The words of a text, empty ones among them."""
+    low = F.lower(text)
+    runs = F.regexp_replace(low, f"([{_UNSPACED}])(?=([{_UNSPACED}]{{2}}))", " $1$2 ")
+    spaced = F.when((F.octet_length(low) > F.length(low)) & low.rlike(f"[{_UNSPACED}]"), runs).otherwise(low)
+    for blank in _BLANK[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.split(spaced, " ")
+
+
+def _parts(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, one, two, txt): the texts cut at blanks into what text and edited
+    text share and what only one of them has."""
+    t, quarter = F.col("t"), F.floor(F.length("t") / 4).cast("int")
+    cut = placed.withColumn("shared", F.when(F.col("copy"), F.lit("")).otherwise(
+        F.regexp_extract(F.substring(t, F.lit(1), F.length(t) - quarter), f"(?s)^(.*[{_BLANK}])", 1)))
+    after = lambda text: F.substr(text, F.length("shared") + 1)
+    part = lambda one, two, text: F.struct(F.lit(one).alias("one"), F.lit(two).alias("two"), text.alias("txt"))
+    parts = F.array(part(1, 1, F.col("shared")), part(1, 0, after(t)), part(0, 1, after(F.coalesce("edited_t", F.lit("")))))
+    return cut.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*")
+
+
+def sample_terms(parts: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """(keys, first, second): the samples of two weighted term sets, as arrays
+    (null: no terms).  ``parts``: keys, one, two and txt, whose words count one
+    times for the first set and two times for the second; already partitioned by
+    the keys, so nothing is shuffled."""
+    # An empty word gives a row without a term, so that each key stays.
+    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    counts = (parts.select(*keys, "one", "two", F.explode(_words(F.col("txt"))).alias("word"))
+                   .select(*keys, term.alias("term"), "one", "two")
+                   .groupBy(*keys, "term").agg(F.sum("one").alias("n1"), F.sum("two").alias("n2")))
+    logs = counts.select(*keys, "term", *[F.when(F.col("term").isNotNull() & (F.col(n) > 0), F.log(F.col(n).cast("double"))).alias(w)
+                                          for n, w in (("n1", "w1"), ("n2", "w2"))])
+    blocks = logs.select("*", F.explode(F.array(*map(F.lit, range(0, samples, BLOCK)))).alias("k"))
+    draws = [_draw(F.col("term"), F.col("k") + i) for i in range(BLOCK)]
+    least = [F.min(_candidate(F.col(w), draw)).alias(f"{w}_{i}") for w in ("w1", "w2") for i, draw in enumerate(draws)]
+    # Both sets of a block are filled or empty together, as every term draws every sample.
+    filled = lambda w: F.when(F.col(f"{w}_0").isNotNull(), F.array(*[F.col(f"{w}_{i}") for i in range(BLOCK)])).alias(w)
+    drawn = blocks.groupBy(*keys, "k").agg(*least).select(*keys, "k", filled("w1"), filled("w2"))
+    low32 = F.lit((1 << 32) - 1)
+
+    def whole(w: str) -> Column:
+        ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(w).alias("v")))), lambda x: x["v"]))
+        return F.when(F.count(w) > 0, F.transform(F.slice(ordered, 1, samples), lambda v: v.bitwiseAND(low32)))
+
+    return drawn.groupBy(*keys).agg(whole("w1").alias("first"), whole("w2").alias("second"))
 
 
 def _string(samples: Column, n: int) -> Column:
@@ -137,16 +184,8 @@ def fingerprint(docs: DataFrame, samples: int = 32, id_col: str = "doc_id", text
     keys = ["bucket", "place"]
     placed = (with_next(docs, id_col, text_col)
               .withColumn("edited_t", F.when(~F.col("copy"), edited(F.col("t"), F.col("next_t")))))
-    words = (placed.select(*keys, F.explode(F.array(
-                 F.struct(F.lit(1).alias("side"), F.col("t").alias("txt")),
-                 F.struct(F.lit(2).alias("side"), F.col("edited_t").alias("txt")))).alias("x"))
-                   .select(*keys, "x.side", "x.txt").filter(F.col("txt").isNotNull()))
-    low32 = F.lit((1 << 32) - 1)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("v")))),
-                                    lambda x: x["v"].bitwiseAND(low32))
-    filled = lambda c: F.when(F.count(c) > 0, ordered(c))
-    prints = (sample_terms(words, keys, samples).groupBy(*keys)
-              .agg(filled("first").alias("own"), filled("second").alias("other")))
+    prints = (sample_terms(_parts(placed, keys), keys, samples)
+              .select(*keys, F.col("first").alias("own"), F.col("second").alias("other")))
     facts = placed.select(*keys, "copy", "id", F.length("t").cast("long").alias("n_chars"),
                           F.sha2("edited_t", 256).alias("edited_sha256"))
     w = Window.partitionBy("bucket").orderBy("place")
