@@ -20,9 +20,12 @@ type that sorts; ``PER_BUCKET`` sampled ids a bucket, which only place the cuts;
 texts are shuffled once by bucket, and each bucket also gets a copy of the first
 document of the bucket after it.  All that follows (words, counts, draws,
 minima) keeps that partitioning: no other shuffle carries texts or terms.  The
-words that a text and its edited text share are split and counted once, and
-``BLOCK`` samples are drawn by one row of a term.  A hot source does not matter,
-as nothing is keyed by it; a long text is spread over rows.
+words that a text and its edited text share are split and counted once.  The
+least a of a document with W words is exponential with rate W, so it lies above
+``REACH`` / W with a probability of exp(-``REACH``), 1e-13; a term whose a lies
+above that by a bound without logarithms is not drawn to the end (see ``_low``).
+A hot source does not matter, as nothing is keyed by it; a long text is spread
+over rows.
 
 Results: a null text is an empty one; a text without words has no samples, is
 like another such text (1.0) and unlike any other (0.0), and its fingerprint is
@@ -39,11 +42,13 @@ from pyspark.sql import functions as F
 #: Documents a bucket (but four buckets a shuffle partition at least), and sampled ids a bucket.
 ROWS = 1 << 16
 PER_BUCKET = 64
-#: Samples drawn by one row.
-BLOCK = 8
+#: Least a of interest, times the number of words.
+REACH = 30.0
 
 _BLANK = " \t\n\x0b\f\r"
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Thai, Lao, Myanmar, Khmer, Hiragana, Katakana, Han (as ranges, which match faster than names).
+_UNSPACED = (r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{ff66}-\x{ff9d}"
+             r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}")
 
 
 def _bounds(ids: DataFrame) -> list:
@@ -96,19 +101,28 @@ def edited(t: Column, next_t: Column) -> Column:
     return F.concat(F.substring(t, F.lit(1), F.length(t) - quarter), F.substring(next_t, F.lit(1), quarter))
 
 
-def _draw(term: Column, k: Column) -> tuple[Column, Column, Column]:
-    """(r, ln c, b) of a term's k-th sample."""
+def _uniforms(term: Column, k: Column) -> dict[str, Column]:
+    """u (of c), v (of r) and b of a term's k-th sample: u and v are products of
+    two uniform numbers, whose negative logarithm is Gamma(2, 1)."""
     one, two = F.xxhash64(term, k), F.xxhash64(k, term)
     unit = lambda bits, width: (bits.cast("double") + 0.5) / float(1 << width)
     low32, low24 = F.lit((1 << 32) - 1), F.lit((1 << 24) - 1)
-    r = -F.log(unit(one.bitwiseAND(low32), 32) * unit(F.shiftrightunsigned(one, 32), 32))
-    c = -F.log(unit(two.bitwiseAND(low24), 24) * unit(F.shiftrightunsigned(two, 24).bitwiseAND(low24), 24))
-    return r, F.log(c), unit(F.shiftrightunsigned(two, 48), 16)
+    return {"v": unit(one.bitwiseAND(low32), 32) * unit(F.shiftrightunsigned(one, 32), 32),
+            "u": unit(two.bitwiseAND(low24), 24) * unit(F.shiftrightunsigned(two, 24).bitwiseAND(low24), 24),
+            "b": unit(F.shiftrightunsigned(two, 48), 16)}
 
 
-def _candidate(ln_w: Column, draw: tuple[Column, Column, Column]) -> Column:
+def _low() -> Column:
+    """A lower bound of a for weights up to ``most``.  c = -ln u >= 1 - u; as
+    r (t - b) <= ln w, a >= c v / w; at w = 1, t = 0 and a = c v^(1 - b), which is
+    not less than c times the weighted harmonic mean of v and 1."""
+    u, v, b, most = F.col("u"), F.col("v"), F.col("b"), F.col("most")
+    return (1 - u) * F.when(most == 1, v / (1 - b + b * v)).otherwise(v / most)
+
+
+def _candidate(ln_w: Column) -> Column:
     """One long that orders as a and carries the sample's 32 bits below it."""
-    r, ln_c, b = draw
+    r, ln_c, b = F.col("r"), F.col("ln_c"), F.col("b")
     t = F.floor(ln_w / r + b)
     ln_a = ln_c - r * (t - b) - r
     order = F.floor((ln_a + 100.0) * float(1 << 24)).cast("long")     # ln a lies between -90 and 10
@@ -118,52 +132,58 @@ def _candidate(ln_w: Column, draw: tuple[Column, Column, Column]) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """The words of a text, empty ones among them."""
+    """The words of a text, in an array."""
     low = F.lower(text)
     runs = F.regexp_replace(low, f"([{_UNSPACED}])(?=([{_UNSPACED}]{{2}}))", " $1$2 ")
     spaced = F.when((F.octet_length(low) > F.length(low)) & low.rlike(f"[{_UNSPACED}]"), runs).otherwise(low)
     for blank in _BLANK[1:]:
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return F.split(spaced, " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _parts(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, one, two, txt): the texts cut at blanks into what text and edited
-    text share and what only one of them has."""
+    """(keys, reach, one, two, words): the words that text and edited text share
+    and those that only one of them has, cut apart at a blank."""
     t, quarter = F.col("t"), F.floor(F.length("t") / 4).cast("int")
     cut = placed.withColumn("shared", F.when(F.col("copy"), F.lit("")).otherwise(
         F.regexp_extract(F.substring(t, F.lit(1), F.length(t) - quarter), f"(?s)^(.*[{_BLANK}])", 1)))
     after = lambda text: F.substr(text, F.length("shared") + 1)
-    part = lambda one, two, text: F.struct(F.lit(one).alias("one"), F.lit(two).alias("two"), text.alias("txt"))
-    parts = F.array(part(1, 1, F.col("shared")), part(1, 0, after(t)), part(0, 1, after(F.coalesce("edited_t", F.lit("")))))
-    return cut.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*")
+    split = cut.select(*keys, _words(F.col("shared")).alias("both"), _words(after(t)).alias("own"),
+                       _words(after(F.coalesce("edited_t", F.lit("")))).alias("other"))
+    total = lambda only: F.nullif(F.size("both") + F.size(only), F.lit(0))
+    part = lambda one, two, words: F.struct(F.lit(one).alias("one"), F.lit(two).alias("two"), F.col(words).alias("words"))
+    return (split.select(*keys, (REACH / F.least(total("own"), total("other"))).alias("reach"),
+                         F.explode(F.array(part(1, 1, "both"), part(1, 0, "own"), part(0, 1, "other"))).alias("x"))
+                 .select(*keys, "reach", "x.*"))
 
 
 def sample_terms(parts: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """(keys, first, second): the samples of two weighted term sets, as arrays
-    (null: no terms).  ``parts``: keys, one, two and txt, whose words count one
+    (null: no terms).  ``parts``: keys, reach, one, two and words that count one
     times for the first set and two times for the second; already partitioned by
     the keys, so nothing is shuffled."""
-    # An empty word gives a row without a term, so that each key stays.
-    term = F.when(F.col("word") != "", F.xxhash64("word"))
-    counts = (parts.select(*keys, "one", "two", F.explode(_words(F.col("txt"))).alias("word"))
-                   .select(*keys, term.alias("term"), "one", "two")
-                   .groupBy(*keys, "term").agg(F.sum("one").alias("n1"), F.sum("two").alias("n2")))
-    logs = counts.select(*keys, "term", *[F.when(F.col("term").isNotNull() & (F.col(n) > 0), F.log(F.col(n).cast("double"))).alias(w)
-                                          for n, w in (("n1", "w1"), ("n2", "w2"))])
-    blocks = logs.select("*", F.explode(F.array(*map(F.lit, range(0, samples, BLOCK)))).alias("k"))
-    draws = [_draw(F.col("term"), F.col("k") + i) for i in range(BLOCK)]
-    least = [F.min(_candidate(F.col(w), draw)).alias(f"{w}_{i}") for w in ("w1", "w2") for i, draw in enumerate(draws)]
-    # Both sets of a block are filled or empty together, as every term draws every sample.
-    filled = lambda w: F.when(F.col(f"{w}_0").isNotNull(), F.array(*[F.col(f"{w}_{i}") for i in range(BLOCK)])).alias(w)
-    drawn = blocks.groupBy(*keys, "k").agg(*least).select(*keys, "k", filled("w1"), filled("w2"))
+    # A part without words gives a row without a term, so that each key stays.
+    counts = (parts.select(*keys, "reach", "one", "two", F.explode_outer("words").alias("word"))
+                   .select(*keys, "reach", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"), "one", "two")
+                   .groupBy(*keys, "reach", "term").agg(F.sum("one").alias("n1"), F.sum("two").alias("n2")))
+    ln = lambda n: F.when(F.col("term").isNotNull() & (F.col(n) > 0), F.log(F.col(n).cast("double")))
+    logs = counts.select(*keys, "reach", "term", ln("n1").alias("w1"), ln("n2").alias("w2"), F.greatest("n1", "n2").alias("most"))
+    drawn = logs.select("*", F.explode(F.array(*map(F.lit, range(samples)))).alias("k"))
+    drawn = drawn.select("*", *[x.alias(name) for name, x in _uniforms(F.col("term"), F.col("k")).items()])
+    drawn = drawn.filter(F.col("term").isNull() | (_low() <= F.col("reach")))
+    drawn = drawn.select(*keys, "term", "w1", "w2", "k", "b", (-F.log("v")).alias("r"), F.log(-F.log("u")).alias("ln_c"))
     low32 = F.lit((1 << 32) - 1)
+    least = (drawn.select(*keys, "k", _candidate(F.col("w1")).alias("c1"), _candidate(F.col("w2")).alias("c2"))
+                  .groupBy(*keys, "k").agg(F.min("c1").alias("first"), F.min("c2").alias("second")))
 
-    def whole(w: str) -> Column:
-        ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(w).alias("v")))), lambda x: x["v"]))
-        return F.when(F.count(w) > 0, F.transform(F.slice(ordered, 1, samples), lambda v: v.bitwiseAND(low32)))
+    def whole(c: str) -> Column:
+        found = F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("k", F.col(c).bitwiseAND(low32).alias("v")))))
+        # The map is bound once, not once for each sample.
+        values = F.transform(F.array(found), lambda m: F.transform(F.array(*map(F.lit, range(samples))), lambda k: F.coalesce(
+            F.try_element_at(m, k), F.lit(0).cast("long"))))
+        return F.when(F.count(c) > 0, F.get(values, F.lit(0)))
 
-    return drawn.groupBy(*keys).agg(whole("w1").alias("first"), whole("w2").alias("second"))
+    return least.groupBy(*keys).agg(whole("first").alias("first"), whole("second").alias("second"))
 
 
 def _string(samples: Column, n: int) -> Column:
