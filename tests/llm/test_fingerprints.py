@@ -144,3 +144,11 @@ def test_error_of_the_production_setting(spark):
         errors.append(got[i].near_edited - exact)
         assert len(got[i].fingerprint) == 8 * 64
     assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 1.1 * 0.0625
+
+
+def test_query_on_a_larger_table(spark):
+    """The optimizer once stopped on the literal search in the id's column."""
+    from weft.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op10_fingerprints"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())

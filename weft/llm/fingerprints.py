@@ -67,10 +67,15 @@ def _bucket(bounds: list, dtype) -> Column:
     """Number of bounds up to the id, by binary search in the literal."""
     if not bounds:
         return F.lit(0)
+    # The id travels in the state: a lambda that names a column of the table stops
+    # the optimizer's constraints over a union.
+    literal = lambda: F.array(*[F.lit(x).cast(dtype) for x in bounds])
     found = F.aggregate(
-        F.array(*[F.lit(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1)]), F.lit(0),
-        lambda at, step: F.when(F.try_element_at(F.array(*[F.lit(x).cast(dtype) for x in bounds]), at + step) <= F.col("id"), at + step)
-                          .otherwise(at))
+        F.array(*[F.lit(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1)]),
+        F.struct(F.lit(0).alias("at"), F.col("id").alias("id")),
+        lambda x, step: F.struct(F.when(F.try_element_at(literal(), x["at"] + step) <= x["id"], x["at"] + step)
+                                  .otherwise(x["at"]).alias("at"), x["id"].alias("id")),
+        lambda x: x["at"])
     return F.coalesce(found, F.lit(0))
 
 
