@@ -47,3 +47,25 @@ def test_pairs_at_the_threshold_are_found(spark):
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "v"]))
     got = {(r.id, r.neighbor_id) for r in vectors.knn(df, "id", "v", dim=64).collect()}
     assert all((i, 1000 + i) in got and (1000 + i, i) in got for i in range(400))
+
+
+def test_blocks_of_pairs_are_not_shuffled(spark, monkeypatch):
+    """Cut into several blocks, with large groups of copies: the exact best k, and
+    the tasks that meet the vectors give k rows a class and block at most."""
+    monkeypatch.setattr(vectors, "TILE", (64, 128))
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 16))
+    X = np.concatenate([np.repeat(base[:2], 300, axis=0), base[rng.integers(0, 40, 600)] + 0.15 * rng.standard_normal((600, 16))])
+    ids = rng.permutation(5000)[:len(X)].tolist()
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "v": X.tolist()}))
+    got = {(r.id, r["rank"]): (r.neighbor_id, r.cosine) for r in vectors.knn(df, "id", "v", dim=16).collect()}
+    U = X / np.sqrt(np.cumsum(X * X, axis=1)[:, -1:])
+    S = np.stack([np.cumsum(U * u, axis=1)[:, -1] for u in U])
+    want = {}
+    for a in range(len(ids)):
+        near = sorted((-S[a, b], ids[b]) for b in range(len(ids)) if b != a and S[a, b] >= 0.85)[:8]
+        want |= {(ids[a], k + 1): (b, round(-c, 6)) for k, (c, b) in enumerate(near)}
+    assert len(want) > 5000 and {k: b for k, (b, _) in got.items()} == {k: b for k, (b, _) in want.items()}
+    assert all(abs(got[x][1] - want[x][1]) <= 1e-6 for x in want)
+    classes = spark.createDataFrame([(bytes([x // 256, x % 256]), x, u.tolist()) for x, u in enumerate(U[600:])], "_c binary, _id long, _v array<double>")
+    assert max(r["count"] for r in vectors.near_classes(classes, 16, 0.85, 8).groupBy("_c").count().collect()) <= 8

@@ -106,8 +106,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor
 SELECT vec_id, neighbor_id, round(c, 6) AS cosine, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 8
 """)
 def knn_dups(spark, sf):
-    """Up to 8 neighbours with cosine >= 0.85 per embedding (LSH-blocked,
-    exactly verified; recall measured in tests/test_vectors.py)."""
+    """Up to 8 neighbours with cosine >= 0.85 per embedding (exact,
+    block by block; checked in tests/test_vectors.py)."""
     from weft.operators import vectors
     e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
     return vectors.knn(e, "vec_id", "embedding", dim=64)
