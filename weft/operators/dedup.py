@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.fuzzy import Windows, candidate_pairs, codes, with_bins
+from weft.operators.fuzzy_blocks import similar_by_block
 from weft.sources.tables import dealt
 
 
@@ -137,9 +138,10 @@ def _lcs_udf(t: int = 95):
 
 def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
                   threshold: int = 95) -> DataFrame:
-    """Verified similar pairs: ``candidate_pairs`` then ``verify_pairs``."""
-    cand = candidate_pairs(strings, id_col, text_col, threshold)
-    return verify_pairs(cand, strings, id_col, text_col, threshold)
+    """Verified similar pairs (id_a, id_b, len_a, len_b, lcs): block by block, where
+    both texts are.  ``candidate_pairs`` then ``verify_pairs`` gives the same rows, but
+    shuffles a row for every common segment."""
+    return similar_by_block(strings, id_col, text_col, threshold, lcs_at_least)
 
 
 def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str,

@@ -128,8 +128,9 @@ def text_segments(text: str, b: Budget, counts: np.ndarray | None = None):
     return keys[kept], i[kept], p[kept], k, m - gone
 
 
-def text_windows(text: str, b: Budget, bits: np.ndarray | None):
-    """(keys, place) of the windows of a text that may meet a segment."""
+def text_windows(text: str, b: Budget, bits: np.ndarray | None, only: int | None = None):
+    """(keys, place) of the windows of a text that may meet a segment (of a text in
+    the length band ``only``)."""
     c = codes(text)
     n = len(c)
     lengths = np.arange(int(b.shortest(n)), n + 1, dtype=np.int64)
@@ -139,7 +140,7 @@ def text_windows(text: str, b: Budget, bits: np.ndarray | None):
     wide = np.concatenate([np.stack([lengths // many, bands]), np.stack([lengths // many + (lengths % many > 0), bands])], axis=1)
     hash_of, keys, places = Windows(c), [], []
     for w, band in np.unique(wide, axis=1).T.tolist():
-        if not 0 < w <= n:
+        if not 0 < w <= n or only not in (None, band):
             continue
         q = np.arange(n - w + 1)
         h = hash_of.hashes(q, w)
