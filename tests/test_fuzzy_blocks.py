@@ -18,6 +18,15 @@ def test_short_lcs_matches_dp():
     assert FB.short_lcs(*map(list, zip(*pairs))).tolist() == [dp_lcs(*p) for p in pairs]
 
 
+def test_lcs_between_common_start_and_end():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 60)))
+        b = edited(rnd, a, rnd.randint(0, 9), "abé")
+        n = dp_lcs(a, b)
+        assert dedup.lcs_at_least(a, b, 0) == dedup.lcs_at_least(a, b, n) == n
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_pairs_of_brute_force(spark, monkeypatch, cut):
     """Short and long texts around the threshold, in whole bands and in cut ones."""

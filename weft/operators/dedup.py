@@ -92,15 +92,30 @@ def shared_qgrams(a: str, b: str, q: int = QGRAM) -> int:
     return int(np.minimum(ca[ia], cb[ib]).sum())
 
 
+def common_start(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
 def lcs_at_least(a: str, b: str, need: int) -> int:
-    """Bit-parallel LCS that stops early (checked every 256 characters) once
-    even matching every remaining character could not reach ``need``;
-    returns the LCS, or -1 after an early stop."""
+    """Bit-parallel LCS of what stands between the common start and end; it stops
+    early (checked every 256 characters) once even matching every remaining
+    character could not reach ``need``; returns the LCS, or -1 after an early stop."""
     if len(a) < len(b):
         a, b = b, a
+    start = common_start(a, b)
+    a, b = a[start:], b[start:]
+    end = common_start(a[::-1], b[::-1])
+    a, b = a[:len(a) - end], b[:len(b) - end]
+    same = start + end
+    need -= same
     m, n = len(b), len(a)
     if m == 0:
-        return 0
+        return same
     masks: dict[str, int] = {}
     for j, ch in enumerate(b):
         masks[ch] = masks.get(ch, 0) | (1 << j)
@@ -111,7 +126,7 @@ def lcs_at_least(a: str, b: str, need: int) -> int:
         v = ((v + u) | (v - u)) & full
         if not i & 255 and (m - v.bit_count()) + (n - i) < need:
             return -1
-    return m - v.bit_count()
+    return same + m - v.bit_count()
 
 
 def lcs_if_possible(a: str, b: str, t: int) -> int:
