@@ -117,3 +117,52 @@ def test_meteor_reference_python():
     # all six words match, in the chunks "the", "cat sat", "on", "the", "mat".
     assert math.isclose(G._meteor(h, r), 1 - 0.5 * (5 / 6) ** 3)
     assert math.isclose(G._meteor(h, h), 1 - 0.5 * (1 / 6) ** 3)
+
+
+def test_lines_of_many_pairs_at_once(monkeypatch):
+    """ROUGE-Lsum of several pairs in one pass, whatever the batches, as by one table
+    a pair of lines with the reference DP's tie rule."""
+    import random
+
+    def marks(r, h):
+        t = [[0] * (len(h) + 1) for _ in range(len(r) + 1)]
+        for i, x in enumerate(r, 1):
+            for j, y in enumerate(h, 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if x == y else max(t[i - 1][j], t[i][j - 1])
+        i, j, out = len(r), len(h), set()
+        while i and j:
+            if r[i - 1] == h[j - 1]:
+                out.add(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i - 1][j] >= t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    def plain(hyp, ref):
+        hc, rc, hits = Counter(t for x in hyp for t in x), Counter(t for x in ref for t in x), 0
+        for r in ref:
+            for k in sorted(set().union(*(marks(r, h) for h in hyp))):
+                if hc[r[k]] > 0 and rc[r[k]] > 0:
+                    hits, hc[r[k]], rc[r[k]] = hits + 1, hc[r[k]] - 1, rc[r[k]] - 1
+        return hits, sum(map(len, hyp)), sum(map(len, ref))
+
+    rnd = random.Random(5)
+    text = lambda: "\n".join(" ".join(rnd.choice("abcdefg"[:rnd.randint(2, 7)]) for _ in range(rnd.choice([0, 1, 5, 70]))) for _ in range(rnd.randint(1, 5)))
+    hyps, refs = zip(*[(text(), text()) for _ in range(120)])
+    want = [plain(*([x.split() for x in t.split("\n")] for t in p)) for p in zip(hyps, refs)]
+    for chunk in (1, 5000, G.LSUM_CHUNK):
+        monkeypatch.setattr(G, "LSUM_CHUNK", chunk)
+        assert G._lsum_of(hyps, refs) == want
+
+
+def test_matches_of_large_alphabets_stay_numbers():
+    """Six characters of an alphabet of 3,000 do not fit in 63 bits."""
+    import random
+    rnd = random.Random(2)
+    h, r = ("".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(4000)) for _ in range(2))
+    h += r[500:900] + h[:50]
+    grams = lambda x, n: Counter(x[i:i + n] for i in range(len(x) - n + 1))
+    assert G._match_counts(h, r, range(1, 7)) == {n: sum((grams(h, n) & grams(r, n)).values()) for n in range(1, 7)}
+    assert not hasattr(G, "_ngrams")     # no dictionary of tuples per pair

@@ -12,6 +12,7 @@ sum first and divide once; sentence metrics (ROUGE, METEOR) average per pair.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,6 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKEN_RE), 0)
 
 
-def _ngrams(toks, n):
-    return Counter(tuple(toks[i:i + n]) for i in range(len(toks) - n + 1))
-
-
 def _lcs_tokens(a, b) -> int:
     """Bit-parallel LCS over token sequences."""
     if len(a) < len(b):
@@ -56,109 +53,145 @@ def _lcs_tokens(a, b) -> int:
     return len(b) - v.bit_count()
 
 
-LSUM_CHUNK = 20_000_000     # max table cells per batch of reference lines
+LSUM_CHUNK = 160_000_000     # table cells (bits) per batch of reference lines
+LSUM_CHARS = 2_000_000       # characters of the pairs whose lines are numbered together
+
+
+class _Lines:
+    """A pair's hypothesis and reference lines, numbered."""
+
+    def __init__(self, hyp_lines, ref_lines):
+        self.refs = ref_lines
+        hyp = [t for line in hyp_lines for t in line]
+        self.counts = Counter(hyp), Counter(t for line in ref_lines for t in line)
+        self.sizes = len(hyp), sum(map(len, ref_lines))
+        vocab: dict = {}
+        self.H = np.array([vocab.setdefault(t, len(vocab)) for t in hyp], dtype=np.int64)
+        ends = np.cumsum([len(line) for line in hyp_lines if line], dtype=np.int64)
+        self.seg = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        self.place = np.arange(len(hyp)) + self.seg      # a free bit after each line
+        self.first, self.last = (self.place[x] for x in (np.r_[0, ends[:-1]], ends - 1)) if len(ends) else (ends, ends)
+        self.marks = {key: np.zeros(len(r), dtype=bool) for r in ref_lines if r and (key := tuple(r))}
+        lines = [(key, np.array([vocab.get(t, -1) for t in key], dtype=np.int64)) for key in self.marks]
+        self.todo = [x for x in lines if (x[1] >= 0).any()]
+
+    def hits(self) -> tuple[int, int, int]:
+        hits, (hyp_cnt, ref_cnt) = 0, self.counts
+        for r in self.refs:
+            for jj in np.flatnonzero(self.marks[tuple(r)]) if r else ():
+                tok = r[jj]
+                if hyp_cnt[tok] > 0 and ref_cnt[tok] > 0:
+                    hits += 1
+                    hyp_cnt[tok] -= 1
+                    ref_cnt[tok] -= 1
+        return hits, *self.sizes
 
 
 def _union_lcs_lines(hyp_lines, ref_lines) -> tuple[int, int, int]:
-    """ROUGE-Lsum: for every reference line, the union of its LCS token hits
-    over all hypothesis lines; counts are clipped by token frequency.
+    return _union_lcs_pairs([(hyp_lines, ref_lines)])[0]
+
+
+def _union_lcs_pairs(pairs) -> list[tuple[int, int, int]]:
+    """ROUGE-Lsum of pairs of lists of lines: for every reference line, the union of
+    its LCS token hits over all hypothesis lines; counts are clipped by token frequency.
 
     All distinct reference lines are processed together: one DP table per
-    line, stacked, each row a cumulative max reset at hypothesis line starts;
-    then every (reference line, hypothesis line) path is backtracked in
-    lockstep with the reference DP's tie rule (move up on ties)."""
-    hyp_tok = [t for line in hyp_lines for t in line]
-    ref_tok = [t for line in ref_lines for t in line]
-    if not hyp_tok or not ref_tok:
-        return 0, len(hyp_tok), len(ref_tok)
-    hyp_cnt, ref_cnt = Counter(hyp_tok), Counter(ref_tok)
-    vocab: dict = {}
-    H = np.array([vocab.setdefault(t, len(vocab)) for t in hyp_tok], dtype=np.int64)
-    bounds, s0 = [], 0
-    for line in hyp_lines:
-        if line:
-            bounds.append((s0, s0 + len(line)))
-        s0 += len(line)
-    n = len(H)
-    seg = np.zeros(n, dtype=np.int64)
-    for k, (a, b) in enumerate(bounds):
-        seg[a:b] = k
-    starts = np.array([b[0] for b in bounds], dtype=np.int64)
-    line_a = np.array([b[0] for b in bounds], dtype=np.int64)
-    line_e = np.array([b[1] for b in bounds], dtype=np.int64)
-    marks_of: dict[tuple, np.ndarray] = {}
-    todo = []
-    for r in ref_lines:
-        key = tuple(r)
-        if not r or key in marks_of:
-            continue
-        R = np.array([vocab.get(t, -1) for t in r], dtype=np.int64)
-        marks_of[key] = np.zeros(len(r), dtype=bool)
-        if not (R < 0).all():
-            todo.append((key, R))
-    g0 = 0
-    while g0 < len(todo):
-        g1, cells = g0, 0
-        while g1 < len(todo) and (g1 == g0 or cells + (len(todo[g1][1]) + 1) * n <= LSUM_CHUNK):
-            cells += (len(todo[g1][1]) + 1) * n
-            g1 += 1
-        batch = todo[g0:g1]
-        for (key, _), mk in zip(batch, _lsum_marks([x[1] for x in batch], H, starts, seg,
-                                                   line_a, line_e)):
-            marks_of[key] = mk
-        g0 = g1
-    hits = 0
-    for r in ref_lines:
-        if not r:
-            continue
-        for jj in np.nonzero(marks_of[tuple(r)])[0]:
-            tok = r[jj]
-            if hyp_cnt[tok] > 0 and ref_cnt[tok] > 0:
-                hits += 1
-                hyp_cnt[tok] -= 1
-                ref_cnt[tok] -= 1
-    return hits, len(hyp_tok), len(ref_tok)
-
-
-def _lsum_marks(Rs, H, starts, seg, line_a, line_e) -> list[np.ndarray]:
-    """Stacked DP + lockstep backtrack for a batch of reference lines."""
-    G, n = len(Rs), len(H)
-    a_len = np.array([len(R) for R in Rs], dtype=np.int64)
-    A_max = int(a_len.max())
-    Rmat = np.full((G, A_max), -2, dtype=np.int64)
-    for g, R in enumerate(Rs):
-        Rmat[g, :len(R)] = R
-    off = (seg * (A_max + 1))[None, :]
-    table = np.zeros((G, A_max + 1, n), dtype=np.int32)
-    prev = np.zeros((G, n), dtype=np.int64)
-    for k in range(A_max):
-        diag = np.zeros((G, n), dtype=np.int64)
-        diag[:, 1:] = prev[:, :-1]
-        diag[:, starts] = 0
-        cand = np.maximum(prev, diag + (H[None, :] == Rmat[:, k][:, None]))
-        cur = np.maximum.accumulate(cand + off, axis=1) - off
-        table[:, k + 1] = cur
-        prev = cur
-    L = len(line_a)
-    gi = np.repeat(np.arange(G), L)
-    I = a_len[gi]
-    J = np.tile(line_e - 1, G)
-    A = np.tile(line_a, G)
-    live = table[gi, I, J] > 0
-    gi, I, J, A = gi[live], I[live], J[live], A[live]
-    marks = np.zeros((G, A_max), dtype=bool)
-    while len(I):
-        m = Rmat[gi, I - 1] == H[J]
-        marks[gi[m], I[m] - 1] = True
-        up = table[gi, I - 1, J]
-        left = np.where(J - 1 >= A, table[gi, I, np.maximum(J - 1, 0)], 0)
-        go_up = m | (up >= left)
-        go_left = m | ~(up >= left)
-        I = I - go_up
-        J = J - go_left
-        keep = (I > 0) & (J >= A)
-        gi, I, J, A = gi[keep], I[keep], J[keep], A[keep]
-    return [marks[g, :a_len[g]] for g in range(G)]
+    line, a bit per cell; then every (reference line, hypothesis line) path is
+    backtracked in lockstep with the reference DP's tie rule (move up on ties)."""
+    found = [_Lines(*p) for p in pairs]
+    batch, cells = [], 0
+    for x in found:
+        for key, R in x.todo:
+            batch.append((x, key, R))
+            cells += (len(R) + 1) * (int(x.place[-1]) + 2)
+            if cells > LSUM_CHUNK:
+                _lsum_marks(batch)
+                batch, cells = [], 0
+    if batch:
+        _lsum_marks(batch)
+    return [x.hits() for x in found]
+
+
+def _lsum_table(x: _Lines, Rs) -> np.ndarray:
+    """Row I of a line's table is a number with a bit per hypothesis token: 0 where
+    the LCS of I reference tokens grows (all hypothesis lines at once, the free bit
+    after each takes the carry).  Table values are counts of zeros from a line's start."""
+    bits = int(x.place[-1]) + 2
+    size = 8 * -(-bits // 64)
+
+    def number(at: np.ndarray) -> int:
+        one = np.zeros(bits, bool)
+        one[at] = True
+        return int.from_bytes(np.packbits(one, bitorder="little").tobytes(), "little")
+
+    by_token = np.argsort(x.H, kind="stable")
+    codes, first = np.unique(x.H[by_token], return_index=True)
+    used = set(np.concatenate(Rs).tolist())
+    masks = {c: number(x.place[at]) for c, at in zip(codes.tolist(), np.split(by_token, first[1:])) if c in used}
+    full = number(x.place)
+    rows = []
+    for R in Rs:
+        v = full
+        rows.append(v.to_bytes(size, "little"))
+        for t in R.tolist():
+            u = v & masks.get(t, 0)
+            if u:
+                v = (v + u | v - u) & full
+            rows.append(v.to_bytes(size, "little"))
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, size // 8)
+
+
+def _lsum_marks(batch) -> None:
+    """Bit-parallel DP + lockstep backtrack of reference lines of some pairs; the
+    marks are left with their pair."""
+    tables, before, start, token, at_bit, bit_of, path = [], [], [], [], [], [], []
+    words = rows = bits = 0
+    lines = []
+    for x, group in groupby(batch, key=lambda b: b[0]):
+        group = list(group)
+        table = _lsum_table(x, [R for _, _, R in group])
+        counts = np.bitwise_count(table)
+        tables.append(table.ravel())
+        before.append((np.cumsum(counts, axis=1, dtype=np.int32) - counts).ravel())
+        start.append(words + np.arange(len(table)) * table.shape[1])
+        token += [np.r_[-2, R] for _, _, R in group]
+        here = np.full(int(x.place[-1]) + 2, -3, dtype=np.int64)
+        here[x.place] = x.H
+        at_bit.append(here)
+        bit_of.append(np.full(len(table), bits))
+        for _, key, R in group:
+            lines.append((x, key, rows))
+            rows += len(R) + 1
+            path.append((np.full(len(x.first), rows - 1), x.last, x.first))
+        words, bits = words + table.size, bits + len(here)
+    table, before, start, token, at_bit, bit_of = map(np.concatenate, (tables, before, start, token, at_bit, bit_of))
+    row, J, A = map(np.concatenate, zip(*path))
+    one = np.uint64(1)
+
+    def ones(row, end):   # in front of the bit ``end``
+        w = start[row] + (end >> 6)
+        return before[w] + np.bitwise_count(table[w] & ((one << (end & 63).astype(np.uint64)) - one))
+
+    def value(row, j, a):
+        return j + 1 - a - (ones(row, j + 1) - ones(row, a))
+
+    T = value(row, J, A)
+    hit = np.zeros(rows, dtype=bool)
+    while True:
+        live = T > 0                                     # else no token of the rest matches
+        row, J, A, T = row[live], J[live], A[live], T[live]
+        if not len(row):
+            break
+        m = token[row] == at_bit[bit_of[row] + J]
+        hit[row[m]] = True
+        # Without a match T is the larger neighbour; the upper one is taken on ties.
+        grows = (table[start[row] + (J >> 6)] >> (J & 63).astype(np.uint64) & one) == 0
+        go_up = m | grows
+        ask = np.flatnonzero(~go_up)
+        go_up[ask] = value(row[ask] - 1, J[ask], A[ask]) == T[ask]
+        row, J, T = row - go_up, J - (m | ~go_up), T - m
+    for x, key, r in lines:
+        x.marks[key] |= hit[r + 1:r + 1 + len(key)]
 
 
 def _meteor(h, r) -> float:
@@ -200,45 +233,54 @@ STATS_SCHEMA = ", ".join(
 FAMILIES = ("ngram", "lcs", "lsum", "meteor", "chrf")
 
 
-def _ngram_keys(ids: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Exact integer key per n-gram (base-``v`` digits); caller ensures v**n < 2**63."""
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.int64)
-    k = ids[:m].astype(np.int64)
-    for j in range(1, n):
-        k = k * v + ids[j:j + m]
-    return k
-
-
 def _clipped(hk: np.ndarray, rk: np.ndarray) -> int:
-    """Sum over distinct n-grams of min(hyp count, ref count)."""
+    """Sum over distinct n-grams (numbers below 2^62) of min(hyp count, ref count)."""
     if len(hk) == 0 or len(rk) == 0:
         return 0
-    uh, ch = np.unique(hk, return_counts=True)
-    ur, cr = np.unique(rk, return_counts=True)
-    _, ia, ib = np.intersect1d(uh, ur, assume_unique=True, return_indices=True)
-    return int(np.minimum(ch[ia], cr[ib]).sum())
+    both = np.sort(np.concatenate([hk << 1, rk << 1 | 1]))
+    key = both >> 1
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    of_ref = np.add.reduceat(both & 1, first)
+    return int(np.minimum(of_ref, np.diff(np.r_[first, len(both)]) - of_ref).sum())
 
 
 def _match_counts(h_items, r_items, orders) -> dict[int, int]:
-    """Clipped n-gram matches for each order; exact integer encoding when it
-    fits in 63 bits, Counter otherwise."""
+    """Clipped n-gram matches for each order, exactly: an n-gram is the number of the
+    one before it in the order and the item after that, numbered anew where such
+    numbers would not fit in 62 bits."""
     nh = len(h_items)
-    codes, uniq = pd.factorize(pd.Series(list(h_items) + list(r_items), dtype=object))
-    v = max(len(uniq), 1)
-    hi, ri = codes[:nh].astype(np.int64), codes[nh:].astype(np.int64)
+    if isinstance(h_items, str):
+        codes = np.unique(np.frombuffer((h_items + r_items).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1]
+    else:
+        codes = pd.factorize(np.array([*h_items, *r_items], dtype=object))[0]
+    codes = codes.astype(np.int64)
+    v = top = int(codes.max(initial=0)) + 1
+    sides = gram = codes[:nh], codes[nh:]
     out = {}
-    for n in orders:
-        if v ** n < (1 << 63):
-            out[n] = _clipped(_ngram_keys(hi, n, v), _ngram_keys(ri, n, v))
-        else:
-            hc, rc = _ngrams(list(h_items), n), _ngrams(list(r_items), n)
-            out[n] = sum(min(c, rc[g]) for g, c in hc.items())
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            if top * v >= 1 << 62:
+                which = np.unique(np.concatenate(gram), return_inverse=True)[1]
+                gram, top = (which[:len(gram[0])], which[len(gram[0]):]), int(which.max(initial=0)) + 1
+            gram, top = tuple(g[:-1] * v + c[n - 1:] for g, c in zip(gram, sides)), top * v
+        if n in orders:
+            out[n] = _clipped(*gram)
+    return out
+
+
+def _lsum_of(hs, rs) -> list[tuple[int, int, int]]:
+    """``_union_lcs_pairs`` of texts, some pairs at a time."""
+    out, held, size = [], [], 0
+    for k, (h, r) in enumerate(zip(hs, rs)):
+        held.append([[TOKEN_PY.findall(x) for x in text.split("\n")] for text in (h, r)])
+        size += len(h) + len(r)
+        if size >= LSUM_CHARS or k == len(hs) - 1:
+            out += _union_lcs_pairs(held)
+            held, size = [], 0
     return out
 
 
-def _pair_stats(ht, rt, hs, rs, fam=FAMILIES) -> dict:
+def _pair_stats(ht, rt, hs, rs, fam=FAMILIES, lsum=None) -> dict:
     out = {k.split()[0]: 0 for k in STATS_SCHEMA.split(", ")}
     out["meteor"] = 0.0
     m = _match_counts(ht, rt, range(1, BLEU_ORDER + 1)) if len(ht) and len(rt) else {}
@@ -253,10 +295,7 @@ def _pair_stats(ht, rt, hs, rs, fam=FAMILIES) -> dict:
     if "lcs" in fam:
         out["lcs"] = _lcs_tokens(ht, rt)
     if "lsum" in fam:
-        tok = TOKEN_PY.findall
-        o, h, r = _union_lcs_lines([tok(x) for x in hs.split("\n")],
-                                   [tok(x) for x in rs.split("\n")])
-        out["lsum_o"], out["lsum_h"], out["lsum_r"] = o, h, r
+        out["lsum_o"], out["lsum_h"], out["lsum_r"] = lsum or _lsum_of([hs], [rs])[0]
     if "meteor" in fam:
         out["meteor"] = _meteor(ht, rt)
     if "chrf" not in fam:
@@ -282,7 +321,8 @@ except ImportError:  # pragma: no cover
 def _stats_udf(fam: tuple[str, ...]):
     @F.pandas_udf(STATS_SCHEMA)
     def pair_stats_udf(ht: pd.Series, rt: pd.Series, hs: pd.Series, rs: pd.Series) -> pd.DataFrame:
-        rows = [_pair_stats(a, b, c, d, fam) for a, b, c, d in zip(ht, rt, hs, rs)]
+        lsum = _lsum_of(hs, rs) if "lsum" in fam else [None] * len(hs)
+        rows = [_pair_stats(a, b, c, d, fam, x) for a, b, c, d, x in zip(ht, rt, hs, rs, lsum)]
         return pd.DataFrame(rows, columns=[k.split()[0] for k in STATS_SCHEMA.split(", ")])
     return pair_stats_udf
 
