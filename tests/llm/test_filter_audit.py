@@ -103,3 +103,26 @@ def test_facts_count_code_points():
     facts = shard.row(1).column("docs").flatten()
     assert facts.field("c").to_pylist() == [True, False, False, True, False]
     assert facts.field("d").to_pylist() == [False, False, True, False, False] and len(set(facts.field("hash").to_pylist())) == 5
+
+
+def test_a_shard_holds_no_batch(tmp_path):
+    text = " ".join(f"word{i % 50}" for i in range(4000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(["en"] * 100), pa.array([text] * 100)],
+                                       names=["id", "part", "t"])
+    path, seen = tmp_path / "batches", []
+    with pa.ipc.new_stream(str(path), batch.schema) as out:
+        for _ in range(4):
+            out.write_batch(batch)
+    size = batch.nbytes
+    del batch
+
+    def batches():
+        with open(path, "rb") as f:
+            for b in pa.ipc.open_stream(f):
+                yield b
+                del b
+                seen.append(pa.total_allocated_bytes())
+    before = pa.total_allocated_bytes()
+    rows = list(A._rows_of(batches(), 0, 10, "#", 1 << 30))
+    assert len(rows) == 1 and len(rows[0].column(6)[0]) == 400
+    assert max(seen) - before < size / 2

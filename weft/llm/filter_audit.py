@@ -92,23 +92,56 @@ class _Shard:
                                                      names=["id", "part", "c", "d", "hash"]))
 
     def row(self, number: int) -> pa.RecordBatch:
+        """The shard's row; its parts go as they are put together."""
         merged = pa.concat_arrays(self.words).dictionary_encode()
-        columns = np.asarray(merged.indices, np.int32)[np.concatenate(self.columns)]
+        self.words.clear()
+        places, dictionary = np.asarray(merged.indices, np.int32), merged.dictionary
+        columns = np.concatenate(self.columns)
+        self.columns.clear()
+        np.take(places, columns, out=columns, mode="clip")
+        counts = np.concatenate(self.counts)
+        self.counts.clear()
         indptr = np.append(0, np.cumsum(np.concatenate(self.rows))).astype(np.int64)
         facts = pa.concat_arrays(self.facts)
+        self.facts.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (indptr, columns, np.concatenate(self.counts))),
-             _joined(merged.dictionary, np.array([0, len(merged.dictionary)])), pa.array([len(merged.dictionary)]),
+            [pa.array([number]), *(_one(x) for x in (indptr, columns, counts)),
+             _joined(dictionary, np.array([0, len(dictionary)])), pa.array([len(dictionary)]),
              pa.ListArray.from_arrays(pa.array([0, len(facts)], pa.int32()), facts)],
             names=["shard", "indptr", "indices", "counts", "words", "n_words", "docs"])
 
 
+def _one(numbers: np.ndarray) -> pa.Array:
+    """A single value, the numbers' bytes, which are not copied."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, numbers.nbytes], np.int32)), pa.py_buffer(numbers)])
+
+
 def _joined(words: pa.Array, bounds: np.ndarray) -> pa.Array:
     """Runs of words as one text each (no word has a space)."""
     lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), words)
     return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
+def _rows_of(batches, number: int, upper_percent: int, signs: str, shard_bytes: int):
+    """The rows of a task's shards, numbered from ``number`` on."""
+    shard = _Shard()
+    for batch in batches:
+        ids, parts, texts = batch.column(0), batch.column(1), wb.text_array(batch.column(2))
+        for a, m in wb.slices(texts, min(_SLICE, shard_bytes)):
+            # Taken, not sliced: a slice would hold its whole batch in the shard.
+            own = pa.array(range(a, a + m), pa.int32())
+            shard.add(ids.take(own), parts.take(own), texts.slice(a, m), upper_percent, signs)
+            if shard.bytes >= shard_bytes:
+                wb.give_back()
+                yield shard.row(number)
+                number, shard = number + 1, _Shard()
+                wb.give_back()
+        # Not held while the next batch is read.
+        del batch, ids, parts, texts
+    if shard.facts:
+        yield shard.row(number)
+
+
 def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, upper_percent: int, signs: str,
            shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(shard, indptr, indices, counts, words, n_words, docs): the matrix by shards,
@@ -119,16 +152,7 @@ def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, upper_per
 
     def run(batches):
         from pyspark import TaskContext
-        number, shard = TaskContext.get().partitionId() << 32, _Shard()
-        for batch in batches:
-            texts = wb.text_array(batch.column(2)).fill_null("")
-            for a, m in wb.slices(texts, min(_SLICE, shard_bytes)):
-                shard.add(batch.column(0).slice(a, m), batch.column(1).slice(a, m), texts.slice(a, m), upper_percent, signs)
-                if shard.bytes >= shard_bytes:
-                    yield shard.row(number)
-                    number, shard = number + 1, _Shard()
-        if shard.facts:
-            yield shard.row(number)
+        yield from _rows_of(batches, TaskContext.get().partitionId() << 32, upper_percent, signs, shard_bytes)
 
     return rows.mapInArrow(wb.trimmed(run), "shard long, indptr binary, indices binary, counts binary, words string, n_words long, docs "
                            + _DOC.format(id=kind))

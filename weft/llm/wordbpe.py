@@ -230,12 +230,17 @@ def trimmed(task):
             yield from task(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
     return run
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tokenizer_json(path: str) -> str:
     """The vocabulary file's text.  Its size is the vocabulary's, so it may be
     broadcast whatever the size of the corpus."""
