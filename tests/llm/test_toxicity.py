@@ -83,3 +83,23 @@ def test_without_two_classes(spark, labels):
     docs = spark.createDataFrame([(1, "a text"), (2, "another")], "doc_id long, text string")
     model = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert not model.weights.any() and len({r.score for r in T.score(docs, model).collect()}) == 1
+
+
+def test_no_table_of_all_features_comes_to_the_driver(spark, monkeypatch):
+    """Fixed tables of 2^BITS counts, some for each task, filled the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    got = []
+
+    def watched(f):
+        def g(self, *a):
+            out = f(self, *a)
+            got.extend(r for r in (out if isinstance(out, list) else [out]))
+            return out
+        return g
+    for name in ("collect", "head", "first"):
+        monkeypatch.setattr(DataFrame, name, watched(getattr(DataFrame, name)))
+    data = rows(300)
+    model = T.train(spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string"),
+                    spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    assert model.weights.any() and got
+    assert max(len(v) for r in got for x in (r if isinstance(r, list) else [r]) for v in x if isinstance(v, (bytes, bytearray))) < 1 << T.BITS

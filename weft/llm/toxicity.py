@@ -130,6 +130,23 @@ def _fit(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, l2: float, steps
     return x[:m], float(x[m])
 
 
+def _choose(seen: np.ndarray, n: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The clearest features and their ratios, from the document frequencies of
+    all of them in each class of ``n`` texts."""
+    if not n.all():
+        return np.zeros(0, np.int64), np.zeros(0)
+    q, p = seen + 1.0
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio -= np.log((n[1] + 2) / p.sum()) - np.log((n[0] + 2) / q.sum())   # a feature as frequent in both has 0
+    rate0, rate1 = seen[0] / n[0], seen[1] / n[1]
+    pooled = seen.sum(0) / n.sum()
+    clear = np.abs(rate1 - rate0) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    clear[seen.sum(0) < 5] = 0
+    chosen = np.sort(np.argsort(-clear, kind="stable")[:features])
+    chosen = chosen[clear[chosen] > 2.0]
+    return chosen, ratio[chosen]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: int = 8192, l2: float = 1.0,
           steps: int = 100, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``per_class`` labelled rows of each class."""
@@ -164,57 +181,59 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: i
                 for y in (0, 1):
                     seen[y] += np.bincount(f[ys[a:a + m][doc] == y], minlength=1 << BITS).astype(np.int32)
                     n[y] += int((ys[a:a + m] == y).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([seen[0].tobytes(), seen[1].tobytes()], pa.binary())],
-                                         names=["n", "seen"])
-
-    # Two fixed-size count tables for each of the sample's few tasks.
-    parts = sample.select("y", "t").coalesce(_SAMPLE_TASKS).mapInArrow(wb.trimmed(count), "n long, seen binary").collect()
-    seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for k, p in enumerate(parts):
-        seen[k % 2] += np.frombuffer(p.seen, np.int32)
-        n[k % 2] += p.n
-    if not n.all():
-        return empty
-    q, p = seen + 1.0
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio -= np.log((n[1] + 2) / p.sum()) - np.log((n[0] + 2) / q.sum())   # a feature as frequent in both has 0
-    rate0, rate1 = seen[0] / n[0], seen[1] / n[1]
-    pooled = seen.sum(0) / n.sum()
-    clear = np.abs(rate1 - rate0) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    clear[seen.sum(0) < 5] = 0
-    chosen = np.sort(np.argsort(-clear, kind="stable")[:features])
-    chosen = chosen[clear[chosen] > 2.0]
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()),
+                                          pa.array([seen[0].tobytes(), seen[1].tobytes()], pa.binary())], names=["y", "n", "seen"])
+
+    def choose(batches):
+        seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                y = batch.column(0)[k].as_py()
+                seen[y] += np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
+                n[y] += batch.column(1)[k].as_py()
+        chosen, value = _choose(seen, n, features)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([chosen.tobytes()], pa.binary()),
+                                          pa.array([value.tobytes()], pa.binary())], names=["n0", "n1", "chosen", "value"])
+
+    # Two fixed-size count tables for each of the sample's few tasks meet in one
+    # task; the driver gets the chosen features only.
+    counts = sample.select("y", "t").coalesce(_SAMPLE_TASKS).mapInArrow(wb.trimmed(count), "y int, n long, seen binary")
+    made = counts.repartition(1).mapInArrow(wb.trimmed(choose), "n0 long, n1 long, chosen binary, value binary").first()
+    chosen, value = (np.frombuffer(made.chosen, np.int64), np.frombuffer(made.value, np.float64)) if made else ([], [])
     if not len(chosen):
         return empty
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def fit(batches):
         rows = []
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
         for batch in batches:
             texts, ys = wb.text_array(batch.column(1)), np.asarray(batch.column(0))
             for a, m in wb.slices(texts, _SLICE):
                 doc, f = distinct_features(texts.slice(a, m), place >= 0)
                 cuts = np.searchsorted(doc, np.arange(m + 1))
                 rows += [(int(ys[a + i]), place[f[cuts[i]:cuts[i + 1]]]) for i in range(m)]
-        w, b = _fit(rows, ratio[chosen], l2, steps)
+        w, b = _fit(rows, value, l2, steps)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
     fitted = sample.select("y", "t").coalesce(1).mapInArrow(wb.trimmed(fit), "w binary, b double").first()
-    weights[chosen] = np.frombuffer(fitted.w, np.float64) * ratio[chosen]
+    weights[chosen] = np.frombuffer(fitted.w, np.float64) * value
     # The sample's classes are not in the labels' proportion.
-    shift = np.log(prior / (1 - prior)) - np.log(n[1] / n[0])
+    shift = np.log(prior / (1 - prior)) - np.log(made.n1 / made.n0)
     return Model(weights, float(fitted.b + shift))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with score (0 to 1) and predicted (score >= 0.5)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    some = np.flatnonzero(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((some, model.weights[some], model.bias))
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
-        weights, bias = shared.value
+        some, values, bias = shared.value
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[some] = values
         keep = weights != 0
         for batch in batches:
             texts = wb.text_array(batch.column(at))
