@@ -139,3 +139,27 @@ def test_components(spark, seed):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_family_with_words_of_their_own_queries_little(spark, monkeypatch):
+    """Texts around one base, each with a sixth of its shingles its own: no pair can
+    link, although all their prefixes share tokens of the base."""
+    from weft.llm import jaccard_join as J
+    pairs, written = [], J._written
+
+    def watched(df, name="jaccard"):
+        out = written(df, name)
+        if out.columns == ["c", "size", "comp", "g"]:
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(J, "_written", watched)
+    base = [f"w{i}" for i in range(124)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(4):
+            w[10 + 25 * k + i % 13] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = rows_of(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == sorted(brute(rows))
+    assert pairs[0] < len(rows)

@@ -22,6 +22,10 @@ members of a group only if its overlap with the union could reach the threshold
    matrix's entries (token, group).  A class queries the groups with which it
    shares one and that hold a *larger* component than its own; a single link is
    enough to join two components, so members of one are never compared again.
+   Two sets share nothing before their first common token, so at place i of n
+   and j of m they share n - i and m - j tokens at most; a token is left where
+   that is too few for a link.  A class with many tokens of its own, which come
+   first, so queries little of a family around it.
 5. Opening.  Queries go to the groups' members, bounded blocks in streamed
    order; a group with many queries is dealt out with copies of its members.
    First with histograms: minima over the places bound the overlap with the
@@ -362,17 +366,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, sketc
 
     # The matrix: prefix tokens of several components, and the groups that hold them.
     w = Window.partitionBy("token")
-    tokens = (known.select(F.explode("prefix").alias("token"), "c")
-                   .select("token", "c", F.min("c").over(w).alias("low"), F.max("c").over(w).alias("high"))
-                   .filter("low != high").select("token", "c").distinct())
-    placed = _written(tokens.join(classes.select("c", "comp", "size", "n", "g"), "c"))
+    tokens = (known.select(F.posexplode("prefix").alias("at", "token"), "c")
+                   .select("token", "at", "c", F.min("c").over(w).alias("low"), F.max("c").over(w).alias("high"))
+                   .filter("low != high").select("token", "at", "c").distinct())
+    # A link of n and m tokens shares percent * (n + m) / (100 + percent): at the
+    # first common one (100 + percent) * (n - at) >= percent * (n + m).
+    room = (F.col("n") * 100 - F.col("at") * (100 + percent)).alias("room")
+    placed = _written(tokens.join(classes.select("c", "comp", "size", "n", "g"), "c").select("token", "c", "comp", "size", "n", "g", room))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
     placed = placed.join(mixed, "token")
     rank = F.struct("size", F.bitwise_not("comp").alias("x"))
     matrix = placed.groupBy("token", F.col("g").alias("mg")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(rank).alias("top"))
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(rank).alias("top"), F.max("room").alias("widest"))
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    pairs = _written(placed.join(matrix, "token").filter(near & (F.col("top") > rank))
+    enough = (F.col("room") >= F.col("least") * percent) & (F.col("widest") >= F.col("n") * percent)
+    pairs = _written(placed.join(matrix, "token").filter(near & enough & (F.col("top") > rank))
                            .select("c", "size", "comp", F.col("mg").alias("g")).distinct())
 
     def open_groups(pairs: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
