@@ -80,3 +80,26 @@ def test_percentiles_of_merged_histograms(spark, rows, cut):
         mine = sorted(n for g, n in rows if g == r.g)
         at = lambda s: mine[max(0, -(-int(s * 100) * len(mine) // 100) - 1)]
         assert (r.n, r.longest, r.p50, r.p100) == (len(mine), mine[-1], at(.5), mine[-1]) and r.p0 == mine[0] and r.p90 == at(.9)
+
+
+def test_few_files_and_tasks_do_not_hold_the_examples_together(spark):
+    """Exam records are rendered, and examples read, by as many tasks as are configured."""
+    from weft import session
+    from weft.plans.q_mcq import _generated_exam_lines
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sf = tempfile.mkdtemp(prefix="weft-test-")
+    spark.range(400).selectExpr("id AS p_partkey", "'large ring' AS p_name", "'Brand#7' AS p_brand", "'SMALL' AS p_type", "cast(id % 50 AS int) AS p_size"
+                                ).coalesce(1).write.parquet(f"{sf}/part.parquet")
+    lines = _generated_exam_lines(spark, sf)
+    assert lines.rdd.getNumPartitions() == n and lines.count() == 400
+    drills = spark.createDataFrame([(k, ["a b", "c"], ["d", "e"]) for k in range(100)],
+                                   "conv_id long, turns array<string>, reference array<string>").coalesce(1)
+    # Odd records of all kinds next to whole ones: only whole ones make examples.
+    odd = spark.createDataFrame([(500, None), (501, "null"), (502, "[]"), (503, '{"question": "Q", "choices": null, "answer": {"explanation": "e", "label": "a"}}'),
+                                 (504, '{"question": "Q", "choices": "a) 1", "answer": {"explanation": "e"}}')], "item_id long, line string")
+    got = jobs.training_set(drills, lines.unionByName(odd).coalesce(1), max_len=64)
+    assert got.count() == 200 + sum(k % 3 > 0 for k in range(400))
+    written = [p for p in session._SCRATCH if "training-set" in p][-1].removeprefix("file:")
+    files = [os.path.join(written, f) for f in os.listdir(written) if f.endswith(".parquet")]
+    rows = [spark.read.parquet(f).count() for f in files]
+    assert len(files) >= n / 2 and max(rows) <= 6 * sum(rows) / n

@@ -61,18 +61,17 @@ def encode(examples: DataFrame, id_col: str, text: str, vocab: DataFrame, max_le
             ends = ends - ends[0]
             place = pc.index_in(flat, value_set=known.cast(flat.type))
             ids = np.where(np.asarray(place.is_valid()), known_ids[np.asarray(place.fill_null(0))] if len(known_ids) else 0, -1)
-            rest = []
-            for k in range(len(lists)):
-                lost = ends[k] + np.flatnonzero(ids[ends[k]:ends[k + 1]] < 0)
-                if len(lost):
-                    coded = flat.take(pa.array(lost)).dictionary_encode()
-                    ids[lost] = -1 - np.asarray(coded.indices)
-                    rest.append(coded.dictionary.to_pylist())
-                else:
-                    rest.append([])
+            # The other tokens, numbered within their rows, all rows of the batch at once.
+            lost = np.flatnonzero(ids < 0)
+            coded = flat.take(pa.array(lost)).dictionary_encode()
+            row = np.searchsorted(ends, lost, side="right") - 1
+            each, at = np.unique(row * max(1, len(coded.dictionary)) + np.asarray(coded.indices), return_inverse=True)
+            starts = np.searchsorted(each, np.arange(len(lists) + 1) * max(1, len(coded.dictionary)))
+            ids[lost] = -1 - (at - starts[row])
+            rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), coded.dictionary.take(pa.array(each % max(1, len(coded.dictionary)))).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64())), batch.column(2),
-                 batch.column(3), pa.array(rest, pa.list_(pa.string()))], names=["id", "ids", "n", "kept", "rest"])
+                 batch.column(3), rest], names=["id", "ids", "n", "kept", "rest"])
 
     path = scratch_path(spark, "encode")
     toks.mapInArrow(look_up, f"id {kind}, ids array<long>, n long, kept string, rest array<string>").write.parquet(path)

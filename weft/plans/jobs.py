@@ -13,6 +13,7 @@ from weft.operators import classify, dedup, genmetrics, quota, trainset, transla
 from weft.operators.ordering import row_number_within
 from weft.session import scratch_path
 from weft.sources.commits import Commit, CommitLog
+from weft.sources.tables import dealt
 
 
 def plan_generation(spark: SparkSession, source: DataFrame, existing: DataFrame,
@@ -92,14 +93,18 @@ def training_set(drills: DataFrame, exam: DataFrame, max_len: int = 512, vocab:
     ours = x.select(F.concat(F.lit("drill-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("example_id"),
                     F.concat(chat.chatml_prompt("turns", "reference", F.col("n"), variant="generated"),
                              F.element_at("reference", F.col("n") + 1), F.lit("<|im_end|>\n")).alias("text"))
-    user, _, answer = mcq.generated_exam_messages(F.try_parse_json(F.col("line")))
-    theirs = exam.select("item_id", user.alias("u"), answer.alias("a")).where("u IS NOT NULL AND a IS NOT NULL").select(
+    user, _, answer = mcq.generated_exam_messages(F.col("v"))
+    # Parsed and rendered once: a filter on plain columns would repeat both below them.
+    said = exam.select("item_id", F.try_parse_json(F.col("line")).alias("v")).select(
+        "item_id", F.inline(F.array(F.struct(user.alias("u"), answer.alias("a")))))
+    theirs = said.where("u IS NOT NULL AND a IS NOT NULL").select(
         F.concat(F.lit("exam-"), F.col("item_id").cast("string")).alias("example_id"),
         F.concat(F.lit("<|im_start|>user\n"), F.col("u"), F.lit("<|im_end|>\n<|im_start|>assistant\n"), F.col("a"),
                  F.lit("<|im_end|>\n")).alias("text"))
-    # Read three times (counts, places, result): parsed and rendered once.
+    # Read three times (counts, places, result): parsed and rendered once, and dealt
+    # out, as tasks are cut by bytes and an exam record costs far more for its bytes.
     spark, path = drills.sparkSession, scratch_path(drills.sparkSession, "training-set")
-    ours.unionByName(theirs).write.parquet(path)
+    dealt(ours.unionByName(theirs), "example_id").write.parquet(path)
     examples = spark.read.parquet(path)
     return trainset.encode(examples, "example_id", "text", vocab or trainset.vocabulary(examples, "text"), max_len)
 

@@ -9,7 +9,7 @@ from weft.functions.text import WS_CLASS
 from weft.plans import bindings
 from weft.plans.registry import query
 from weft.plans.sqlparts import EXAM, strip_sql
-from weft.sources.tables import read_table
+from weft.sources.tables import dealt, read_table
 
 _TPL = mcq.QA_TEMPLATE_EN.replace("\n", "' || chr(10) || '")
 
@@ -87,7 +87,8 @@ def _generated_exam_lines(spark, sf):
     """Generated exam records as JSON text: every 4th item has pre-rendered
     choices, every 3rd a bare-string answer (the two union shapes)."""
     from weft.functions import jsonx
-    e = bindings.exam(spark, sf)
+    # A narrow table whose rows become JSON and are parsed again: many for a file split.
+    e = dealt(bindings.exam(spark, sf), "item_id")
     js = jsonx.json_str
     obj = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*[
         F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}": '), js(F.col(c)))) for c in "abcde"]),
