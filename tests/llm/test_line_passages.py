@@ -142,3 +142,33 @@ def test_fine_lines_keep_every_byte(spark):
     docs = _with_lines(spark.createDataFrame(rows, "_t string"))
     assert docs.filter(F.array_join("_u", "") != F.col("_t")).count() == 0
     assert docs.filter(F.length("_t") > 10_000).select(F.size("_u")).first()[0] > 300
+
+
+def test_cheap_cuts_and_counts_equal_the_plain_ones(spark):
+    """Long lines cut at marked signs, and words counted by bytes first, as by the rules."""
+    import math
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from weft.llm import line_dedup as L
+    rng = random.Random(5)
+    signs = [",", ";", ":", ")", "]", " ", " ", "\t", "|", "。", "！", "；", "،", "۔", "…", "a", "é", "中"]
+    rows = [("".join(rng.choices(signs, k=rng.randint(1, 40))),) for _ in range(400)] + [("a, b\x01; c",), (", ",), ("",)]
+    behind = r"(?<=[,;:)\]] )|(?<=[\t|。！？；，、।۔؟…])"
+    cut = spark.createDataFrame(rows, "x string").select("x", F.filter(L._at_signs(F.col("x")), lambda p: p != "").alias("p")).collect()
+    assert all(r.p == [p for p in re.split(behind, r.x) if p] for r in cut)
+
+    def count(x):
+        spaced = len(re.split("[ \t]+", x)) if x else 0
+        return max(spaced, math.ceil(len(re.findall("[一-鿿぀-ヿ]", x)) / 2 + len(re.findall("[฀-๿]", x)) / 4))
+
+    kinds = ["é", "ü", "中", "あ", "ก", "b", " ", "😀", "ж"]
+    words = [("".join(rng.choices(kinds, weights=[rng.random() ** 4 for _ in kinds], k=rng.randint(0, 60))).strip(" "),) for _ in range(600)]
+    got = spark.createDataFrame(words, "x string").select("x", L._words(F.col("x")).alias("n")).collect()
+    assert all(r.n == count(r.x) for r in got)
+    docs = L._keyed(spark.createDataFrame([(k, x) for k, (x,) in enumerate(words)], "i long, t string"), "i", "t")
+    alone = {r._id for r in L._units(docs, 6).filter("_k = 1").collect()}
+    plain = {k for k, (x,) in enumerate(words) if len(x.encode()) >= 11 and len(x.encode()) <= L.LONG and count(x) >= 6}
+    assert {k for k in alone if len(words[k][0].encode()) <= L.LONG} == plain

@@ -52,7 +52,8 @@ _BLANK = " \t\r\n"
 #: Bytes above which a line is cut further: fewer than 50 words have as a rule.
 LONG = 200
 #: Signs after which long lines are cut, before one is cut at places chosen by hash.
-_SIGNS = r"(?<=[,;:)\]] )|(?<=[\t|。！？；，、।۔؟…])"
+#: None starts with what another one ends with.
+_SIGNS = (", ", "; ", ": ", ") ", "] ", *"\t|。！？；，、।۔؟…")
 #: Characters of scripts without spaces, by the number of them that make a word.
 _UNSPACED = {2: r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", 4: r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"}
 
@@ -92,11 +93,20 @@ def _over(lines_: Column, cut) -> Column:
         lines_, lambda x: F.when(is_long(x), cut(x)).otherwise(F.array(x))))).otherwise(lines_)
 
 
+def _at_signs(line: Column) -> Column:
+    """A line cut after each sign; marking them is cheaper than looking behind each character."""
+    marked = line
+    for sign in _SIGNS:
+        marked = F.replace(marked, F.lit(sign), F.lit(sign + _CUT))
+    behind = "|".join(rf"(?<=\Q{sign}\E)" for sign in _SIGNS)
+    return F.when(F.contains(line, F.lit(_CUT)), F.split(line, behind)).otherwise(F.split(marked, _CUT))
+
+
 def _with_lines(docs: DataFrame) -> DataFrame:
     """Adds _u: the lines of ``_t``, long ones cut further at signs, and what is
     still long at places chosen by a hash.  Whether and where a line is cut
     depends on it alone, so equal lines are cut alike.  Joined they are ``_t``."""
-    at_signs = docs.withColumn("_u", lines(F.col("_t"))).withColumn("_u", _over(F.col("_u"), lambda x: F.split(x, _SIGNS)))
+    at_signs = docs.withColumn("_u", lines(F.col("_t"))).withColumn("_u", _over(F.col("_u"), _at_signs))
     return at_signs.withColumn("_u", F.filter(_over(F.col("_u"), _by_hash), lambda x: x != ""))
 
 
@@ -179,10 +189,16 @@ def _words(line: Column) -> Column:
     """Words of a line: those between blanks, or by characters where that is more."""
     spaced = F.when(line == "", 0).otherwise(F.size(F.split(line, "[ \t]+")))
     unspaced = [F.length(F.regexp_replace(line, f"[^{kind}]", "")) / n for n, kind in _UNSPACED.items()]
-    return F.when(F.octet_length(line) == F.length(line), spaced).otherwise(
+    return F.when(_more_bytes(line) <= 4 * spaced, spaced).otherwise(
         F.greatest(spaced, F.ceil(sum(unspaced, F.lit(0))).cast("int")))
 
 
+def _more_bytes(line: Column) -> Column:
+    """Bytes beyond one a character.  A character of a script without spaces has
+    two at least and is half a word at most, so a word of them takes four."""
+    return F.octet_length(line) - F.length(line)
+
+
 def _units(docs: DataFrame, min_words: int) -> DataFrame:
     """(_id, _th, _j, _k, _c): a row for every two neighbouring lines from line
     ``_j`` on (``_k`` = 2) and every line of ``min_words`` words (``_k`` = 1),
@@ -195,7 +211,7 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
     # Blanks are counted first: few lines are cut into words.
     blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\t"), F.lit("")))
     enough = lambda x: (F.when(F.octet_length(x) < 2 * min_words - 1, False)
-                         .when((blanks(x) >= min_words - 1) | (F.octet_length(x) != F.length(x)), _words(x) >= min_words).otherwise(False))
+                         .when((blanks(x) >= min_words - 1) | (_more_bytes(x) > 4 * (min_words - 1)), _words(x) >= min_words).otherwise(False))
     alone = F.filter(F.transform("_u", lambda x, i: F.when(enough(x), unit(i, 1, F.get("_h", i)))), lambda x: x.isNotNull())
     return own.select("_id", "_th", F.inline(F.concat(pairs, alone)))
 
@@ -215,8 +231,10 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
     wanted = wanted.select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), "_w")
     joined = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_wid"]) & (docs["_th"] == wanted["_wth"]))
     own = _with_lines(joined.select("_id", "_th", "_w", "_t")).select("_id", "_th", "_w", F.transform("_u", lambda x: F.btrim(x, F.lit(_BLANK))).alias("_u"))
-    each = own.select("_id", "_th", "_u", F.inline("_w")).select(
-        "_id", "_th", "_j", "_c", F.array_join(F.slice("_u", F.col("_j") + 1, F.col("_k")), "\n").alias("_text"))
+    # A unit's own text leaves its document, never the document's lines beside each unit.
+    at = lambda x, k: F.get("_u", x["_j"] + k)
+    each = own.select("_id", "_th", F.inline(F.transform("_w", lambda x: F.struct(x["_j"].alias("_j"), x["_c"].alias("_c"), F.when(
+        x["_k"] == 1, at(x, 0)).otherwise(F.concat(at(x, 0), F.lit("\n"), at(x, 1))).alias("_text")))))
     path = scratch_path(spark, "line-dedup")
     first = F.struct("_id", "_th", "_j")
     parts = F.split("_low", "\n")
