@@ -112,9 +112,12 @@ def write_audit(df: DataFrame, root: str, status_col: str = "status") -> None:
 
 
 def write_monitor_csv(df: DataFrame, path: str) -> None:
-    """The four monitoring columns, with a header."""
+    """The four monitoring columns, with a header, by the names of training
+    examples or, where ``df`` lacks one of those, by their short names."""
     cols = ["input_content_original", "input_content_original_length", "input_content_truncated", "input_content_truncated_length"]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    short = ["original_text", "original_length", "truncated_text", "truncated_length"]
+    names = short if set(short) <= set(df.columns) and not set(cols) <= set(df.columns) else cols
+    df.select(*names).write.mode("overwrite").option("header", True).csv(path)
 
 
 def publish_split(df: DataFrame, root: str, split: str = "test") -> None:
