@@ -37,6 +37,20 @@ def test_word_encoder_equals_library():
         assert got.offsets[-1] == got.offsets[-2]
 
 
+def test_cache_is_bounded_and_keeps_common_words(monkeypatch):
+    """When the cache is full, words of the batch at hand are not encoded again, and no word is kept twice."""
+    enc = wb.WordBPE(wb.tokenizer_json(PATH), max_words=200)
+    full, seen = Tokenizer.from_file(PATH), []
+    word = enc.word
+    monkeypatch.setattr(enc, "word", lambda w: seen.append(w) or word(w))
+    for k in range(40):
+        text = "the common words " + " ".join(f"rare{''.join(chr(97 + int(c)) for c in str(k * 50 + n))}" for n in range(50)) + " the, end."
+        got = enc.encode(pa.array([text]))
+        assert got.ids.tolist() == full.encode(text, add_special_tokens=False).ids
+        assert len(enc.slot) <= 200 and not any(len(p) > 4 for p in enc.pre)
+    assert all(seen.count(w) == 1 for w in ("the", "common", "words", "the,", "end."))
+
+
 def test_every_proven_whole_token_is_one_token():
     full = Tokenizer.from_file(PATH)
     whole = prove_whole_tokens(wb.tokenizer_json(PATH))
@@ -93,3 +107,9 @@ def test_pack_round_trip(spark, odd_docs):
     assert pack(odd_docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         pack(odd_docs, PATH, max_len=100)
+
+
+def test_pack_with_a_small_cache_gives_the_same_rows(odd_docs):
+    plain, small = (sorted(map(repr, pack(odd_docs, PATH, **a).drop("sequence_id", "offset").collect()))
+                    for a in ({}, {"cache_words": 20, "slice_bytes": 200}))
+    assert plain == small

@@ -34,26 +34,29 @@ def decompose(n: int, max_len: int) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 2,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
+         cache_words: int = 500_000, slice_bytes: int = wb.SLICE_BYTES) -> DataFrame:
     """One row per sequence: id_col, start (tokens of its document before it),
     length, bucket (log2 of the length), doc_tokens, sequence_id, offset (0: a
     sequence is one piece), ids_crc32 and, with ``with_ids``, the ids.
 
     ``sequence_id`` numbers sequences within a task's input and carries the
     task's number in its high bits: unique, and the same when a lost task of the
-    same scan runs again.  ``max_len`` must be a power of two."""
+    same scan runs again.  ``max_len`` must be a power of two.  A Python worker
+    keeps the ids of ``cache_words`` words and encodes ``slice_bytes`` of text at
+    a time: fewer take less memory and more time, for the same rows."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     text = wb.tokenizer_json(tokenizer_path)
-    key = wb.key_of(text)
+    key = wb.key_of(f"{cache_words} {text}")
     shared = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches):
-        encoder = wb.held("bpe", key, lambda: wb.WordBPE(shared.value))
+        encoder = wb.held("bpe", key, lambda: wb.WordBPE(shared.value, cache_words))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = wb.text_array(batch.column(1))
-            for a, n in wb.slices(texts):
+            for a, n in wb.slices(texts, slice_bytes):
                 e = encoder.encode(texts.slice(a, n))
                 doc, start, length, total, crc, flat = [], [], [], [], [], []
                 for i in range(n):
@@ -81,6 +84,10 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
                     ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del columns, flat, e
+            # One batch at a time: the next one is read into what this one held.
+            del batch, texts
+            wb.give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     id_type = rows.schema["id"].dataType.simpleString()

@@ -79,6 +79,9 @@ class _Counter(wb.WordBPE):
             got = self.pre[p] = len(self.model.tokenize(wb.byte_level(p)))
         return got
 
+    def _keep(self, words: list[str]) -> None:
+        self._reset()
+
     def _add(self, words: list[str]) -> None:
         n = len(self.slot)
         while n + len(words) > len(self.counts):

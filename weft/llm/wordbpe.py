@@ -15,7 +15,8 @@ are the concatenated ids of its words, and a word's ids can be kept.
 * A text with a ``<|`` goes through the whole ``encode`` as a whole, because
   special strings are matched in the raw text.
 
-Memory is bounded: the cache is emptied when it holds ``max_words`` words.
+Memory is bounded: when the cache holds ``max_words`` words, only those of the
+batch at hand stay in it.
 """
 
 from __future__ import annotations
@@ -108,11 +109,17 @@ class WordBPE:
         self.pre: dict[str, list[int]] = {}
 
     # -- one word ---------------------------------------------------------
+    def _plain(self, p: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(byte_level(p))]
+
     def pretoken(self, p: str) -> list[int]:
+        """Ids of a part of a word; a part that is a known word is not kept again."""
+        at = self.slot.get(p)
+        if at is not None:
+            return self._ids(at)
         got = self.pre.get(p)
         if got is None:
-            got = [t.id for t in self.model.tokenize(byte_level(p))]
-            self.pre[p] = got
+            got = self.pre[p] = self._plain(p)
         return got
 
     def word(self, w: str) -> list[int]:
@@ -120,14 +127,21 @@ class WordBPE:
         if _DIRECT.fullmatch(w):
             found = _PRETOKEN.findall(w.lower())
             if len(found) == 1:
-                return self.pretoken(found[0])
+                # The word itself is kept by its slot.
+                return self.pre.get(found[0]) or self._plain(found[0])
             return [i for p in found for i in self.pretoken(p)]
         return self.full.encode(w, add_special_tokens=False).ids
 
+    def _ids(self, at: int) -> list[int]:
+        start = self.starts[at]
+        return self.pool[start:start + self.counts[at]].tolist()
+
     def _add(self, words: list[str]) -> None:
         """Give every word that is new a slot."""
+        self._store(words, [self.word(w) for w in words])
+
+    def _store(self, words: list[str], fresh: list[list[int]]) -> None:
         n = len(self.slot)
-        fresh = [self.word(w) for w in words]
         lens = np.fromiter(map(len, fresh), np.int32, len(fresh))
         flat = np.fromiter((i for ids in fresh for i in ids), np.uint32, int(lens.sum()))
         while n + len(words) > len(self.starts):
@@ -141,14 +155,25 @@ class WordBPE:
         self.used += len(flat)
         self.slot.update(zip(words, range(n, n + len(words))))
 
+    def _keep(self, words: list[str]) -> None:
+        """Empties the cache but for those of ``words`` that it has, so that
+        common words are not encoded again."""
+        known = [w for w in words if w in self.slot]
+        ids, pre = [self._ids(self.slot[w]) for w in known], self.pre
+        self._reset()
+        self._store(known, ids)
+        if len(pre) <= self.max_words // 4:
+            self.pre = pre
+
     def slots(self, distinct: list[str]) -> np.ndarray:
         """Slots of a batch's distinct words; new words are encoded first."""
         get = self.slot.get
         new = [w for w in distinct if get(w) is None]
         if new:
             if len(self.slot) and len(self.slot) + len(new) > self.max_words:
-                self._reset()
-                get, new = self.slot.get, distinct
+                self._keep(distinct)
+                get = self.slot.get
+                new = [w for w in distinct if get(w) is None]
             if len(self.pre) > self.max_words:
                 self.pre = {}
             self._add(new)
