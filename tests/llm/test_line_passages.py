@@ -172,3 +172,18 @@ def test_cheap_cuts_and_counts_equal_the_plain_ones(spark):
     alone = {r._id for r in L._units(docs, 6).filter("_k = 1").collect()}
     plain = {k for k, (x,) in enumerate(words) if len(x.encode()) >= 11 and len(x.encode()) <= L.LONG and count(x) >= 6}
     assert {k for k in alone if len(words[k][0].encode()) <= L.LONG} == plain
+
+
+def test_windows_keys_stay_small(spark):
+    """A window's key is two numbers, however many lines it has, and equal for equal lines only."""
+    from weft.llm import line_dedup as L
+    rows = [(i, 7, j, 100 + j % 50, (0, 7, j), 1, 1) for i in (0, 1) for j in range(120)]
+    pairs = spark.createDataFrame(rows, "_id long, _th long, _j int, _c long, _first struct<_id long, _th long, _j int>, _w1 int, _w2 int")
+    found = L._windows(pairs, 25)
+    assert dict(found.dtypes)["_k1"] == dict(found.dtypes)["_k2"] == "bigint"
+    got = found.collect()
+    # 121 lines of a word each: 97 windows, the same from both ends.
+    assert sorted((r._id, r._a, r._b) for r in got) == [(i, a, a + 25) for i in (0, 1) for a in range(97)]
+    assert all(r._later == (r._id == 1) for r in got)
+    assert all(len({(r._k1, r._k2) for r in got if r._a % 50 == a}) == 1 for a in range(50))
+    assert len({(r._k1, r._k2) for r in got}) == 50

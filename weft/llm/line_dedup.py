@@ -253,9 +253,9 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
     # A window goes if it stands in an earlier place as a whole.
     place = F.struct("_id", "_th", "_a")
-    origin = windows.groupBy("_key").agg(F.min(place).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    origin = windows.groupBy("_k1", "_k2").agg(F.min(place).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     # Only what has no unit at its first place can stand in an earlier one.
-    later = windows.filter("_later").join(origin, "_key").filter(~(
+    later = windows.filter("_later").join(origin, ["_k1", "_k2"]).filter(~(
         F.col("_from._id").eqNullSafe(F.col("_id")) & (F.col("_from._th") == F.col("_th")) & (F.col("_from._a") == F.col("_a"))))
     gone = later.select("_id", "_th", "_a", "_b").unionByName(alone)
     w = Window.partitionBy("_id", "_th").orderBy("_a", "_b")
@@ -266,53 +266,39 @@ def shared_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _windows(pairs: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _th, _a, _b, _key, _later): in each run of repeated pairs, from each
+    """(_id, _th, _a, _b, _k1, _k2, _later): in each run of repeated pairs, from each
     line on and up to each line, the fewest lines with ``min_words`` words.
 
-    ``_key`` lists the pairs' hashes, whose bytes have been compared, so equal
-    keys are equal lines; ``_later`` says that no pair is at its first place."""
+    ``_k1`` and ``_k2`` are two hashes, 128 bits, of the pairs' hashes, whose bytes have
+    been compared; ``_later`` says that no pair is at its first place."""
     w = Window.partitionBy("_id", "_th").orderBy("_j")
     first = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._th") == F.col("_th")) & (F.col("_first._j") == F.col("_j"))
-    # Words up to the end of a pair and up to its start.
+    # Words up to the end of a pair and up to its start; first places up to a pair.
     marked = (pairs.withColumn("_run", F.col("_j") - F.row_number().over(w)).withColumn("_to", F.sum("_w2").over(w))
+                   .withColumn("_f", first.cast("int")).withColumn("_fs", F.sum("_f").over(w))
                    .withColumn("_at", F.col("_to") - F.col("_w2") - F.col("_w1")))
     run = marked.groupBy("_id", "_th", "_run").agg(F.sort_array(F.collect_list(F.struct(
-        "_j", "_to", "_at", "_c", first.alias("_f")))).alias("_p"))
-    run = run.withColumn("_last", F.get("_p", F.size("_p") - 1)["_to"]).filter(
-        F.col("_last") - F.get("_p", F.lit(0))["_at"] >= min_words)
-
-    def chain(start, found, beyond) -> Column:
-        """The least number of pairs; lines without words may make it any."""
-        out = start
-        for k in range(2 * min_words):
-            out = out.when(found(k), k + 1)
-        return out.otherwise(beyond)
-
-    def window(begin: Column, size: Column) -> Column:
-        at = F.when(size.isNotNull(), F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.get("_p", begin + k)))
-        return F.struct(begin.alias("_i"), size.alias("_size"), F.transform(at, lambda y: y["_c"]).alias("_key"),
-                        (~F.exists(at, lambda y: y["_f"])).alias("_later"))
-
-    def forward(x: Column, i: Column) -> Column:
-        need = x["_at"] + min_words
-        size = chain(F.when(F.col("_last") < need, F.lit(None)), lambda k: F.get("_p", i + k)["_to"] >= need,
-                     F.size(F.filter("_p", lambda y: y["_to"] < need)) - i + 1)
-        # Bound once, for the window uses it often.
-        return F.get(F.transform(F.array(size), lambda n: window(i, n)), F.lit(0))
-
-    def backward(x: Column, i: Column) -> Column:
-        most = x["_to"] - min_words
-        size = chain(F.when(F.get("_p", F.lit(0))["_at"] > most, F.lit(None)), lambda k: F.get("_p", i - k)["_at"] <= most,
-                     i - F.size(F.filter("_p", lambda y: y["_at"] <= most)) + 2)
-        # One that starts where a window of the same lines is found forward is left out.
-        new = F.get("_p", i - 1)["_to"] >= F.get("_p", i - size + 1)["_at"] + min_words
-        return F.get(F.transform(F.array(F.when((size > 1) & new, size)), lambda n: window(i - n + 1, n)), F.lit(0))
-
-    both = F.concat(F.transform("_p", lambda x, i: forward(x, i)), F.transform("_p", lambda x, i: backward(x, i)))
-    each = run.select("_id", "_th", F.get("_p", F.lit(0))["_j"].alias("_j0"), F.inline(
-        F.filter(both, lambda x: x["_size"].isNotNull())))
-    a = F.col("_j0") + F.col("_i")
-    return each.select("_id", "_th", a.alias("_a"), (a + F.col("_size") + 1).alias("_b"), "_key", "_later")
+        "_j", "_to", "_at", "_c", "_f", "_fs", "_w1", "_w2"))).alias("_p"))
+    run = run.select("_id", "_th", F.get("_p", F.lit(0))["_j"].alias("_j0"), F.get("_p", F.lit(0))["_at"].alias("_base"),
+                     F.get("_p", F.size("_p") - 1)["_to"].alias("_last"), *[F.col(f"_p.{c}").alias(f"{c}s") for c in ("_to", "_at", "_c", "_f", "_fs", "_w1", "_w2")])
+    # The line of each word of a run, so that a window's other end is looked up.
+    run = run.filter(F.col("_last") - F.col("_base") >= min_words).withColumn("_line", F.flatten(F.concat(
+        F.array(F.array_repeat(F.lit(0), F.get("_w1s", F.lit(0)))), F.transform("_w2s", lambda n, k: F.array_repeat(k + 1, n))))).drop("_w1s", "_w2s")
+    # Two rows for a pair: the window from its first line on and the one up to its last.
+    each = run.select("*", F.explode(F.sequence(F.lit(0), 2 * F.size("_tos") - 1)).alias("_x"))
+    each, on = each.withColumn("_i", F.shiftright("_x", 1)), F.col("_x") % 2 == 0
+    line = F.get("_line", (F.when(on, F.get("_ats", F.col("_i")) + (min_words - 1)).otherwise(F.get("_tos", F.col("_i")) - min_words)
+                           - F.col("_base")).cast("int"))
+    each = (each.withColumn("_l", line).filter(F.col("_l").isNotNull())
+                .withColumn("_from", F.when(on, F.col("_i")).otherwise(F.least("_l", "_i")))
+                .withColumn("_until", F.when(on, F.greatest(F.col("_l") - 1, F.col("_i"))).otherwise(F.col("_i"))))
+    # A window up to a line is left out where one of the same lines is found from its first line on.
+    fresh = (F.col("_until") > F.col("_from")) & (F.get("_tos", F.col("_i") - 1) >= F.get("_ats", F.col("_from")) + min_words)
+    each = each.filter(on | fresh).withColumn("_key", F.slice("_cs", F.col("_from") + 1, F.col("_until") - F.col("_from") + 1))
+    at = lambda c, k: F.get(F.col(c), F.col(k))
+    return each.select("_id", "_th", (F.col("_j0") + F.col("_from")).alias("_a"), (F.col("_j0") + F.col("_until") + 2).alias("_b"),
+                       F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(min_words), "_key").alias("_k2"),
+                       (at("_fss", "_until") == at("_fss", "_from") - at("_fs", "_from")).alias("_later"))
 
 
 def line_dedup(docs: DataFrame, divisor: int | None = None, min_words: int = 25,
