@@ -8,13 +8,15 @@ is ever collected into one task.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.fuzzy import Windows, candidate_pairs, codes, with_bins
-from weft.operators.fuzzy_blocks import similar_by_block
+from weft.operators.fuzzy_blocks import meeting_blocks, similar_by_block
 from weft.sources.tables import dealt
 
 
@@ -101,32 +103,60 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
+def letter_masks(text: str) -> dict[str, int]:
+    """For every character of a text the number with its places as bits."""
+    c, masks = codes(text), {}
+    letters, often = np.unique(c, return_counts=True)
+    for letter in letters[often > 8]:
+        masks[chr(letter)] = int.from_bytes(np.packbits(c == letter, bitorder="little").tobytes(), "little")
+    for j in np.flatnonzero(np.isin(c, letters[often <= 8])).tolist():
+        masks[text[j]] = masks.get(text[j], 0) | (1 << j)
+    return masks
+
+
+@lru_cache(1024)
+def _kept_masks(text: str) -> dict[str, int]:
+    return letter_masks(text)
+
+
 def lcs_at_least(a: str, b: str, need: int) -> int:
-    """Bit-parallel LCS of what stands between the common start and end; it stops
-    early (checked every 256 characters) once even matching every remaining
-    character could not reach ``need``; returns the LCS, or -1 after an early stop."""
+    """Bit-parallel LCS of what stands between the common start and end, within the
+    band where an LCS of ``need`` can run: at place i of ``a`` the bits of ``b`` from i
+    less what ``a`` may leave out to i plus what ``b`` may leave out.  It stops early
+    (checked every 256 characters) once even matching every remaining character could
+    not reach ``need``.  Returns the LCS if it is ``need`` or more, else a number below."""
     if len(a) < len(b):
         a, b = b, a
-    start = common_start(a, b)
+    start, whole = common_start(a, b), b
     a, b = a[start:], b[start:]
     end = common_start(a[::-1], b[::-1])
     a, b = a[:len(a) - end], b[:len(b) - end]
     same = start + end
-    need -= same
+    need = max(0, need - same)
     m, n = len(b), len(a)
+    if need > m:
+        return -1
     if m == 0:
         return same
-    masks: dict[str, int] = {}
-    for j, ch in enumerate(b):
-        masks[ch] = masks.get(ch, 0) | (1 << j)
-    full = (1 << m) - 1
-    v = full
-    for i, ch in enumerate(a, 1):
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-        if not i & 255 and (m - v.bit_count()) + (n - i) < need:
+    masks = (_kept_masks if len(whole) <= 8192 else letter_masks)(whole)
+    v = low = high = done = 0        # v: the bits from low to high; done: matches below low
+    for i in range(0, n, 256):
+        gone = max(0, i - (n - need)) - low
+        if gone > 0:
+            done += gone - (v & ((1 << gone) - 1)).bit_count()
+            v, low = v >> gone, low + gone
+        more = min(m, i + 256 + m - need) - high
+        if more > 0:
+            v |= ((1 << more) - 1) << (high - low)
+            high += more
+        full = (1 << (high - low)) - 1
+        near = {ch: masks.get(ch, 0) >> start + low & full for ch in set(a[i:i + 256])}
+        for ch in a[i:i + 256]:
+            u = v & near[ch]
+            v = ((v + u) | (v - u)) & full
+        if done + high - low - v.bit_count() + max(0, n - i - 256) < need:
             return -1
-    return same + m - v.bit_count()
+    return same + done + high - low - v.bit_count()
 
 
 def lcs_if_possible(a: str, b: str, t: int) -> int:
@@ -156,7 +186,7 @@ def similar_pairs(strings: DataFrame, id_col: str, text_col: str,
     """Verified similar pairs (id_a, id_b, len_a, len_b, lcs): block by block, where
     both texts are.  ``candidate_pairs`` then ``verify_pairs`` gives the same rows, but
     shuffles a row for every common segment."""
-    return similar_by_block(strings, id_col, text_col, threshold, lcs_at_least)
+    return similar_by_block(meeting_blocks(strings, id_col, text_col, threshold), threshold, lcs_at_least)
 
 
 def verify_pairs(cand: DataFrame, strings: DataFrame, id_col: str, text_col: str,
@@ -188,8 +218,12 @@ def fuzzy_dedup(df: DataFrame, key: str, order_col: str, keep_cols: list[str] |
     keep_cols = keep_cols or []
     distinct = exact_dedup(df.withColumn("_key", F.coalesce(F.col(key), F.lit(""))),
                            "_key", order_col, ["_key", *keep_cols])
-    pairs = similar_pairs(distinct, order_col, "_key", threshold)
-    # ids are the first row of each distinct key, so the larger id is removed
-    removed = pairs.select(F.col("id_b").alias(order_col)).distinct()
-    kept = distinct.join(removed, order_col, "left_anti").drop("_key")
-    return kept, pairs
+    blocks = meeting_blocks(distinct, order_col, "_key", threshold)
+    pairs = similar_by_block(blocks, threshold, lcs_at_least)
+    # ids are the first row of each distinct key, so the larger id is removed; one
+    # earlier row is enough, so a family of n similar texts has no n^2 pairs verified
+    removed = (similar_by_block(blocks, threshold, lcs_at_least, every=False)
+               .select(F.col("id_b").alias(order_col)).distinct())
+    # the same rows without their texts, which are not shuffled again
+    kept = exact_dedup(df.withColumn("_key", F.coalesce(F.col(key), F.lit(""))), "_key", order_col, keep_cols)
+    return kept.join(removed, order_col, "left_anti"), pairs

@@ -1,9 +1,8 @@
 """Similar pairs of texts, found and verified where both texts are.
 
 Texts are cut into blocks by length band, and two blocks that may hold similar
-texts meet in one task: one is indexed by the segments of ``fuzzy``, the other one's
-windows are looked up, and who shares enough segments is compared at once.  Neither
-segments, windows nor candidates are ever rows; what leaves a task are the pairs that
+texts meet in one task: one is indexed by the chunks of ``fuzzy_index``, the other one's
+windows are looked up, and who shares enough chunks is compared at once.  Neither chunks, windows nor candidates are ever rows; what leaves a task are the pairs that
 reach the threshold.  A band is one block on either side until it exceeds
 ``INDEX_CHARS`` or ``PROBE_CHARS``; it is cut further by ``MEETINGS`` as long as that
 sends few characters more (``COPIED``).  So texts are shuffled about twice, and more
@@ -22,55 +21,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.fuzzy import COUNT_BITS, SKETCH_BITS, Budget, Windows, codes, text_segments, text_windows
+from weft.operators.fuzzy import Budget, Windows, codes
+from weft.operators.fuzzy_index import Chunks
 from weft.session import scratch_path
 from weft.sources.tables import dealt
 
 #: Most characters of an indexed block and of one that is looked up.
 INDEX_CHARS, PROBE_CHARS = 48_000_000, 96_000_000
 #: Pairs of a task, for which a band is cut further, and up to how many characters.
-MEETINGS, COPIED = 1 << 26, 128_000_000
+MEETINGS, COPIED = 1 << 26, 64_000_000
 #: Bins of the character counts that two texts are compared by first; length of the grams.
 BINS, GRAM = 64, 6
-#: Candidates verified at once.
-_HELD = 1 << 16
-
-
-def _place(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Index:
-    """Segments of texts in the order of their keys, with a bitmap of the keys."""
-
-    def __init__(self, texts: list[str], b: Budget):
-        self.counts = np.zeros(1 << COUNT_BITS, np.int32)
-        for t in texts:
-            np.add.at(self.counts, _place(text_segments(t, b)[0], COUNT_BITS), 1)
-        found = [text_segments(t, b, self.counts) for t in texts]
-        many = [len(x[0]) for x in found]
-        self.edits, self.needed = (np.array([x[k] for x in found], np.int64) for k in (3, 4))
-        keys = np.concatenate([x[0] for x in found])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), many)[order]
-        self.place = np.concatenate([x[2] for x in found]).astype(np.int32)[order]
-        self.bits = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
-        np.bitwise_or.at(self.bits, _place(keys, SKETCH_BITS - 3), np.uint8(1) << (keys >> np.uint64(64 - SKETCH_BITS) & np.uint64(7)).astype(np.uint8))
-
-    def sharing(self, keys: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Texts with as many segments among the windows as a similar text needs."""
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        many = high - low
-        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        q = np.repeat(q, many)
-        at = at[np.abs(q - self.place[at]) <= self.edits[self.owner[at]]]
-        owner = self.owner[at]
-        enough = np.bincount(owner, minlength=len(self.needed)) >= self.needed
-        if enough.any() and len(np.unique(keys)) < len(keys):
-            # A window that stands in the text twice meets a segment twice.
-            enough = np.bincount(self.owner[np.unique(at[enough[owner]])], minlength=len(self.needed)) >= self.needed
-        return np.flatnonzero(enough)
+#: Short pairs verified at once; candidates gathered before they are verified.
+_SHORT, _HELD = 1 << 16, 1 << 20
 
 
 def short_lcs(a: list[str], b: list[str]) -> np.ndarray:
@@ -121,39 +84,66 @@ class Verifier:
         same = ub[at] == ua
         return int(np.minimum(ca[same], cb[at[same]]).sum()) >= need
 
-    def __call__(self, i: np.ndarray, j: np.ndarray):
-        """(i, j, lcs) of the pairs that reach the threshold; texts ``i`` are not longer."""
+    def __call__(self, i: np.ndarray, j: np.ndarray, *more: np.ndarray):
+        """(i, j, lcs, *more) of the pairs that reach the threshold; texts ``i`` are not longer."""
         size = self.n[i] + self.n[j]
         near = np.concatenate([np.abs(self.bins[i[k:k + 8192]] - self.bins[j[k:k + 8192]]).sum(axis=1) for k in range(0, len(i), 8192)] or [size])
-        i, j, size = (x[100 * near <= (100 - self.t) * size] for x in (i, j, size))
+        i, j, size, *more = (x[100 * near <= (100 - self.t) * size] for x in (i, j, size, *more))
         out = np.full(len(i), -1, np.int64)
         short = self.n[i] <= 64
         at = np.flatnonzero(short)
-        for k in range(0, len(at), _HELD):
-            some = at[k:k + _HELD]
+        for k in range(0, len(at), _SHORT):
+            some = at[k:k + _SHORT]
             out[some] = short_lcs([self.texts[x] for x in j[some]], [self.texts[x] for x in i[some]])
         for k in np.flatnonzero(~short):
             if self.possible(int(j[k]), int(i[k])):
                 out[k] = self.lcs(self.texts[i[k]], self.texts[j[k]], -(-self.t * int(size[k]) // 200))
         good = 200 * out >= self.t * size
-        return i[good], j[good], out[good]
-
-
-def similar_in_block(texts: list[str], order: np.ndarray, indexed: int, probes: np.ndarray, band: int, b: Budget, lcs) -> tuple:
+        return i[good], j[good], out[good], *(x[good] for x in more)
+
+
+def verified(verify: Verifier, s: np.ndarray, r: np.ndarray, later: np.ndarray, found: np.ndarray) -> list[tuple]:
+    """Pairs of the candidates that reach the threshold, one at least for each text of
+    ``later`` (of each candidate the text that comes later) that has any: its first
+    candidates, then twice as many, until one does.  ``found``, by text, is updated."""
+    out, many = [], 1
+    while len(s):
+        order = np.argsort(later, kind="stable")
+        s, r, later = s[order], r[order], later[order]
+        begins = np.flatnonzero(np.diff(later, prepend=-1))
+        now = np.arange(len(s)) - np.repeat(begins, np.diff(begins, append=len(s))) < many
+        out.append(verify(s[now], r[now], later[now]))
+        found[out[-1][3]] = True
+        left = ~now & ~found[later]
+        s, r, later, many = s[left], r[left], later[left], 2 * many
+    return [x[:3] for x in out]
+
+
+def similar_in_block(texts: list[str], order: np.ndarray, indexed: int, probes: np.ndarray, b: Budget, lcs, every: bool = True) -> tuple:
     """(s, r, lcs), as places in ``texts``: similar pairs of one of the first
     ``indexed`` texts s and a text r of ``probes`` that is longer, or as long and later
-    in ``order``."""
-    index, verify = Index(texts[:indexed], b), Verifier(texts, b.t, lcs)
-    n, out, held, size = verify.n, [], [], 0
-    for r in probes:
-        s = index.sharing(*text_windows(texts[r], b, index.bits, band))
-        s = s[((n[s] < n[r]) | (n[s] == n[r]) & (order[s] < order[r])) & (n[r] * b.t <= n[s] * (200 - b.t))]
-        held.append((s, np.full(len(s), r)))
-        size += len(s)
-        if size >= _HELD or r == probes[-1]:
-            out.append(verify(*map(np.concatenate, zip(*held))))
+    in ``order``; all of them, or without ``every`` one at least for each text that has
+    an earlier one in ``order``."""
+    n = np.array([len(x) for x in texts], np.int64)
+    index, verify, found = Chunks(texts[:indexed], b), Verifier(texts, b.t, lcs), np.zeros(len(texts), bool)
+    out, held, size = [(np.zeros(0, np.int64),) * 3], [], 0
+
+    def settle():
+        s, r, later, times = map(np.concatenate, zip(*held))
+        if every:
+            return [verify(s, r)]
+        best = np.argsort(-times, kind="stable")
+        return verified(verify, s[best], r[best], later[best], found)
+    for s, r, times in index.sharing([texts[x] for x in probes]):
+        r = probes[r]
+        later = np.where(order[s] > order[r], s, r)
+        good = np.flatnonzero(((n[s] < n[r]) | (order[s] < order[r])) & (every | ~found[later]))
+        held.append((s[good], r[good], later[good], times[good]))
+        size += len(good)
+        if size > _HELD:
+            out += settle()
             held, size = [], 0
-    return tuple(map(np.concatenate, zip(*out)))
+    return tuple(map(np.concatenate, zip(*out, *(settle() if held else ()))))
 
 
 def block_counts(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -171,10 +161,10 @@ def block_counts(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int,
     return out
 
 
-def similar_by_block(strings: DataFrame, id_col: str, text_col: str, threshold: int, lcs: Callable[[str, str, int], int]) -> DataFrame:
-    """(id_a, id_b, len_a, len_b, lcs), id_a < id_b: every pair of texts that reaches
-    the threshold.  ``lcs(a, b, need)`` is their LCS, or -1 if it is below ``need``.
-    Equal texts should be merged before; empty and null texts are in no pair."""
+def meeting_blocks(strings: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """(band, i, j, side, id, s): the texts of every two blocks that may hold similar
+    ones; equal texts should be merged before, empty and null texts are in no block.
+    side 0: indexed, 2: looked up, 1: both, where the two blocks of a text in its band meet."""
     spark, b = strings.sparkSession, Budget(int(threshold))
     path = scratch_path(spark, "fuzzy")
     low = F.pandas_udf(lambda n: pd.Series(b.band(np.maximum(b.shortest(n.to_numpy()), 1))), "long")
@@ -190,7 +180,6 @@ def similar_by_block(strings: DataFrame, id_col: str, text_col: str, threshold:
     salt = F.xxhash64("id")
     at_i, at_j = F.pmod(salt, "indexed"), F.pmod(salt, "probed")
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    # side 0: indexed, 2: looked up, 1: both, where the two blocks of a text in its band meet
     index = (base.select("id", "s", F.col("high").alias("band")).join(F.broadcast(counts), "band")
                  .select("band", "id", "s", at_j.alias("own"), at_i.alias("i"), each("probed").alias("j"))
                  .select("band", "i", "j", F.when(F.col("j") == F.col("own"), 1).otherwise(0).alias("side"), "id", "s"))
@@ -198,21 +187,28 @@ def similar_by_block(strings: DataFrame, id_col: str, text_col: str, threshold:
                  .select("band", "id", "s", "high", at_i.alias("own"), each("indexed").alias("i"), at_j.alias("j"))
                  .where((F.col("band") != F.col("high")) | (F.col("i") != F.col("own")))
                  .select("band", "i", "j", F.lit(2).alias("side"), "id", "s"))
-    kind = strings.schema[id_col].dataType.simpleString()
+    return dealt(index.unionByName(probe), "band", "i", "j")
+
+
+def similar_by_block(blocks: DataFrame, threshold: int, lcs: Callable[[str, str, int], int], every: bool = True) -> DataFrame:
+    """(id_a, id_b, len_a, len_b, lcs), id_a < id_b, of ``meeting_blocks``: every pair of
+    texts that reaches the threshold, or without ``every`` one at least for each id_b
+    that is in any.  ``lcs(a, b, need)`` is their LCS, or a number below ``need``."""
+    b, kind = Budget(int(threshold)), blocks.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("side", "ascending")]))
         side = np.asarray(table.column("side"))
-        indexed, probes = int((side < 2).sum()), np.flatnonzero(side > 0)
-        ids, texts = table.column("id").combine_chunks(), table.column("s").to_pylist()
+        rows = np.argsort(side, kind="stable")      # the texts stay where they are
+        indexed, probes = int((side < 2).sum()), np.flatnonzero(side[rows] > 0)
+        ids, texts = table.column("id").take(pa.array(rows)).combine_chunks(), table.column("s").to_pylist()
+        texts = [texts[k] for k in rows.tolist()]
         order = np.asarray(pc.rank(ids, tiebreaker="dense")).astype(np.int64)
         found = (np.zeros(0, np.int64),) * 3
         if indexed and len(probes):
-            found = similar_in_block(texts, order, indexed, probes, table.column("band")[0].as_py(), b, lcs)
+            found = similar_in_block(texts, order, indexed, probes, b, lcs, every)
         s, r, length = found
         a, c = np.where(order[s] < order[r], s, r), np.where(order[s] < order[r], r, s)
         size = np.array([len(x) for x in texts], np.int64)
         return pa.table({"id_a": ids.take(pa.array(a)), "id_b": ids.take(pa.array(c)), "len_a": size[a], "len_b": size[c], "lcs": length.astype(np.int64)})
 
-    return (dealt(index.unionByName(probe), "band", "i", "j").groupBy("band", "i", "j")
-            .applyInArrow(run, f"id_a {kind}, id_b {kind}, len_a long, len_b long, lcs long"))
+    return blocks.groupBy("band", "i", "j").applyInArrow(run, f"id_a {kind}, id_b {kind}, len_a long, len_b long, lcs long")
