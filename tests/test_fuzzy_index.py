@@ -1,4 +1,4 @@
-"""J7 inside a block: no similar pair is lost by chunks; a
+"""J7 inside a block: no similar pair is lost, neither by chunks nor by signatures; a
 family of similar texts is not verified pair by pair for the rows that stay."""
 
 import random
@@ -9,6 +9,7 @@ import pytest
 from tests.test_fuzzy import brute_removed, dp_lcs
 from tests.test_fuzzy_candidates import edited
 from weft.operators import dedup
+from weft.operators import fuzzy_blocks as FB
 from weft.operators import fuzzy_index as FI
 from weft.operators.fuzzy import Budget
 
@@ -32,6 +33,20 @@ def families(rnd, lengths, letters, edits, many=5):
     return [x for x in texts if x]
 
 
+@pytest.mark.parametrize("t", [95, 88])
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh 0123456789", "".join(map(chr, range(0x4E00, 0x4E00 + 90)))], ids=["few", "some", "many"])
+def test_signatures_lose_no_pair(t, letters):
+    """Few letters, some, and more than the signature has bits."""
+    texts = families(random.Random(t), [1, 2, 9, 10, 19, 20, 21, 33, 40, 55, 60] * 2, letters, .12)
+    order = np.array(random.Random(1).sample(range(len(texts)), len(texts)))
+    s, r, lcs = FI.near_short(texts, order, len(texts), np.arange(len(texts)), t)
+    got = {(i, j): n for i, j, n in zip(s.tolist(), r.tolist(), lcs.tolist())}
+    want = {}
+    for (i, j), n in similar(texts, t).items():
+        want[(j, i) if len(texts[i]) == len(texts[j]) and order[i] > order[j] else (i, j)] = n
+    assert len(want) > 20 and got == want
+
+
 @pytest.mark.parametrize("t", [95, 88, 60])
 def test_chunks_lose_no_pair(t):
     """Also pairs that differ at the start or the end alone, and at a threshold that no chunk bounds."""
@@ -49,6 +64,17 @@ def test_chunks_lose_no_pair(t):
         assert set(pairs) <= {(own[i], j) for i, j in zip(s.tolist(), r.tolist())}
 
 
+def test_addresses_of_one_site_are_not_all_compared(monkeypatch):
+    rows = [f"https://blog.example.org/en/{k}.html?page=2" for k in random.Random(2).sample(range(100000, 10**6), 1500)]
+    seen, real = [], FI.indels
+    monkeypatch.setattr(FI, "indels", lambda a, b, most: seen.append(len(a)) or real(a, b, most))
+    s, r, _ = FB.similar_in_block(rows, np.arange(1500), 1500, np.arange(1500), Budget(95), None)
+    some = random.Random(3).sample(range(1500), 80)
+    want = {(i, j) for i in some for j in some if i < j and 200 * dedup.lcs_length(rows[i], rows[j]) >= 95 * 2 * len(rows[0])}
+    assert want == {(i, j) for i, j in zip(s.tolist(), r.tolist()) if i in some and j in some}
+    assert sum(seen) < 0.4 * 1500 * 1499 / 2
+
+
 def test_rows_of_a_family_are_not_verified_pair_by_pair(spark, monkeypatch):
     """80 copies of a text with a few edits, 3,000 similar pairs: each row needs one."""
     rnd = random.Random(5)

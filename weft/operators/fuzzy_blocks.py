@@ -2,7 +2,8 @@
 
 Texts are cut into blocks by length band, and two blocks that may hold similar
 texts meet in one task: one is indexed by the chunks of ``fuzzy_index``, the other one's
-windows are looked up, and who shares enough chunks is compared at once.  Neither chunks, windows nor candidates are ever rows; what leaves a task are the pairs that
+windows are looked up, and who shares enough chunks is compared at once (addresses and
+other short texts by their signatures).  Neither chunks, windows nor candidates are ever rows; what leaves a task are the pairs that
 reach the threshold.  A band is one block on either side until it exceeds
 ``INDEX_CHARS`` or ``PROBE_CHARS``; it is cut further by ``MEETINGS`` as long as that
 sends few characters more (``COPIED``).  So texts are shuffled about twice, and more
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.fuzzy import Budget, Windows, codes
-from weft.operators.fuzzy_index import Chunks
+from weft.operators.fuzzy_index import Chunks, near_short
 from weft.session import scratch_path
 from weft.sources.tables import dealt
 
@@ -32,6 +33,8 @@ INDEX_CHARS, PROBE_CHARS = 48_000_000, 96_000_000
 MEETINGS, COPIED = 1 << 26, 64_000_000
 #: Bins of the character counts that two texts are compared by first; length of the grams.
 BINS, GRAM = 64, 6
+#: Characters of the longest texts that are compared by their signatures.
+SHORT = 64
 #: Short pairs verified at once; candidates gathered before they are verified.
 _SHORT, _HELD = 1 << 16, 1 << 20
 
@@ -125,6 +128,8 @@ def similar_in_block(texts: list[str], order: np.ndarray, indexed: int, probes:
     in ``order``; all of them, or without ``every`` one at least for each text that has
     an earlier one in ``order``."""
     n = np.array([len(x) for x in texts], np.int64)
+    if n[:indexed].max() <= SHORT and n.max() <= 1.5 * SHORT:
+        return near_short(texts, order, indexed, probes, b.t)
     index, verify, found = Chunks(texts[:indexed], b), Verifier(texts, b.t, lcs), np.zeros(len(texts), bool)
     out, held, size = [(np.zeros(0, np.int64),) * 3], [], 0
 

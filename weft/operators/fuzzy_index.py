@@ -10,6 +10,10 @@ indels at most, of which (D - |r| + |s|) / 2 at most are characters of s alone a
   characters at most and to the right by r's.  The key hashes a chunk with the bucket
   of its place; a chunk has a key for each bucket where it may stand (two at most), so
   that a window of r is looked up once.
+* ``near_short``: texts of 64 characters at most.  An indel changes one bit of a text's
+  signature (the parities of its letters' counts, or the counts modulo four in Gray
+  code), so the signatures of all pairs are compared, a machine word each, and who
+  differs in D bits at most goes through the band of the table of edits.
 """
 
 from __future__ import annotations
@@ -191,3 +195,88 @@ class Chunks:
         for k in () if self.w else range(len(n)):
             s = np.flatnonzero((n[k] >= self.n) & (self.budget(np.arange(whole), n[k]) >= n[k] - self.n))
             yield s, np.full(len(s), k), np.zeros(len(s), np.int64)
+
+
+def signatures(texts: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A signature a text, and its letters by number (0 behind its end)."""
+    parts = list(runs(n, _CHARS))
+    often = np.zeros(0x110000, np.int64)
+    for k, j in parts:
+        often += np.bincount(spelt(texts[k:j]), minlength=len(often))
+    letters = np.flatnonzero(often)
+    number = np.zeros(len(often), np.int32)
+    number[letters] = np.arange(1, len(letters) + 1)
+    rows = np.zeros((len(n), int(n.max())), np.uint8 if len(letters) < 256 else np.uint16 if len(letters) < 65536 else np.uint32)
+    words = np.zeros(len(n), np.uint64)
+    bit = np.arange(len(letters)) % 64
+    second = np.zeros(0, np.int64)
+    for k, j in parts:
+        c = number[spelt(texts[k:j])]
+        who = np.repeat(np.arange(j - k), n[k:j])
+        rows[who + k, np.arange(len(c)) - np.repeat(np.cumsum(n[k:j]) - n[k:j], n[k:j])] = c
+        if len(letters) > 64:
+            np.bitwise_xor.at(words, who + k, np.uint64(1) << bit[c - 1].astype(np.uint64))
+            continue
+        counts = np.bincount(who * len(letters) + c - 1, minlength=(j - k) * len(letters)).reshape(j - k, len(letters))
+        if not k:
+            # Two bits for the letters whose counts differ most, as far as there are bits.
+            second = np.argsort(-counts.var(axis=0), kind="stable")[:64 - len(letters)]
+        gray = counts ^ counts >> 1
+        one = counts & 1
+        one[:, second] = gray[:, second] & 1
+        words[k:j] = (one.astype(np.uint64) << bit.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+        words[k:j] |= ((gray[:, second] >> 1 & 1).astype(np.uint64) << (len(letters) + np.arange(len(second))).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    return words, rows
+
+
+def indels(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Indel distances of the rows of ``a`` to those of ``b`` that are no longer, where
+    they are ``most`` (below 100) or less; else a number above it."""
+    la, lb = a.shape[1], b.shape[1]
+    own, other = (most + la - lb) // 2, (most - la + lb) // 2
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(a.shape[1], 200, np.uint8)
+    row = {j: np.full(a.shape[1], j, np.uint8) for j in range(min(other, lb) + 1)}
+    for i in range(1, la + 1):
+        last, row = row, {}
+        for j in range(max(0, i - own), min(lb, i + other) + 1):
+            if not j:
+                row[j] = np.full(a.shape[1], i, np.uint8)
+                continue
+            row[j] = np.minimum(last.get(j, far), row.get(j - 1, far)) + np.uint8(1)
+            if j - 1 in last:
+                row[j] = np.minimum(row[j], np.where(a[i - 1] == b[j - 1], last[j - 1], far))
+    return row[lb]
+
+
+def near_short(texts: list[str], order: np.ndarray, indexed: int, probes: np.ndarray, t: int) -> tuple:
+    """(s, r, lcs), as places in ``texts``: similar pairs of one of the first ``indexed``
+    texts and a text of ``probes`` that is longer, or as long and later in ``order``."""
+    n = np.array([len(x) for x in texts], np.int64)
+    words, rows = signatures(texts, n)
+    out = [(np.zeros(0, np.int64),) * 3]
+    by_length = [{int(x): at[n[at] == x] for x in np.unique(n[at])} for at in (np.arange(indexed), np.asarray(probes))]
+    for lr, r in by_length[1].items():
+        for ls, s in by_length[0].items():
+            most = (100 - t) * (ls + lr) // 100
+            most -= (most - lr + ls) % 2
+            if ls > lr or most < lr - ls or most == 0:
+                continue
+            held, size, mine = [], 0, words[s]
+            tile = max(1, (1 << 18) // len(s))
+            for k in range(0, len(r), tile):
+                i, j = np.nonzero(np.bitwise_count(mine ^ words[r[k:k + tile]][:, None]) <= most)
+                if ls == lr:
+                    later = order[s[j]] < order[r[k + i]]
+                    i, j = i[later], j[later]
+                held.append((s[j], r[k + i]))
+                size += len(j)
+                if size and (size >= 1 << 16 or k + tile >= len(r)):
+                    one, other = map(np.concatenate, zip(*held))
+                    for x in range(0, size, 1 << 16):
+                        a, c = other[x:x + (1 << 16)], one[x:x + (1 << 16)]
+                        edits = indels(rows[a, :lr], rows[c, :ls], most)
+                        good = edits <= most
+                        out.append((c[good], a[good], (ls + lr - edits[good].astype(np.int64)) // 2))
+                    held, size = [], 0
+    return tuple(map(np.concatenate, zip(*out)))
