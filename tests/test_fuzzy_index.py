@@ -91,3 +91,11 @@ def test_rows_of_a_family_are_not_verified_pair_by_pair(spark, monkeypatch):
     assert 79 <= calls.value < 400
     monkeypatch.undo()
     assert pairs.count() > 3000
+
+
+def test_short_texts_give_one_pair_a_row_for_the_dedup():
+    rows = [f"https://blog.example.org/en/{100000 + k}.html?page=2" for k in range(300)]
+    at = np.arange(300)
+    whole, one = (FB.similar_in_block(rows, at, 300, at, Budget(95), None, every) for every in (True, False))
+    later = [np.maximum(x[0], x[1]).tolist() for x in (whole, one)]
+    assert len(whole[0]) > 10 * 300 and sorted(later[1]) == sorted(set(later[0]))

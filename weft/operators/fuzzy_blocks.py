@@ -129,7 +129,9 @@ def similar_in_block(texts: list[str], order: np.ndarray, indexed: int, probes:
     an earlier one in ``order``."""
     n = np.array([len(x) for x in texts], np.int64)
     if n[:indexed].max() <= SHORT and n.max() <= 1.5 * SHORT:
-        return near_short(texts, order, indexed, probes, b.t)
+        s, r, length = near_short(texts, order, indexed, probes, b.t)
+        one = slice(None) if every else np.unique(np.where(order[s] > order[r], s, r), return_index=True)[1]
+        return s[one], r[one], length[one]
     index, verify, found = Chunks(texts[:indexed], b), Verifier(texts, b.t, lcs), np.zeros(len(texts), bool)
     out, held, size = [(np.zeros(0, np.int64),) * 3], [], 0
 
